@@ -33,13 +33,19 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, buckets: int = 0, key: str = "") -> DataFrame:
     """Write df as Parquet into the shared folder and read it again: cuts the lineage, survives
-    lost executors, and later readers do not compute it anew."""
+    lost executors, and later readers do not compute it anew. With buckets, rows lie by the hash of
+    key, so that what joins or groups by key need not shuffle them."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = df.write.option("compression", "zstd")
+    if not buckets:
+        out.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    view = path.rsplit("/", 1)[1].replace("-", "_")
+    out.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(view)
+    return spark.table(view)
 
 
 def forget(df: DataFrame) -> None:

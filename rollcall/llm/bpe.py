@@ -9,10 +9,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rollcall.session import saved
 
@@ -45,50 +47,84 @@ def split_words(text: str | None) -> list[str]:
     return out + PIECES.findall(_lower(unicodedata.normalize("NFC", text[at:])))
 
 
+def _pack(numbers: list[int], press: zstandard.ZstdCompressor) -> bytes:
+    """Numbers below 2**24 byte plane by byte plane, which compresses better than one by one."""
+    return press.compress(np.ascontiguousarray(np.array(numbers, "<u4").view(np.uint8).reshape(-1, 4)[:, :3].T).tobytes())
+
+
+def _unpack(packed: bytes, unpress: zstandard.ZstdDecompressor) -> np.ndarray:
+    planes = np.frombuffer(unpress.decompress(packed), np.uint8).reshape(3, -1).astype(np.int32)
+    return planes[0] | planes[1] << 8 | planes[2] << 16
+
+
 def _split_chunks(docs: DataFrame, id_col: str, text_col: str, chunk_words: int, chunk_docs: int) -> DataFrame:
     """Chunks of documents: a row for each document (its words as numbers within the chunk) and a
     row for each distinct word of the chunk (its number)."""
-    kind = dict(docs.dtypes)[id_col]
+    schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("word", T.StringType()), T.StructField("number", T.IntegerType()), T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("seq", T.BinaryType())])
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pack = zstandard.ZstdCompressor(level=1)
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        press = zstandard.ZstdCompressor(level=3)
         number: defaultdict = defaultdict()
         number.default_factory = number.__len__
-        ids, seqs, key, words_in = [], [], [None], 0
-
-        def flush() -> pd.DataFrame:
-            words, n = list(number), len(ids)
-            out = pd.DataFrame(
-                {
-                    "chunk": key[0],
-                    "word": [None] * n + words,
-                    "number": np.concatenate([np.full(n, -1, np.int32), np.arange(len(words), dtype=np.int32)]),
-                    id_col: pd.Series(ids + [None] * len(words), dtype=object),
-                    "seq": seqs + [None] * len(words),
-                }
-            )
-            number.clear()
-            ids.clear(), seqs.clear()
-            return out
+        ids: list = []
+        seqs: list[bytes] = []
+        chunk, n_words, kind = TaskContext.get().partitionId() << 32, 0, pa.int64()
+
+        def rows_of(*columns) -> pa.RecordBatch:
+            n = max(map(len, columns))
+            kinds = (pa.string(), pa.int32(), kind, pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), *(pa.array(c, t) if len(c) else pa.nulls(n, t) for c, t in zip(columns, kinds))], ["chunk", "word", "number", id_col, "seq"])
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            yield rows_of([], [], ids, seqs)
+            words = list(number)
+            for at in range(0, len(words), 100_000):
+                part = words[at : at + 100_000]
+                yield rows_of(part, np.arange(at, at + len(part), dtype=np.int32), [], [])
+            number.clear(), ids.clear(), seqs.clear()
 
         for rows in batches:
-            for doc, text in zip(rows[id_col].astype(object).where(rows[id_col].notna(), None), rows[text_col]):
-                if not ids:
-                    from pyspark import TaskContext
-
-                    task = TaskContext.get()
-                    key[0] = f"{task.partitionId() if task else 0}/{doc}/{words_in}"
+            kind = rows.column(0).type
+            for doc, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
                 seq = list(map(number.__getitem__, split_words(text)))
-                words_in += len(seq)
+                n_words += len(seq)
                 ids.append(doc)
-                seqs.append(pack.compress(np.array(seq, np.int32).tobytes()))
-                if words_in >= chunk_words or len(ids) >= chunk_docs:
-                    words_in = 0
-                    yield flush()
+                seqs.append(_pack(seq, press))
+                if n_words >= chunk_words or len(ids) >= chunk_docs or len(number) >= 1 << 23:
+                    yield from flush()
+                    chunk, n_words = chunk + 1, 0
         if ids:
-            yield flush()
+            yield from flush()
 
-    return docs.select(id_col, text_col).mapInPandas(each, f"chunk string, word string, number int, `{id_col}` {kind}, seq binary")
+    return docs.select(id_col, text_col).mapInArrow(each, schema)
+
+
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(path)
+    model.no_truncation()
+    model.no_padding()
+    return model
+
+
+def _encode_uses(uses: DataFrame, path: str) -> DataFrame:
+    """(chunk, number, ids) of (chunk, word, number). Rows of one word come together, so a
+    partition's table of distinct words encodes each once; ids are little-endian 32-bit."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, known = _tokenizer(path), {}
+        for rows in batches:
+            words = rows.column("word").to_pylist()
+            fresh = list({w for w in words if w not in known})
+            for w, x in zip(fresh, model.encode_batch_fast(fresh, add_special_tokens=False)):
+                known[w] = np.array(x.ids, "<u4").tobytes()
+            ids = pa.array(list(map(known.__getitem__, words)), pa.binary())
+            yield pa.RecordBatch.from_arrays([rows.column("chunk"), rows.column("number"), ids], ["chunk", "number", "ids"])
+
+    return uses.repartition("word").mapInArrow(each, "chunk long, number int, ids binary")
 
 
 def encode_words(words: DataFrame, vocab: str | None = None) -> DataFrame:
@@ -96,11 +132,7 @@ def encode_words(words: DataFrame, vocab: str | None = None) -> DataFrame:
     path = vocab or vocabulary()
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from tokenizers import Tokenizer
-
-        model = Tokenizer.from_file(path)
-        model.no_truncation()
-        model.no_padding()
+        model = _tokenizer(path)
         for rows in batches:
             found = model.encode_batch_fast(rows["word"].tolist(), add_special_tokens=False)
             yield pd.DataFrame({"word": rows["word"].array, "ids": [np.array(x.ids, np.int32) for x in found]})
@@ -124,24 +156,23 @@ def decode_ids(encoded: DataFrame, pieces: DataFrame, key: str, ids: str = "ids"
     return each.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("at", "piece")))), lambda x: x["piece"]), " ").alias("decoded"))
 
 
-def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str | None = None, chunk_words: int = 2_000_000, chunk_docs: int = 4_000, with_text: bool = False) -> DataFrame:
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str | None = None, chunk_words: int = 5_000_000, chunk_docs: int = 20_000, with_text: bool = False) -> DataFrame:
     """Encode each document and decode it again: id, n_tokens, ids_sha256, decoded_sha256 and, if
     asked for, ids (array<int>) and decoded.
 
-    Spark splits the texts; each chunk of about chunk_words words lists its distinct words, and the
-    table of all distinct words is encoded once. Its ids go back to the chunks by word number, and
-    the documents of a chunk are put together by position. A word meets a chunk once, so a
-    frequent word has a row for each chunk, not for each use. Decoding joins ids with the pieces.
+    Each chunk of about chunk_words words lists its distinct words. The lists meet by word, so that
+    each distinct word of the corpus is encoded once, and its ids go back to the chunks by word
+    number, where documents are put together by position. A frequent word has a row for each chunk,
+    not for each use. Decoding looks the ids up in the table of pieces, which the vocabulary bounds.
 
     A null text is empty (0 tokens); repeated rows and null ids keep their rows; extra columns are
     not read; an empty table gives no rows.
     """
     path = vocab or vocabulary()
     kind = dict(docs.dtypes)[id_col]
-    parts = saved(_split_chunks(docs, id_col, text_col, chunk_words, chunk_docs), "bpe-chunks")
-    uses = parts.where("word is not null").select("chunk", "word", "number")
-    table = encode_words(uses.select("word").distinct(), path)
-    back = uses.join(table, "word").select("chunk", "number", "ids")
+    buckets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = saved(_split_chunks(docs, id_col, text_col, chunk_words, chunk_docs), "bpe-chunks", buckets, "chunk")
+    back = _encode_uses(parts.where("word is not null").select("chunk", "word", "number"), path)
     of_docs = parts.where("word is null").select(F.col("chunk").alias("of_chunk"), id_col, "seq")
     extra = ", ids array<int>, decoded string" if with_text else ""
 
@@ -149,24 +180,24 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         pieces = _pieces(path)
         words = words.sort_values("number")
         lists = words["ids"].tolist()
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.concatenate([*lists, np.empty(0, np.int32)]).astype(np.int32)
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
+        flat = np.frombuffer(b"".join(lists), "<u4")
         first = np.cumsum(sizes) - sizes
         texts = np.empty(len(lists), object)
         named = pieces[flat].tolist()
         texts[:] = [" ".join(named[s : s + n]) for s, n in zip(first.tolist(), sizes.tolist())]
-        unpack = zstandard.ZstdDecompressor()
+        unpress = zstandard.ZstdDecompressor()
         out: dict[str, list] = {id_col: rows[id_col].tolist(), "n_tokens": [], "ids_sha256": [], "decoded_sha256": []} | ({"ids": [], "decoded": []} if with_text else {})
         for seq in rows["seq"]:
-            at = np.frombuffer(unpack.decompress(seq), np.int32)
+            at = _unpack(seq, unpress)
             n = sizes[at]
             ids = flat[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[at], n)]
             decoded = " ".join(texts[at].tolist())
             out["n_tokens"].append(len(ids))
-            out["ids_sha256"].append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
+            out["ids_sha256"].append(hashlib.sha256(ids.tobytes()).hexdigest())
             out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
             if with_text:
-                out["ids"].append(ids)
+                out["ids"].append(ids.astype(np.int32))
                 out["decoded"].append(decoded)
         return pd.DataFrame(out | {id_col: pd.Series(out[id_col], dtype=object)})
 

@@ -7,8 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.llm import bpe, simhash
+from rollcall.llm import bpe, classifier, rules, simhash, warc
 from rollcall.llm.common import table
+from rollcall.session import saved
+
+
+def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = saved(warc.write_segments(table(spark, sf_dir, "pages", "page_id", "url", "html")), "warc")
+    page = lambda c: F.substring_index(c, ":", -1).cast("long")
+    rows = warc.read_segments(archives, with_payload=False)
+    return rows.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = classifier.fit(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
+    return classifier.score(docs, model).select("doc_id", classifier.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,5 +42,48 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
 
+OP2_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha256(h) AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND first_id <> page_id THEN first_id END AS refers_to
+FROM f
+"""
+
+
+def _op5_sql() -> str:
+    stops = ", ".join(f"'{w}'" for w in sorted(set(rules.STOP_WORDS)))
+    ratio = {
+        "mean_word_length": "word_chars / n_words",
+        "symbol_ratio": "CASE WHEN word_chars > 0 THEN n_symbols / word_chars ELSE 0 END",
+        "stop_word_ratio": "n_stops / n_words",
+        "dup_line_ratio": "CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END",
+        "bullet_line_ratio": "CASE WHEN n_lines > 0 THEN n_bullets / n_lines ELSE 0 END",
+        "alpha_word_ratio": "n_alpha / n_words",
+    }
+    tests = [f"{ratio[r.metric]} {sign} {bound}" for r in rules.RULES for sign, bound in ((">=", r.low), ("<=", r.high)) if bound is not None]
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+s AS (SELECT doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w,
+        list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM t),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM s WHERE len(w) >= 3),
+h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS c FROM g),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM h WHERE c > 1) GROUP BY doc_id),
+m AS (SELECT s.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+        length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+        (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
+        len(l) AS n_lines, len(list_filter(l, x -> regexp_matches(x, '^\\s*[-*•]'))) AS n_bullets,
+        len(list_filter(w, x -> x IN ({stops}))) AS n_stops,
+        len(regexp_extract_all(t, '[\\x20\\x09-\\x0D][^\\x20\\x09-\\x0D\\p{{L}}]*\\p{{L}}')) AS n_alpha
+      FROM s LEFT JOIN r USING (doc_id)),
+b AS (SELECT *, n_words < {rules.BASE_WORDS} OR 100 * n_repeat_words > {rules.BASE_REPEAT_PERCENT} * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  CASE WHEN base_failed THEN false ELSE {" AND ".join(tests)} END AS kept
+FROM b
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_warc_round_trip": OP2_SQL, "op5_quality_rules": _op5_sql()}

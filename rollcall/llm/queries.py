@@ -67,15 +67,15 @@ def _op5_sql() -> str:
     return f"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 s AS (SELECT doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w,
-        list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM t),
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM t),
 g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM s WHERE len(w) >= 3),
 h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS c FROM g),
 r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM h WHERE c > 1) GROUP BY doc_id),
 m AS (SELECT s.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
         (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
-        len(l) AS n_lines, len(list_filter(l, x -> regexp_matches(x, '^\\s*[-*•]'))) AS n_bullets,
-        len(list_filter(w, x -> x IN ({stops}))) AS n_stops,
+        len(l) AS n_lines, len(list_filter(l, lambda x: regexp_matches(x, '^\\s*[-*•]'))) AS n_bullets,
+        len(list_filter(w, lambda x: x IN ({stops}))) AS n_stops,
         len(regexp_extract_all(t, '[\\x20\\x09-\\x0D][^\\x20\\x09-\\x0D\\p{{L}}]*\\p{{L}}')) AS n_alpha
       FROM s LEFT JOIN r USING (doc_id)),
 b AS (SELECT *, n_words < {rules.BASE_WORDS} OR 100 * n_repeat_words > {rules.BASE_REPEAT_PERCENT} * n_words AS base_failed FROM m)

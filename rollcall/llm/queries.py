@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.llm import bpe, classifier, rules, simhash, warc
+from rollcall.llm import bpe, classifier, mixing, pii, rules, simhash, warc
 from rollcall.llm.common import table
 from rollcall.session import saved
 
@@ -29,11 +29,29 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op6_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", *[_of_kind(k) for k in pii.KINDS], F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(pii.all_spans()).alias("spans"))
+
+
+def _of_kind(kind: str) -> Column:
+    return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def mix_dimensions() -> dict[str, Column]:
+    return {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.topic_of("text")}
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang")
+    return mixing.sample(docs, mix_dimensions()).select("doc_id", "source", "lang", F.col("dim_topic").alias("topic"), "n_tokens", "probability", "selected")
+
+
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -85,5 +103,29 @@ FROM b
 """
 
 
+def _op9_sql(power: float = 0.7, budget: float = 0.8, sweeps: int = 8, seed: int = 42) -> str:
+    topic = " ".join(f"WHEN contains(text, '{mark}') THEN '{name}'" for name, mark in mixing.TOPICS)
+    none, dims = mixing.NONE, ("source", "lang", "topic")
+    ctes = [
+        f"d AS MATERIALIZED (SELECT doc_id, source, lang, CASE {topic} ELSE 'prose' END AS topic, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS n_tokens FROM documents)",
+        f"e AS MATERIALIZED (SELECT *, coalesce(source, '{none}') AS d_source, coalesce(lang, '{none}') AS d_lang, topic AS d_topic FROM d)",
+        "c AS MATERIALIZED (SELECT d_source, d_lang, d_topic, sum(n_tokens)::DOUBLE AS n FROM e GROUP BY ALL HAVING sum(n_tokens) > 0)",
+        *[f"t_{x} AS MATERIALIZED (SELECT d_{x}, pow(m, {power}) / sum(pow(m, {power})) OVER () AS target FROM (SELECT d_{x}, sum(n) AS m FROM c GROUP BY ALL))" for x in dims],
+        "w0 AS MATERIALIZED (SELECT d_source, d_lang, d_topic, n / (SELECT sum(n) FROM c) AS share, n / (SELECT sum(n) FROM c) AS w FROM c)",
+    ]
+    last = "w0"
+    for k in range(sweeps):
+        for x in dims:
+            ctes.append(f"w{k}_{x} AS MATERIALIZED (SELECT d_source, d_lang, d_topic, share, w * target / sum(w) OVER (PARTITION BY d_{x}) AS w FROM {last} JOIN t_{x} USING (d_{x}))")
+            last = f"w{k}_{x}"
+        ctes.append(f"w{k + 1} AS MATERIALIZED (SELECT d_source, d_lang, d_topic, share, least(w, share / {budget}) AS w FROM {last})")
+        last = f"w{k + 1}"
+    ctes.append(f"p AS (SELECT e.*, floor(coalesce(least(1.0, {budget} * w / share), 1.0) * 1e6 + 0.5) / 1e6 AS probability FROM e LEFT JOIN {last} USING (d_source, d_lang, d_topic))")
+    return "WITH " + ",\n".join(ctes) + f"""
+SELECT doc_id, source, lang, topic, n_tokens, probability,
+  ('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, '{none}')), 1, 12))::BIGINT / 281474976710656.0 < probability AS selected
+FROM p"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_round_trip": OP2_SQL, "op5_quality_rules": _op5_sql()}
+    return {"op2_warc_round_trip": OP2_SQL, "op5_quality_rules": _op5_sql(), "op9_source_mixing": _op9_sql()}

@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.llm import bpe, classifier, mixing, pii, rules, simhash, warc
+from rollcall.llm import bpe, classifier, embeddings, mixing, pii, rules, simhash, warc
 from rollcall.llm.common import table
 from rollcall.session import saved
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = embeddings.near_duplicates(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+    return rows.withColumnRenamed("component", "component_id")
+
+
 def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = saved(warc.write_segments(table(spark, sf_dir, "pages", "page_id", "url", "html")), "warc")
     page = lambda c: F.substring_index(c, ":", -1).cast("long")

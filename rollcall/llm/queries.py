@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.llm import bpe, classifier, embeddings, mixing, pii, rules, simhash, warc
+from rollcall.llm import bpe, classifier, embeddings, html, mixing, pii, rules, simhash, warc
 from rollcall.llm.common import table
 from rollcall.session import saved
 
@@ -24,6 +24,10 @@ def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     model = classifier.fit(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))

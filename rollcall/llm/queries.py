@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.llm import bpe, classifier, embeddings, html, mixing, pii, rules, simhash, warc
+from rollcall.llm import bpe, classifier, embeddings, html, mixing, pii, rules, simhash, substrings, warc
 from rollcall.llm.common import table
 from rollcall.session import saved
 
@@ -56,6 +56,10 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang")
     return mixing.sample(docs, mix_dimensions()).select("doc_id", "source", "lang", F.col("dim_topic").alias("topic"), "n_tokens", "probability", "selected")

@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,20 +48,21 @@ def split_words(text: str | None) -> list[str]:
     return out + PIECES.findall(_lower(unicodedata.normalize("NFC", text[at:])))
 
 
-def _pack(numbers: list[int], press: zstandard.ZstdCompressor) -> bytes:
-    """Numbers below 2**24 byte plane by byte plane, which compresses better than one by one."""
-    return press.compress(np.ascontiguousarray(np.array(numbers, "<u4").view(np.uint8).reshape(-1, 4)[:, :3].T).tobytes())
+def _pack(numbers: np.ndarray, press: zstandard.ZstdCompressor) -> bytes:
+    """Numbers below 2**32 byte plane by byte plane, which compresses better than one by one."""
+    return press.compress(np.ascontiguousarray(np.asarray(numbers, "<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
 
 
 def _unpack(packed: bytes, unpress: zstandard.ZstdDecompressor) -> np.ndarray:
-    planes = np.frombuffer(unpress.decompress(packed), np.uint8).reshape(3, -1).astype(np.int32)
-    return planes[0] | planes[1] << 8 | planes[2] << 16
+    planes = np.frombuffer(unpress.decompress(packed), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-def _split_chunks(docs: DataFrame, id_col: str, text_col: str, chunk_words: int, chunk_docs: int) -> DataFrame:
-    """Chunks of documents: a row for each document (its words as numbers within the chunk) and a
-    row for each distinct word of the chunk (its number)."""
-    schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("word", T.StringType()), T.StructField("number", T.IntegerType()), T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("seq", T.BinaryType())])
+def _split_chunks(docs: DataFrame, id_col: str, text_col: str, chunk_words: int, chunk_docs: int, lists: int) -> DataFrame:
+    """Chunks of documents: a row for each document (its words as numbers within the chunk), and up
+    to `lists` rows with the distinct words of the chunk by a hash of the word (list), and the
+    numbers of these."""
+    schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("list", T.IntegerType()), T.StructField("words", T.BinaryType()), T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("numbers", T.BinaryType())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -72,17 +74,22 @@ def _split_chunks(docs: DataFrame, id_col: str, text_col: str, chunk_words: int,
         seqs: list[bytes] = []
         chunk, n_words, kind = TaskContext.get().partitionId() << 32, 0, pa.int64()
 
-        def rows_of(*columns) -> pa.RecordBatch:
-            n = max(map(len, columns))
-            kinds = (pa.string(), pa.int32(), kind, pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), *(pa.array(c, t) if len(c) else pa.nulls(n, t) for c, t in zip(columns, kinds))], ["chunk", "word", "number", id_col, "seq"])
+        def rows_of(*columns: list | None) -> pa.RecordBatch:
+            n = max(len(c) for c in columns if c is not None)
+            kinds = (pa.int32(), pa.binary(), kind, pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), *(pa.nulls(n, t) if c is None else pa.array(c, t) for c, t in zip(columns, kinds))], schema.names)
 
         def flush() -> Iterator[pa.RecordBatch]:
-            yield rows_of([], [], ids, seqs)
-            words = list(number)
-            for at in range(0, len(words), 100_000):
-                part = words[at : at + 100_000]
-                yield rows_of(part, np.arange(at, at + len(part), dtype=np.int32), [], [])
+            yield rows_of(None, None, ids, seqs)
+            words = sorted(number)
+            of = np.fromiter((xxhash.xxh32_intdigest(w) % lists for w in words), np.int64, len(words))
+            numbers = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+            order = np.argsort(of, kind="stable")
+            if len(words):
+                edge = np.flatnonzero(np.diff(of[order])) + 1
+                parts = np.split(order, edge)
+                packed = [press.compress("\n".join([words[k] for k in x.tolist()]).encode("utf-8", "surrogatepass")) for x in parts]
+                yield rows_of([int(of[x[0]]) for x in parts], packed, None, [_pack(numbers[x], press) for x in parts])
             number.clear(), ids.clear(), seqs.clear()
 
         for rows in batches:
@@ -92,7 +99,7 @@ def _split_chunks(docs: DataFrame, id_col: str, text_col: str, chunk_words: int,
                 n_words += len(seq)
                 ids.append(doc)
                 seqs.append(_pack(seq, press))
-                if n_words >= chunk_words or len(ids) >= chunk_docs or len(number) >= 1 << 23:
+                if n_words >= chunk_words or len(ids) >= chunk_docs:
                     yield from flush()
                     chunk, n_words = chunk + 1, 0
         if ids:
@@ -110,21 +117,28 @@ def _tokenizer(path: str):
     return model
 
 
-def _encode_uses(uses: DataFrame, path: str) -> DataFrame:
-    """(chunk, number, ids) of (chunk, word, number). Rows of one word come together, so a
-    partition's table of distinct words encodes each once; ids are little-endian 32-bit."""
+def _encode_lists(uses: DataFrame, path: str) -> DataFrame:
+    """(chunk, numbers, sizes, ids) of (chunk, list, words, numbers). All rows of a list come together,
+    so its table of distinct words encodes each once for the whole corpus."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = _tokenizer(path), {}
+        model, known, current = _tokenizer(path), {}, None
+        press, unpress = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
         for rows in batches:
-            words = rows.column("word").to_pylist()
-            fresh = list({w for w in words if w not in known})
-            for w, x in zip(fresh, model.encode_batch_fast(fresh, add_special_tokens=False)):
-                known[w] = np.array(x.ids, "<u4").tobytes()
-            ids = pa.array(list(map(known.__getitem__, words)), pa.binary())
-            yield pa.RecordBatch.from_arrays([rows.column("chunk"), rows.column("number"), ids], ["chunk", "number", "ids"])
-
-    return uses.repartition("word").mapInArrow(each, "chunk long, number int, ids binary")
+            sizes, ids = [], []
+            for which, packed in zip(rows.column("list").to_pylist(), rows.column("words").to_pylist()):
+                if which != current:
+                    known, current = {}, which
+                words = unpress.decompress(packed).decode("utf-8", "surrogatepass").split("\n")
+                fresh = [w for w in words if w not in known]
+                for w, x in zip(fresh, model.encode_batch_fast(fresh, add_special_tokens=False)):
+                    known[w] = np.array(x.ids, "<u4")
+                found = list(map(known.__getitem__, words))
+                sizes.append(_pack(np.fromiter(map(len, found), np.int64, len(found)), press))
+                ids.append(_pack(np.concatenate(found), press))
+            yield pa.RecordBatch.from_arrays([rows.column("chunk"), rows.column("numbers"), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], ["chunk", "numbers", "sizes", "ids"])
+
+    return uses.repartition("list").sortWithinPartitions("list").mapInArrow(each, "chunk long, numbers binary, sizes binary, ids binary")
 
 
 def encode_words(words: DataFrame, vocab: str | None = None) -> DataFrame:
@@ -156,14 +170,15 @@ def decode_ids(encoded: DataFrame, pieces: DataFrame, key: str, ids: str = "ids"
     return each.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("at", "piece")))), lambda x: x["piece"]), " ").alias("decoded"))
 
 
-def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str | None = None, chunk_words: int = 5_000_000, chunk_docs: int = 20_000, with_text: bool = False) -> DataFrame:
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str | None = None, chunk_words: int = 2_000_000, chunk_docs: int = 20_000, lists: int = 256, with_text: bool = False) -> DataFrame:
     """Encode each document and decode it again: id, n_tokens, ids_sha256, decoded_sha256 and, if
     asked for, ids (array<int>) and decoded.
 
-    Each chunk of about chunk_words words lists its distinct words. The lists meet by word, so that
-    each distinct word of the corpus is encoded once, and its ids go back to the chunks by word
-    number, where documents are put together by position. A frequent word has a row for each chunk,
-    not for each use. Decoding looks the ids up in the table of pieces, which the vocabulary bounds.
+    Each chunk of about chunk_words words deals its distinct words out to `lists` lists (or the
+    number of shuffle partitions, if more) by a hash. The lists meet, so that each distinct word of
+    the corpus is encoded once, and its ids go back to the chunks by word number, where documents
+    are put together by position. A frequent word comes once from each chunk, not from each use.
+    Decoding looks the ids up in the table of pieces, which the vocabulary bounds.
 
     A null text is empty (0 tokens); repeated rows and null ids keep their rows; extra columns are
     not read; an empty table gives no rows.
@@ -171,24 +186,22 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     path = vocab or vocabulary()
     kind = dict(docs.dtypes)[id_col]
     buckets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    parts = saved(_split_chunks(docs, id_col, text_col, chunk_words, chunk_docs), "bpe-chunks", buckets, "chunk")
-    back = _encode_uses(parts.where("word is not null").select("chunk", "word", "number"), path)
-    of_docs = parts.where("word is null").select(F.col("chunk").alias("of_chunk"), id_col, "seq")
+    parts = saved(_split_chunks(docs, id_col, text_col, chunk_words, chunk_docs, max(lists, buckets)), "bpe-chunks", buckets, "chunk")
+    back = _encode_lists(parts.where("list is not null").select("chunk", "list", "words", "numbers"), path)
+    of_docs = parts.where("list is null").select(F.col("chunk").alias("of_chunk"), id_col, "numbers")
     extra = ", ids array<int>, decoded string" if with_text else ""
 
     def each(key: tuple, words: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        pieces = _pieces(path)
-        words = words.sort_values("number")
-        lists = words["ids"].tolist()
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
-        flat = np.frombuffer(b"".join(lists), "<u4")
-        first = np.cumsum(sizes) - sizes
-        texts = np.empty(len(lists), object)
+        pieces, unpress = _pieces(path), zstandard.ZstdDecompressor()
+        join = lambda c: np.concatenate([*(_unpack(x, unpress) for x in words[c]), np.empty(0, "<u4")])
+        number, size, flat = join("numbers"), join("sizes").astype(np.int64), join("ids")
+        first, sizes = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
+        first[number], sizes[number] = np.cumsum(size) - size, size
+        texts = np.empty(len(number), object)
         named = pieces[flat].tolist()
         texts[:] = [" ".join(named[s : s + n]) for s, n in zip(first.tolist(), sizes.tolist())]
-        unpress = zstandard.ZstdDecompressor()
         out: dict[str, list] = {id_col: rows[id_col].tolist(), "n_tokens": [], "ids_sha256": [], "decoded_sha256": []} | ({"ids": [], "decoded": []} if with_text else {})
-        for seq in rows["seq"]:
+        for seq in rows["numbers"]:
             at = _unpack(seq, unpress)
             n = sizes[at]
             ids = flat[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[at], n)]

@@ -23,7 +23,7 @@ class Words:
 
     A window is `window` consecutive words of one document. Its anchor is the smallest of the hashes
     of the `gram`-word runs in it, so equal windows have equal anchors, and neighbours mostly share
-    theirs. Its key is a pair of independent 64-bit hashes of its words.
+    theirs. Its key is a pair of independent hashes of its words, of 64 and 32 bits.
     """
 
     def __init__(self, texts: list[str | None], window: int, gram: int) -> None:
@@ -59,7 +59,8 @@ class Words:
         return least[self.at].view(np.int64)
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        return tuple(self._rolled(h, self.window, m)[self.at].view(np.int64) for h, m in zip(self._hash, MIX))
+        long, short = (self._rolled(h, self.window, m)[self.at].view(np.int64) for h, m in zip(self._hash, MIX))
+        return long, short >> 32
 
 
 def pack_chunks(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> DataFrame:
@@ -201,9 +202,9 @@ def candidates(anchors: DataFrame, chunks: DataFrame, window: int, gram: int) ->
             k1, k2 = (k[some] for k in w.keys())
             _, first, least = _least_by_key(k1, k2, ids[w.doc[some]])
             out = {"k1": k1[first], "k2": k2[first], "id": least, "chunk": np.full(len(least), packed["chunk"].iloc[0])}
-        return pd.DataFrame(out).astype("int64")
+        return pd.DataFrame(out).astype("int64").astype({"k2": "int32"})
 
-    return anchors.groupBy("chunk").cogroup(chunks.groupBy("chunk")).applyInPandas(each, "k1 long, k2 long, id long, chunk long")
+    return anchors.groupBy("chunk").cogroup(chunks.groupBy("chunk")).applyInPandas(each, "k1 long, k2 int, id long, chunk long")
 
 
 def _results(taken: DataFrame, chunks: DataFrame, window: int, gram: int, id_col: str, with_text: bool) -> DataFrame:
@@ -261,7 +262,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     The documents are indexed in `batches`, each of which meets the runs of those before it. What
     the index finds is verified: only windows with an anchor that several documents have are
-    compared, by 128-bit keys, over all batches. Windows of one chunk of documents are combined
+    compared, by 96-bit keys, over all batches. Windows of one chunk of documents are combined
     before they are dealt out, so a passage that many documents share has a row for each chunk.
     Chunks lie in buckets of their number and are not shuffled again.
 

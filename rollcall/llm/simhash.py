@@ -64,7 +64,7 @@ def _pairs(left: np.ndarray, right: np.ndarray | None, first: int, segments: int
     base = left if right is None else right
     order = np.argsort(part(base, first + 1), kind="stable")
     keys, mine = part(base, first + 1)[order], part(left, first + 1)
-    found: list[np.ndarray] = []
+    found = [np.zeros((2, 0), np.int64)]
     for flip in [0, *(1 << k for k in range(width[(first + 1) % segments]))]:
         at, to = (np.searchsorted(keys, mine ^ np.uint64(flip), side) for side in ("left", "right"))
         done = 0

@@ -16,9 +16,9 @@ POLL, QUIET_MS = "4 seconds", 150
 
 def watch_folder(spark: SparkSession, folder: str, since: str) -> DataFrame:
     """A stream of the spreadsheets that appear in a folder from a time on: path, content, modified."""
-    found = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.{xlsx,xlsm,ods,csv}").option("modifiedAfter", since)
+    found = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.{xlsx,xlsm,ods,csv}")
     found = found.schema("path string, modificationTime timestamp, length long, content binary").load(folder)
-    return found.where(is_candidate(F.col("path"))).select("path", F.col("modificationTime").alias("modified"), "content")
+    return found.where(is_candidate(F.col("path")) & (F.col("modificationTime") >= F.lit(since).cast("timestamp"))).select("path", F.col("modificationTime").alias("modified"), "content")
 
 
 def import_once(files: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str):

@@ -95,7 +95,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Model(good, bad, tuple(_logistic(x, y, shares[1] / (shares[0] + shares[1])).tolist()))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), score_col: str = "score") -> DataFrame:
     """id, score (0 to 1, higher: label 1 likelier) and the columns named in keep, one row per row.
 
     A null or empty text compresses to nothing either way and gets the curve's value for equal sizes. Null ids
@@ -103,11 +103,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
     cols = list(dict.fromkeys([id_col, text_col, *keep]))
     out = [c for c in cols if c == id_col or c in keep]
-    schema = docs.select(*out).schema.add("score", "double")
+    schema = docs.select(*out).schema.add(score_col, "double")
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             z = _sizes(model.good, model.bad, rows[text_col].tolist()) @ np.array(model.weights)
-            yield rows[out].assign(score=1 / (1 + np.exp(-np.clip(z, -30, 30))))
+            yield rows[out].assign(**{score_col: 1 / (1 + np.exp(-np.clip(z, -30, 30)))})
 
     return docs.select(*cols).mapInPandas(each, schema)

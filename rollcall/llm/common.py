@@ -13,6 +13,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, with underscores after it until no column of df begins with it."""
+    while any(c.lower().startswith(name.lower()) for c in df.columns):
+        name += "_"
+    return name
+
+
 def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For nodes 0..n-1 and links a[i]-b[i]: the smallest node reachable from each."""
     label = np.arange(n)

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import WORD
+from rollcall.llm.common import WORD, unused
 from rollcall.session import forget, saved
 
 NONE = "(none)"
@@ -21,11 +21,11 @@ def topic_of(text_col: str = "text") -> Column:
     return F.coalesce(found, F.lit("prose"))
 
 
-def described(docs: DataFrame, dims: dict[str, Column], text_col: str = "text") -> DataFrame:
-    """docs with _n_tokens (words of the text, 0 if null) and _dim_<name> for each dimension; a null
-    value is a category of its own."""
+def described(docs: DataFrame, dims: dict[str, Column], text_col: str = "text", prefix: str = "") -> DataFrame:
+    """docs with n_tokens (words of the text, 0 if null) and dim_<name> for each dimension, all under
+    prefix; a null value is a category of its own."""
     tokens = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.withColumns({"_n_tokens": tokens} | {f"_dim_{k}": F.coalesce(c.cast("string"), F.lit(NONE)) for k, c in dims.items()})
+    return docs.withColumns({f"{prefix}n_tokens": tokens} | {f"{prefix}dim_{k}": F.coalesce(c.cast("string"), F.lit(NONE)) for k, c in dims.items()})
 
 
 def smoothed_targets(cells: DataFrame, dim: str, power: float) -> DataFrame:
@@ -60,8 +60,9 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], budget: float, sweeps:
     return now
 
 
-def sample(docs: DataFrame, dims: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", power: float = 0.7, budget: float = 0.8, sweeps: int = 8, seed: int = 42, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
-    """docs with n_tokens, the dimensions (dim_<name>), probability and selected.
+def sample(docs: DataFrame, dims: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", power: float = 0.7, budget: float = 0.8, sweeps: int = 8, seed: int = 42, targets: dict[str, dict[str, float]] | None = None, prefix: str = "") -> DataFrame:
+    """docs with n_tokens, the dimensions (dim_<name>), probability and selected, their names under
+    prefix; columns of docs with the same names are replaced.
 
     Cells are the combinations of categories. Their token weights are raked to the target shares
     (given by hand, or smoothed shares of the corpus), and a document of a cell is selected with
@@ -70,17 +71,18 @@ def sample(docs: DataFrame, dims: dict[str, Column], id_col: str = "doc_id", tex
     id; documents without words (null or empty text) have no tokens to weigh and are kept. Other columns
     stay as they are; an empty table gives no rows.
     """
-    known = described(docs, dims, text_col)
-    names = [f"_dim_{k}" for k in dims]
-    cells = saved(known.groupBy(*names).agg(F.sum("_n_tokens").alias("n")), "mix-cells")
+    known = described(docs, dims, text_col, prefix)
+    names = [f"{prefix}dim_{k}" for k in dims]
+    cells = saved(known.groupBy(*names).agg(F.sum(f"{prefix}n_tokens").alias("n")), "mix-cells")
     spark = docs.sparkSession
     wanted = {}
     for k, name in zip(dims, names):
         given = (targets or {}).get(k)
         wanted[name] = spark.createDataFrame([(c, float(v) / sum(given.values())) for c, v in given.items()], f"`{name}` string, target double") if given else smoothed_targets(cells, name, power)
-    raked = rake(cells, wanted, budget, sweeps)
-    chance = raked.select(*names, F.least(F.lit(1.0), budget * F.col("w") / F.col("share")).alias("_p"))
-    out = known.join(chance, names, "left")
-    p = F.floor(F.coalesce("_p", F.lit(1.0)) * 1e6 + 0.5) / 1e6
+    chance = unused(known, "chance")
+    raked = rake(cells, wanted, budget, sweeps).select(*names, F.least(F.lit(1.0), budget * F.col("w") / F.col("share")).alias(chance))
+    p = F.floor(F.coalesce(F.col(chance), F.lit(1.0)) * 1e6 + 0.5) / 1e6
     u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit(NONE)))), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_n_tokens").alias("n_tokens"), *[F.col(n).alias(n[1:]) for n in names], p.alias("probability"), (u < p).alias("selected"))
+    added = [f"{prefix}n_tokens", *names, f"{prefix}probability", f"{prefix}selected"]
+    out = known.join(raked, names, "left")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added], *added[: 1 + len(names)], p.alias(added[-2]), (u < p).alias(added[-1]))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollcall.llm import bpe, classifier, mixing, pii, simhash
+from rollcall.llm.common import unused
 from rollcall.llm.queries import mix_dimensions
 from rollcall.session import saved
 
@@ -13,15 +14,17 @@ from rollcall.session import saved
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores 0.3 or more."""
     model = classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return classifier.score(docs, model, keep=tuple(docs.columns)).where("score >= 0.3").select(*docs.columns)
+    score = unused(docs, "score")
+    return classifier.score(docs, model, keep=tuple(docs.columns), score_col=score).where(F.col(score) >= 0.3).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id. Rows with a null id stay
     if their group has no id."""
     groups = simhash.near_duplicates(docs)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    first = unused(docs, "first")
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component"))).select(F.col("doc_id").alias(first)).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(first)), "left_semi")
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +34,8 @@ def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample with source, language and topic shares raked towards smoothed ones."""
-    return mixing.sample(docs, mix_dimensions()).where("selected").select(*docs.columns)
+    mark = unused(docs, "mix_")
+    return mixing.sample(docs, mix_dimensions(), prefix=mark).where(F.col(f"{mark}selected")).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

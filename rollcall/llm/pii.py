@@ -23,8 +23,8 @@ KINDS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-#: A term: a whole run of four letters or more, beside which no digit stands.
-TERM = r"(?<![\p{L}\p{N}])\p{L}{4,}+(?!\p{N})"
+#: A term: a whole run of letters, beside which no digit stands.
+TERM = r"(?<![\p{L}\p{N}])\p{L}++(?!\p{N})"
 SPANS = "array<struct<start:int,end:int,value:string>>"
 
 
@@ -88,57 +88,74 @@ def _entity(span: Column) -> Column:
     return F.concat(span["kind"], F.lit(":"), value)
 
 
-def _near(text: Column, span: Column, spans: Column, reach: int) -> Column:
-    """Whole terms within reach characters of a span, outside of all spans."""
-    low = F.greatest(F.lit(0), span["start"] - reach)
-    window = F.substring(text, low + 1, span["end"] + reach - low)
-    high = low + F.length(window)
-    inside = F.filter(located(window, TERM), lambda t: ((t["start"] > 0) | (low == 0)) & ((t["end"] < F.length(window)) | (high >= F.length(text))))
-    placed = F.transform(inside, lambda t: F.struct((t["start"] + low).alias("start"), (t["end"] + low).alias("end"), t["value"].alias("value")))
-    return F.filter(placed, lambda t: ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+def _outside(text: Column, spans: Column) -> Column:
+    """The text with each span blanked, every other character in its place. A blank ends in a digit where
+    the span ends in a letter or digit, so that no part of a longer word is taken for a term."""
+    mark = lambda value, at: F.when(F.regexp_like(value, F.lit(at)), "0").otherwise(" ")
+
+    def add(s: Column, x: Column) -> Column:
+        last = mark(x["value"], r"[\p{L}\p{N}]$")
+        fresh = F.concat(s["out"], F.array(F.substring(text, s["at"] + 1, x["start"] - s["at"]), mark(x["value"], r"^[\p{L}\p{N}]"), F.repeat(F.lit(" "), x["end"] - x["start"] - 2), last))
+        longer = F.concat(s["out"], F.array(F.repeat(F.lit(" "), x["end"] - s["at"] - 1), last))
+        out = F.when(x["start"] >= s["at"], fresh).when(x["end"] > s["at"], longer).otherwise(s["out"])
+        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), out.alias("out"))
+
+    return F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), add, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))))
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 64, least_docs: int = 3, generalise_at: float = 0.8, remove_at: float = 0.95) -> DataFrame:
+def _terms(text: str) -> Column:
+    """The distinct terms of a column, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda w: F.lower(w)))
+
+
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_docs: int = 3, generalise_at: float = 0.8, remove_at: float = 0.95) -> DataFrame:
     """One row per document: id, _key (hash of the text), base (spans by pattern) and terms (spans of
     terms, kind "general" or "term").
 
-    Entity: the value of a base span. A term (lower case) meets an entity in a document if it stands
-    within `reach` characters of its span. With N documents, n(e) that hold the entity, n(t) that
-    hold the term anywhere, n(t, e) in which they meet: disclosure = ln(N n(t,e) / (n(t) n(e))) /
-    ln(N / n(e)). 1 means that the term is as good as the entity. Terms that meet it in at least
-    least_docs documents are generalised from generalise_at on, and removed from remove_at on, in
-    the documents where they meet it.
-
-    Counts cover all documents. Only counts of terms, entities and their meetings are shuffled,
-    combined before; texts are not. A null text is empty; null ids and repeated rows keep their
-    rows and count as documents of their own; extra columns are not read; an empty table gives no
-    rows.
+    Entity: the value of a base span. A term (lower case) meets an entity in a document if both stand in
+    it, the term outside of all spans, however far apart. With N documents, n(e) that hold the entity,
+    n(t) that hold the term anywhere, n(t, e) in which they meet: disclosure = ln(N n(t,e) / (n(t)
+    n(e))) / ln(N / n(e)). 1 means that the term is as good as the entity. Terms that meet it in at
+    least least_docs documents are generalised from generalise_at on, and removed from remove_at on,
+    at every place in the documents where they meet it.
+
+    Counts cover all documents. Only counts of terms, and the terms of documents with an entity, are
+    shuffled; texts are not. Before terms are paired with entities, those that no pair can reach are
+    left out: met by entities in too few documents, or n(t) > N (n(e) / N)^generalise_at. A null text
+    is empty; null ids and repeated rows keep their rows and count as documents of their own; extra
+    columns are not read; an empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    read = docs.select(F.col(id_col), text.alias("_text"))
-    base = read.select(id_col, F.xxhash64("_text").alias("_key"), "_text", base_spans(F.col("_text")).alias("base"))
-    near = F.transform("base", lambda s: F.struct(_entity(s).alias("entity"), _near(F.col("_text"), s, F.col("base"), reach).alias("near")))
-    found = saved(base.select(id_col, "_key", "base", F.when(F.size("base") > 0, near).alias("met")), "pii-found")
-
-    held = found.where("met is not null").select(id_col, "_key", F.explode("met").alias("m")).select(id_col, "_key", "m.entity", "m.near")
-    of_entity = held.select(id_col, "_key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    met = held.select(id_col, "_key", "entity", F.explode("near").alias("t")).select(id_col, "_key", "entity", F.lower("t.value").alias("term"), "t.start", "t.end")
-    both = met.select(id_col, "_key", "entity", "term").distinct().groupBy("term", "entity").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= least_docs)
-    words = F.array_distinct(F.transform(F.regexp_extract_all("_text", F.lit(TERM), F.lit(0)), lambda w: F.lower(w)))
-    of_term = read.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    read = docs.select(F.col(id_col).alias("_id"), text.alias("_text"))
+    base = read.select("_id", F.xxhash64("_text").alias("_key"), "_text", base_spans(F.col("_text")).alias("base"))
+    some = F.size("base") > 0
+    entities = F.array_distinct(F.transform("base", _entity))
+    found = saved(base.select("_id", "_key", "base", F.when(some, entities).alias("entities"), F.when(some, _outside(F.col("_text"), F.col("base"))).alias("outside")), "pii-found")
+
+    holders = found.where("entities is not null").select("_id", "_key", "entities", "outside")
+    held = holders.select("_id", "_key", F.explode("entities").alias("entity")).distinct()
+    of_entity = held.groupBy("entity").agg(F.count("*").alias("n_e"))
+    of_doc = holders.select("_id", "_key", F.explode(_terms("outside")).alias("term")).distinct()
+    of_term = read.select(F.explode(_terms("_text")).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     total = found.agg(F.count("*").alias("n"))
-    told = F.log(F.col("n") * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log(F.col("n") / F.col("n_e"))
-    risky = (
-        both.join(of_term, "term").join(of_entity, "entity").crossJoin(F.broadcast(total))
-        .where("n_e < n").select("term", "entity", told.alias("disclosure")).where(F.col("disclosure") >= generalise_at)
+    most = of_entity.agg(F.max("n_e").alias("most"))
+    reached = lambda n_e: F.log(F.col("n") / F.col("n_t")) >= generalise_at * F.log(F.col("n") / n_e) - 1e-9
+    rare = (
+        of_doc.groupBy("term").agg(F.count("*").alias("n_met")).where(F.col("n_met") >= least_docs).select("term")
+        .join(of_term, "term").crossJoin(F.broadcast(total)).crossJoin(F.broadcast(most)).where(reached(F.col("most"))).select("term", "n_t", "n")
     )
-    spans = met.join(risky, ["term", "entity"]).groupBy(id_col, "_key", "start", "end").agg(F.max("disclosure").alias("d"))
+    near = of_doc.join(rare, "term").alias("t").join(held.join(of_entity, "entity").alias("e"), F.col("t._id").eqNullSafe(F.col("e._id")) & (F.col("t._key") == F.col("e._key")))
+    pairs = saved(near.where(reached(F.col("n_e"))).where("n_e < n").select("t._id", "t._key", "term", "entity", "n_t", "n_e", "n"), "pii-pairs")
+    both = pairs.groupBy("term", "entity", "n_t", "n_e", "n").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= least_docs)
+    told = F.log(F.col("n") * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log(F.col("n") / F.col("n_e"))
+    risky = both.select("term", "entity", told.alias("disclosure")).where(F.col("disclosure") >= generalise_at)
+    worst = pairs.join(risky, ["term", "entity"]).groupBy("_id", "_key", "term").agg(F.max("disclosure").alias("d"))
     kind = F.when(F.col("d") >= remove_at, F.lit("term")).otherwise(F.lit("general"))
-    terms = spans.groupBy(id_col, "_key").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("rank"), "end", kind.alias("kind")))).alias("terms"))
+    by_doc = worst.groupBy(F.col("_id").alias("_i"), F.col("_key").alias("_k")).agg(F.map_from_entries(F.collect_list(F.struct("term", kind.alias("kind")))).alias("kinds"))
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
-    hit = terms.withColumnRenamed(id_col, "_id").withColumnRenamed("_key", "_k")
-    out = found.join(hit, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")), "left")
-    return out.select(id_col, "_key", "base", F.coalesce("terms", none).alias("terms"))
+    risk = F.transform(located(F.col("outside"), TERM), lambda t: F.struct(t["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), t["end"].alias("end"), F.try_element_at("kinds", F.lower(t["value"])).alias("kind")))
+    out = found.join(by_doc, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k")), "left")
+    return out.select(F.col("_id").alias(id_col), "_key", "base", F.when(F.col("kinds").isNotNull(), F.filter(risk, lambda t: t["kind"].isNotNull())).otherwise(none).alias("terms"))
 
 
 def all_spans() -> Column:

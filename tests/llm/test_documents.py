@@ -158,6 +158,18 @@ def test_terms_that_give_an_entity_away(spark):
     assert pii.sanitise(rows).columns == rows.columns and pii.sanitise(rows.limit(0)).count() == 0
 
 
+def test_terms_are_masked_wherever_they_stand(spark):
+    far = "filler words between them " * 20
+    told = [(i, f"Ng wrote {far} {i} and Ng called jo@x.org then {far} Zyxwvut left Ng") for i in range(6)]
+    other = [(100 + i, f"wrote {far} {i} and called then left") for i in range(60)]
+    rows = spark.createDataFrame(told + other, "doc_id long, text string")
+    found = {r.doc_id: Counter((r.text[s.start : s.end], s.kind) for s in r.terms) for r in pii.find(rows).join(rows, "doc_id").collect()}
+    assert all(found[i] == {("Ng", "term"): 3, ("Zyxwvut", "term"): 1} for i in range(6))
+    assert not any(found[100 + i] for i in range(60))
+    clean = {r.doc_id: r.text for r in pii.sanitise(rows).collect()}
+    assert clean[0] == told[0][1].replace("Ng", "").replace("Zyxwvut", "").replace("jo@x.org", "[EMAIL]")
+
+
 def test_bpe_equals_the_tokenizer(docs):
     from tokenizers import Tokenizer
 

@@ -28,9 +28,10 @@ TERM = r"(?<![\p{L}\p{N}])\p{L}++(?!\p{N})"
 SPANS = "array<struct<start:int,end:int,value:string>>"
 
 
-def located(text: Column, pattern: str) -> Column:
+def located(text: Column, pattern: str, keep=lambda value: F.lit(True)) -> Column:
     """The matches of a pattern, leftmost and non-overlapping, with code-point offsets (zero-based,
-    end exclusive). What lies between matches gives the offsets."""
+    end exclusive). What lies between matches gives the offsets. Only matches that keep accepts are
+    listed: the list is copied whenever it grows."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
     pairs = F.zip_with(found, gaps, lambda v, g: F.struct(v.alias("value"), F.length(g).alias("gap")))
@@ -38,7 +39,8 @@ def located(text: Column, pattern: str) -> Column:
     def add(s: Column, p: Column) -> Column:
         start = s["at"] + p["gap"]
         end = start + F.length(p["value"])
-        return F.struct(end.alias("at"), F.array_append(s["out"], F.struct(start.alias("start"), end.alias("end"), p["value"].alias("value"))).alias("out"))
+        more = F.array_append(s["out"], F.struct(start.alias("start"), end.alias("end"), p["value"].alias("value")))
+        return F.struct(end.alias("at"), F.when(keep(p["value"]), more).otherwise(s["out"]).alias("out"))
 
     return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out")), add)["out"]
 
@@ -115,13 +117,13 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_
     Entity: the value of a base span. A term (lower case) meets an entity in a document if both stand in
     it, the term outside of all spans, however far apart. With N documents, n(e) that hold the entity,
     n(t) that hold the term anywhere, n(t, e) in which they meet: disclosure = ln(N n(t,e) / (n(t)
-    n(e))) / ln(N / n(e)). 1 means that the term is as good as the entity. Terms that meet it in at
-    least least_docs documents are generalised from generalise_at on, and removed from remove_at on,
-    at every place in the documents where they meet it.
+    n(e))) / ln(N / n(e)). 1 means that the term is as good as the entity. Terms that meet entities of
+    its kind (it or others) in at least least_docs documents are generalised from generalise_at on, and
+    removed from remove_at on, at every place in the documents where they meet it.
 
     Counts cover all documents. Only counts of terms, and the terms of documents with an entity, are
     shuffled; texts are not. Before terms are paired with entities, those that no pair can reach are
-    left out: met by entities in too few documents, or n(t) > N (n(e) / N)^generalise_at. A null text
+    left out: met by entities of the kind in too few documents, or n(t) > N (n(e) / N)^generalise_at. A null text
     is empty; null ids and repeated rows keep their rows and count as documents of their own; extra
     columns are not read; an empty table gives no rows.
     """
@@ -132,30 +134,31 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_
     entities = F.array_distinct(F.transform("base", _entity))
     found = saved(base.select("_id", "_key", "base", F.when(some, entities).alias("entities"), F.when(some, _outside(F.col("_text"), F.col("base"))).alias("outside")), "pii-found")
 
-    holders = found.where("entities is not null").select("_id", "_key", "entities", "outside")
-    held = holders.select("_id", "_key", F.explode("entities").alias("entity")).distinct()
+    holders = found.where("entities is not null").select("_id", "_key", "base", "entities", "outside")
+    held = holders.select("_id", "_key", F.explode("entities").alias("entity")).distinct().withColumn("kind", F.substring_index("entity", ":", 1))
     of_entity = held.groupBy("entity").agg(F.count("*").alias("n_e"))
-    of_doc = holders.select("_id", "_key", F.explode(_terms("outside")).alias("term")).distinct()
+    kinds = F.array_distinct(F.transform("base", lambda x: x["kind"]))
+    of_doc = holders.select("_id", "_key", kinds.alias("kinds"), F.explode(_terms("outside")).alias("term")).select("_id", "_key", "term", F.explode("kinds").alias("kind")).distinct()
     of_term = read.select(F.explode(_terms("_text")).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     total = found.agg(F.count("*").alias("n"))
     most = of_entity.agg(F.max("n_e").alias("most"))
     reached = lambda n_e: F.log(F.col("n") / F.col("n_t")) >= generalise_at * F.log(F.col("n") / n_e) - 1e-9
     rare = (
-        of_doc.groupBy("term").agg(F.count("*").alias("n_met")).where(F.col("n_met") >= least_docs).select("term")
-        .join(of_term, "term").crossJoin(F.broadcast(total)).crossJoin(F.broadcast(most)).where(reached(F.col("most"))).select("term", "n_t", "n")
+        of_doc.groupBy("term", "kind").agg(F.count("*").alias("n_met")).where(F.col("n_met") >= least_docs).select("term", "kind")
+        .join(of_term, "term").crossJoin(F.broadcast(total)).crossJoin(F.broadcast(most)).where(reached(F.col("most"))).select("term", "kind", "n_t", "n")
     )
-    near = of_doc.join(rare, "term").alias("t").join(held.join(of_entity, "entity").alias("e"), F.col("t._id").eqNullSafe(F.col("e._id")) & (F.col("t._key") == F.col("e._key")))
+    near = of_doc.join(rare, ["term", "kind"]).alias("t").join(held.join(of_entity, "entity").alias("e"), F.col("t._id").eqNullSafe(F.col("e._id")) & (F.col("t._key") == F.col("e._key")) & (F.col("t.kind") == F.col("e.kind")))
     pairs = saved(near.where(reached(F.col("n_e"))).where("n_e < n").select("t._id", "t._key", "term", "entity", "n_t", "n_e", "n"), "pii-pairs")
-    both = pairs.groupBy("term", "entity", "n_t", "n_e", "n").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= least_docs)
+    both = pairs.groupBy("term", "entity", "n_t", "n_e", "n").agg(F.count("*").alias("n_te"))
     told = F.log(F.col("n") * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log(F.col("n") / F.col("n_e"))
     risky = both.select("term", "entity", told.alias("disclosure")).where(F.col("disclosure") >= generalise_at)
     worst = pairs.join(risky, ["term", "entity"]).groupBy("_id", "_key", "term").agg(F.max("disclosure").alias("d"))
     kind = F.when(F.col("d") >= remove_at, F.lit("term")).otherwise(F.lit("general"))
     by_doc = worst.groupBy(F.col("_id").alias("_i"), F.col("_key").alias("_k")).agg(F.map_from_entries(F.collect_list(F.struct("term", kind.alias("kind")))).alias("kinds"))
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
-    risk = F.transform(located(F.col("outside"), TERM), lambda t: F.struct(t["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), t["end"].alias("end"), F.try_element_at("kinds", F.lower(t["value"])).alias("kind")))
+    risk = F.transform(located(F.col("outside"), TERM, lambda v: F.coalesce(F.map_contains_key("kinds", F.lower(v)), F.lit(False))), lambda t: F.struct(t["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), t["end"].alias("end"), F.try_element_at("kinds", F.lower(t["value"])).alias("kind")))
     out = found.join(by_doc, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k")), "left")
-    return out.select(F.col("_id").alias(id_col), "_key", "base", F.when(F.col("kinds").isNotNull(), F.filter(risk, lambda t: t["kind"].isNotNull())).otherwise(none).alias("terms"))
+    return out.select(F.col("_id").alias(id_col), "_key", "base", F.when(F.col("kinds").isNotNull(), risk).otherwise(none).alias("terms"))
 
 
 def all_spans() -> Column:

@@ -170,6 +170,16 @@ def test_terms_are_masked_wherever_they_stand(spark):
     assert clean[0] == told[0][1].replace("Ng", "").replace("Zyxwvut", "").replace("jo@x.org", "[EMAIL]")
 
 
+def test_terms_find_support_among_entities_of_a_kind(spark):
+    told = [(i, f"common words of Zyxwvut who has jo{i}@x.org here") for i in range(3)]
+    told += [(10, "common words of Qwertz who has ann@x.org here"), (11, "common words of Qwertz who has 10.0.0.1 here"), (12, "common words of Qwertz who has +49 (30) 1234567 here")]
+    other = [(100 + i, f"common words of nobody who has nothing here {i}") for i in range(300)]
+    rows = spark.createDataFrame(told + other, "doc_id long, text string")
+    found = {r.doc_id: [(r.text[s.start : s.end], s.kind) for s in r.terms] for r in pii.find(rows).join(rows, "doc_id").collect()}
+    assert all(found[i] == [("Zyxwvut", "general")] for i in range(3))
+    assert not any(found[i] for i in (10, 11, 12, *range(100, 400)))
+
+
 def test_bpe_equals_the_tokenizer(docs):
     from tokenizers import Tokenizer
 

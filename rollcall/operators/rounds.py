@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rollcall.functions.naming import UNNAMED, company_key
 from rollcall.functions.values import NEO, REG
+from rollcall.session import forget, saved
 
 OVERLAP = 0.6
 
@@ -42,39 +43,61 @@ def link_rounds(drives: DataFrame, members: DataFrame, least: float = OVERLAP) -
     return drives.join(best, "drive_id", "left").withColumn("parent_drive_id", F.coalesce("parent_drive_id", "_found")).drop("_found")
 
 
-def _ancestors(drives: DataFrame, max_depth: int) -> DataFrame:
+def _walked(now: DataFrame, step) -> DataFrame:
+    """now (drive_id, path, cur) after as many steps as the longest chain has: until no path grows. Each
+    round is written to the shared folder; only a count comes to the driver. A path holds no drive twice,
+    so the rounds end."""
+    now = saved(now, "chains")
+    while now.where("cur is not null").count():
+        after = saved(step(now), "chains")
+        forget(now)
+        now = after
+    return now
+
+
+def _ancestors(drives: DataFrame) -> DataFrame:
     """(drive_id, path): the drive and its ancestors, nearest first; stops before a repeat, or where the
     parent is not in the table. One equi-join of the chain heads per round of the longest chain."""
     parents = drives.select("drive_id", "parent_drive_id")
     known = parents.select(F.col("drive_id").alias("_known"), F.col("parent_drive_id").alias("_next"))
-    now = parents.select("drive_id", F.array("drive_id").alias("path"), F.col("parent_drive_id").alias("cur"))
-    for _ in range(max_depth):
+
+    def step(now: DataFrame) -> DataFrame:
         met = now.join(known, (F.col("cur") == F.col("_known")) & ~F.array_contains("path", F.col("cur")), "left")
-        now = met.select("drive_id", F.when(F.col("_known").isNotNull(), F.concat("path", F.array("_known"))).otherwise(F.col("path")).alias("path"), F.col("_next").alias("cur"))
-    return now.select("drive_id", "path")
+        return met.select("drive_id", F.when(F.col("_known").isNotNull(), F.concat("path", F.array("_known"))).otherwise(F.col("path")).alias("path"), F.col("_next").alias("cur"))
+
+    return _walked(parents.select("drive_id", F.array("drive_id").alias("path"), F.col("parent_drive_id").alias("cur")), step).select("drive_id", "path")
 
 
-def round_labels(drives: DataFrame, max_depth: int = 16) -> DataFrame:
-    """(drive_id, label) of drives in a chain: the list's own word, else R and its position. max_depth
-    bounds the length of a chain; a cycle stops where it would repeat."""
-    depth = _ancestors(drives, max_depth).select("drive_id", (F.size("path") - 1).alias("depth"))
+def round_labels(drives: DataFrame) -> DataFrame:
+    """(drive_id, label) of drives in a chain: the list's own word, else R and its position. Chains are
+    walked to their end; a cycle stops where it would repeat."""
+    drives = saved(drives.select("drive_id", "parent_drive_id", "round_label"), "drives")
+    return _labels(drives, _ancestors(drives))
+
+
+def _labels(drives: DataFrame, ancestors: DataFrame) -> DataFrame:
+    depth = ancestors.select("drive_id", (F.size("path") - 1).alias("depth"))
     parents = drives.where("parent_drive_id is not null").select(F.col("parent_drive_id").alias("drive_id")).distinct().withColumn("has_child", F.lit(True))
     rows = drives.select("drive_id", "round_label").join(depth, "drive_id").join(parents, "drive_id", "left")
     return rows.where((F.col("depth") > 0) | F.col("has_child")).select("drive_id", F.coalesce("round_label", F.concat(F.lit("R"), (F.col("depth") + 1).cast("string"))).alias("label"))
 
 
-def progression(drives: DataFrame, verdicts: DataFrame, max_depth: int = 16) -> DataFrame:
+def progression(drives: DataFrame, verdicts: DataFrame) -> DataFrame:
     """(subject_id, drive_id, steps, next_pending) for each drive in a chain: its ancestors, itself and
     its newest child's line, each "label=status"; pending if the last is in and not Final."""
-    up = _ancestors(drives, max_depth).select("drive_id", F.reverse("path").alias("path"))
+    drives = saved(drives.select("drive_id", "imported_at", "parent_drive_id", "round_label"), "drives")
+    ancestors = _ancestors(drives)
+    up = ancestors.select("drive_id", F.reverse("path").alias("path"))
     child = drives.where("parent_drive_id is not null").groupBy(F.col("parent_drive_id").alias("_of")).agg(F.array_sort(F.collect_list(F.struct("imported_at", "drive_id"))).alias("kids"))
-    now = up.withColumn("cur", F.col("drive_id"))
-    for _ in range(max_depth):
+
+    def step(now: DataFrame) -> DataFrame:
         met = now.join(child, F.col("cur") == F.col("_of"), "left")
         fresh = F.try_element_at(F.filter("kids", lambda k: ~F.array_contains("path", k["drive_id"])), F.lit(-1))["drive_id"]
-        now = met.withColumn("_n", fresh).select("drive_id", F.when(F.col("_n").isNotNull(), F.concat("path", F.array("_n"))).otherwise(F.col("path")).alias("path"), F.col("_n").alias("cur"))
+        return met.withColumn("_n", fresh).select("drive_id", F.when(F.col("_n").isNotNull(), F.concat("path", F.array("_n"))).otherwise(F.col("path")).alias("path"), F.col("_n").alias("cur"))
+
+    now = _walked(up.withColumn("cur", F.col("drive_id")), step)
     steps = now.where(F.size("path") >= 2).select("drive_id", F.posexplode("path").alias("at", "step_id"))
-    named = steps.join(round_labels(drives, max_depth).withColumnRenamed("drive_id", "step_id"), "step_id", "left")
+    named = steps.join(_labels(drives, ancestors).withColumnRenamed("drive_id", "step_id"), "step_id", "left")
     told = named.join(verdicts.select("subject_id", F.col("drive_id").alias("step_id"), "status"), "step_id")
     rows = told.groupBy("subject_id", "drive_id").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("label", F.lit("")).alias("label"), "status"))).alias("s"))
     last = F.element_at("s", -1)

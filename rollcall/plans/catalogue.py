@@ -152,7 +152,7 @@ SELECT v.subject_id, st.drive_id, string_agg(coalesce(lab.label, '') || '=' || v
   max_by(v.status, pos) = 'shortlisted' AND max_by(coalesce(lab.label, ''), pos) <> 'Final' AS next_pending
 FROM st JOIN ver v ON v.drive_id = st.step_id LEFT JOIN lab ON lab.drive_id = st.step_id GROUP BY 1, 2""")
 def progression(spark, sf):
-    return R.progression(_linked(spark, sf), _verdicts(spark, sf), max_depth=4)
+    return R.progression(_linked(spark, sf), _verdicts(spark, sf))
 
 
 def _pairs(spark, sf):

@@ -267,3 +267,16 @@ def test_pseudonyms(spark):
     got = {r.value: r.alias for r in D.pseudonyms(ids, "k").collect()}
     assert len(set(got.values())) == 2 and got == {r.value: r.alias for r in D.pseudonyms(ids, "k").collect()}
     assert D.leaks(ids, spark.createDataFrame([(N2,)], "value string")).count() == 1
+
+
+def test_long_chains_of_rounds_are_walked_to_their_end(spark):
+    n = 19
+    rows = [(k, "c", f"2026-01-{k:02d}", None, k - 1 or None) for k in range(1, n + 1)] + [(50, "c", "2026-02-01", None, 51), (51, "c", "2026-02-02", None, 50)]
+    drives = spark.createDataFrame(rows, "drive_id long, company string, imported_at string, round_label string, parent_drive_id long")
+    labels = {r.drive_id: r.label for r in R.round_labels(drives).collect()}
+    assert labels == {k: f"R{k}" for k in range(1, n + 1)} | {50: "R2", 51: "R2"}
+    verdicts = drives.select(F.lit(7).alias("subject_id"), "drive_id", F.when(F.col("drive_id") == n, "not_shortlisted").otherwise("shortlisted").alias("status"))
+    told = {r.drive_id: (r.steps, r.next_pending) for r in R.progression(drives, verdicts).collect()}
+    line = ">".join(f"R{k}={'not_' if k == n else ''}shortlisted" for k in range(1, n + 1))
+    assert all(told[k] == (line, False) for k in range(1, n + 1))
+    assert len(told[50][0].split(">")) == 2

@@ -40,7 +40,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with the digests that show the round trip."""
-    return bpe.round_trip(docs, with_text=True).select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+    return bpe.round_trip(docs, with_ids=True).select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [

@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: The characters that separate words: space and the five control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def give_back() -> None:
+    """Return what a Python worker has freed to the system: it lives on for later tasks, and memory that
+    it keeps adds to theirs."""
+    pa.default_memory_pool().release_unused()
+    gc.collect()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 

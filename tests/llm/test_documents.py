@@ -193,11 +193,12 @@ def test_bpe_equals_the_tokenizer(docs):
     assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256, r.decoded) for r in got) == expected
 
 
-def test_decoding_is_a_join_with_the_pieces(spark):
-    words_ = spark.createDataFrame([("hello",), ("world",), ("zzyzx",)], "word string")
-    encoded = bpe.encode_words(words_).union(spark.createDataFrame([("", [])], "word string, ids array<int>"))
-    back = {r.word: r.decoded for r in bpe.decode_ids(encoded, bpe.piece_table(spark), "word").collect()}
-    assert back[""] == "" and all(back[w].replace(" ", "").replace("</w>", "") == w for w in back)
+def test_pieces_come_by_id(spark):
+    pieces = {r.id: r.piece for r in bpe.piece_table(spark).collect()}
+    rows = spark.createDataFrame([(1, "hello world"), (2, "zzyzx"), (3, "")], "doc_id long, text string")
+    back = {r.doc_id: r for r in bpe.round_trip(rows, with_ids=True, with_text=True).collect()}
+    assert all(r.decoded == " ".join(pieces[i] for i in r.ids) for r in back.values())
+    assert back[3].decoded == "" and back[2].decoded.replace(" ", "").replace("</w>", "") == "zzyzx"
 
 
 def test_mixing_meets_its_targets(spark):

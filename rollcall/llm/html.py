@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as references
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 # Element names by role, and the words of class and id that mark what is no article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea title xmp noframes noembed".split())
-DROPPED = frozenset("head script style noscript template iframe textarea title nav header footer aside form button select option input svg canvas object menu dialog fieldset label audio video map xmp noframes noembed".split())
+DROPPED = frozenset("head script style noscript template iframe textarea title nav header footer aside button select option input svg canvas object menu dialog fieldset label audio video map xmp noframes noembed".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 PARAGRAPH = frozenset("p pre td blockquote li dd figcaption".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -27,16 +28,26 @@ UNLIKELY = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*+(?:\"[^\"]*\"[^>\"']*+|'[^']*'[^>\"']*+)*+)>|<[!?/][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+#: Words that make a "header" the article's own.
+OWN = frozenset("entry post article story content".split())
+
+#: A tag whose attributes may hold ">" in quotes; what else starts with "<" and ends at the next ">".
+QUOTED = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>\"']*+(?:\"[^\"]*\"[^>\"']*+|'[^']*'[^>\"']*+)*+)>")
+PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+OTHER = re.compile(r"<!--.*?(?:-->|\Z)|<[!?/][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|([^\s=/\"'>]+)")
 CLASS_WORD = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
+#: Tags of one page whose quotes do not close, after which quotes are no longer looked at.
+PATIENCE = 50
 
 
 def _unlikely(attributes: str) -> bool:
     for name, a, b, c, bare in ATTRIBUTE.findall(attributes):
         name, value = (name or bare).lower(), a or b or c
-        if name in ("class", "id") and not UNLIKELY.isdisjoint(w.lower() for w in CLASS_WORD.split(value)):
-            return True
+        if name in ("class", "id"):
+            words = {w.lower() for w in CLASS_WORD.split(value)}
+            if (words & UNLIKELY) - (frozenset(["header"]) if words & OWN else frozenset()):
+                return True
         if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
@@ -45,24 +56,22 @@ def _unlikely(attributes: str) -> bool:
 
 
 class _Page:
-    """Elements in page order with their parents, and pieces of text with the block they lie in."""
+    """Elements in page order with their parents, and pieces of text with the block they lie in.
+
+    Elements of DROPPED go with all they hold. Forms, and elements that class, id, role or style mark
+    as no article, are only suspects until the whole page is read: one that wraps half of the page's
+    text and is a form or holds its title is the page, not a part to leave out, and where nothing else has
+    text the suspect with most of it stays.
+    """
 
     def __init__(self, source: str) -> None:
-        self.tag, self.parent, self.dropped, self.linked = ["html"], [0], [False], [False]
+        self.tag, self.parent, self.holder = ["html"], [0], [0]
+        self.dropped, self.linked, self.suspect = [False], [False], [False]
         self.pieces: list[tuple[int, int, str]] = []  # element, block, text
         self.block = 0
-        stack, at = [0], 0
-        lowest = None
-        while True:
-            m = TOKEN.search(source, at)
-            self._text(stack[-1], source[at : m.start()] if m else source[at:])
-            if not m:
-                break
-            at = m.end()
-            closing, name, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-            if not name:
-                continue
-            name = name.lower()
+        self.open: Counter = Counter()
+        stack = [0]
+        for closing, name, attributes in self._tags(source, stack):
             if name in BLOCK:
                 self.block += 1
             if name == "br":
@@ -72,44 +81,102 @@ class _Page:
                 self._close(stack, name)
                 continue
             if name == "body" and self.tag[stack[-1]] == "head":
-                stack.pop()
+                self._cut(stack, len(stack) - 1)
             if name in BLOCK:
                 self._close_open(stack, frozenset(["p"]))
             if name in CLOSES:
                 self._close_open(stack, CLOSES[name])
-            up = stack[-1]
+            up, me = stack[-1], len(self.tag)
             self.tag.append(name)
             self.parent.append(up)
-            self.dropped.append(self.dropped[up] or name in DROPPED or name not in ("html", "body", "main", "article") and bool(attributes) and _unlikely(attributes))
+            self.holder.append(me if name in BLOCK else self.holder[up])
+            own_header = name == "header" and (self.open["article"] or self.open["main"])
+            self.dropped.append(self.dropped[up] or name in DROPPED and not own_header)
+            self.suspect.append(name == "form" or name not in ("html", "body", "main", "article") and bool(attributes) and _unlikely(attributes))
             self.linked.append(self.linked[up] or name == "a")
-            if name in RAW:
-                lowest = lowest or source.lower()
-                end = lowest.find("</" + name, at)
-                at = len(source) if end < 0 else end
-                stack.append(len(self.tag) - 1)
-            elif name not in VOID and not attributes.endswith("/"):
-                stack.append(len(self.tag) - 1)
+            if name in RAW or name not in VOID and not attributes.endswith("/"):
+                stack.append(me)
+                self.open[name] += 1
+        self._drop_suspects()
+
+    def _tags(self, source: str, stack: list[int]) -> Iterator[tuple[str, str, str]]:
+        """(closing, name, attributes) of each tag; text goes to the element on top of the stack. A "<"
+        that begins no tag, or after which no ">" comes, is text."""
+        at = start = 0
+        last, misses = source.rfind(">"), 0
+        while (lt := source.find("<", at)) >= 0:
+            m = None
+            if source.startswith("<!--", lt):
+                m = OTHER.match(source, lt)
+            elif lt < last:
+                m = QUOTED.match(source, lt) if misses < PATIENCE else None
+                if m is None and (m := PLAIN.match(source, lt)) is not None:
+                    misses += 1
+                m = m or OTHER.match(source, lt)
+            if m is None:
+                at = lt + 1
+                continue
+            self._text(stack[-1], source[start:lt])
+            at = start = m.end()
+            if m.re is OTHER:
+                continue
+            name = m[2].lower()
+            yield m[1], name, m[3]
+            if name in RAW and not m[1]:
+                end = re.compile("</" + re.escape(name), re.I | re.A).search(source, at)
+                at = start = end.start() if end else len(source)
+        self._text(stack[-1], source[start:])
 
     def _text(self, element: int, text: str) -> None:
         if text and not self.dropped[element]:
             self.pieces.append((element, self.block, text))
 
+    def _cut(self, stack: list[int], k: int) -> None:
+        for e in stack[k:]:
+            self.open[self.tag[e]] -= 1
+        del stack[k:]
+
     def _close(self, stack: list[int], name: str) -> None:
+        if not self.open[name]:
+            return
         for k in range(len(stack) - 1, 0, -1):
             if self.tag[stack[k]] == name:
-                del stack[k:]
-                return
+                return self._cut(stack, k)
             if name not in BLOCK and self.tag[stack[k]] in BLOCK:
                 return  # an end tag of a phrase does not close the block around it
 
     def _close_open(self, stack: list[int], names: frozenset) -> None:
+        if not any(self.open[x] for x in names):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if self.tag[stack[k]] in names:
-                del stack[k:]
-                return
+                return self._cut(stack, k)
             if self.tag[stack[k]] in SCOPE or self.tag[stack[k]] in BLOCK and self.tag[stack[k]] != "p":
                 return
 
+    def _drop_suspects(self) -> None:
+        n = len(self.tag)
+        mass, titled = [0] * n, [t in ("h1", "article", "main") for t in self.tag]
+        for element, _, text in self.pieces:
+            mass[element] += len(text.strip())
+        for k in range(n - 1, 0, -1):
+            mass[self.parent[k]] += mass[k]
+            titled[self.parent[k]] |= titled[k]
+        for k in range(1, n):
+            if self.suspect[k] and 2 * mass[k] >= mass[0] and (self.tag[k] == "form" or titled[k]):
+                self.suspect[k] = False
+        spared: set[int] = set()
+        while True:
+            gone = list(self.dropped)
+            for k in range(1, n):
+                gone[k] = gone[k] or gone[self.parent[k]] or self.suspect[k] and k not in spared
+            left = [x for x in self.pieces if not gone[x[0]]]
+            hidden = [k for k in range(1, n) if self.suspect[k] and k not in spared and not gone[self.parent[k]] and mass[k]]
+            if any(t.strip() for _, _, t in left) or not hidden or len(spared) >= 8:
+                break
+            spared.add(max(hidden, key=lambda k: (mass[k], -k)))
+        self.dropped, self.pieces = gone, left
+
 
 def _squeeze(parts: list[str]) -> str:
     return " ".join(references.unescape("".join(parts)).split())
@@ -139,9 +206,7 @@ def main_text(source: str | None) -> str:
     points, chars, links = [0.0] * n, [0] * n, [0] * n
     for b in blocks.values():
         text = b[1] = _squeeze(b[1])
-        element = b[0]
-        while element and tag[element] not in BLOCK:
-            element = parent[element]
+        element = page.holder[b[0]]
         chars[element] += len(text)
         links[element] += min(b[2], len(text))
         if len(text) < 25 or tag[element] in HEADING:
@@ -187,14 +252,16 @@ def main_text(source: str | None) -> str:
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The columns named in keep, text and n_chars (code points), one row per row.
 
-    A null or empty page has an empty text; broken markup is read as far as it goes; null ids and
-    repeated rows keep their rows; other columns are not read; an empty table gives no rows.
+    A null or empty page has an empty text; broken markup is read as far as it goes, in time that grows
+    with the length of the page, however long; of containers with equal scores the first in page order
+    is kept; null ids and repeated rows keep their rows; other columns are not read, whatever their
+    names; an empty table gives no rows.
     """
     schema = T.StructType([pages.schema[c] for c in keep] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            texts = [main_text(x) for x in rows.column(len(keep)).to_pylist()]
+            texts = [main_text(x.as_py()) for x in rows.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*[rows.column(k) for k in range(len(keep))], pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], [*keep, "text", "n_chars"])
 
     return pages.select(*keep, pages[html_col].alias("_html")).mapInArrow(each, schema)

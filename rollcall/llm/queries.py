@@ -19,9 +19,9 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = saved(warc.write_segments(table(spark, sf_dir, "pages", "page_id", "url", "html")), "warc")
-    page = lambda c: F.substring_index(c, ":", -1).cast("long")
+    page = lambda c: F.substring_index(c, ":", -1).try_cast("long")
     rows = warc.read_segments(archives, with_payload=False)
-    return rows.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+    return rows.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"), "intact")
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +79,8 @@ d AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha256(h) AS payload_d
 f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d)
 SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 100 AND first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN payload_bytes >= 100 AND first_id <> page_id THEN first_id END AS refers_to
+  CASE WHEN payload_bytes >= 100 AND first_id <> page_id THEN first_id END AS refers_to,
+  true AS intact
 FROM f
 """
 

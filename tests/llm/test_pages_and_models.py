@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rollcall.llm import classifier, embeddings, html, warc
+from rollcall.llm import classifier, embeddings, html, queries, warc
 
 SF = "/root/testdata/sf0.01"
 
@@ -41,6 +41,21 @@ def test_warc_reads_files(spark, tmp_path):
     (tmp_path / "a.warc.gz").write_bytes(warc.record("response", "urn:page:1", "u", b"abc"))
     rows = warc.read_segments(spark.read.format("binaryFile").load(str(tmp_path))).collect()
     assert [(r.record_id, bytes(r.payload)) for r in rows] == [("urn:page:1", b"abc")]
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(warc.record("response", f"urn:page:{k}", "u", b"x" * 300_000) for k in range(50)))
+    paths = spark.createDataFrame([(str(tmp_path / "b.warc.gz"),), (None,), ((tmp_path / "a.warc.gz").as_uri(),)], "path string")
+    for with_payload in (True, False):
+        rows = warc.read_files(paths, with_payload=with_payload).collect()
+        assert len(rows) == 51 and all(r.intact for r in rows) and sum(r.payload_bytes for r in rows) == 15_000_003
+
+
+def test_warc_query_takes_odd_rows(spark, tmp_path):
+    rows = [(None, "u", "n" * 200), (None, "u", "n" * 200), (1, None, None), (2, "u", "n" * 200), (3, "u", "é" * 2_000_000), (3, "u", "é" * 2_000_000)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("content", F.lit("clash")).write.parquet(str(tmp_path / "pages.parquet"))
+    got = queries.op2_warc_round_trip(spark, str(tmp_path)).collect()
+    assert sorted((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to or 0) for r in got) == [
+        (0, 200, "response", 0), (0, 200, "response", 0), (1, 0, "response", 0), (2, 200, "response", 0), (3, 4_000_000, "response", 0), (3, 4_000_000, "response", 0)
+    ]
+    assert all(r.intact for r in got)
 
 
 PAGE = """<html><head><title>T &amp; x</title><script>var a="</p>";</script></head><body>

@@ -11,6 +11,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rollcall.llm.common import give_back
+
 #: Bytes that are compressed at a time, so that a long text cannot outgrow what the dictionaries tell.
 PIECE = 4096
 LEVEL = 3
@@ -109,5 +111,6 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for rows in batches:
             z = _sizes(model.good, model.bad, rows[text_col].tolist()) @ np.array(model.weights)
             yield rows[out].assign(**{score_col: 1 / (1 + np.exp(-np.clip(z, -30, 30)))})
+        give_back()
 
     return docs.select(*cols).mapInPandas(each, schema)

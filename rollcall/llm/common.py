@@ -5,7 +5,10 @@ from __future__ import annotations
 import ctypes
 import gc
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,3 +65,28 @@ def runs(*keys: np.ndarray) -> list[tuple[int, int]]:
     at = np.append(np.flatnonzero(new), n)
     size = np.diff(at)
     return [(int(s), int(s + c)) for s, c in zip(at[:-1], size) if c > 1]
+
+
+def whole_runs(batches: Iterator[pd.DataFrame], key: list[str]) -> Iterator[pd.DataFrame]:
+    """The rows of sorted batches again, cut so that no run of equal keys lies in two frames. Only the
+    run at hand is held back."""
+    held: list[pd.DataFrame] = []
+    for rows in batches:
+        if not len(rows):
+            continue
+        k = rows[key].to_numpy()
+        last = (k != k[-1]).any(axis=1)
+        cut = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
+        if held and (cut or (held[0][key].iloc[0].to_numpy() != k[0]).any()):
+            if (held[0][key].iloc[0].to_numpy() == k[0]).all():
+                end = int(np.flatnonzero((k != k[0]).any(axis=1))[0]) if (k != k[0]).any() else len(rows)
+                held.append(rows.iloc[:end])
+                rows, cut = rows.iloc[end:], cut - end
+            yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
+            held = []
+        if cut > 0:
+            yield rows.iloc[:cut]
+        if len(rows) > max(cut, 0):
+            held.append(rows.iloc[max(cut, 0) :])
+    if held:
+        yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]

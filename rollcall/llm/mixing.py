@@ -3,13 +3,15 @@ DataFrame functions only."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollcall.llm.common import WORD, unused
 from rollcall.session import forget, saved
 
 NONE = "(none)"
+#: Sweeps between two written tables.
+SWEEPS_A_ROUND = 4
 #: Topics by surface form, the first that holds.
 TOPICS = (("table", " | "), ("licence", "License"), ("contact", "@"), ("secret", "token ="))
 
@@ -36,31 +38,68 @@ def smoothed_targets(cells: DataFrame, dim: str, power: float) -> DataFrame:
     return shares.crossJoin(F.broadcast(total)).select(dim, (F.pow("m", F.lit(power)) / F.col("all")).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], budget: float, sweeps: int = 8) -> DataFrame:
-    """cells (dimensions, n) with w, the share of tokens each cell should have.
+def rake(cells: DataFrame, targets: dict[str, DataFrame], budget: float, sweeps: int = 20, tolerance: float = 1e-9) -> DataFrame:
+    """cells (dimensions, n) with share and w, the share of tokens each cell should have.
 
     Starts from the cells' own shares and scales them in turn to each dimension's target shares
-    (dim, target), which need not cover all categories: one without a target gets none. After each
-    sweep w is held to share / budget, so that no probability exceeds 1 and the next sweep deals the
-    excess to others. The cells are far fewer than documents, but stay a distributed table.
+    (dim, target), which need not cover all categories: one without a target gets none, and a target
+    whose category has no tokens, or only cells that another dimension's targets leave out, gets none
+    either. After each sweep w is held to share / budget, so that no probability exceeds 1 and the next
+    sweep deals the excess to others; where too many cells are held, the marginals fall short of
+    their targets, which `residuals` tells. Ends when no w has moved by more than `tolerance` in a
+    sweep, or after `sweeps`. Only that largest move comes to the driver, once for several sweeps. The
+    cells are far fewer than documents, but stay a distributed table.
     """
     total = cells.agg(F.sum("n").alias("all"))
     dims = list(targets)
-    now = cells.where("n > 0").crossJoin(F.broadcast(total)).select(*dims, "n", (F.col("n") / F.col("all")).alias("share")).withColumn("w", F.col("share"))
-    now = saved(now, "cells")
-    fixed = {d: saved(t.select(d, "target"), "targets") for d, t in targets.items()}
-    for _ in range(sweeps):
+    now = cells.where("n > 0").crossJoin(F.broadcast(total)).select(*dims, "n", (F.col("n") / F.col("all")).alias("share"))
+    for k, d in enumerate(dims):
+        now = now.join(targets[d].select(d, F.col("target").alias(f"_t{k}")), d, "left")
+    now = saved(now.select(*dims, "n", "share", *[F.coalesce(f"_t{k}", F.lit(0.0)).alias(f"_t{k}") for k in range(len(dims))], F.col("share").alias("w")), "cells")
+    done = 0
+    while done < sweeps:
+        step = min(SWEEPS_A_ROUND, sweeps - done)
         after = now
-        for d in dims:
-            scale = after.groupBy(d).agg(F.sum("w").alias("have")).join(fixed[d], d).select(d, (F.col("target") / F.col("have")).alias("scale"))
-            after = after.join(scale, d, "left").withColumn("w", F.col("w") * F.coalesce("scale", F.lit(0.0))).drop("scale")
-        after = saved(after.select(*dims, "n", "share", F.least("w", F.col("share") / budget).alias("w")), "cells")
+        for _ in range(step):
+            after = after.withColumn("_w", F.col("w"))
+            for k, d in enumerate(dims):
+                have = F.sum("w").over(Window.partitionBy(d))
+                after = after.withColumn("w", F.coalesce(F.try_divide(F.col("w") * F.col(f"_t{k}"), have), F.lit(0.0)))
+            after = after.withColumn("w", F.least("w", F.col("share") / budget))
+        after = saved(after, "cells")
         forget(now)
-        now = after
-    return now
+        now, done = after.drop("_w"), done + step
+        if (after.agg(F.max(F.abs(F.col("w") - F.col("_w")))).first()[0] or 0.0) <= tolerance:
+            break
+    return now.drop(*[f"_t{k}" for k in range(len(dims))])
+
+
+def residuals(sampled: DataFrame, targets: dict[str, DataFrame], prefix: str = "") -> DataFrame:
+    """(dim, category, target, got, residual): for each category of each dimension the share of tokens
+    aimed at, the share expected by the probabilities of the rows of sample(), and the difference. Shows
+    how far a budget too large for the targets keeps the mixture from them."""
+    out = None
+    for d, t in targets.items():
+        weight = F.sum(F.col(f"{prefix}probability") * F.col(f"{prefix}n_tokens"))
+        got = sampled.groupBy(F.col(d).alias("category")).agg(weight.alias("w"))
+        all_ = got.agg(F.sum("w").alias("all"))
+        got = got.crossJoin(F.broadcast(all_)).select("category", F.try_divide("w", "all").alias("got"))
+        both = got.join(t.select(F.col(d).alias("category"), "target"), "category", "full").select(F.lit(d).alias("dim"), "category", F.coalesce("target", F.lit(0.0)).alias("target"), F.coalesce("got", F.lit(0.0)).alias("got"))
+        out = both if out is None else out.union(both)
+    return out.withColumn("residual", F.col("got") - F.col("target"))
+
+
+def wanted_shares(cells: DataFrame, dims: dict[str, str], power: float, targets: dict[str, dict[str, float]] | None = None) -> dict[str, DataFrame]:
+    """The target shares (column, target) by column for each dimension (name, column): those given by
+    hand, scaled to sum to 1, or else smoothed ones."""
+    spark, out = cells.sparkSession, {}
+    for k, name in dims.items():
+        given = (targets or {}).get(k)
+        out[name] = spark.createDataFrame([(c, float(v) / sum(given.values())) for c, v in given.items()], f"`{name}` string, target double") if given else smoothed_targets(cells, name, power)
+    return out
 
 
-def sample(docs: DataFrame, dims: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", power: float = 0.7, budget: float = 0.8, sweeps: int = 8, seed: int = 42, targets: dict[str, dict[str, float]] | None = None, prefix: str = "") -> DataFrame:
+def sample(docs: DataFrame, dims: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", power: float = 0.7, budget: float = 0.8, sweeps: int = 20, seed: int = 42, targets: dict[str, dict[str, float]] | None = None, prefix: str = "") -> DataFrame:
     """docs with n_tokens, the dimensions (dim_<name>), probability and selected, their names under
     prefix; columns of docs with the same names are replaced.
 
@@ -68,17 +107,14 @@ def sample(docs: DataFrame, dims: dict[str, Column], id_col: str = "doc_id", tex
     (given by hand, or smoothed shares of the corpus), and a document of a cell is selected with
     probability budget * w / share, at most 1, decided by a hash of seed and id: the same run after
     run and wherever the row lies. Rows with the same id share their fate; a null id counts as one
-    id; documents without words (null or empty text) have no tokens to weigh and are kept. Other columns
-    stay as they are; an empty table gives no rows.
+    id; documents without words (null or empty text) have no tokens to weigh and are kept; a text of any
+    length counts by all its words; a probability that falls on a row's own number leaves the row out.
+    Other columns stay as they are; an empty table gives no rows.
     """
     known = described(docs, dims, text_col, prefix)
     names = [f"{prefix}dim_{k}" for k in dims]
     cells = saved(known.groupBy(*names).agg(F.sum(f"{prefix}n_tokens").alias("n")), "mix-cells")
-    spark = docs.sparkSession
-    wanted = {}
-    for k, name in zip(dims, names):
-        given = (targets or {}).get(k)
-        wanted[name] = spark.createDataFrame([(c, float(v) / sum(given.values())) for c, v in given.items()], f"`{name}` string, target double") if given else smoothed_targets(cells, name, power)
+    wanted = wanted_shares(cells, dict(zip(dims, names)), power, targets)
     chance = unused(known, "chance")
     raked = rake(cells, wanted, budget, sweeps).select(*names, F.least(F.lit(1.0), budget * F.col("w") / F.col("share")).alias(chance))
     p = F.floor(F.coalesce(F.col(chance), F.lit(1.0)) * 1e6 + 0.5) / 1e6

@@ -117,7 +117,7 @@ FROM b
 """
 
 
-def _op9_sql(power: float = 0.7, budget: float = 0.8, sweeps: int = 8, seed: int = 42) -> str:
+def _op9_sql(power: float = 0.7, budget: float = 0.8, sweeps: int = 20, seed: int = 42) -> str:
     topic = " ".join(f"WHEN contains(text, '{mark}') THEN '{name}'" for name, mark in mixing.TOPICS)
     none, dims = mixing.NONE, ("source", "lang", "topic")
     ctes = [

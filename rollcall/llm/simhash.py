@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import local_roots, runs
+from rollcall.llm.common import give_back, local_roots, runs, whole_runs
 from rollcall.operators.components import connected_components
 from rollcall.session import saved
 
@@ -48,6 +48,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for rows in batches:
             fp = np.array([fingerprint(t, shingle) for t in rows[text_col]], np.uint64).view(np.int64)
             yield pd.DataFrame({id_col: rows[id_col].array, "fp": fp})
+        give_back()
 
     kind = dict(docs.dtypes)[id_col]
     return docs.select(id_col, text_col).mapInPandas(each, f"`{id_col}` {kind}, fp long")
@@ -122,24 +123,23 @@ def fingerprint_links(fps: DataFrame, distance: int = 4, segments: int = 5, bloc
     )
 
     def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [tuple(rows[c].to_numpy() for c in ("fp", "bucket", "own", "lo", "hi")) for rows in batches]
-        if not parts:
-            return
-        fp, bucket, own, lo, hi = (np.concatenate(x) for x in zip(*parts))
-        fp = fp.view(np.uint64)
-        for s, e in runs(bucket, lo, hi):
-            first, values = int(bucket[s]) >> max(width), fp[s:e]
-            if lo[s] == hi[s]:
-                a, b = _pairs(values, None, first, segments, distance)
-            else:
-                mine = own[s:e] == lo[s]
-                x, y = np.flatnonzero(mine), np.flatnonzero(~mine)
-                a, b = _pairs(values[x], values[y], first, segments, distance)
-                a, b = x[a], y[b]
-            if len(a):
-                root = local_roots(e - s, a, b)
-                moved = np.flatnonzero(root != np.arange(e - s))
-                yield pd.DataFrame({"src": values[moved].view(np.int64), "dst": values[root[moved]].view(np.int64)})
+        for rows in whole_runs(batches, ["bucket", "lo", "hi"]):
+            fp, bucket, own, lo, hi = (rows[c].to_numpy() for c in ("fp", "bucket", "own", "lo", "hi"))
+            fp = fp.view(np.uint64)
+            for s, e in runs(bucket, lo, hi):
+                first, values = int(bucket[s]) >> max(width), fp[s:e]
+                if lo[s] == hi[s]:
+                    a, b = _pairs(values, None, first, segments, distance)
+                else:
+                    mine = own[s:e] == lo[s]
+                    x, y = np.flatnonzero(mine), np.flatnonzero(~mine)
+                    a, b = _pairs(values[x], values[y], first, segments, distance)
+                    a, b = x[a], y[b]
+                if len(a):
+                    root = local_roots(e - s, a, b)
+                    moved = np.flatnonzero(root != np.arange(e - s))
+                    yield pd.DataFrame({"src": values[moved].view(np.int64), "dst": values[root[moved]].view(np.int64)})
+        give_back()
 
     return dealt.mapInPandas(links, "src long, dst long")
 
@@ -151,7 +151,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Equal fingerprints are one node, so copies are never paired with each other. A null or empty
     text has fingerprint 0 and links like any other; a repeated row keeps its row; rows with a null
     id link others but get and give no id other than those that are not null (null where the
-    component has none). Extra columns are not read. An empty table gives no rows.
+    component has none). A text of any length gives one fingerprint; a bit that exactly half of the
+    shingles set is 0. Extra columns are not read. An empty table gives no rows.
     """
     each = saved(fingerprints(docs, id_col, text_col, shingle), "simhash")
     nodes = saved(each.groupBy("fp").agg(F.min(id_col).alias("least")), "simhash-nodes")

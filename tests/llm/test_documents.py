@@ -214,6 +214,29 @@ def test_mixing_meets_its_targets(spark):
     assert rows.count() == 4000 and mixing.sample(docs.limit(0), dims).count() == 0
 
 
+def test_mixing_with_targets_that_cannot_be_met(spark):
+    rows = [(i, "x y z", "ab"[i % 2], f"l{i % 2}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    dims = {"source": F.col("source"), "lang": F.col("lang")}
+    out = mixing.sample(docs, dims, targets={"source": {"a": 1.0, "gone": 1.0}}).collect()
+    assert all(r.selected == (r.source == "a") or r.source == "a" for r in out)
+    assert {r.probability for r in out if r.source == "b"} == {0.0}
+
+
+def test_mixing_tells_what_the_budget_keeps_it_from(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source", "lang")
+    dims = {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.topic_of("text")}
+    cells = mixing.described(docs, dims).groupBy("dim_source", "dim_lang", "dim_topic").agg(F.sum("n_tokens").alias("n"))
+    wanted = mixing.wanted_shares(cells, {k: f"dim_{k}" for k in dims}, 0.7)
+    worst = {}
+    for budget in (0.8, 0.05):
+        told = mixing.residuals(mixing.sample(docs, dims, budget=budget), wanted).collect()
+        for d in wanted:
+            assert abs(sum(r.got for r in told if r.dim == d) - 1) < 1e-6 and abs(sum(r.target for r in told if r.dim == d) - 1) < 1e-6
+        worst[budget] = max(abs(r.residual) for r in told)
+    assert worst[0.05] < 1e-3 < worst[0.8]
+
+
 def test_mixing_keeps_rows_without_words(spark):
     docs = spark.createDataFrame([(1, None, "a"), (2, "", "a"), (None, "x y", None), (3, "x", "b"), (3, "x", "b")], "doc_id long, text string, n string")
     rows = mixing.sample(docs.drop("n").withColumn("n", F.lit(1)).withColumn("source", F.lit("s")), {"source": F.col("source")}).collect()

@@ -41,7 +41,7 @@ def masked(text):
     return out + text[at:]
 
 
-def raked(rows, power=0.7, budget=0.8, sweeps=8):
+def raked(rows, power=0.7, budget=0.8, sweeps=20):
     """Selected rows (doc_id, text, source, lang)."""
     def topic(t):
         return next((name for name, mark in mixing.TOPICS if mark in t), "prose")

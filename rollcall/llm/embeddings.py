@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from rollcall.llm.common import local_roots, runs
+from rollcall.llm.common import give_back, local_roots, runs, whole_runs
 from rollcall.operators.components import connected_components
 from rollcall.session import saved
 
@@ -22,120 +22,163 @@ def usable(vec: str, label: str):
     return F.col(label).isNotNull() & x.isNotNull() & F.coalesce(finite & F.exists(x, lambda v: v != 0), F.lit(False))
 
 
+def pivot_count(n: int, least: int, most: int) -> int:
+    """Four times the square root of the number of vectors, between bounds: lists then grow with the
+    square root of the table, not with the table."""
+    return max(least, min(most, math.isqrt(16 * n)))
+
+
 def choose_pivots(classes: DataFrame, n_pivots: int) -> dict[int, np.ndarray]:
-    """Reference points: the n_pivots distinct vectors with the smallest id hash, as unit rows by
-    dimension. n_pivots bounds what comes to the driver."""
+    """Reference points: of the n_pivots vectors with the smallest hash the distinct ones, as unit rows
+    by dimension. n_pivots bounds what comes to the driver."""
     found: dict[int, list] = {}
-    for (v,) in classes.orderBy(F.xxhash64("rep"), "rep").limit(n_pivots).select("vec").collect():
+    for (v,) in classes.orderBy(F.xxhash64("vec"), "class").limit(n_pivots).select("vec").collect():
         found.setdefault(len(v), []).append(v)
-    return {d: (m := np.array(v, np.float64)) / np.linalg.norm(m, axis=1, keepdims=True) for d, v in found.items()}
+    return {d: _unit(np.unique(np.array(v, np.float64), axis=0)) for d, v in found.items()}
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1. Each is scaled by its largest component first, so that no square underflows."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def describe(classes: DataFrame, pivots: dict[int, np.ndarray], prefix: int) -> DataFrame:
-    """classes with their prefix: the numbers of the nearest pivots, nearest first, and the vector as
-    little-endian doubles. Without pivots of its dimension a vector is described by pivot 0."""
-    schema = T.StructType([classes.schema["rep"], classes.schema["label"], T.StructField("copies", T.LongType()), T.StructField("dim", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.IntegerType())), T.StructField("packed", T.BinaryType())])
+    """(class, label, dim, prefix): the numbers of the nearest pivots, nearest first. Without pivots of
+    its dimension a vector is described by pivot 0."""
+    schema = "class long, label string, dim int, prefix array<int>"
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             dims = np.array([len(v) for v in rows["vec"]], np.int32)
             for d in np.unique(dims):
                 part = rows[dims == d]
-                x = np.stack(part["vec"].to_numpy()).astype("<f8")
-                near = np.zeros((len(part), 1), np.int32)
-                if d in pivots:
-                    cosine = x @ pivots[d].T / np.linalg.norm(x, axis=1, keepdims=True)
-                    near = np.argsort(-cosine, axis=1, kind="stable")[:, :prefix].astype(np.int32)
-                yield pd.DataFrame({"rep": part["rep"].array, "label": part["label"].array, "copies": part["copies"].array, "dim": d, "prefix": list(near), "packed": [v.tobytes() for v in x]})
+                step = max(1, 4_000_000 // len(pivots.get(d, [0])))
+                for k in range(0, len(part), step):
+                    some = part.iloc[k : k + step]
+                    near = np.zeros((len(some), 1), np.int32)
+                    if d in pivots:
+                        cosine = _unit(np.stack(some["vec"].to_numpy()).astype(np.float64)) @ pivots[d].T
+                        near = np.argsort(-cosine, axis=1, kind="stable")[:, :prefix].astype(np.int32)
+                    yield pd.DataFrame({"class": some["class"].array, "label": some["label"].array, "dim": d, "prefix": list(near)})
+
+    return classes.select("class", F.col("label").cast("string").alias("label"), "vec").mapInPandas(each, schema)
+
+
+KEY = ["label", "dim", "pivot", "lo", "hi"]
 
-    return classes.mapInPandas(each, schema)
 
+def _dealt(posts: DataFrame, block_rows: int) -> DataFrame:
+    """Rows of posting lists (class, label, dim, pivot and others), each list dealt out as pairs of
+    blocks of about block_rows, so that no list fills a task: each row comes once for each block."""
+    counts = posts.groupBy("label", "dim", "pivot").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    met = posts.join(counts, ["label", "dim", "pivot"]).withColumn("own", F.pmod(F.xxhash64("class"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("blocks", "other")
+    return met.repartition(*KEY).sortWithinPartitions(*KEY)
 
-def class_links(described: DataFrame, cosine: float, shared: int, block_rows: int) -> DataFrame:
-    """(rep, n_links, root): for each class and posting list in which it has links, the vectors linked
-    and a spanning link.
 
-    A pair meets in each list of a pivot that both prefixes hold; it counts in the first of them, if
-    it shares at least `shared` pivots (or all, where prefixes are shorter) and its cosine reaches
-    the bound. Lists are dealt out as pairs of blocks of about block_rows, so that no list fills a
-    task; a task returns a row for each of its vectors at most, never pairs.
+def _agreeing(prefix: np.ndarray, pivot: int, left: np.ndarray, right: np.ndarray, shared: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows (one of left, one of right) that share at least `shared` pivots, of which `pivot` is
+    the first by number: so a pair counts in one list only."""
+    names, at = np.unique(prefix, return_inverse=True)
+    held = np.zeros((len(prefix), len(names)), np.float32)
+    held[np.repeat(np.arange(len(prefix)), prefix.shape[1]), at.ravel()] = 1
+    lower, rest = held[:, names < pivot], held[:, names >= pivot]
+    good = rest[left] @ rest[right].T >= min(shared, prefix.shape[1])
+    if lower.shape[1]:
+        good &= lower[left] @ lower[right].T == 0
+    return np.nonzero(good)
+
+
+def _sides(own: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that meet each other: a block with itself, or one with another."""
+    if lo == hi:
+        return np.arange(len(own)), np.arange(len(own))
+    return np.flatnonzero(own == lo), np.flatnonzero(own != lo)
+
+
+def candidates(described: DataFrame, shared: int, block_rows: int) -> DataFrame:
+    """(class, label, dim, pivot): the posts of classes that share enough pivots with another of the
+    list. Only ids and pivot numbers are moved; a task gives each of its rows once at most, never pairs."""
+    posts = described.select("class", "label", "dim", "prefix", F.explode("prefix").alias("pivot"))
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in whole_runs(batches, KEY):
+            prefix, own = rows["prefix"].to_numpy(), rows["own"].to_numpy()
+            label, dim, pivot, lo, hi = (rows[c].to_numpy() for c in KEY)
+            some = np.zeros(len(rows), bool)
+            for s, e in runs(label, dim, pivot, lo, hi):
+                left, right = _sides(own[s:e], lo[s], hi[s])
+                a, b = _agreeing(np.stack(prefix[s:e]), pivot[s], left, right, shared)
+                a, b = left[a], right[b]
+                a, b = a[a != b], b[a != b]
+                some[s + a] = some[s + b] = True
+            yield rows.loc[some, ["class", "label", "dim", "pivot"]]
+        give_back()
+
+    return _dealt(posts, block_rows).select("class", *KEY, "own", "prefix").mapInPandas(each, "class long, label string, dim int, pivot int")
+
+
+def class_links(posts: DataFrame, vectors: DataFrame, cosine: float, shared: int, block_rows: int) -> DataFrame:
+    """(class, n_links, root): for each class and posting list in which it has links, the vectors linked
+    and a spanning link. posts are candidates; vectors has class, copies, prefix and vec.
+
+    Shared pivots are counted again among the candidates of a list, and the cosine is computed for
+    the pairs that agree. A task returns a row for each of its classes at most, never pairs.
     """
-    posts = described.select("*", F.explode("prefix").alias("pivot"))
-    key = ["label", "dim", "pivot"]
-    counts = posts.groupBy(*key).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
-    dealt = (
-        posts.join(counts, key)
-        .withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("rep", F.col("label").cast("string").alias("label"), "copies", "dim", "prefix", "packed", "pivot", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    )
-    order = ["label", "dim", "pivot", "lo", "hi"]
-    dealt = dealt.repartition(*order).sortWithinPartitions(*order)
-    schema = T.StructType([described.schema["rep"], T.StructField("n_links", T.LongType()), T.StructField("root", described.schema["rep"].dataType)])
+    met = posts.distinct().join(vectors.select("class", "copies", "prefix", "vec"), "class")
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
-        for rows in batches:  # a run may go on in the next batch
-            rows = rows if held is None else pd.concat([held, rows], ignore_index=True)
-            last = rows[order].to_numpy()[-1] if len(rows) else None
-            cut = int(np.flatnonzero((rows[order].to_numpy() != last).any(axis=1))[-1]) + 1 if last is not None and (rows[order].to_numpy() != last).any() else 0
-            held = rows.iloc[cut:]
-            yield from listed(rows.iloc[:cut])
-        if held is not None:
-            yield from listed(held)
-
-    def listed(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        if len(rows) < 2:
-            return
-        ids, copies, own = rows["rep"].to_numpy(), rows["copies"].to_numpy(), rows["own"].to_numpy()
-        label, dim, pivot, lo, hi = (rows[c].to_numpy() for c in order)
-        packed, prefix = rows["packed"].tolist(), rows["prefix"].tolist()
-        for s, e in runs(label, dim, pivot, lo, hi):
-            x = np.frombuffer(b"".join(packed[s:e]), "<f8").reshape(e - s, -1)
-            p, norm = np.stack(prefix[s:e]), np.linalg.norm(x, axis=1)
-            left = np.arange(e - s) if lo[s] == hi[s] else np.flatnonzero(own[s:e] == lo[s])
-            right = left if lo[s] == hi[s] else np.flatnonzero(own[s:e] != lo[s])
-            if not len(left) or not len(right):
-                continue
-            a, b = np.nonzero((x[left] @ x[right].T) / (norm[left][:, None] * norm[right][None, :]) >= cosine)
-            a, b = left[a], right[b]
-            if lo[s] == hi[s]:
-                a, b = a[a < b], b[a < b]
-            good = np.zeros(len(a), bool)
-            for at in range(0, len(a), 100_000):
-                pa, pb = p[a[at : at + 100_000]], p[b[at : at + 100_000]]
-                same = (pa[:, :, None] == pb[:, None, :]).any(axis=2)
-                first = np.where(same, pa, np.iinfo(np.int32).max).min(axis=1)
-                good[at : at + 100_000] = (same.sum(axis=1) >= min(shared, p.shape[1])) & (first == pivot[s])
-            a, b = a[good], b[good]
-            if len(a):
-                n = np.bincount(a, copies[s:e][b], e - s) + np.bincount(b, copies[s:e][a], e - s)
-                root, some = local_roots(e - s, a, b), np.flatnonzero(n)
-                yield pd.DataFrame({"rep": ids[s:e][some], "n_links": n[some].astype(np.int64), "root": ids[s:e][root[some]]})
-
-    return dealt.mapInPandas(each, schema)
-
-
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cosine: float = 0.98, n_pivots: int = 128, prefix: int = 8, shared: int = 2, block_rows: int = 1024) -> DataFrame:
+        for rows in whole_runs(batches, KEY):
+            ids, copies, own = rows["class"].to_numpy(), rows["copies"].to_numpy(), rows["own"].to_numpy()
+            label, dim, pivot, lo, hi = (rows[c].to_numpy() for c in KEY)
+            prefix, vec = rows["prefix"].to_numpy(), rows["vec"].to_numpy()
+            for s, e in runs(label, dim, pivot, lo, hi):
+                left, right = _sides(own[s:e], lo[s], hi[s])
+                a, b = _agreeing(np.stack(prefix[s:e]), pivot[s], left, right, shared)
+                a, b = left[a], right[b]
+                if lo[s] == hi[s]:
+                    a, b = a[a < b], b[a < b]
+                x = _unit(np.stack(vec[s:e]).astype(np.float64))
+                good = np.concatenate([np.einsum("ij,ij->i", x[a[k : k + 100_000]], x[b[k : k + 100_000]]) >= cosine for k in range(0, len(a), 100_000)] or [np.zeros(0, bool)])
+                a, b = a[good], b[good]
+                if len(a):
+                    n = np.bincount(a, copies[s:e][b], e - s) + np.bincount(b, copies[s:e][a], e - s)
+                    root, some = local_roots(e - s, a, b), np.flatnonzero(n)
+                    yield pd.DataFrame({"class": ids[s:e][some], "n_links": n[some].astype(np.int64), "root": ids[s:e][root[some]]})
+        give_back()
+
+    return _dealt(met, block_rows).select("class", "copies", *KEY, "own", "prefix", "vec").mapInPandas(each, "class long, n_links long, root long")
+
+
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cosine: float = 0.98, prefix: int = 8, shared: int = 3, least_pivots: int = 128, most_pivots: int = 65_536, block_rows: int = 512) -> DataFrame:
     """One row per vector: id, n_links (other vectors with the same label and a cosine of at least
     `cosine`), component (smallest id reachable by links) and kept.
 
     Equal vectors of a label are one class with a count, so copies are never paired. Classes are
-    indexed by pivot permutation (see describe and class_links): all are indexed, and what the index
-    retrieves is verified in double precision, so links are never false; a link is missed where
-    fewer than `shared` of the `prefix` nearest pivots agree. The pivots are a bounded sample.
+    indexed by pivot permutation (see describe): all are indexed, lists give those that share enough of
+    their `prefix` nearest pivots (see candidates), and only for these are vectors fetched and verified
+    in double precision (see class_links). Links are never false; one is missed where fewer than
+    `shared` pivots agree. The pivots are a bounded sample (see pivot_count).
 
     Vectors that are null, zero or not finite, or have no label, link with nothing; vectors of other
-    lengths neither. Repeated rows count as vectors of their own; extra columns are not read; an
-    empty table gives no rows.
+    lengths neither. A null id is one of its own and gives no component. Repeated rows, and rows of one
+    id with other vectors, count as vectors of their own; equal distances to pivots go by pivot number;
+    extra columns are not read, whatever their names; an empty table gives no rows.
     """
     read = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"), F.col(label_col).alias("label"))
-    good = read.where(usable("vec", "label") & F.col("id").isNotNull())
-    classes = saved(good.groupBy("label", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "vec-classes")
-    found = saved(class_links(describe(classes, choose_pivots(classes, n_pivots), prefix), cosine, shared, block_rows), "vec-links")
-    counted = found.groupBy("rep").agg(F.sum("n_links").alias("n"))
-    parts = connected_components(found.select(F.col("rep").alias("src"), F.col("root").alias("dst"))).withColumnRenamed("node", "rep")
-    of_class = classes.join(counted, "rep", "left").join(parts, "rep", "left").select(F.col("label").alias("_label"), F.col("vec").alias("_vec"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    good = read.where(usable("vec", "label"))
+    classes = saved(good.groupBy("label", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).withColumn("class", F.monotonically_increasing_id()), "vec-classes")
+    pivots = choose_pivots(classes, pivot_count(classes.count(), least_pivots, most_pivots))
+    described = saved(describe(classes, pivots, prefix), "vec-prefixes")
+    posts = saved(candidates(described, shared, block_rows), "vec-candidates")
+    found = saved(class_links(posts, classes.join(described.select("class", "prefix"), "class"), cosine, shared, block_rows), "vec-links")
+    counted = found.groupBy("class").agg(F.sum("n_links").alias("n"))
+    parts = connected_components(found.select(F.col("class").alias("src"), F.col("root").alias("dst"))).withColumnRenamed("node", "class")
+    named = classes.drop("vec").join(parts, "class", "left").withColumn("root", F.coalesce("component", "class")).drop("component")
+    least = named.groupBy("root").agg(F.min("rep").alias("component"))
+    told = named.join(least, "root").join(counted, "class", "left").select("class", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component")
+    of_class = classes.select("class", F.col("label").alias("_label"), F.col("vec").alias("_vec")).join(told, "class")
     met = read.join(of_class, (F.col("label") == F.col("_label")) & (F.col("vec") == F.col("_vec")), "left")
     component = F.coalesce("component", "id")
-    return met.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component"), (component == F.col("id")).alias("kept"))
+    return met.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))

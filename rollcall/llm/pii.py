@@ -3,10 +3,15 @@
 The second part follows information-theoretic sanitisation: how much of an entity's information a
 term carries is estimated from how often both occur together in the corpus, as the ratio of their
 pointwise mutual information to the entity's own information. DataFrame functions only.
+
+Spans of one text are worked on in blocks, so that time grows with the length of a text and not with
+its square.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,24 +30,82 @@ KINDS = {
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: A term: a whole run of letters, beside which no digit stands.
 TERM = r"(?<![\p{L}\p{N}])\p{L}++(?!\p{N})"
-SPANS = "array<struct<start:int,end:int,value:string>>"
+#: Elements of an array that are folded, or cut from a text, at a time.
+BLOCK = 512
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _in_blocks(items: Column, each: Callable[[Column], Column]) -> Column:
+    """each of every block of an array, in order."""
+    n = F.size(items)
+    starts = F.when(n > 0, F.sequence(F.lit(1), n, F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda k: each(F.slice(items, k, F.lit(BLOCK))))
+
+
+def before(numbers: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """For each element of an array of ints the sum (or maximum, by add) of those before it, 0 at first.
+    Each block is folded by itself, then the blocks' results are folded, since a fold copies the
+    array that it builds."""
+
+    def fold(items: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(items, start, lambda s, x: F.struct(add(s["at"], x).cast("int").alias("at"), F.array_append(s["out"], s["at"]).alias("out")))
+
+    def joined(blocks: Column) -> Column:
+        base = fold(F.transform(blocks, lambda b: b["at"]))["out"]
+        return F.flatten(F.zip_with(blocks, base, lambda b, o: F.transform(b["out"], lambda x: add(o, x).cast("int"))))
+
+    return let(numbers, lambda v: let(_in_blocks(v, fold), joined))
+
+
+def located(text: Column, pattern: str) -> Column:
+    """The matches of a pattern, leftmost and non-overlapping: array of (start, end, value) with
+    code-point offsets, zero-based, end exclusive. What lies between matches gives the offsets."""
+
+    def placed(pairs: Column) -> Column:
+        ends = before(F.transform(pairs, lambda p: p["gap"] + F.length(p["value"])), lambda x, y: x + y)
+        return F.zip_with(pairs, ends, lambda p, e: F.struct((e + p["gap"]).alias("start"), (e + p["gap"] + F.length(p["value"])).alias("end"), p["value"].alias("value")))
+
+    def paired(found: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+        return let(F.zip_with(found, gaps, lambda v, g: F.struct(v.alias("value"), F.length(g).alias("gap"))), placed)
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), paired)
+
 
+def cut(text: Column, ranges: Column) -> Column:
+    """The texts of ranges (from, to) that are in order and do not overlap. A block's stretch is cut out
+    first and its ranges from there, since a substring is found by walking from the start."""
 
-def located(text: Column, pattern: str, keep=lambda value: F.lit(True)) -> Column:
-    """The matches of a pattern, leftmost and non-overlapping, with code-point offsets (zero-based,
-    end exclusive). What lies between matches gives the offsets. Only matches that keep accepts are
-    listed: the list is copied whenever it grows."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
-    pairs = F.zip_with(found, gaps, lambda v, g: F.struct(v.alias("value"), F.length(g).alias("gap")))
+    def block(part: Column) -> Column:
+        first = F.element_at(part, 1)["from"]
+        stretch = F.struct(first.alias("at"), F.substring(text, first + 1, F.element_at(part, -1)["to"] - first).alias("text"))
+        return let(stretch, lambda c: F.transform(part, lambda r: F.substring(c["text"], r["from"] - c["at"] + 1, r["to"] - r["from"])))
 
-    def add(s: Column, p: Column) -> Column:
-        start = s["at"] + p["gap"]
-        end = start + F.length(p["value"])
-        more = F.array_append(s["out"], F.struct(start.alias("start"), end.alias("end"), p["value"].alias("value")))
-        return F.struct(end.alias("at"), F.when(keep(p["value"]), more).otherwise(s["out"]).alias("out"))
+    return let(ranges, lambda r: F.flatten(_in_blocks(r, lambda part: let(part, block))))
 
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out")), add)["out"]
+
+def replaced(text: Column, spans: Column, by: Callable[[Column, Column], Column]) -> Column:
+    """The text with each span (sorted by start) replaced by by(span, at), where `at` is the end of what
+    was replaced before it, 0 at first."""
+
+    def told(reach: Column) -> Column:
+        pairs = F.zip_with(spans, reach, lambda x, at: F.struct(x.alias("x"), at.alias("at")))
+        return let(pairs, joined)
+
+    def joined(pairs: Column) -> Column:
+        gaps = F.transform(pairs, lambda p: F.struct(p["at"].alias("from"), F.greatest(p["at"], p["x"]["start"]).alias("to")))
+        last = F.element_at(pairs, -1)
+        rest = F.substring(text, F.greatest(last["at"], last["x"]["end"]) + 1, F.length(text))
+        pieces = F.zip_with(cut(text, gaps), pairs, lambda g, p: F.concat(g, by(p["x"], p["at"])))
+        return F.concat(F.array_join(pieces, ""), rest)
+
+    done = let(before(F.transform(spans, lambda x: x["end"]), F.greatest), told)
+    return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
 def _luhn(digits: Column) -> Column:
@@ -91,18 +154,9 @@ def _entity(span: Column) -> Column:
 
 
 def _outside(text: Column, spans: Column) -> Column:
-    """The text with each span blanked, every other character in its place. A blank ends in a digit where
-    the span ends in a letter or digit, so that no part of a longer word is taken for a term."""
-    mark = lambda value, at: F.when(F.regexp_like(value, F.lit(at)), "0").otherwise(" ")
-
-    def add(s: Column, x: Column) -> Column:
-        last = mark(x["value"], r"[\p{L}\p{N}]$")
-        fresh = F.concat(s["out"], F.array(F.substring(text, s["at"] + 1, x["start"] - s["at"]), mark(x["value"], r"^[\p{L}\p{N}]"), F.repeat(F.lit(" "), x["end"] - x["start"] - 2), last))
-        longer = F.concat(s["out"], F.array(F.repeat(F.lit(" "), x["end"] - s["at"] - 1), last))
-        out = F.when(x["start"] >= s["at"], fresh).when(x["end"] > s["at"], longer).otherwise(s["out"])
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), out.alias("out"))
-
-    return F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), add, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))))
+    """The text with each span overwritten by zeros, every other character in its place. No part of a
+    word that touches a span is then taken for a term."""
+    return replaced(text, spans, lambda x, at: F.repeat(F.lit("0"), F.greatest(F.lit(0), x["end"] - F.greatest(at, x["start"]))))
 
 
 def _terms(text: str) -> Column:
@@ -110,82 +164,121 @@ def _terms(text: str) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda w: F.lower(w)))
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_docs: int = 3, generalise_at: float = 0.8, remove_at: float = 0.95) -> DataFrame:
-    """One row per document: id, _key (hash of the text), base (spans by pattern) and terms (spans of
-    terms, kind "general" or "term").
-
-    Entity: the value of a base span. A term (lower case) meets an entity in a document if both stand in
-    it, the term outside of all spans, however far apart. With N documents, n(e) that hold the entity,
-    n(t) that hold the term anywhere, n(t, e) in which they meet: disclosure = ln(N n(t,e) / (n(t)
-    n(e))) / ln(N / n(e)). 1 means that the term is as good as the entity. Terms that meet entities of
-    its kind (it or others) in at least least_docs documents are generalised from generalise_at on, and
-    removed from remove_at on, at every place in the documents where they meet it.
-
-    Counts cover all documents. Only counts of terms, and the terms of documents with an entity, are
-    shuffled; texts are not. Before terms are paired with entities, those that no pair can reach are
-    left out: met by entities of the kind in too few documents, or n(t) > N (n(e) / N)^generalise_at. A null text
-    is empty; null ids and repeated rows keep their rows and count as documents of their own; extra
-    columns are not read; an empty table gives no rows.
-    """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    read = docs.select(F.col(id_col).alias("_id"), text.alias("_text"))
-    base = read.select("_id", F.xxhash64("_text").alias("_key"), "_text", base_spans(F.col("_text")).alias("base"))
-    some = F.size("base") > 0
-    entities = F.array_distinct(F.transform("base", _entity))
-    found = saved(base.select("_id", "_key", "base", F.when(some, entities).alias("entities"), F.when(some, _outside(F.col("_text"), F.col("base"))).alias("outside")), "pii-found")
-
-    holders = found.where("entities is not null").select("_id", "_key", "base", "entities", "outside")
-    held = holders.select("_id", "_key", F.explode("entities").alias("entity")).distinct().withColumn("kind", F.substring_index("entity", ":", 1))
-    of_entity = held.groupBy("entity").agg(F.count("*").alias("n_e"))
-    kinds = F.array_distinct(F.transform("base", lambda x: x["kind"]))
-    of_doc = holders.select("_id", "_key", kinds.alias("kinds"), F.explode(_terms("outside")).alias("term")).select("_id", "_key", "term", F.explode("kinds").alias("kind")).distinct()
+def disclosure(met: Column, term: Column, entity: Column, total: Column, prior: float) -> Column:
+    """The share of an entity's information that a term gives away in one document, judged by the
+    others: with one document taken from each count, p = (met - 1) / (term - 1), drawn towards the
+    entity's own share q = (entity - 1) / (total - 1) as by `prior` documents, and ln(p / q) / ln(1 / q).
+    1 means that the term is as good as the entity, 0 that it tells nothing. 0 where no other document
+    has the entity, or all have it."""
+    q = (entity - 1) / (total - 1)
+    p = (met - 1 + prior * q) / (term - 1 + prior)
+    known = (entity > 1) & (entity < total) & (met > 0)
+    return F.when(known, F.greatest(F.lit(0.0), F.log(p / q) / -F.log(q))).otherwise(0.0)
+
+
+def _risks(read: DataFrame, holders: DataFrame, generalise_at: float, remove_at: float, prior: float) -> DataFrame:
+    """(_at, terms): for rows of holders (_at, base, entities, outside) that have such terms, their spans
+    (start, rank, end, kind, of): kind "general" or "term", of: the kind of what the term gives away. read
+    has the texts of all documents (_text)."""
+    kinds = list(KINDS)
+    has = lambda k: F.exists("base", lambda x: x["kind"] == k)
+    total = read.agg(F.count("*").alias("n"))
+    of_kind = holders.agg(*[F.count_if(has(k)).alias(f"all_{k}") for k in kinds])
+    held = holders.select("_at", F.explode("entities").alias("entity"))
+    of_entity = held.groupBy("entity").agg(F.count("*").alias("n_e")).where("n_e > 1")
+    again = saved(held.join(of_entity, "entity").groupBy("_at").agg(F.collect_list(F.struct("entity", "n_e")).alias("again"), F.max("n_e").alias("most")), "pii-again")
+    most = again.agg(F.coalesce(F.max("most"), F.lit(0)).alias("top"))
+
+    near = holders.select("_at", F.explode(_terms("outside")).alias("term"), *[has(k).alias(f"has_{k}") for k in kinds])
     of_term = read.select(F.explode(_terms("_text")).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    total = found.agg(F.count("*").alias("n"))
-    most = of_entity.agg(F.max("n_e").alias("most"))
-    reached = lambda n_e: F.log(F.col("n") / F.col("n_t")) >= generalise_at * F.log(F.col("n") / n_e) - 1e-9
-    rare = (
-        of_doc.groupBy("term", "kind").agg(F.count("*").alias("n_met")).where(F.col("n_met") >= least_docs).select("term", "kind")
-        .join(of_term, "term").crossJoin(F.broadcast(total)).crossJoin(F.broadcast(most)).where(reached(F.col("most"))).select("term", "kind", "n_t", "n")
-    )
-    near = of_doc.join(rare, ["term", "kind"]).alias("t").join(held.join(of_entity, "entity").alias("e"), F.col("t._id").eqNullSafe(F.col("e._id")) & (F.col("t._key") == F.col("e._key")) & (F.col("t.kind") == F.col("e.kind")))
-    pairs = saved(near.where(reached(F.col("n_e"))).where("n_e < n").select("t._id", "t._key", "term", "entity", "n_t", "n_e", "n"), "pii-pairs")
+    beside = near.groupBy("term").agg(*[F.count_if(f"has_{k}").alias(f"n_{k}") for k in kinds])
+    n, n_t = F.col("n"), F.col("n_t")
+    by_kind = {k: disclosure(F.col(f"n_{k}"), n_t, F.col(f"all_{k}"), n, prior) for k in kinds}
+    # a pair that cannot reach the bound even if it met as often as it could is left out; over all entities
+    # of up to `most` documents, those that are met wherever the term stands disclose most
+    reach = lambda n_e: (n_t > 1) & (disclosure(F.least(n_e, n_t), n_t, n_e, n, prior) >= generalise_at)
+    some = lambda most: reach(F.least(most, n_t))
+    told = beside.join(of_term, "term").crossJoin(F.broadcast(total)).crossJoin(F.broadcast(of_kind)).crossJoin(F.broadcast(most))
+    told = told.select("term", "n_t", "n", *[d.alias(f"d_{k}") for k, d in by_kind.items()], some(F.col("top")).alias("paired"))
+    told = told.where(" or ".join(["paired", *[f"d_{k} >= {generalise_at}" for k in kinds]]))
+    worst = F.greatest(*[F.struct(F.when(F.col(f"has_{k}"), F.col(f"d_{k}")).otherwise(0.0).alias("d"), F.lit(k).alias("of")) for k in kinds])
+    met = saved(near.join(told, "term").select("_at", "term", "n_t", "n", "paired", worst.alias("worst")), "pii-met")
+
+    pairs = met.where("paired").join(again, "_at").where(some(F.col("most"))).select("_at", "term", "n_t", "n", F.explode("again").alias("e")).select("_at", "term", "n_t", "n", "e.entity", "e.n_e").where(reach(F.col("n_e")))
+    pairs = saved(pairs, "pii-pairs")
     both = pairs.groupBy("term", "entity", "n_t", "n_e", "n").agg(F.count("*").alias("n_te"))
-    told = F.log(F.col("n") * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log(F.col("n") / F.col("n_e"))
-    risky = both.select("term", "entity", told.alias("disclosure")).where(F.col("disclosure") >= generalise_at)
-    worst = pairs.join(risky, ["term", "entity"]).groupBy("_id", "_key", "term").agg(F.max("disclosure").alias("d"))
-    kind = F.when(F.col("d") >= remove_at, F.lit("term")).otherwise(F.lit("general"))
-    by_doc = worst.groupBy(F.col("_id").alias("_i"), F.col("_key").alias("_k")).agg(F.map_from_entries(F.collect_list(F.struct("term", kind.alias("kind")))).alias("kinds"))
-    none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
-    risk = F.transform(located(F.col("outside"), TERM, lambda v: F.coalesce(F.map_contains_key("kinds", F.lower(v)), F.lit(False))), lambda t: F.struct(t["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), t["end"].alias("end"), F.try_element_at("kinds", F.lower(t["value"])).alias("kind")))
-    out = found.join(by_doc, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k")), "left")
-    return out.select(F.col("_id").alias(id_col), "_key", "base", F.when(F.col("kinds").isNotNull(), risk).otherwise(none).alias("terms"))
+    risky = both.select("term", "entity", disclosure(F.col("n_te"), n_t, F.col("n_e"), n, prior).alias("d")).where(F.col("d") >= generalise_at)
+    by_value = pairs.join(risky, ["term", "entity"]).select("_at", "term", F.struct("d", F.substring_index("entity", ":", 1).alias("of")).alias("worst"))
+    found = met.where(F.col("worst.d") >= generalise_at).select("_at", "term", "worst").union(by_value).groupBy("_at", "term").agg(F.max("worst").alias("worst"))
+    kind = F.when(F.col("worst.d") >= remove_at, F.lit("term")).otherwise(F.lit("general"))
+    risks = saved(found.select("_at", "term", kind.alias("kind"), F.col("worst.of").alias("of")), "pii-risks")
 
+    words = holders.join(risks.select("_at").distinct(), "_at", "left_semi").select("_at", F.explode(located(F.col("outside"), TERM)).alias("t"))
+    spots = words.select("_at", F.lower("t.value").alias("term"), "t.start", "t.end").join(risks, ["_at", "term"])
+    return spots.groupBy("_at").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("rank"), "end", "kind", "of"))).alias("terms"))
 
-def all_spans() -> Column:
-    bare = F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), x["kind"].alias("kind")))
-    return F.array_sort(F.concat(bare, "terms"))
 
+#: The type of the spans of terms, for rows that have none.
+NO_TERMS = "array<struct<start:int,rank:int,end:int,kind:string,of:string>>"
 
-def masked(text: Column, spans: Column) -> Column:
-    """The text with each span replaced: base kinds by [KIND], general terms by [TERM], removed terms
-    by nothing. Spans that overlap are replaced as one."""
-    label = lambda x: F.when(x["kind"] == "term", "").when(x["kind"] == "general", "[TERM]").otherwise(F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")))
 
-    def add(s: Column, x: Column) -> Column:
-        gap = F.substring(text, s["at"] + 1, x["start"] - s["at"])
-        fresh = x["start"] >= s["at"]
-        out = F.when(fresh, F.concat(s["out"], F.array(gap, label(x)))).otherwise(s["out"])
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), out.alias("out"))
+def _spotted(read: DataFrame, *keep: str) -> DataFrame:
+    """Rows (_text and those of keep) with _at (a number of the row), base and, where base is not empty,
+    entities and outside."""
+    some = F.size("base") > 0
+    base = read.select(*keep, "_text", base_spans(F.col("_text")).alias("base"))
+    return base.select(F.monotonically_increasing_id().alias("_at"), *keep, "base", F.when(some, F.array_distinct(F.transform("base", _entity))).alias("entities"), F.when(some, _outside(F.col("_text"), F.col("base"))).alias("outside"))
+
+
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise_at: float = 0.8, remove_at: float = 0.95, prior: float = 2.0) -> DataFrame:
+    """One row per document: id, base (spans by pattern) and terms (spans of terms, kind "general" or
+    "term", of: the kind of entity that it gives away).
+
+    Entities are protected by kind and by value: a kind is met where a document has a base span of it, a
+    value where it has that span's value. A term (lower case) meets them in a document if both stand in
+    it, the term outside of all spans, however far apart. Terms are judged by `disclosure` over counts of
+    all documents: those that have the term anywhere, the kind or the value, and both. There is no
+    least number of documents: `prior` makes few of them weigh little, and a document is no evidence for
+    itself, so a value in one document only is given away by none. Terms are generalised from
+    generalise_at on, and removed from remove_at on, at every place in the documents where they meet
+    what they give away.
+
+    Only counts of terms, and the terms of documents with an entity, are shuffled; texts are not. A null
+    text is empty; texts of any length are read whole, in time that grows with their length; null ids
+    and repeated rows keep their rows, and every row counts as a document; spans with equal starts stand
+    in the order of KINDS, terms last; extra columns are not read; an empty table gives no rows.
+    """
+    read = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    found = saved(_spotted(read, "_id"), "pii-found")
+    risky = _risks(read, found.where("entities is not null"), generalise_at, remove_at, prior).withColumnRenamed("_at", "_of")
+    out = found.join(risky, F.col("_at") == F.col("_of"), "left")
+    return out.select(F.col("_id").alias(id_col), "base", F.coalesce("terms", F.array().cast(NO_TERMS)).alias("terms"))
+
 
-    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), add, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+def all_spans(base: Column, terms: Column) -> Column:
+    """Base spans and spans of terms as one array, by start, then kind as listed, terms last."""
+    bare = F.transform(base, lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), x["kind"].alias("kind"), F.lit(None).cast("string").alias("of")))
+    return F.array_sort(F.concat(bare, terms))
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with the text masked, all other columns as they are. Null texts stay null."""
-    doc, key, found = (unused(docs, f"pii_{c}") for c in ("doc", "key", "spans"))
-    spans = find(docs, id_col, text_col, **options).select(F.col(id_col).alias(doc), F.col("_key").alias(key), all_spans().alias(found)).where(F.size(found) > 0).dropDuplicates([doc, key])
-    of_text = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    met = docs.join(spans, F.col(id_col).eqNullSafe(F.col(doc)) & (of_text == F.col(key)), "left")
-    clean = F.when(F.col(found).isNotNull(), masked(F.col(text_col), F.col(found))).otherwise(F.col(text_col)).alias(text_col)
-    return met.select(*[clean if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+def masked(text: Column, spans: Column) -> Column:
+    """The text with each span replaced: base kinds by [KIND], general terms by the broader [KIND TERM] of
+    the kind that they give away, removed terms by nothing. Spans that overlap are replaced as one."""
+    name = F.upper
+    label = lambda x: F.when(x["kind"] == "term", "").when(x["kind"] == "general", F.concat(F.lit("["), name(x["of"]), F.lit(" TERM]"))).otherwise(F.concat(F.lit("["), name(x["kind"]), F.lit("]")))
+    return replaced(text, spans, lambda x, at: F.when(x["start"] >= at, label(x)).otherwise(""))
+
+
+def sanitise(docs: DataFrame, text_col: str = "text", generalise_at: float = 0.8, remove_at: float = 0.95, prior: float = 2.0) -> DataFrame:
+    """docs with the text masked as find() says, all other columns as they are. Null texts stay null.
+    Documents without a base span pass through; spans of terms are joined to the others, by row."""
+    row, of, base, terms = (unused(docs, f"pii_{c}") for c in ("row", "of", "base", "terms"))
+    whole = F.coalesce(F.col(text_col), F.lit(""))
+    spotted = docs.withColumn(base, base_spans(whole))
+    clean = spotted.where(F.size(base) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    held = saved(spotted.where(F.size(base) > 0).withColumn(row, F.monotonically_increasing_id()), "pii-held")
+    holders = held.select(F.col(row).alias("_at"), F.col(base).alias("base"), F.array_distinct(F.transform(F.col(base), _entity)).alias("entities"), _outside(whole, F.col(base)).alias("outside"))
+    risky = _risks(docs.select(whole.alias("_text")), saved(holders, "pii-holders"), generalise_at, remove_at, prior).select(F.col("_at").alias(of), F.col("terms").alias(terms))
+    met = held.join(risky, F.col(row) == F.col(of), "left")
+    done = let(all_spans(F.col(base), F.coalesce(F.col(terms), F.array().cast(NO_TERMS))), lambda x: masked(F.col(text_col), x))
+    return clean.union(met.select(*[done.alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns]))

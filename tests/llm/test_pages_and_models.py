@@ -115,7 +115,7 @@ def test_vectors_equal_brute_force(spark):
     rows += [(1000 + k, rows[0][1], 0) for k in range(30)] + [(-1, None, 1), (-2, [0.0] * 16, 1), (-3, [1.0] * 16, None), (-4, [float("nan")] * 16, 1), (-5, [1.0, 2.0], 1), (-6, [2.0, 4.0], 1), (-7, [1.0, None], 1), (-8, [float("inf")] * 16, 1)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("rep", F.lit(1)).withColumn("dim", F.lit(2))
     for block_rows in (16, 1024):
-        got = {r.vec_id: (r.n_links, r.component) for r in embeddings.near_duplicates(table, block_rows=block_rows, shared=1, prefix=16).collect()}
+        got = {r.vec_id: (r.n_links, r.component) for r in embeddings.near_duplicates(table, block_rows=block_rows).collect()}
         good = [(i, np.array(v, float), k) for i, v, k in rows if v and k is not None and None not in v and np.isfinite(np.array(v, float)).all() and any(v)]
         links, up = {i: 0 for i, *_ in rows}, {i: i for i, *_ in rows}
 
@@ -137,3 +137,29 @@ def test_vectors_equal_brute_force(spark):
         if found == exact:
             assert all(got[i][1] == root(i) for i in links)
     assert embeddings.near_duplicates(table.limit(0)).count() == 0
+
+
+def test_vectors_are_found_at_the_values_of_the_query(spark):
+    """Recall by brute force on planted pairs just above the bound, and how many pairs are verified."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = rng.normal(size=x.shape)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    c = rng.uniform(0.9801, 0.995, size=(3000, 1))
+    y = c * x + np.sqrt(1 - c * c) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    rows = [(k, v.tolist(), 1) for k, v in enumerate(np.concatenate([x, y]))]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in embeddings.near_duplicates(table).collect()}
+    assert np.mean([got[k + 3000].component == k and got[k].n_links == 1 for k in range(3000)]) >= 0.95
+    assert sum(r.n_links for r in got.values()) <= 6000
+    classes = table.select(F.col("vec_id").alias("class"), F.col("embedding").alias("vec"), "label")
+    described = embeddings.describe(classes, embeddings.choose_pivots(classes, embeddings.pivot_count(6000, 128, 65_536)), 8)
+    posts = embeddings.candidates(described, 3, 1024).distinct()
+    assert posts.count() < 4 * 6000  # of 8 * 6000 posts
+
+
+def test_vectors_with_repeated_ids_and_tiny_values(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.0], 1), (3, [1e-200] * 2, 2), (4, [2e-200] * 2, 2), (None, [1.0, 0.0], 3), (5, [1.0, 0.001], 3)]
+    got = sorted((r.vec_id or 0, r.n_links, r.component, r.kept) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == [(0, 1, 5, True), (1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 3, True), (4, 1, 3, False), (5, 1, 5, True)]

@@ -6,10 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollcall.functions import values as V
+from rollcall.session import saved
 
 #: Thresholds a list may be cut at, and what makes one a signal.
 LADDER = (9.5, 9.0, 8.5, 8.0, 7.5, 7.0)
 MIN_BATCH_BELOW, SOFT_SHIFT = 0.10, 0.15
+#: The wording of the verdicts, the parts around their figures.
+SAID = {
+    "hard_cutoff": ("Looks like a CGPA cutoff around ", ", lowest found ", ". An estimate, not an official cutoff."),
+    "soft_preference": ("Looks like a preference, not a hard cutoff: median ", ", lowest found ", "."),
+    "no_cgpa_filter": "No CGPA filter detected. It looks like the batch as a whole.",
+    "as_batch": ("Branch mix looks like the batch, led by ", "."),
+    "over": (" is over-represented against the batch.", " are over-represented against the batch."),
+}
 QUANTILES = {"p5": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75}
 
 
@@ -65,13 +74,15 @@ def share_below(x: Column, threshold: float, slack: float = 0.0) -> Column:
 
 def percentile_rank(subjects: DataFrame, rows: DataFrame, keys: list[str], value: str = "cgpa") -> DataFrame:
     """subjects (subject_id, cgpa; null grades give no row) × groups: the share of the group's values
-    strictly below the own one. Grades meet the table of value counts, not each other."""
-    counts = value_counts(rows, keys, value).groupBy(*keys, value).agg(F.max("n").alias("n"))
+    strictly below the own one. Grades meet the table of value counts in one running sum."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
     total = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
     mine = subjects.where("cgpa is not null").select("subject_id", F.col("cgpa").alias("_own"))
-    grades = mine.select("_own").distinct().crossJoin(total)
-    below = grades.join(counts.withColumnRenamed(value, "_x"), keys).where(F.col("_x") < F.col("_own")).groupBy(*keys, "_own").agg(F.sum("n").alias("b"))
-    ranked = grades.join(below, [*keys, "_own"], "left").select(*keys, "_own", (F.coalesce("b", F.lit(0)) / F.col("total")).alias("share_below"))
+    # each grade asked for is laid among the counts, before its equals: the sum so far is what lies below
+    asked = mine.select("_own").distinct().crossJoin(total.select(*keys)).select(*keys, F.col("_own").alias("_x"), F.lit(0).cast("long").alias("n"), F.lit(0).alias("_side"))
+    laid = asked.union(counts.select(*keys, F.col(value).alias("_x"), "n", F.lit(1).alias("_side")))
+    so_far = F.sum("n").over(Window.partitionBy(*keys).orderBy("_x", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = laid.withColumn("_below", so_far).where("_side = 0").join(total, keys).select(*keys, F.col("_x").alias("_own"), (F.col("_below") / F.col("total")).alias("share_below"))
     return mine.join(ranked, "_own").select("subject_id", *keys, F.col("_own").alias("cgpa"), "share_below")
 
 
@@ -95,6 +106,12 @@ def ladder(rows: DataFrame, baseline: DataFrame, value: str = "cgpa") -> DataFra
     return flat.select("drive_id", F.col("s.t").alias("threshold"), F.col("s.l").alias("share_below_shortlist"), F.col("s.b").alias("share_below_batch"), signal.alias("is_signal"))
 
 
+def _told(which: str, *figures: Column) -> Column:
+    """The wording of SAID with its figures between the parts."""
+    parts = SAID[which]
+    return F.concat(*[x for part, figure in zip(parts, figures) for x in (F.lit(part), figure)], F.lit(parts[-1]))
+
+
 def cutoff(rows: DataFrame, baseline: DataFrame, value: str = "cgpa") -> DataFrame:
     """(drive_id, kind, threshold, observed_floor, statement): a hard floor at the highest signal, else a
     preference if the list's 5th percentile lies well above the batch's floor, else no filter."""
@@ -105,9 +122,9 @@ def cutoff(rows: DataFrame, baseline: DataFrame, value: str = "cgpa") -> DataFra
     kind = F.when(F.col("t").isNotNull(), "hard_cutoff").when(F.col("p5") - F.col("batch") >= SOFT_SHIFT, "soft_preference").otherwise("no_cgpa_filter")
     low = F.format_string("%.2f", F.col("min"))
     said = (
-        F.when(kind == "hard_cutoff", F.concat(F.lit("Looks like a CGPA cutoff around "), F.format_string("%.1f", F.col("t")), F.lit(", lowest found "), low, F.lit(". An estimate, not an official cutoff.")))
-        .when(kind == "soft_preference", F.concat(F.lit("Looks like a preference, not a hard cutoff: median "), F.format_string("%.2f", F.col("median")), F.lit(", lowest found "), low, F.lit(".")))
-        .otherwise("No CGPA filter detected. It looks like the batch as a whole.")
+        F.when(kind == "hard_cutoff", _told("hard_cutoff", F.format_string("%.1f", F.col("t")), low))
+        .when(kind == "soft_preference", _told("soft_preference", F.format_string("%.2f", F.col("median")), low))
+        .otherwise(SAID["no_cgpa_filter"])
     )
     return met.select("drive_id", kind.alias("kind"), F.col("t").alias("threshold"), F.when(kind != "no_cgpa_filter", F.col("min")).alias("observed_floor"), said.alias("statement"))
 
@@ -133,7 +150,7 @@ def over_represented(lifts: DataFrame) -> DataFrame:
     found = F.collect_list(F.when(strong, F.struct((-F.col("lift")).alias("l"), "branch")))
     rows = lifts.groupBy("drive_id").agg(F.transform(F.array_sort(found), lambda x: x["branch"]).alias("over"), F.min_by("branch", F.struct(-F.col("count"), F.col("branch"))).alias("top"))
     joined = F.array_join("over", " and ")
-    said = F.when(F.size("over") == 0, F.concat(F.lit("Branch mix looks like the batch, led by "), F.col("top"), F.lit("."))).otherwise(F.concat(joined, F.when(F.size("over") == 1, " is").otherwise(" are"), F.lit(" over-represented against the batch.")))
+    said = F.when(F.size("over") == 0, _told("as_batch", F.col("top"))).otherwise(F.concat(joined, F.when(F.size("over") == 1, SAID["over"][0]).otherwise(SAID["over"][1])))
     return rows.select("drive_id", joined.alias("over_represented"), said.alias("statement"))
 
 
@@ -168,7 +185,7 @@ def analyse(members: DataFrame, neo_to_reg: DataFrame, academics: DataFrame, bas
     """One row per drive: the gate, and, only where the sample suffices, the distribution, the cutoff and
     the branches. Drives that fail the gate are left out before the statistics, then joined again. The
     baseline is that of the cohort, or all of it where the cohort has no grades."""
-    found = matched(members, neo_to_reg, academics)
+    found = saved(matched(members, neo_to_reg, academics), "matched")
     gated = gate(members, found)
     rows = found.join(gated.where("sufficient").select("drive_id"), "drive_id", "left_semi")
     if cohort is not None:

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from rollcall.functions import values as V
 
 IN, OUT, UNKNOWN = "shortlisted", "not_shortlisted", "undetermined"
-#: Verdicts as people are listed: in, cannot tell, not in.
-RANK = {IN: 0, UNKNOWN: 1, OUT: 2}
 
 
 def with_verdict(pairs: DataFrame) -> DataFrame:
@@ -40,26 +38,69 @@ def membership(subjects: DataFrame, drives: DataFrame, members: DataFrame) -> Da
     return with_verdict(met).select("subject_id", "drive_id", "status", "reason", "file_key")
 
 
-def season(verdicts: DataFrame) -> DataFrame:
-    """Drives of each subject by verdict."""
-    n = lambda s: F.count_if(F.col("status") == s)
-    return verdicts.groupBy("subject_id").agg(n(IN).alias("shortlisted"), n(OUT).alias("not_shortlisted"), n(UNKNOWN).alias("undetermined"))
-
-
-def circle(verdicts: DataFrame, labels: DataFrame, top: int = 6) -> DataFrame:
-    """For each drive the counts over all tracked people, and the labels of the first `top` in order of
-    verdict, then label."""
-    rank = F.when(F.col("status") == IN, 0).when(F.col("status") == UNKNOWN, 1).otherwise(2)
-    rows = verdicts.join(labels.select("subject_id", "label"), "subject_id").withColumn("rank", rank)
-    n = lambda s: F.count_if(F.col("status") == s)
-    counts = rows.groupBy("drive_id").agg(F.count("*").alias("total"), n(IN).alias("shortlisted"), n(OUT).alias("not_shortlisted"), n(UNKNOWN).alias("undetermined"))
-    # top per part first, so that a drive's people never meet in one task
-    part = F.pmod(F.xxhash64("subject_id"), F.lit(64))
-    order = [F.col("rank"), F.lower("label"), F.col("label"), F.col("subject_id")]
-    first = rows.withColumn("k", F.row_number().over(Window.partitionBy("drive_id", part).orderBy(*order))).where(F.col("k") <= top)
-    best = first.withColumn("k", F.row_number().over(Window.partitionBy("drive_id").orderBy(*order))).where(F.col("k") <= top)
-    members = best.groupBy("drive_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "label", "status"))), lambda x: F.concat_ws("=", x["label"], x["status"])), ";").alias("members"))
-    return counts.join(members, "drive_id", "left")
+def _keys(subjects: DataFrame) -> DataFrame:
+    """subjects with neo and reg: their identifiers where they have the form of one."""
+    return subjects.withColumns({"neo": V.neo_id(F.col("neo_id")), "reg": V.reg_no(F.col("reg_no")), "known": F.col("neo_id").isNotNull() | F.col("reg_no").isNotNull()})
+
+
+def _asked(drives: DataFrame) -> DataFrame:
+    """(drive_id, asks): the kind of identifier that a drive is keyed by, or none where it is not understood."""
+    read = (F.col("shape") != "unrecognised") & F.col("primary_key").isin(V.NEO, V.REG)
+    return drives.select("drive_id", F.when(F.coalesce(read, F.lit(False)), F.col("primary_key")).otherwise("none").alias("asks"))
+
+
+def _hits(keyed: DataFrame, drives: DataFrame, members: DataFrame) -> DataFrame:
+    """(subject_id, drive_id) of subjects that are listed, by an equi-join on kind and value."""
+    held = keyed.select("subject_id", F.explode(F.create_map(F.lit(V.NEO), "neo", F.lit(V.REG), "reg")).alias("asks", "value")).where("value is not null")
+    listed = members.select("drive_id", F.col("kind").alias("asks"), "value").join(_asked(drives), ["drive_id", "asks"])
+    return held.join(listed, ["asks", "value"]).select("subject_id", "drive_id").distinct()
+
+
+def season(subjects: DataFrame, drives: DataFrame, members: DataFrame) -> DataFrame:
+    """Drives of each subject by verdict. Only those that list a subject are met one by one; drives that
+    tell nothing about them are counted by the kind of their key, and the rest do not list them."""
+    keyed = _keys(subjects.select("subject_id", "neo_id", "reg_no"))
+    n = _asked(drives).agg(F.count("*").alias("n"), F.count_if(F.col("asks") == V.NEO).alias("n_neo"), F.count_if(F.col("asks") == V.REG).alias("n_reg"))
+    hits = _hits(keyed, drives, members).groupBy("subject_id").agg(F.count("*").alias("hits"))
+    met = keyed.select("subject_id", "neo", "reg").crossJoin(F.broadcast(n)).join(hits, "subject_id", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+    clear = F.when(F.col("neo").isNotNull(), F.col("n_neo")).otherwise(0) + F.when(F.col("reg").isNotNull(), F.col("n_reg")).otherwise(0)
+    return met.select("subject_id", F.col("hits").alias("shortlisted"), (clear - F.col("hits")).alias("not_shortlisted"), (F.col("n") - clear).alias("undetermined"))
+
+
+def circle(subjects: DataFrame, drives: DataFrame, members: DataFrame, top: int = 6) -> DataFrame:
+    """For each drive the counts over all tracked people (subjects with label), and the labels of the
+    first `top` in order of verdict, then label.
+
+    People who are listed come from the equi-join. Of the others a drive can show only the first `top` by
+    label that cannot be told (the same for all drives of a kind) and the first 2 * top that could be
+    listed, as fewer than `top` of these are where they are needed; so people never meet all drives.
+    """
+    keyed = _keys(subjects.select("subject_id", "neo_id", "reg_no", "label"))
+    held = {V.NEO: F.col("neo").isNotNull(), V.REG: F.col("reg").isNotNull(), "none": F.lit(False)}
+    flat = keyed.select("subject_id", "label", F.explode(F.array(*[F.struct(F.lit(k).alias("asks"), has.alias("clear")) for k, has in held.items()])).alias("k")).select("subject_id", "label", "k.*")
+    of_kind = flat.groupBy("asks").agg(F.count("*").alias("total"), F.count_if("clear").alias("clear_n"))
+    asked = _asked(drives)
+    hits = _hits(keyed, drives, members)
+    listed = hits.groupBy("drive_id").agg(F.count("*").alias("shortlisted"))
+    counts = asked.join(of_kind, "asks").join(listed, "drive_id", "left").withColumn("shortlisted", F.coalesce("shortlisted", F.lit(0)))
+    counts = counts.select("drive_id", "total", "shortlisted", (F.col("clear_n") - F.col("shortlisted")).alias("not_shortlisted"), (F.col("total") - F.col("clear_n")).alias("undetermined"))
+
+    label = [F.lower("label"), F.col("label"), F.col("subject_id")]
+
+    def first(rows: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
+        """The first n of each key; of each of 64 parts first, so that no task sorts a whole key."""
+        part = F.pmod(F.xxhash64("subject_id"), F.lit(64))
+        some = rows.withColumn("k", F.row_number().over(Window.partitionBy(*keys, part).orderBy(*order))).where(F.col("k") <= n)
+        return some.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("k") <= n)
+
+    best = first(flat, ["asks", "clear"], label, 2 * top).drop("k")
+    people = keyed.select("subject_id", "label")
+    mine = first(hits.join(people, "subject_id"), ["drive_id"], label, top).select("drive_id", "subject_id", "label", F.lit(0).alias("rank"), F.lit(IN).alias("status"))
+    rest = asked.join(best, "asks").join(hits, ["drive_id", "subject_id"], "left_anti")
+    rest = rest.select("drive_id", "subject_id", "label", F.when(F.col("clear"), 2).otherwise(1).alias("rank"), F.when(F.col("clear"), OUT).otherwise(UNKNOWN).alias("status"))
+    shown = first(mine.union(rest), ["drive_id"], [F.col("rank"), *label], top)
+    named = shown.groupBy("drive_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "label", "status"))), lambda x: F.concat_ws("=", x["label"], x["status"])), ";").alias("members"))
+    return counts.join(named, "drive_id", "left")
 
 
 def lookup(queries: DataFrame, drives: DataFrame, members: DataFrame) -> DataFrame:

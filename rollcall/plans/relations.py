@@ -63,8 +63,8 @@ def neo_to_reg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part-supplier pairs of full-quantity undiscounted lines: parts are primary, suppliers secondary."""
-    li = read(spark, sf_dir, "lineitem").where("l_quantity = 50 and l_discount = 0")
+    """Part-supplier pairs of all lines: parts are primary, suppliers secondary."""
+    li = read(spark, sf_dir, "lineitem")
     return li.select(F.lit("neo_id").alias("a_kind"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("a_value"), F.lit("reg_no").alias("b_kind"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("b_value"), (F.col("l_linenumber") % 4).cast("int").alias("confidence"), F.col("l_returnflag").alias("source"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
 
 
@@ -100,7 +100,7 @@ drv AS MATERIALIZED (SELECT drive_id, company, '2026-09-0' || (tier + 1) AS impo
 n2r AS (SELECT neo_id, reg_no, (subject_id % 4)::INT AS confidence FROM pop),
 org AS MATERIALIZED (SELECT drive_id, kind, value, 'Sheet1' AS sheet, (c // 2)::BIGINT AS row FROM mem),
 edg AS MATERIALIZED (SELECT 'neo_id' AS a_kind, 'P' || l_partkey AS a_value, 'reg_no' AS b_kind, 'S' || l_suppkey AS b_value, (l_linenumber % 4)::INT AS confidence,
-  l_returnflag AS source, l_orderkey * 10 + l_linenumber AS seq FROM lineitem WHERE l_quantity = 50 AND l_discount = 0),
+  l_returnflag AS source, l_orderkey * 10 + l_linenumber AS seq FROM lineitem),
 ver AS MATERIALIZED (SELECT s.subject_id, d.drive_id,
   CASE WHEN reason IS NOT NULL THEN 'undetermined' WHEN m.value IS NOT NULL THEN 'shortlisted' ELSE 'not_shortlisted' END AS status, reason,
   CASE WHEN reason = 'key_kind_not_configured' THEN s.primary_key END AS file_key, s.label

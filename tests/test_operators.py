@@ -34,6 +34,15 @@ def test_t1_verdicts(spark):
     assert got[1, 2] == got[4, 2] == got[2, 1] == (W.UNKNOWN, "key_kind_not_configured")
     assert got[3, 1] == (W.UNKNOWN, "no_identity_configured")
     assert got[1, 3] == got[3, 4] == (W.UNKNOWN, "file_not_understood")
+    count = lambda key, at: {s: sum(v[0] == s for k, v in got.items() if k[at] == key) for s in (W.IN, W.OUT, W.UNKNOWN)}
+    for r in W.season(subjects, drives, members).collect():
+        assert {W.IN: r.shortlisted, W.OUT: r.not_shortlisted, W.UNKNOWN: r.undetermined} == count(r.subject_id, 0)
+    people = subjects.withColumn("label", F.concat(F.lit("p"), 9 - F.col("subject_id")))
+    order = {W.IN: 0, W.UNKNOWN: 1, W.OUT: 2}
+    for r in W.circle(people, drives, members, top=2).collect():
+        assert (r.total, {W.IN: r.shortlisted, W.OUT: r.not_shortlisted, W.UNKNOWN: r.undetermined}) == (4, count(r.drive_id, 1))
+        shown = sorted((order[v[0]], f"p{9 - s}", v[0]) for (s, d), v in got.items() if d == r.drive_id)[:2]
+        assert r.members == ";".join(f"{label}={status}" for _, label, status in shown)
 
 
 def batch():

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rollcall.llm.common import give_back
 from rollcall.session import forget, saved
 
 #: Odd multipliers of the two rolling hashes and of the grams.
@@ -63,13 +65,14 @@ class Words:
         return long, short >> 32
 
 
-def pack_chunks(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> DataFrame:
-    """(chunk, docs): documents in chunks of about chunk_bytes of text, compressed."""
+def pack_chunks(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int, call: int = 0) -> DataFrame:
+    """(chunk, docs): documents in chunks of about chunk_bytes of text, compressed. Numbers of chunks
+    differ between calls."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        chunk, size, held = TaskContext.get().partitionId() << 32, 0, []
+        chunk, size, held = call << 48 | TaskContext.get().partitionId() << 24, 0, []
 
         def flush() -> pa.RecordBatch:
             sink = pa.BufferOutputStream()
@@ -93,6 +96,7 @@ def pack_chunks(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -
                 held.append(rows.slice(start))
         if held:
             yield flush()
+        give_back()
 
     import pyarrow.compute  # noqa: F401
 
@@ -115,8 +119,8 @@ class FingerprintIndex:
     each anchor and chunk: about a fifth as many as there are words, and few for a frequent passage.
     """
 
-    def __init__(self, buckets: int, fan_in: int = 4) -> None:
-        self.buckets, self.fan_in, self.runs = buckets, fan_in, []
+    def __init__(self, buckets: int, fan_in: int = 4, runs: list[DataFrame] | None = None) -> None:
+        self.buckets, self.fan_in, self.runs = buckets, fan_in, list(runs or [])
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Adds a batch as a run; gives the anchors (distinct) that it shares with an older run, or
@@ -150,6 +154,14 @@ class FingerprintIndex:
             out = out.union(x)
         return out
 
+    def crowded(self, over: int) -> DataFrame:
+        """The anchors that more than `over` chunks of some run have."""
+        found = [r.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > over).select("anchor") for r in self.runs]
+        out = found[0]
+        for x in found[1:]:
+            out = out.union(x)
+        return out.distinct()
+
     def _written(self, rows: DataFrame) -> DataFrame:
         dealt = rows.select("anchor", "chunk", "many").repartition(self.buckets, "anchor").sortWithinPartitions("anchor")
         return saved(dealt, "run", self.buckets, "anchor")
@@ -175,6 +187,8 @@ def fingerprints(chunks: DataFrame, window: int, gram: int) -> DataFrame:
                 for s in range(0, len(at), 100_000):
                     part = anchor[at[s : s + 100_000]]
                     yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), chunk)), pa.array(many[s : s + 100_000])], ["anchor", "chunk", "many"])
+                del w, anchor, doc, order
+        give_back()
 
     return chunks.mapInArrow(each, "anchor long, chunk long, many boolean")
 
@@ -190,21 +204,39 @@ def _least_by_key(k1: np.ndarray, k2: np.ndarray, ids: np.ndarray) -> tuple[np.n
 
 
 def candidates(anchors: DataFrame, chunks: DataFrame, window: int, gram: int) -> DataFrame:
-    """(k1, k2, id, chunk): for each chunk the distinct windows that have a shared anchor, with the
-    smallest id of the chunk's documents that have the window."""
+    """(k1, k2, id, chunk, crowded): for each chunk the distinct windows that have a shared anchor (chunk,
+    anchor, crowded), with the smallest id of the chunk's documents that have the window. Equal windows
+    have equal anchors, so all are crowded or none."""
 
     def each(key: tuple, shared: pd.DataFrame, packed: pd.DataFrame) -> pd.DataFrame:
-        out = {"k1": [], "k2": [], "id": [], "chunk": []}
+        out = {"k1": [], "k2": [], "id": [], "chunk": [], "crowded": []}
         if len(packed) and len(shared):
             ids, valid, texts = _unpack(packed["docs"].iloc[0])
             w = Words([t if v else None for t, v in zip(texts, valid)], window, gram)
-            some = np.isin(w.anchors(), shared["anchor"].to_numpy())
+            mine = w.anchors()
+            some = np.isin(mine, shared["anchor"].to_numpy())
+            full = np.isin(mine[some], shared["anchor"].to_numpy()[shared["crowded"].to_numpy(bool)])
             k1, k2 = (k[some] for k in w.keys())
             _, first, least = _least_by_key(k1, k2, ids[w.doc[some]])
-            out = {"k1": k1[first], "k2": k2[first], "id": least, "chunk": np.full(len(least), packed["chunk"].iloc[0])}
-        return pd.DataFrame(out).astype("int64").astype({"k2": "int32"})
+            out = {"k1": k1[first], "k2": k2[first], "id": least, "chunk": np.full(len(least), packed["chunk"].iloc[0]), "crowded": full[first]}
+            del w, mine, some
+        give_back()
+        return pd.DataFrame(out).astype({"k1": "int64", "k2": "int32", "id": "int64", "chunk": "int64", "crowded": "bool"})
 
-    return anchors.groupBy("chunk").cogroup(chunks.groupBy("chunk")).applyInPandas(each, "k1 long, k2 int, id long, chunk long")
+    return anchors.groupBy("chunk").cogroup(chunks.groupBy("chunk")).applyInPandas(each, "k1 long, k2 int, id long, chunk long, crowded boolean")
+
+
+def _taken(seen: DataFrame, some_crowded: bool) -> DataFrame:
+    """(chunk, k1, k2) of the candidates that a document with a smaller id has too. A window is in one row
+    per chunk at most. Those that few chunks have meet in one sort; for crowded ones the least id is
+    combined before the shuffle and joined back, which Spark can split."""
+    few = seen if not some_crowded else seen.where("not crowded")
+    out = few.withColumn("least", F.expr("min(id) over (partition by k1, k2)")).where("id > least").select("chunk", "k1", "k2")
+    if not some_crowded:
+        return out
+    many = saved(seen.where("crowded"), "crowded")
+    least = many.groupBy("k1", "k2").agg(F.min("id").alias("least"))
+    return out.union(many.join(least, ["k1", "k2"]).where("id > least").select("chunk", "k1", "k2"))
 
 
 def _results(taken: DataFrame, chunks: DataFrame, window: int, gram: int, id_col: str, with_text: bool) -> DataFrame:
@@ -239,6 +271,8 @@ def _results(taken: DataFrame, chunks: DataFrame, window: int, gram: int, id_col
                 out["kept_sha256"].append(hashlib.sha256(text).hexdigest())
                 if with_text:
                     out["kept"].append(text.decode())
+            del w, k1, k2, edge, removed
+        give_back()
         return pd.DataFrame(out | {id_col: pd.array(out[id_col], dtype="Int64")})
 
     schema = f"`{id_col}` long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
@@ -256,29 +290,64 @@ def _in_sorted(mine: np.ndarray, known: np.ndarray) -> np.ndarray:
     return out[: len(mine)]
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, gram: int = 4, batches: int = 3, fan_in: int = 4, chunk_bytes: int = 6 << 20, with_text: bool = False) -> DataFrame:
-    """One row per document: id (long), n_words, n_removed, kept_sha256 and, if asked for, kept. Words
-    covered by a window whose words also start in a document with a smaller id are removed.
+class History(NamedTuple):
+    """What earlier calls left: their packed documents and the runs of their index, as names of tables of
+    the catalogue, so that later sessions find them."""
+
+    chunks: tuple[str, ...] = ()
+    runs: tuple[str, ...] = ()
+    calls: int = 0
+
+
+def _name(table: DataFrame) -> str:
+    return table.inputFiles()[0].rsplit("/", 2)[1].replace("-", "_")
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """remove_new_repeats without earlier documents."""
+    return remove_new_repeats(docs, History(), id_col, text_col, **options)[0]
+
+
+def remove_new_repeats(docs: DataFrame, history: History, id_col: str = "doc_id", text_col: str = "text", window: int = 13, gram: int = 4, batches: int = 3, fan_in: int = 4, chunk_bytes: int = 6 << 20, crowd: int = 1000, with_text: bool = False) -> tuple[DataFrame, History]:
+    """One row per document: id (long), n_words, n_removed, kept_sha256 and, if asked for, kept; and the
+    history with these documents added. Words covered by a window whose words also start in a document
+    with a smaller id, of docs or of the history, are removed. What earlier calls gave is not changed.
 
-    The documents are indexed in `batches`, each of which meets the runs of those before it. What
-    the index finds is verified: only windows with an anchor that several documents have are
-    compared, by 96-bit keys, over all batches. Windows of one chunk of documents are combined
-    before they are dealt out, so a passage that many documents share has a row for each chunk.
-    Chunks lie in buckets of their number and are not shuffled again.
+    The documents are indexed in `batches`, each of which meets the runs of those before it, those of
+    earlier calls first. What the index finds is verified: only windows with an anchor that several
+    documents have are compared, by 96-bit keys, over all batches. Windows of one chunk of documents are
+    combined before they are dealt out, so a passage that many documents share has a row for each chunk;
+    anchors in more than `crowd` chunks of a run take a way of their own (see _taken). Chunks lie in
+    buckets of their number and are not shuffled again, unless there is a history.
 
-    A null text has no words; a null id is neither smaller nor larger than others: its row stays
-    whole; rows of the same id do not remove each other's words; documents under `window` words stay
-    whole; extra columns are not read; an empty table gives no rows.
+    Ids must be integers. A null text has no words; a null id is neither smaller nor larger than others:
+    its row stays whole; rows of the same id do not remove each other's words; documents under `window`
+    words stay whole; a text of any length is read whole, and one above chunk_bytes is a chunk by itself;
+    extra columns are not read, whatever their names; an empty table gives no rows.
     """
-    buckets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    chunks = saved(pack_chunks(docs, id_col, text_col, chunk_bytes), "chunks", buckets, "chunk")
-    index = FingerprintIndex(buckets, fan_in)
+    spark = docs.sparkSession
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    new = saved(pack_chunks(docs, id_col, text_col, chunk_bytes, history.calls), "chunks", buckets, "chunk")
+    index = FingerprintIndex(buckets, fan_in, [spark.table(t) for t in history.runs])
     shared = None
     for b in range(batches):
-        found = index.add(fingerprints(chunks.where(F.pmod(F.xxhash64("chunk"), F.lit(batches)) == b), window, gram))
+        found = index.add(fingerprints(new.where(F.pmod(F.xxhash64("chunk"), F.lit(batches)) == b), window, gram))
         shared = found if shared is None else shared.union(found)
     hits = index.chunks_with(shared.distinct())
-    seen = candidates(hits, chunks, window, gram)
-    least = seen.withColumn("least", F.expr("min(id) over (partition by k1, k2)"))
-    taken = saved(least.where("id > least").select("chunk", "k1", "k2"), "taken")
-    return _results(taken, chunks.select(F.col("chunk"), F.col("docs")), window, gram, id_col, with_text)
+    crowded = saved(index.crowded(crowd), "crowded-anchors")
+    some_crowded = not crowded.isEmpty()
+    if some_crowded:
+        hits = hits.join(crowded.withColumn("crowded", F.lit(True)), "anchor", "left").select("chunk", "anchor", F.coalesce("crowded", F.lit(False)).alias("crowded"))
+    else:
+        hits = hits.withColumn("crowded", F.lit(False))
+    chunks = new
+    if history.chunks:  # read as plain files: tables of several calls have to be dealt anew to lie side by side
+        folders = [f.rsplit("/", 1)[0] for t in history.chunks for f in spark.table(t).inputFiles()[:1]]
+        chunks = spark.read.schema(new.schema).parquet(*folders).union(spark.read.schema(new.schema).parquet(new.inputFiles()[0].rsplit("/", 1)[0]) if new.inputFiles() else new.limit(0))
+    taken = _taken(candidates(hits, chunks, window, gram), some_crowded)
+    if history.chunks:
+        taken = taken.where(F.shiftright("chunk", 48) == history.calls)
+    out = _results(saved(taken, "taken"), new.select("chunk", "docs"), window, gram, id_col, with_text)
+    names = [_name(t) for t in (new, *index.runs) if t.inputFiles()]
+    kept = (names[0],) if new.inputFiles() else ()
+    return out, History((*history.chunks, *kept), tuple(names[len(kept) :]), history.calls + 1)

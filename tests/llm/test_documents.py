@@ -60,12 +60,12 @@ def test_simhash_components_equal_brute_force(docs):
         h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 4]), seed=42) for i in range(max(1, len(w) - 3))]
         return sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
 
-    rows = [(r.doc_id, r.text) for r in docs.where("doc_id is not null and doc_id <> -9").collect()]
+    rows = [(r.doc_id, r.text) for r in docs.where("doc_id is not null").collect()]
     fps = [(i, fingerprint(t)) for i, t in rows]
     pairs = [(a, b) for k, (a, x) in enumerate(fps) for b, y in fps[:k] if (x ^ y).bit_count() <= 4]
     root = components({i for i, _ in fps}, pairs)
     expected = Counter((i, x, root[i]) for i, x in fps)
-    got = simhash.near_duplicates(docs.where("doc_id is null or doc_id <> -9")).collect()
+    got = simhash.near_duplicates(docs).collect()
     assert Counter((r.doc_id, r.fp & (2**64 - 1), r.component) for r in got if r.doc_id is not None) == expected
 
 
@@ -82,9 +82,9 @@ def test_pigeonring_links_lose_nothing_in_crowded_buckets(spark, block_rows):
     assert components(values, [(r.src, r.dst) for r in links]) == components(values, exact)
 
 
-@pytest.mark.parametrize("chunk_bytes,batches", [(4000, 6), (6 << 20, 2)])
-def test_repeats_equal_brute_force(docs, chunk_bytes, batches):
-    rows = [(r.doc_id, words(r.text)) for r in docs.where("doc_id is null or doc_id <> -9").collect()]
+def without_repeats(docs):
+    """By brute force: counts of (id, words, removed, digest, kept)."""
+    rows = [(r.doc_id, words(r.text)) for r in docs.collect()]
     first = {}
     for i, w in rows:
         for p in range(len(w) - 12) if i is not None else ():
@@ -98,8 +98,25 @@ def test_repeats_equal_brute_force(docs, chunk_bytes, batches):
                 gone |= set(range(p, p + 13))
         kept = " ".join(x for k, x in enumerate(w) if k not in gone)
         expected[(i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest(), kept)] += 1
-    got = substrings.remove_repeats(docs.where("doc_id is null or doc_id <> -9"), chunk_bytes=chunk_bytes, batches=batches, with_text=True).collect()
-    assert Counter(map(tuple, got)) == expected
+    return expected
+
+
+@pytest.mark.parametrize("chunk_bytes,batches,crowd", [(4000, 6, 2), (6 << 20, 2, 1000)])
+def test_repeats_equal_brute_force(docs, chunk_bytes, batches, crowd):
+    got = substrings.remove_repeats(docs, chunk_bytes=chunk_bytes, batches=batches, crowd=crowd, with_text=True).collect()
+    assert Counter(map(tuple, got)) == without_repeats(docs)
+
+
+def test_repeats_of_earlier_calls(docs):
+    """Documents that come in three calls, by id, are judged as if they came at once; runs are compacted."""
+    rows = docs.where("doc_id is not null").select("doc_id", "text")
+    history, got = substrings.History(), []
+    for low, high in ((-100, 60), (60, 140), (140, 10_000)):
+        part = rows.where((F.col("doc_id") >= low) & (F.col("doc_id") < high))
+        out, history = substrings.remove_new_repeats(part, history, chunk_bytes=40_000, batches=2, fan_in=2, with_text=True)
+        got += out.collect()
+    assert Counter(map(tuple, got)) == without_repeats(rows)
+    assert len(history.chunks) == 3 and len(history.runs) <= 2
 
 
 def test_index_compacts_its_runs(spark):

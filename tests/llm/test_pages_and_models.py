@@ -1,9 +1,12 @@
 """WARC, HTML, the classifier and vectors."""
 
 import hashlib
+import math
+import time
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from rollcall.llm import classifier, embeddings, html, queries, warc
@@ -82,8 +85,94 @@ def test_main_text_of_odd_pages(page, text):
     assert html.main_text(page) == text
 
 
+LONG = "This is a paragraph of text, quite long, with commas in it. "
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("İ" * 30 + f"<script>x()</script><p>{LONG}</p>", "İ" * 30 + "\n\n" + LONG.strip()),
+        (f'<body><form id="aspnetForm"><div><p>{LONG * 3}</p></div><input value=x></form></body>', (LONG * 3).strip()),
+        (f'<body><div class="entry-header"><h1>Title</h1></div><p>{LONG * 3}</p><p>{LONG}</p></body>', f"Title\n\n{(LONG * 3).strip()}\n\n{LONG.strip()}"),
+        (f"<article><header><h1>Title</h1></header><p>{LONG}</p></article>", f"Title\n\n{LONG.strip()}"),
+        (f'<article><p>{LONG}</p></article><form><p>Write a comment, please, here</p></form><div class="comments"><p>{LONG * 9}</p></div>', LONG.strip()),
+        (f'<div class="widget"><div><p>{LONG * 2}</p></div></div>', (LONG * 2).strip()),
+    ],
+)
+def test_main_text_keeps_what_is_the_articles_own(page, text):
+    assert html.main_text(page) == text
+
+
+@pytest.mark.parametrize("bad", ["<a ", '<a x="', "<a '\">", "<div>" * 4 + "</section>" * 3, "<b><div></div>text", "<!--", "<", "<form>", "<p><li>x", "</b>", "<table><td>"])
+def test_broken_pages_take_time_in_proportion(bad):
+    started = time.time()
+    html.main_text(bad * (1_000_000 // len(bad)))
+    assert time.time() - started < 8
+
+
+def plain_main_text(tree):
+    """The definition of the score, on a tree of (tag, children) and paragraphs (tag, text, linked characters)."""
+    flat = []
+
+    def walk(node, up):
+        me = len(flat)
+        flat.append((node, up))
+        for child in node[1] if isinstance(node[1], list) else ():
+            walk(child, me)
+
+    walk(("html", [tree]), 0)
+    under = lambda k, top: k == top or (k > 0 and under(flat[k][1], top))
+    points, score = [0.0] * len(flat), []
+    for (node, up) in flat:
+        if isinstance(node[1], str) and len(node[1]) >= 25 and node[0] == "p":
+            k = up
+            for share in (1, 1 / 2, 1 / 6, 1 / 9):
+                points[k] += share * (1 + node[1].count(",") + min(len(node[1]) // 100, 3))
+                if k == 0:
+                    break
+                k = flat[k][1]
+    size = [[sum(len(n[1]) for j, (n, _) in enumerate(flat) if isinstance(n[1], str) and under(j, k)), sum(n[2] for j, (n, _) in enumerate(flat) if isinstance(n[1], str) and under(j, k))] for k in range(len(flat))]
+    score = [p * (1 - links / max(chars, 1)) for p, (chars, links) in zip(points, size)]
+    best = max(range(len(flat)), key=lambda k: (score[k], -k))
+    if score[best] <= 0:
+        best = 1
+    kept = {best}
+    if flat[best][0][0] not in ("body", "html"):
+        for k, (node, up) in enumerate(flat):
+            if k and up == flat[best][1]:
+                chars, links = size[k]
+                short = node[0] == "p" and chars > 0 and (links == 0 or chars > 80 and links / chars < 0.25)
+                if score[k] >= max(10, score[best] / 5) or node[0] == "h2" or short:
+                    kept.add(k)
+    return "\n\n".join(n[1] for j, (n, _) in enumerate(flat) if isinstance(n[1], str) and any(under(j, k) for k in kept))
+
+
+def test_main_text_equals_the_plain_score_on_pages_without_article():
+    rng = np.random.default_rng(8)
+
+    def grown(depth):
+        if depth and rng.random() < 0.55:
+            return ("div", [grown(depth - 1) for _ in range(rng.integers(1, 5))])
+        text = " ".join("word" + "," * int(rng.random() < 0.2) for _ in range(rng.integers(1, 60)))
+        return ("h2", text, 0) if rng.random() < 0.1 else ("p", text, int(rng.random() < 0.3) * (len(text) // int(rng.integers(1, 5))))
+
+    def marked(node):
+        if isinstance(node[1], list):
+            return f"<{node[0]}>{''.join(map(marked, node[1]))}</{node[0]}>"
+        linked = node[1][: node[2]].rstrip()
+        return f"<{node[0]}>" + (f"<a href=x>{linked}</a>" if linked else "") + f"{node[1][len(linked):]}</{node[0]}>"
+
+    def measured(node):  # links count without the space that ends them
+        return (node[0], [measured(x) for x in node[1]]) if isinstance(node[1], list) else (node[0], node[1], len(node[1][: node[2]].strip()))
+
+    for _ in range(300):
+        tree = ("body", [grown(3) for _ in range(rng.integers(1, 6))])
+        assert html.main_text(marked(tree)) == plain_main_text(measured(tree))
+
+
 def test_extract_keeps_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE), (None, None, None), (1, "u", PAGE)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    assert html.extract(pages.limit(0)).count() == 0
     rows = html.extract(pages).collect()
     assert sorted(r.n_chars for r in rows)[0] == 0 and len(rows) == 3 and all(r.n_chars == len(r.text) for r in rows)
 
@@ -100,6 +189,25 @@ def test_classifier_on_held_out_documents(spark):
     assert classifier.fit(docs, flipped) == model
 
 
+def test_scores_equal_the_plain_formula(spark):
+    """Whole texts, piece by piece: the sizes with each dictionary, what they tell, and the curve."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = classifier.fit(docs, labels)
+    rows = docs.select("doc_id", "text").union(spark.createDataFrame([(-1, "long text, " * 40_000), (-2, ""), (-3, None)], "doc_id long, text string")).withColumns({c: F.lit("clash") for c in ("good", "weights")})
+    texts = {r.doc_id: (r.text or "").encode() for r in rows.collect()}
+    for r in classifier.score(rows, model).collect():
+        raw, sizes = texts[r.doc_id], {}
+        for name, words in (("good", model.good), ("bad", model.bad)):
+            press = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(words), write_content_size=False, write_dict_id=False)
+            sizes[name] = sum(len(press.compress(raw[k : k + 4096])) for k in range(0, len(raw), 4096))
+        told = [0.0, 0.0, 0.0, 1.0]
+        if raw:
+            fall = min(0.0, math.log(min(sizes.values()) / len(raw)))
+            told = [(sizes["bad"] - sizes["good"]) / max(sizes.values()), fall, fall**2, 1.0]
+        assert r.score == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, sum(a * b for a, b in zip(told, model.weights)))))), abs=1e-9)
+    assert classifier.score(rows.limit(0), model).count() == 0
+
+
 def test_classifier_on_odd_rows(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "x"), (2, "")], "doc_id long, text string").withColumn("score", F.lit(1))

@@ -31,6 +31,36 @@ def identifier_kind(raw: Column) -> Column:
     return F.when(neo_id(raw).isNotNull(), NEO).when(reg_no(raw).isNotNull(), REG)
 
 
+def might_be_list(text: Column) -> Column:
+    """Whether a pasted text could list identifiers at all: a gate before it is read, narrower than the
+    reading itself (four digits only)."""
+    ways = ("[A-Za-z][0-9]" * 4, "[0-9]{2}[A-Za-z]{3}[0-9]{4}")
+    out = F.lit(False)
+    for way in ways:
+        out = out | text.rlike(f"(?<![A-Za-z0-9]){way}(?![A-Za-z0-9])")
+    return F.coalesce(out, F.lit(False))
+
+
+def profile_error(neo: Column, reg: Column, cgpa: Column) -> Column:
+    """The code of the first thing wrong with a profile, or null. Blank identifiers are none."""
+    given = lambda x: x.isNotNull() & (F.trim(x) != "")
+    return (
+        F.when(given(neo) & neo_id(neo).isNull(), "bad_neo_id")
+        .when(cgpa.isNotNull() & sane_cgpa(cgpa).isNull(), "bad_cgpa")
+        .when(given(reg) & reg_no(reg).isNull(), "bad_reg_no")
+    )
+
+
+def friend_error(neo: Column, reg: Column) -> Column:
+    """no_identifier where neither identifier reads as one, or null: a name alone cannot be checked."""
+    return F.when(neo_id(neo).isNull() & reg_no(reg).isNull(), "no_identifier")
+
+
+def lookup_error(query: Column) -> Column:
+    """bad_identifier where the text is neither kind of identifier, or null."""
+    return F.when(identifier_kind(query).isNull(), "bad_identifier")
+
+
 def admission_year(reg: Column) -> Column:
     return F.substring(reg, 1, 2)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.functions import names as N
@@ -106,7 +106,7 @@ def edges_by_source(edges: DataFrame) -> DataFrame:
 def stats(edges: DataFrame) -> DataFrame:
     """One row: components, names and conflicts."""
     comps = components(edges)
-    n = comps.agg(F.count_distinct("component").alias("components"), F.count_distinct(F.when("conflicted", F.col("component"))).alias("conflicts"))
+    n = comps.agg(F.count_distinct("component").alias("components"), F.count_distinct(F.when(F.col("conflicted"), F.col("component"))).alias("conflicts"))
     return n.crossJoin(F.broadcast(node_names(edges).agg(F.count_distinct("name_key").alias("names"))))
 
 
@@ -121,17 +121,36 @@ def ingest_academics(rows: DataFrame, cohort: str | None = None):
     return academics, edges, baseline
 
 
-def link_by_name(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(payload, matched): query rows (payload, name, confidence) that one person of the corpus answers;
-    the edge is as good as the weaker of match and claim."""
+def link_by_name(queries: DataFrame, corpus: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
+    """(payload, matched, confidence): query rows (payload, name, confidence) that one person of the corpus
+    answers; the link is as good as the weaker of match and claim. Payloads of resolved (neo_id), whose
+    link comes from something stronger, are not asked for, nor are claims too weak to count."""
+    found = _asked(queries, corpus, resolved).where("outcome = 'matched' and link > 0")
+    return found.select(F.col("query_id").alias("payload"), F.col("payload").alias("matched"), F.col("link").alias("confidence"))
+
+
+def name_link_report(queries: DataFrame, corpus: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
+    """One row: exact, approximate, ambiguous and unmatched names of link_by_name."""
+    x = _asked(queries, corpus, resolved)
+    matched = F.col("outcome") == "matched"
+    return x.agg(
+        F.count_if(matched & (F.col("link") == 2)).alias("exact"), F.count_if(matched & (F.col("link") == 1)).alias("approximate"),
+        F.count_if(F.col("outcome") == "ambiguous").alias("ambiguous"), F.count_if(F.col("outcome") == "no_match").alias("unmatched"),
+    )
+
+
+def _asked(queries: DataFrame, corpus: DataFrame, resolved: DataFrame | None) -> DataFrame:
     from rollcall.operators.matching import match
 
-    found = match(queries.select(F.col("payload").alias("query_id"), F.col("name").alias("query")), corpus).where("outcome = 'matched'")
-    met = found.join(queries.select(F.col("payload").alias("query_id"), F.col("confidence").alias("claim")), "query_id")
-    return met.select(F.col("query_id").alias("payload"), F.col("payload").alias("matched"), F.least("confidence", "claim").alias("confidence"))
+    open_ = queries.where(V.can_aggregate(F.col("confidence")))
+    if resolved is not None:
+        open_ = open_.join(resolved.select(F.col("neo_id").alias("payload")).distinct(), "payload", "left_anti")
+    found = match(open_.select(F.col("payload").alias("query_id"), F.col("name").alias("query")), corpus)
+    claims = open_.select(F.col("payload").alias("query_id"), F.col("confidence").alias("claim"))
+    return found.join(claims, "query_id").withColumn("link", F.least("confidence", "claim"))
 
 
-def ranked_first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key in the given order."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+def harvest_report(edges: DataFrame) -> DataFrame:
+    """One row: links between identifiers and links to names among harvested edges."""
+    named = (F.col("a_kind") == "name") | (F.col("b_kind") == "name")
+    return edges.agg(F.count_if(~named).alias("verified_links"), F.count_if(named).alias("named_links"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.functions import names as N
@@ -15,26 +15,48 @@ def keyed(rows: DataFrame, name: str) -> DataFrame:
     return keys.withColumn("phonetic", N.phonetic_key("name_key"))
 
 
-def candidates(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Distinct pairs that share the key, the sound or a token: three equi-joins. queries: query_id,
-    query; corpus: payload, display."""
-    q, c = keyed(queries, "query"), keyed(corpus, "display")
-    left = q.select("query_id", F.col("name_key").alias("q_key"), "tokens", "phonetic")
-    right = c.select("payload", "display", F.col("name_key").alias("c_key"), F.col("tokens").alias("c_tokens"), F.col("phonetic").alias("c_phonetic"))
-    cols = ["query_id", "q_key", "payload", "display", "c_key"]
-    by_key = left.join(right, F.col("q_key") == F.col("c_key")).select(*cols)
-    by_sound = left.join(right, F.col("phonetic") == F.col("c_phonetic")).select(*cols)
-    by_token = left.withColumn("t", F.explode(F.array_distinct("tokens"))).join(right.withColumn("t", F.explode(F.array_distinct("c_tokens"))), "t").select(*cols)
+KEYS = ["name_key", "tokens", "phonetic"]
+
+
+def candidates(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """(q_key, c_key): distinct pairs of name keys (see keyed) that are equal, sound alike or share a
+    token: three equi-joins of distinct keys, so people of one name are one row on either side."""
+    left = asked.select(F.col("name_key").alias("q_key"), F.col("tokens").alias("q_tokens"), F.col("phonetic").alias("q_sound")).distinct()
+    right = known.select(F.col("name_key").alias("c_key"), F.col("tokens").alias("c_tokens"), F.col("phonetic").alias("c_sound")).distinct()
+    by_key = left.join(right, F.col("q_key") == F.col("c_key")).select("q_key", "c_key")
+    by_sound = left.join(right, F.col("q_sound") == F.col("c_sound")).select("q_key", "c_key")
+    words = right.select("c_key", F.explode(F.array_distinct("c_tokens")).alias("t"))
+    by_token = left.select("q_key", F.explode(F.array_distinct("q_tokens")).alias("t")).join(words, "t").select("q_key", "c_key")
     return by_key.union(by_sound).union(by_token).distinct()
 
 
 def match(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """(query_id, outcome, payload, confidence): matched only if all candidates at the best relation are one
-    payload; high for an exact match, probable for others; ambiguous or no_match otherwise."""
-    scored = candidates(queries, corpus).withColumn("relation", N.relation(F.col("q_key"), F.col("c_key"))).where("relation > 0")
-    best = scored.withColumn("top", F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("relation")))).where("top = 1")
-    tied = best.groupBy("query_id").agg(F.count_distinct("payload").alias("n"), F.min("payload").alias("payload"), F.max("relation").alias("relation"))
-    met = queries.select("query_id").join(tied, "query_id", "left")
-    outcome = F.when(F.col("n").isNull(), "no_match").when(F.col("n") > 1, "ambiguous").otherwise("matched")
+    payload; high for an exact match, probable for others; ambiguous or no_match otherwise. queries:
+    query_id, query; corpus: payload, display. Names are compared key by key, and a key's payloads are one
+    only if the least is the greatest, so nothing grows with the people of one name."""
+    asked, known = keyed(queries, "query"), keyed(corpus, "display")
+    held = known.groupBy("name_key").agg(F.min("payload").alias("lo"), F.max("payload").alias("hi"))
+    scored = candidates(asked.select(*KEYS), known.select(*KEYS)).withColumn("relation", N.relation(F.col("q_key"), F.col("c_key"))).where("relation > 0")
+    met = scored.join(held, F.col("c_key") == F.col("name_key"))
+    of_relation = met.groupBy("q_key", "relation").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    best = of_relation.groupBy("q_key").agg(F.max_by(F.struct("relation", "lo", "hi"), "relation").alias("b")).select("q_key", "b.*")
+    found = queries.select("query_id").join(asked.select("query_id", F.col("name_key").alias("q_key")).join(best, "q_key"), "query_id", "left")
+    outcome = F.when(F.col("lo").isNull(), "no_match").when(F.col("lo") != F.col("hi"), "ambiguous").otherwise("matched")
     one = outcome == "matched"
-    return met.select("query_id", outcome.alias("outcome"), F.when(one, F.col("payload")).alias("payload"), F.when(one, F.when(F.col("relation") == N.EXACT, 2).otherwise(1)).otherwise(0).alias("confidence"))
+    return found.select("query_id", outcome.alias("outcome"), F.when(one, F.col("lo")).alias("payload"), F.when(one, F.when(F.col("relation") == N.EXACT, 2).otherwise(1)).otherwise(0).alias("confidence"))
+
+
+def student_index(links: DataFrame, spellings: DataFrame) -> DataFrame:
+    """(payload, display): every spelling of a name with each primary identifier that bears it. links:
+    neo_id, name_key (see identity.resolve); spellings: name_key, display."""
+    return spellings.select("name_key", "display").join(links.where("name_key is not null").select("neo_id", "name_key"), "name_key").select(F.col("neo_id").alias("payload"), "display")
+
+
+def search(queries: DataFrame, index: DataFrame) -> DataFrame:
+    """(query_id, outcome, neo_id, confidence): found, ambiguous or not_found, for names typed in full or
+    nearly. An ambiguous name gives no identifier."""
+    told = {"matched": "found", "ambiguous": "ambiguous", "no_match": "not_found"}
+    found = match(queries, index)
+    outcome = F.element_at(F.create_map(*[F.lit(x) for pair in told.items() for x in pair]), F.col("outcome"))
+    return found.select("query_id", outcome.alias("outcome"), F.col("payload").alias("neo_id"), "confidence")

@@ -4,11 +4,12 @@ inserts, a new table version for rewrites)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollcall.functions import values as V
 from rollcall.operators.identity import EDGE_KEY
+from rollcall.session import saved
 
 
 def unseen(batch: DataFrame, drives: DataFrame) -> DataFrame:
@@ -17,6 +18,16 @@ def unseen(batch: DataFrame, drives: DataFrame) -> DataFrame:
     return first.join(drives.select("content_hash"), "content_hash", "left_anti").select("content_hash", "x.*").select(*batch.columns)
 
 
+def numbered(rows: DataFrame, key: str, first: int) -> DataFrame:
+    """rows with number: first, first + 1 and so on in the order of key, which no two rows share. Rows are
+    dealt out by ranges of key and counted part by part; only the parts' counts meet."""
+    parts = saved(rows.repartitionByRange(key).withColumn("_part", F.spark_partition_id()), "numbered")
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"), F.min(key).alias("_low"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_low").rowsBetween(Window.unboundedPreceding, -1))).select("_part", F.coalesce("_before", F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(key))
+    return parts.join(before, "_part").withColumn("number", (F.col("_before") + place + (first - 1)).cast("long")).drop("_part", "_before")
+
+
 def first_sighting(batch: DataFrame, keys: list[str], order: str) -> DataFrame:
     """One row per key, the first in the given order."""
     rest = [c for c in batch.columns if c not in keys]

@@ -99,11 +99,6 @@ def excerpt_around(spark, sf):
     return W.excerpt_around(o, o).select("drive_id", "kind", "at_row", "at_value", "row", "value")
 
 
-@query("SELECT subject_id, d.drive_id, primary_key AS key, CASE WHEN primary_key = 'reg_no' THEN reg_no ELSE neo_id END AS yours, total_students AS listed, org.row FROM subj, drv d LEFT JOIN org ON org.drive_id = d.drive_id AND org.value = CASE WHEN primary_key = 'reg_no' THEN reg_no ELSE neo_id END")
-def evidence(spark, sf):
-    return W.evidence(T.subjects(spark, sf).select("subject_id", "neo_id", "reg_no"), T.drives(spark, sf), T.origins(spark, sf)).drop("excerpt")
-
-
 # --- rounds ---------------------------------------------------------------------------------------
 
 _OVER = """
@@ -284,17 +279,27 @@ def branch_labels(spark, sf):
 # --- identity -------------------------------------------------------------------------------------
 
 
-#: Components by the smallest neighbour, step by step. Eight steps reach across this graph, in which
-#: any two parts are a few suppliers apart; a plain union-find holds on other graphs (tests).
+#: Steps of components_sql. They reach across this graph, in which any two parts are a few suppliers
+#: apart; the tests hold the components of other graphs against a union-find.
 _STEPS = 8
-_COMP = """
-, liv AS MATERIALIZED (SELECT a_kind || ':' || a_value AS s, b_kind || ':' || b_value AS d, confidence FROM edg WHERE confidence > 0),
-sym AS MATERIALIZED (SELECT s, d FROM liv UNION SELECT d, s FROM liv),
-st0 AS MATERIALIZED (SELECT s AS node, s AS low FROM sym GROUP BY 1),
-""" + ",\n".join(f"st{k + 1} AS MATERIALIZED (SELECT node, least(any_value(st{k}.low), min(o.low)) AS low FROM st{k} JOIN sym ON sym.s = node JOIN st{k} o ON o.node = sym.d GROUP BY node)".replace(f"JOIN st{k} o ON o.node = sym.d", f"JOIN (SELECT node AS n, low FROM st{k}) o ON o.n = sym.d") for k in range(_STEPS)) + f""",
+
+
+def components_sql(edges: str) -> str:
+    """Common table expressions with the components (cmp), their weakest edge (cmi) and their secondary
+    identifiers (cmr): each node takes the smallest label beside it, step by step."""
+    step = "st{k} AS MATERIALIZED (SELECT node, least(any_value(st{j}.low), min(o.low)) AS low FROM st{j} JOIN sym ON sym.s = node JOIN (SELECT node AS n, low FROM st{j}) o ON o.n = sym.d GROUP BY node)"
+    return (
+        f", liv AS MATERIALIZED (SELECT a_kind || ':' || a_value AS s, b_kind || ':' || b_value AS d, confidence FROM {edges} WHERE confidence > 0 AND a_kind <> 'name' AND b_kind <> 'name'),\n"
+        "sym AS MATERIALIZED (SELECT s, d FROM liv UNION SELECT d, s FROM liv),\nst0 AS MATERIALIZED (SELECT s AS node, s AS low FROM sym GROUP BY 1),\n"
+        + ",\n".join(step.format(k=k + 1, j=k) for k in range(_STEPS))
+        + f""",
 cmp AS MATERIALIZED (SELECT node, low AS component FROM st{_STEPS}),
 cmi AS MATERIALIZED (SELECT component, min(confidence)::INT AS confidence FROM liv JOIN cmp ON cmp.node = liv.s GROUP BY 1),
 cmr AS MATERIALIZED (SELECT component, count_if(node LIKE 'reg_no:%')::BIGINT AS n_regs FROM cmp GROUP BY 1)"""
+    )
+
+
+_COMP = components_sql("edg")
 
 
 @query(_COMP + " SELECT node, component FROM cmp")
@@ -351,14 +356,6 @@ def phonetic_keys(spark, sf):
     return k.select("name_key", "phonetic").distinct()
 
 
-@query()
-def ambiguity_gate(spark, sf):
-    s = T.read(spark, sf, "supplier")
-    corpus = T.read(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("payload"), F.col("n_name").alias("display"))
-    asked = s.join(T.read(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("query_id"), F.col("n_name").alias("query"))
-    return M.match(asked, corpus)
-
-
 # --- ingest ---------------------------------------------------------------------------------------
 
 _CELLS = """
@@ -544,3 +541,6 @@ def newest_k(spark, sf):
 
     w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
     return T.read(spark, sf, "events").select("user_id", "event_id", "ts", F.row_number().over(w).alias("k")).where("k <= 2").drop("k")
+
+
+from rollcall.plans import people as _people  # noqa: E402, F401  (registers its queries)

@@ -39,9 +39,8 @@ def import_lists(cells: DataFrame, stored: DataFrame, first_id: int, now: Column
     titles = ingest.titles(cells, layout).groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("sheet_idx", "row", "title"))).alias("t")).select("file_id", F.transform("t", lambda x: x["title"]).alias("titles"))
     sheets = cells.select("file_id", "sheet_idx", "sheet").distinct().groupBy("file_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("sheet_idx", "sheet"))), lambda x: x["sheet"]).alias("sheets"))
     fresh = store.unseen(files, stored)
-    numbered = fresh.crossJoin(F.broadcast(fresh.agg(F.array_sort(F.collect_list("file_id")).alias("order")))).withColumn("drive_id", F.array_position("order", F.col("file_id")) + (first_id - 1))
-    named = numbered.join(titles, "file_id", "left").join(sheets, "file_id", "left").withColumn("i", naming.infer(file_name(F.col("file_id")), F.col("titles"), F.col("sheets")))
-    named = saved(named.drop("order", "titles", "sheets"), "named")
+    named = store.numbered(fresh, "file_id", first_id).withColumnRenamed("number", "drive_id").join(titles, "file_id", "left").join(sheets, "file_id", "left").withColumn("i", naming.infer(file_name(F.col("file_id")), F.col("titles"), F.col("sheets")))
+    named = saved(named.drop("titles", "sheets"), "named")
     drives = named.select("drive_id", F.col("i.company").alias("company"), F.col("i.date").alias("drive_date"), now.alias("imported_at"), file_name(F.col("file_id")).alias("filename"), "content_hash", "shape", "primary_key", F.col("student_count").cast("long").alias("total_students"), F.col("i.round").alias("round_label"), F.lit(None).cast("long").alias("parent_drive_id"))
     ids = named.select("file_id", "drive_id")
     members = ingest.members(parsed).join(ids, "file_id").select("drive_id", "kind", "value")
@@ -73,12 +72,6 @@ def outcomes(subjects: DataFrame, drives: DataFrame, members: DataFrame, edges:
     return told, analytics.analyse(members, known, academics, baseline)
 
 
-def upgrade_names(drives: DataFrame) -> DataFrame:
-    """Drives that still carry the older name of their file get the newer one; others stay."""
-    new = naming.infer(F.col("filename"), F.array().cast("array<string>"), F.array().cast("array<string>"))["company"]
-    return drives.withColumn("company", F.when(F.col("company") == naming.legacy_name(F.col("filename")), new).otherwise(F.col("company")))
-
-
 def build_pack(edges: DataFrame, academics: DataFrame, spellings: DataFrame) -> dict[str, DataFrame]:
     """Tables of reference data to ship: sound identity links, grades, and spellings of names in use."""
     links = identity.resolve(edges)

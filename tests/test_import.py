@@ -4,6 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from rollcall.operators import answers, store
 from rollcall.plans import importing
 
 
@@ -51,5 +52,55 @@ def test_pasted_and_reference(spark):
 
 
 def test_older_names_are_upgraded(spark):
-    d = spark.createDataFrame([("acme_shortlist.xlsx", "acme"), ("acme_shortlist.xlsx", "My own")], "filename string, company string")
-    assert [r.company for r in importing.upgrade_names(d).collect()] == ["Acme", "My own"]
+    d = spark.createDataFrame([("acme_shortlist.xlsx", "acme", None), ("acme_shortlist_round_2.xlsx", "My own", None), ("x_final.xlsx", "X", "R1")], "filename string, company string, round_label string")
+    meta = spark.createDataFrame([], "key string, value string")
+    assert [tuple(r)[1:] for r in answers.upgrade_names(d, meta).collect()] == [("Acme", None), ("My own", "R2"), ("X", "R1")]
+    done = answers.set_meta(meta, answers.NAMES_UPGRADED, "1")
+    assert answers.upgrade_names(d, done).first().company == "acme" and answers.set_meta(done, answers.NAMES_UPGRADED, None).isEmpty()
+
+
+def test_numbers_follow_the_order_of_keys(spark):
+    rows = spark.range(2000).select(F.concat(F.lit("f"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("file_id"), "id").repartition(7)
+    assert all(r.number == 10 + r.id for r in store.numbered(rows, "file_id", 10).collect())
+    assert store.numbered(rows.limit(0), "file_id", 1).count() == 0
+
+
+def test_places_are_filled_in_where_a_subject_is_listed(spark):
+    drives = spark.createDataFrame([(1, "neo_id"), (2, "neo_id"), (3, "reg_no")], "drive_id long, primary_key string")
+    members = spark.createDataFrame([(1, "neo_id", "A"), (2, "neo_id", "A"), (3, "neo_id", "A")], "drive_id long, kind string, value string")
+    origin = "drive_id long, kind string, value string, sheet string, row long"
+    origins = spark.createDataFrame([(2, "neo_id", "A", "S", 4)], origin)
+    found = spark.createDataFrame([(d, "neo_id", v, "S", r) for d in (1, 2, 3) for v, r in (("A", 4), ("B", 5))], origin)
+    new = answers.backfill_origins(drives, members, origins, spark.createDataFrame([("neo_id", "A")], "kind string, value string"), found)
+    assert sorted((r.drive_id, r.value) for r in new.collect()) == [(1, "A"), (1, "B")]
+
+
+def test_rounds_are_linked_once(spark):
+    d = spark.createDataFrame([(1, "Acme", "2026-01-01", None), (2, "Acme", "2026-01-02", None)], "drive_id long, company string, imported_at string, parent_drive_id long")
+    m = spark.createDataFrame([(k, "neo_id", f"A{x}") for k in (1, 2) for x in range(5)], "drive_id long, kind string, value string")
+    meta = spark.createDataFrame([], "key string, value string")
+    assert {r.drive_id: r.parent_drive_id for r in answers.link_existing_rounds(d, m, meta).collect()} == {1: None, 2: 1}
+    assert {r.parent_drive_id for r in answers.link_existing_rounds(d, m, answers.set_meta(meta, answers.ROUNDS_LINKED, "1")).collect()} == {None}
+
+
+def test_a_pack_is_loaded_once_a_version(spark):
+    pack = {
+        "edges": spark.createDataFrame([("A1B2C3D4", "23ABC1234", 3), ("A1B2C3D4", "23ABC1234", 1), ("B1B2C3D4", None, 3)], "neo_id string, reg_no string, confidence int"),
+        "names": spark.createDataFrame([("ann lee", "Ann Lee"), ("bob ray", "Bob Ray")], "name_key string, display string"),
+        "academics": spark.createDataFrame([("23ABC1234", 8.5, "cse")], "reg_no string, cgpa double, branch string"),
+        "baseline": spark.createDataFrame([(7.5, "it")], "cgpa double, branch string"),
+    }
+    tables = {"edges": spark.createDataFrame([], "a_kind string, a_value string, b_kind string, b_value string, source string"), "spellings": spark.createDataFrame([("bob ray",)], "name_key string")}
+    meta = spark.createDataFrame([], "key string, value string")
+    got = answers.seed(meta, 4, pack, tables)
+    assert [tuple(r)[-1] for r in got["edges"].collect()] == [3] and [r.display for r in got["spellings"].collect()] == ["Ann Lee"]
+    assert got["baseline"].first().cohort == "23" and answers.seed_report(got) == {"students": 1, "academics": 1, "already_seeded": False}
+    assert answers.seed(got["meta"], 4, pack, tables) is None and answers.seed(got["meta"], 5, pack, tables) is not None
+    assert answers.seed_report(None)["already_seeded"]
+
+
+def test_snapshots_are_moved_into_place(spark, tmp_path):
+    for text in ("one", "two"):
+        answers.write_snapshot(spark.createDataFrame([(text,)], "document string"), str(tmp_path))
+        assert (tmp_path / "snapshot.json").read_text() == text + "\n"
+    assert [p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")] == ["snapshot.json"]

@@ -289,3 +289,34 @@ def test_long_chains_of_rounds_are_walked_to_their_end(spark):
     line = ">".join(f"R{k}={'not_' if k == n else ''}shortlisted" for k in range(1, n + 1))
     assert all(told[k] == (line, False) for k in range(1, n + 1))
     assert len(told[50][0].split(">")) == 2
+
+
+def test_names_match_as_by_brute_force(spark):
+    """Every query against every name: exact, subset and fuzzy answers, ambiguous and repeated names."""
+    from rollcall.functions import names as N
+
+    corpus = [("1", "Ravi Kumar Shah"), ("2", "Shah Ravi"), ("3", "Anita Rao"), ("4", "Anita Rao"), ("5", "Anitha Rao"), ("6", "Stephen Lee"), ("6", "Lee Stephen"), ("7", "Steven Li"), ("8", "Meera"), ("9", "Priya Nair"), ("10", "Priya Nayar"), ("11", ""), ("12", "Nair Priya Devi")]
+    asked = [(k, q) for k, q in enumerate(["Ravi Shah", "Kumar Ravi Shah", "Anita Rao", "Anitha Rao", "Anitta Rao", "Stephen Lee", "Stefen Lee", "Meera", "Mira", "Priya Nair", "Priya", "Nobody Here", "", "Nayar Priya", "Devi Nair"])]
+    q, c = spark.createDataFrame(asked, "query_id long, query string"), spark.createDataFrame(corpus, "payload string, display string")
+    left, right = M.keyed(q, "query").alias("l"), M.keyed(c, "display").alias("r")
+    near = (F.col("l.name_key") == F.col("r.name_key")) | (F.col("l.phonetic") == F.col("r.phonetic")) | F.arrays_overlap("l.tokens", "r.tokens")
+    scored = left.crossJoin(right).where(near).withColumn("relation", N.relation(F.col("l.name_key"), F.col("r.name_key"))).collect()
+    expected = {}
+    for k, _ in asked:
+        mine = [(r.relation, r.payload) for r in scored if r.query_id == k and r.relation > 0]
+        best = {p for rel, p in mine if rel == max(mine)[0]}
+        expected[k] = ("no_match", None) if not best else ("ambiguous", None) if len(best) > 1 else ("matched", *best)
+    assert {r.query_id: (r.outcome, r.payload) for r in M.match(q, c).collect()} == expected
+    assert {x[0] for x in expected.values()} == {"matched", "ambiguous", "no_match"}
+    links = spark.createDataFrame([("A1", "rao anita"), ("B1", "anita rao"), ("C1", "lee stephen")], "neo_id string, name_key string")
+    index = M.student_index(links.withColumn("name_key", F.array_join(F.array_sort(F.split("name_key", " ")), " ")), spark.createDataFrame([("anita rao", "Anita Rao"), ("lee stephen", "Stephen Lee")], "name_key string, display string"))
+    found = {r.query_id: (r.outcome, r.neo_id) for r in M.search(spark.createDataFrame([(1, "Anita Rao"), (2, "stephen lee"), (3, "Xq Zw")], "query_id long, query string"), index).collect()}
+    assert found == {1: ("ambiguous", None), 2: ("found", "C1"), 3: ("not_found", None)}
+
+
+def test_name_links_skip_what_is_resolved(spark):
+    corpus = spark.createDataFrame([("R1", "Ravi Shah"), ("R2", "Anita Rao"), ("R3", "Anita Rao"), ("R4", "Stephen Lee")], "payload string, display string")
+    asked = spark.createDataFrame([("N1", "Ravi Shah", 3), ("N2", "Anita Rao", 3), ("N3", "Stephen Lee", 1), ("N4", "Ravi Shah", 2), ("N5", "Qq Zz", 2), ("N6", "Ravi Shah", 0)], "payload string, name string, confidence int")
+    resolved = spark.createDataFrame([("N4",)], "neo_id string")
+    assert {(r.payload, r.matched, r.confidence) for r in I.link_by_name(asked, corpus, resolved).collect()} == {("N1", "R1", 2), ("N3", "R4", 1)}
+    assert tuple(I.name_link_report(asked, corpus, resolved).first()) == (1, 1, 1, 1)

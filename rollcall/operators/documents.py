@@ -9,8 +9,8 @@ from rollcall.functions import values as V
 
 
 def export_rows(drives: DataFrame, members: DataFrame, names: DataFrame) -> DataFrame:
-    """(drive_id, identifier, name, status, seq): each member of the drive's kind, named where known. Named
-    ones come first by name, then identifier. names: value, name."""
+    """(drive_id, identifier, name, status): each member of the drive's kind, named where known. names: value,
+    name. Rows have no order until they are written (see export_order and write_csv)."""
     listed = members.join(drives.select("drive_id", F.coalesce("primary_key", F.lit(V.NEO)).alias("kind")), ["drive_id", "kind"]).join(names, "value", "left")
     status = F.when(F.col("name").isNotNull(), "Identified").otherwise("Not identified")
     return listed.select("drive_id", F.col("value").alias("identifier"), "name", status.alias("status"))
@@ -28,6 +28,19 @@ def csv_lines(rows: DataFrame, identifier_title: str = "Neo ID") -> DataFrame:
     return head.union(rows.select("drive_id", F.lit(1).alias("part"), line.alias("line")))
 
 
+def write_csv(rows: DataFrame, folder: str, identifier_title: str = "Neo ID") -> None:
+    """The CSV of each drive under folder/drive_id=…: the heading, then named members by name and identifier,
+    then the others by identifier, in lines that end in CR LF. Parts of a drive are cut by ranges of
+    that order and numbered in it, so a list of any size is written by many tasks."""
+    order = [F.col("drive_id"), F.col("part"), *export_order()]
+    line = F.concat_ws(",", V.csv_field(F.col("identifier")), V.csv_field(F.coalesce("name", F.lit(""))), V.csv_field(F.col("status")))
+    body = rows.select("drive_id", F.lit(1).alias("part"), "identifier", "name", line.alias("line"))
+    none = F.lit(None).cast("string")
+    head = csv_lines(rows, identifier_title).where("part = 0").select("drive_id", "part", none.alias("identifier"), none.alias("name"), "line")
+    dealt = head.union(body).repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt.select("drive_id", "line").write.mode("overwrite").partitionBy("drive_id").option("lineSep", "\r\n").text(folder)
+
+
 def summaries(drives: DataFrame, labels: DataFrame, findings: DataFrame) -> DataFrame:
     """(drive_id, text): the message for a group: title, count, the round before, and, where the sample
     suffices, what it took. findings: drive_id, sufficient, kind, threshold, over_represented."""

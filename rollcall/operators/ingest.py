@@ -156,8 +156,22 @@ def pasted_rows(texts: DataFrame, id_col: str = "file_id", text_col: str = "text
 
 def pasted_titles(texts: DataFrame, id_col: str = "file_id", text_col: str = "text") -> DataFrame:
     """(id, unread_lines, titles): lines with three letters or more and no identifier, and the first three."""
-    lines = texts.select(id_col, F.posexplode(F.split(text_col, "\r?\n")).alias("line", "t"))
-    found = F.exists(F.regexp_extract_all("t", F.lit("[A-Za-z0-9]+"), F.lit(0)), lambda w: V.identifier_kind(w).isNotNull())
-    letters = F.length(F.regexp_replace("t", r"[^\p{IsAlphabetic}]", ""))
-    unread = lines.where(~found & (letters >= 3)).groupBy(id_col).agg(F.count("*").alias("unread_lines"), F.array_sort(F.collect_list(F.struct("line", F.substring(F.trim("t"), 1, TITLE_CHARS).alias("t")))).alias("x"))
-    return unread.select(id_col, "unread_lines", F.slice(F.transform("x", lambda c: c["t"]), 1, TITLES).alias("titles"))
+
+    def unread(t):
+        found = F.exists(F.regexp_extract_all(t, F.lit("[A-Za-z0-9]+"), F.lit(0)), lambda w: V.identifier_kind(w).isNotNull())
+        return ~found & (F.length(F.regexp_replace(t, r"[^\p{IsAlphabetic}]", "")) >= 3)
+
+    lines = texts.select(id_col, F.filter(F.split(text_col, "\r?\n"), unread).alias("x")).where(F.size("x") > 0)
+    return lines.select(id_col, F.size("x").cast("long").alias("unread_lines"), F.transform(F.slice("x", 1, TITLES), lambda t: F.substring(F.trim(t), 1, TITLE_CHARS)).alias("titles"))
+
+
+#: Bytes of the longest text that is read as a paste.
+MAX_PASTE = 1 << 20
+
+
+def pasted_errors(texts: DataFrame, id_col: str = "file_id", text_col: str = "text", most: int = MAX_PASTE) -> DataFrame:
+    """(id, error): too_large for texts above `most` bytes, no_identifiers for others in which none stands."""
+    words = F.regexp_extract_all(text_col, F.lit("[A-Za-z0-9]+"), F.lit(0))
+    none = ~F.coalesce(F.exists(words, lambda w: V.identifier_kind(w).isNotNull()), F.lit(False))
+    error = F.when(F.octet_length(text_col) > most, "too_large").when(none, "no_identifiers")
+    return texts.select(id_col, error.alias("error")).where("error is not null")

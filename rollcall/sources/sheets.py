@@ -28,7 +28,7 @@ def delimiter(text: str) -> str:
 
 def csv_grid(text: str) -> list[list[str]]:
     """Rows of trimmed fields: doubled quotes inside quotes, a quote opens only an empty field, CR dropped."""
-    cut, rows, row, field, quoted = delimiter(text), [], [], [], False
+    cut, rows, row, field, quoted, blank = delimiter(text), [], [], [], False, True
     k, n = 0, len(text)
     while k < n:
         c = text[k]
@@ -36,21 +36,24 @@ def csv_grid(text: str) -> list[list[str]]:
         if quoted:
             if c == '"' and text[k : k + 1] == '"':
                 field.append('"')
+                blank = False
                 k += 1
             elif c == '"':
                 quoted = False
             else:
                 field.append(c)
-        elif c == '"' and not "".join(field).strip():
+                blank = blank and c.isspace()
+        elif c == '"' and blank:
             quoted = True
         elif c == cut:
             row.append("".join(field).strip())
-            field = []
+            field, blank = [], True
         elif c == "\n":
             rows.append([*row, "".join(field).strip()])
-            row, field = [], []
+            row, field, blank = [], [], True
         elif c != "\r":
             field.append(c)
+            blank = blank and c.isspace()
     if field or row:
         rows.append([*row, "".join(field).strip()])
     return rows
@@ -135,15 +138,15 @@ def file_cells(path: str, data: bytes) -> Iterator[tuple[int, str, int, int, str
         for r, row in enumerate(csv_grid(data.decode("utf-8-sig", "replace"))):
             yield from ((0, "", r, c, t) for c, t in enumerate(row) if t)
     elif ext in ("xlsx", "xlsm", "ods"):
-        found = xlsx_cells(data) if ext != "ods" else ods_cells(data)
-        yield from (x for x in found if x[2] < MAX_ROWS and x[3] < MAX_COLS)
+        yield from xlsx_cells(data) if ext != "ods" else ods_cells(data)
     else:
         raise ValueError("unsupported format")
 
 
-def cells_of(files: DataFrame) -> DataFrame:
+def cells_of(files: DataFrame, max_rows: int = MAX_ROWS, max_cols: int = MAX_COLS) -> DataFrame:
     """(file_id, sheet_idx, sheet, row, col, text, error) of files (path, content). A file that cannot be read
-    gives one row with its error and no text."""
+    gives one row with its error and no text. Of every kind of file, the first max_rows rows and max_cols
+    columns of a sheet are read; where there are more, a row with an error says how many were left out."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.strip().split()[0] for c in CELLS.split(",")]
@@ -151,7 +154,17 @@ def cells_of(files: DataFrame) -> DataFrame:
         for rows in batches:
             for path, data in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
                 try:
-                    out = [(path, *x, None) for x in file_cells(path, data or b"")]
+                    out, rows_cut, cols_cut = [], set(), set()
+                    for x in file_cells(path, data or b""):
+                        if x[2] >= max_rows:
+                            rows_cut.add((x[0], x[2]))
+                        elif x[3] >= max_cols:
+                            cols_cut.add((x[0], x[3]))
+                        else:
+                            out.append((path, *x, None))
+                    for cut, what, most in ((rows_cut, "rows", max_rows), (cols_cut, "columns", max_cols)):
+                        if cut:
+                            out.append((path, None, None, None, None, None, f"{len(cut)} {what} beyond the first {most} left out"))
                 except Exception as e:  # an unreadable file is a result, not a failed job
                     out = [(path, None, None, None, None, None, str(e)[:200])]
                 if out:
@@ -185,6 +198,15 @@ def read_pack(packs: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def _letters(k: int) -> str:
+    """The letters of column k, counted from 0."""
+    out = ""
+    while k >= 0:
+        k, last = divmod(k, 26)
+        out, k = chr(65 + last) + out, k - 1
+    return out
+
+
 def write_xlsx(path: str, sheet: str, rows: Iterator[list[str]]) -> None:
     """One sheet of strings with a frozen heading and a filter, streamed row by row: for exports of one list
     that a person opens (rows from toLocalIterator())."""
@@ -203,7 +225,7 @@ def write_xlsx(path: str, sheet: str, rows: Iterator[list[str]]) -> None:
             n = width = 0
             for n, row in enumerate(rows, 1):
                 width = max(width, len(row))
-                cells = "".join(f'<c r="{chr(65 + k)}{n}" t="inlineStr"><is><t xml:space="preserve">{escape(t or "")}</t></is></c>' for k, t in enumerate(row))
+                cells = "".join(f'<c r="{_letters(k)}{n}" t="inlineStr"><is><t xml:space="preserve">{escape(t or "")}</t></is></c>' for k, t in enumerate(row))
                 out.write(f'<row r="{n}">{cells}</row>'.encode())
-            span = f'<autoFilter ref="A1:{chr(64 + max(width, 1))}{max(n, 1)}"/>' if n else ""
+            span = f'<autoFilter ref="A1:{_letters(max(width, 1) - 1)}{max(n, 1)}"/>' if n else ""
             out.write(f"</sheetData>{span}</worksheet>".encode())

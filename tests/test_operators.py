@@ -212,6 +212,19 @@ def test_csv_grids():
     assert sheets.delimiter("a;b;c\n1,2") == ";" and sheets.delimiter("a\tb;c") == "\t" and sheets.delimiter("abc") == "\t"
 
 
+def test_long_sheets_say_what_was_left_out(spark):
+    rows = [("a.csv", bytearray(b"\n".join(b"a,b,c,d" for _ in range(9)))), ("b.csv", bytearray(b'x,"' + b'" "" ' * 50_000 + b'"'))]
+    got = sheets.cells_of(spark.createDataFrame(rows, "path string, content binary"), max_rows=5, max_cols=3).collect()
+    of = [r for r in got if r.file_id == "a.csv"]
+    assert sum(r.error is None for r in of) == 15 and {r.error for r in of if r.error} == {"4 rows beyond the first 5 left out", "1 columns beyond the first 3 left out"}
+    assert sheets._letters(0) == "A" and sheets._letters(25) == "Z" and sheets._letters(26) == "AA" and sheets._letters(701) == "ZZ" and sheets._letters(702) == "AAA"
+
+
+def test_pastes_without_identifiers_are_refused(spark):
+    t = spark.createDataFrame([(1, "A1B2C3D4"), (2, "nothing"), (3, None), (4, "A1B2C3D4 " * 200_000)], "file_id long, text string")
+    assert {r.file_id: r.error for r in G.pasted_errors(t).collect()} == {2: "no_identifiers", 3: "no_identifiers", 4: "too_large"}
+
+
 def test_workbooks_go_round(spark, tmp_path):
     sheets.write_xlsx(str(tmp_path / "a.xlsx"), "A & B", iter([["Neo ID", "Name"], [N1, "Ravi <Shah>"]]))
     (tmp_path / "b.csv").write_text(f"id;name\n{N2};Anita")
@@ -271,6 +284,14 @@ def test_snapshots_read(spark):
     assert [r.state for r in D.read_snapshots(docs).collect()] == ["current", "stale", "stale", "missing"]
 
 
+def test_csv_files_are_in_order(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "B2", None, "Not identified"), (1, "A1", "zoe", "Identified"), (1, "C3", "Ann, A", "Identified"), (1, "A2", None, "Not identified"), (2, "D4", "=cmd", "Identified")], "drive_id long, identifier string, name string, status string")
+    D.write_csv(rows, str(tmp_path / "out"))
+    text = lambda d: b"".join(p.read_bytes() for p in sorted((tmp_path / "out" / f"drive_id={d}").glob("part-*"))).decode()
+    assert text(1).split("\r\n")[:-1] == ["\ufeffNeo ID,Name,Status", 'C3,"Ann, A",Identified', "A1,zoe,Identified", "A2,,Not identified", "B2,,Not identified"]
+    assert text(2).count("\r\n") == 2 and "'=cmd" in text(2)
+
+
 def test_pseudonyms(spark):
     ids = spark.createDataFrame([(N1,), (N2,), (N1,)], "value string")
     got = {r.value: r.alias for r in D.pseudonyms(ids, "k").collect()}

@@ -156,7 +156,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     each = saved(fingerprints(docs, id_col, text_col, shingle), "simhash")
     nodes = saved(each.groupBy("fp").agg(F.min(id_col).alias("least")), "simhash-nodes")
-    parts = saved(connected_components(fingerprint_links(nodes.select("fp"), distance, segments)), "simhash-parts")
+    parts = connected_components(fingerprint_links(nodes.select("fp"), distance, segments))
     named = nodes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     named = saved(named, "simhash-named")
     least = named.groupBy("root").agg(F.min("least").alias("component"))

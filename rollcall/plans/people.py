@@ -15,6 +15,7 @@ from rollcall.operators import verdicts as W
 from rollcall.plans import importing
 from rollcall.plans import relations as T
 from rollcall.plans.catalogue import _CHAIN, _CUT, _DIST, _GATE, _LADDER, _OVER, _baseline, _verdicts, components_sql, query
+from rollcall.session import saved
 
 # --- the identity graph ---------------------------------------------------------------------------
 
@@ -107,7 +108,7 @@ FROM ask JOIN idx ON name_key = name GROUP BY query_id""")
 def student_search(spark, sf):
     """Names of every hundredth person and the next one, of those that anyone bears, against all."""
     p, known = people(spark, sf), I.resolve(links(spark, sf))
-    index = M.student_index(known, I.spellings(p))
+    index = saved(M.student_index(known, I.spellings(p)), "index")
     asked = p.where("seq % 100 < 2").join(index.select(F.col("display").alias("name")).distinct(), "name", "left_semi")
     return M.search(asked.select(F.col("seq").alias("query_id"), F.col("name").alias("query")), index)
 

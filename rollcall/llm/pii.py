@@ -27,6 +27,10 @@ KINDS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: Beside these, keys and tokens: a run of 24 to 512 characters as they are made of, that holds letters and
+#: digits in numbers (see _valid). It is protected like the others, but no base kind.
+SECRET = "secret"
+PATTERNS = KINDS | {SECRET: r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,512}+(?![A-Za-z0-9+/_-])"}
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: A term: a whole run of letters, beside which no digit stands.
 TERM = r"(?<![\p{L}\p{N}])\p{L}++(?!\p{N})"
@@ -125,14 +129,17 @@ def _valid(kind: str, value: Column) -> Column:
         return F.when(n.between(12, 19), _luhn(digits)).otherwise(False)
     if kind == "phone":
         return n.between(9, 15)
+    if kind == SECRET:
+        letters = F.length(F.regexp_replace(value, "[^A-Za-z]", ""))
+        return (n >= 4) & (letters >= 4) & (F.size(F.array_distinct(F.regexp_extract_all(value, F.lit("."), F.lit(0)))) >= 8)
     return F.lit(True)
 
 
-def base_spans(text: Column) -> Column:
-    """array of (start, rank, end, kind, value), by start, then kind as listed."""
-    quick = {"email": text.contains("@"), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike(r"[0-9](?:[\x20-]?[0-9]){11}"), "phone": text.contains("+")}
+def pattern_spans(text: Column) -> Column:
+    """array of (start, rank, end, kind, value) of all PATTERNS, by start, then kind as listed."""
+    quick = {"email": text.contains("@"), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike(r"[0-9](?:[\x20-]?[0-9]){11}"), "phone": text.contains("+"), SECRET: text.rlike("[A-Za-z0-9+/_-]{24}")}
     each = []
-    for rank, (kind, pattern) in enumerate(KINDS.items()):
+    for rank, (kind, pattern) in enumerate(PATTERNS.items()):
         named = _named(located(text, pattern), rank, kind)
         each.append(F.when(quick[kind], named).otherwise(F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string>>")))
     return F.array_sort(F.concat(*each))
@@ -180,7 +187,7 @@ def _risks(read: DataFrame, holders: DataFrame, generalise_at: float, remove_at:
     """(_at, terms): for rows of holders (_at, base, entities, outside) that have such terms, their spans
     (start, rank, end, kind, of): kind "general" or "term", of: the kind of what the term gives away. read
     has the texts of all documents (_text)."""
-    kinds = list(KINDS)
+    kinds = list(PATTERNS)
     has = lambda k: F.exists("base", lambda x: x["kind"] == k)
     total = read.agg(F.count("*").alias("n"))
     of_kind = holders.agg(*[F.count_if(has(k)).alias(f"all_{k}") for k in kinds])
@@ -215,7 +222,7 @@ def _risks(read: DataFrame, holders: DataFrame, generalise_at: float, remove_at:
 
     words = holders.join(risks.select("_at").distinct(), "_at", "left_semi").select("_at", F.explode(located(F.col("outside"), TERM)).alias("t"))
     spots = words.select("_at", F.lower("t.value").alias("term"), "t.start", "t.end").join(risks, ["_at", "term"])
-    return spots.groupBy("_at").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("rank"), "end", "kind", "of"))).alias("terms"))
+    return spots.groupBy("_at").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(len(PATTERNS)).alias("rank"), "end", "kind", "of"))).alias("terms"))
 
 
 #: The type of the spans of terms, for rows that have none.
@@ -226,13 +233,13 @@ def _spotted(read: DataFrame, *keep: str) -> DataFrame:
     """Rows (_text and those of keep) with _at (a number of the row), base and, where base is not empty,
     entities and outside."""
     some = F.size("base") > 0
-    base = read.select(*keep, "_text", base_spans(F.col("_text")).alias("base"))
+    base = read.select(*keep, "_text", pattern_spans(F.col("_text")).alias("base"))
     return base.select(F.monotonically_increasing_id().alias("_at"), *keep, "base", F.when(some, F.array_distinct(F.transform("base", _entity))).alias("entities"), F.when(some, _outside(F.col("_text"), F.col("base"))).alias("outside"))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise_at: float = 0.8, remove_at: float = 0.95, prior: float = 2.0) -> DataFrame:
-    """One row per document: id, base (spans by pattern) and terms (spans of terms, kind "general" or
-    "term", of: the kind of entity that it gives away).
+    """One row per document: id, base (spans of KINDS) and added (other spans: secrets, kind "secret", and
+    terms, kind "general" or "term", of: the kind of entity that the term gives away).
 
     Entities are protected by kind and by value: a kind is met where a document has a base span of it, a
     value where it has that span's value. A term (lower case) meets them in a document if both stand in
@@ -246,23 +253,25 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", genera
     Only counts of terms, and the terms of documents with an entity, are shuffled; texts are not. A null
     text is empty; texts of any length are read whole, in time that grows with their length; null ids
     and repeated rows keep their rows, and every row counts as a document; spans with equal starts stand
-    in the order of KINDS, terms last; extra columns are not read; an empty table gives no rows.
+    in the order of PATTERNS, terms last; extra columns are not read; an empty table gives no rows.
     """
     read = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     found = saved(_spotted(read, "_id"), "pii-found")
     risky = _risks(read, found.where("entities is not null"), generalise_at, remove_at, prior).withColumnRenamed("_at", "_of")
     out = found.join(risky, F.col("_at") == F.col("_of"), "left")
-    return out.select(F.col("_id").alias(id_col), "base", F.coalesce("terms", F.array().cast(NO_TERMS)).alias("terms"))
+    is_base = F.filter("base", lambda x: x["kind"] != SECRET)
+    return out.select(F.col("_id").alias(id_col), is_base.alias("base"), all_spans(F.filter("base", lambda x: x["kind"] == SECRET), F.coalesce("terms", F.array().cast(NO_TERMS))).alias("added"))
 
 
 def all_spans(base: Column, terms: Column) -> Column:
-    """Base spans and spans of terms as one array, by start, then kind as listed, terms last."""
+    """Spans by pattern and spans of terms (start, rank, end, kind, of) as one array, by start, then kind as
+    listed, terms last."""
     bare = F.transform(base, lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), x["kind"].alias("kind"), F.lit(None).cast("string").alias("of")))
     return F.array_sort(F.concat(bare, terms))
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """The text with each span replaced: base kinds by [KIND], general terms by the broader [KIND TERM] of
+    """The text with each span replaced: those by pattern by [KIND], general terms by the broader [KIND TERM] of
     the kind that they give away, removed terms by nothing. Spans that overlap are replaced as one."""
     name = F.upper
     label = lambda x: F.when(x["kind"] == "term", "").when(x["kind"] == "general", F.concat(F.lit("["), name(x["of"]), F.lit(" TERM]"))).otherwise(F.concat(F.lit("["), name(x["kind"]), F.lit("]")))
@@ -271,10 +280,10 @@ def masked(text: Column, spans: Column) -> Column:
 
 def sanitise(docs: DataFrame, text_col: str = "text", generalise_at: float = 0.8, remove_at: float = 0.95, prior: float = 2.0) -> DataFrame:
     """docs with the text masked as find() says, all other columns as they are. Null texts stay null.
-    Documents without a base span pass through; spans of terms are joined to the others, by row."""
+    Documents without a span by pattern pass through; spans of terms are joined to the others, by row."""
     row, of, base, terms = (unused(docs, f"pii_{c}") for c in ("row", "of", "base", "terms"))
     whole = F.coalesce(F.col(text_col), F.lit(""))
-    spotted = docs.withColumn(base, base_spans(whole))
+    spotted = docs.withColumn(base, pattern_spans(whole))
     clean = spotted.where(F.size(base) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
     held = saved(spotted.where(F.size(base) > 0).withColumn(row, F.monotonically_increasing_id()), "pii-held")
     holders = held.select(F.col(row).alias("_at"), F.col(base).alias("base"), F.array_distinct(F.transform(F.col(base), _entity)).alias("entities"), _outside(whole, F.col(base)).alias("outside"))

@@ -40,7 +40,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents", "doc_id", "text"))
-    return found.select("doc_id", *[_of_kind(k) for k in pii.KINDS], F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(pii.all_spans(F.col("base"), F.col("terms"))).alias("spans"))
+    return found.select("doc_id", *[_of_kind(k) for k in pii.KINDS], F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(pii.all_spans(F.col("base"), F.col("added"))).alias("spans"), F.size(F.filter("added", lambda x: x["kind"] == pii.SECRET)).cast("long").alias("n_secret"), F.size(F.filter("added", lambda x: x["kind"] != pii.SECRET)).cast("long").alias("n_term"))
 
 
 def _of_kind(kind: str) -> Column:

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 import regex
 import xxhash
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from rollcall.llm import bpe, mixing, pii, rules, simhash, substrings
@@ -209,22 +210,29 @@ def test_risky_terms_equal_brute_force(spark, docs):
     filler = lambda i: " ".join(f"f{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + k)}" for k in range(8))
     planted = [(7000 + i, f"Ng wrote {filler(i)} and Zyxwvut Ng called jo@x.org, then NG left {filler(i)}") for i in range(6)]
     planted += [(7100 + i, f"{filler(i)} Qwertz has j{i}@x.org or +49 (30) 1234{i:03d}, Qwertz said") for i in range(12)]
+    planted += [(7400 + i, f"the key {filler(i)} yxcvb token = \"{hashlib.sha1(bytes([i])).hexdigest()}\" aAbBcCdDeEfFgG1H2I3J4kKlL in use, {'A1' * 20} {'x1y2' * 200}") for i in range(5)]
     planted += [(7200, "Twice told by Asdfgh to asd@x.org")] * 3 + [(7300 + i, f"nobody {filler(i)} wrote of it") for i in range(40)]
     rows = docs.select("doc_id", "text").union(spark.createDataFrame(planted, "doc_id long, text string")).withColumn("n", F.lit("clash"))
     found = pii.find(rows).collect()
     texts = {}
     for i, t in rows.select("doc_id", "text").collect():
         texts.setdefault(i, t)
-    expected = risky_terms([(texts[r.doc_id], r.base) for r in found])
-    got = [sorted((s.start, s.end, s.kind, s.of) for s in r.terms) for r in found]
+    secret = regex.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,512}+(?![A-Za-z0-9+/_-])")
+    good = lambda v: len(re.findall("[0-9]", v)) >= 4 and len(re.findall("[A-Za-z]", v)) >= 4 and len(set(v)) >= 8
+    secrets = [[Row(start=m.start(), end=m.end(), kind="secret", value=m[0]) for m in secret.finditer(texts[r.doc_id] or "") if good(m[0])] for r in found]
+    assert [[(s.start, s.end) for s in r.added if s.kind == "secret"] for r in found] == [[(x.start, x.end) for x in mine] for mine in secrets]
+    assert all(len(mine) >= 2 for r, mine in zip(found, secrets) if r.doc_id is not None and 7400 <= r.doc_id < 7405)
+    spans = [[*r.base, *mine] for r, mine in zip(found, secrets)]
+    expected = risky_terms([(texts[r.doc_id], mine) for r, mine in zip(found, spans)])
+    got = [sorted((s.start, s.end, s.kind, s.of) for s in r.added if s.kind != "secret") for r in found]
     assert got == expected
-    by_id = {r.doc_id: {texts[r.doc_id][s.start : s.end] for s in r.terms} for r in found}
+    by_id = {r.doc_id: {texts[r.doc_id][s.start : s.end] for s in r.added} for r in found}
     assert {"Ng", "NG", "Zyxwvut"} <= by_id[7000] and "Qwertz" in by_id[7100] and "Asdfgh" in by_id[7200] and not by_id[7300]
     clean = Counter(r.text for r in pii.sanitise(rows).collect())
-    for r, spans in zip(found, expected):
+    for r, marks, terms in zip(found, spans, expected):
         out, at, text = [], 0, texts[r.doc_id]
-        named = [(x.start, k, x.end, f"[{x.kind.upper()}]") for k, x in enumerate(r.base)]
-        for s, _, e, label in sorted(named + [(s, 99, e, "" if kind == "term" else f"[{of.upper()} TERM]") for s, e, kind, of in spans]):
+        named = [(x.start, list(pii.PATTERNS).index(x.kind), x.end, f"[{x.kind.upper()}]") for x in marks]
+        for s, _, e, label in sorted(named + [(s, 99, e, "" if kind == "term" else f"[{of.upper()} TERM]") for s, e, kind, of in terms]):
             out += [text[at:s], label] if s >= at else []
             at = max(at, e)
         clean[text if text is None else "".join(out) + text[at:]] -= 1

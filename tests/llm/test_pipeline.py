@@ -37,13 +37,14 @@ def base_spans(text):
         ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda x: all(int(p) <= 255 for p in x.split("."))),
         ("card", r"[0-9]([\x20-]?[0-9])+", lambda x: 12 <= len(digits(x)) <= 19 and luhn(digits(x))),
         ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda x: 9 <= len(digits(x)) <= 15),
+        ("secret", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,512}+(?![A-Za-z0-9+/_-])", lambda x: len(digits(x)) >= 4 and len(re.sub("[^A-Za-z]", "", x)) >= 4 and len(set(x)) >= 8),
     ]
     return [Span(m.start(), m.end(), kind, m[0]) for kind, p, good in tests for m in re.finditer(p, text) if good(m[0])]
 
 
 def masked(texts):
     """Base spans by kind; terms that give a kind or value away (see risky_terms) by [KIND TERM], or gone."""
-    rank = ["email", "ip", "card", "phone"]
+    rank = ["email", "ip", "card", "phone", "secret"]
     spans = [base_spans(t) for t in texts]
     done = []
     for text, base, terms in zip(texts, spans, risky_terms(list(zip(texts, spans)))):

@@ -100,8 +100,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), score_col: str = "score") -> DataFrame:
     """id, score (0 to 1, higher: label 1 likelier) and the columns named in keep, one row per row.
 
-    A null or empty text compresses to nothing either way and gets the curve's value for equal sizes. Null ids
-    and repeated rows keep their rows; other columns are not read; an empty table gives no rows.
+    A null or empty text compresses to nothing either way and gets the curve's value for equal sizes; a long
+    one is compressed whole, piece by piece. Null ids and repeated rows keep their rows; equal texts get
+    equal scores; other columns are not read, whatever their names; an empty table gives no rows.
     """
     cols = list(dict.fromkeys([id_col, text_col, *keep]))
     out = [c for c in cols if c == id_col or c in keep]

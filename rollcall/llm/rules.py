@@ -114,8 +114,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
 
     base_failed: fewer than BASE_WORDS words, or more than BASE_REPEAT_PERCENT per cent of them in
     repeated 3-word windows. kept: not base_failed, and the threshold table passes. A null text has
-    no words, so it is not kept; null ids and repeated rows keep their rows; extra columns are not
-    read; an empty table gives no rows.
+    no words, so it is not kept; a text of any length is read whole, in time that grows with it but for the
+    sorting of its windows; a metric that equals a bound passes; null ids and repeated rows keep their
+    rows; extra columns are not read, whatever their names; an empty table gives no rows.
     """
     m = metrics(docs, id_col, text_col)
     failed = (F.col("n_words") < BASE_WORDS) | (100 * F.col("n_repeat_words") > BASE_REPEAT_PERCENT * F.col("n_words"))

@@ -163,8 +163,9 @@ def write_segments(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 
     A null payload is empty. Among equal payloads of at least least_bytes the smallest id is the
     response, the others revisit it; the same id again is written again as a response. A null id
-    is written as a response under prefix + "null" and is never referred to. Extra columns are not read; an empty
-    table gives no segment.
+    is written as a response under prefix + "null" and is never referred to. A payload of any length is one
+    record, and one above segment_bytes is a segment by itself. Extra columns are not read, whatever
+    their names; an empty table gives no segment.
     """
     rows = repeats(pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(payload_col).alias("_html")), "_id", F.col("_html"), least_bytes)
 

@@ -112,6 +112,19 @@ def read_snapshots(documents: DataFrame) -> DataFrame:
     return documents.withColumn("state", F.when(F.col("document").isNull(), "missing").when(schema == "1", "current").otherwise("stale"))
 
 
+#: What a verdict in a document may say.
+STATUSES = ("shortlisted", "not_shortlisted", "undetermined")
+
+
+def snapshot_verdicts(documents: DataFrame) -> DataFrame:
+    """(drive_id, company, status, reason) of the drives in current documents (document). A status that is
+    not among STATUSES, as a later version may write, is unknown and never an answer."""
+    schema = "schema int, drives array<struct<drive_id:long,company:string,verdict:struct<status:string,reason:string>>>"
+    d = read_snapshots(documents).where("state = 'current'").select(F.explode(F.from_json("document", schema)["drives"]).alias("d"))
+    status = F.when(F.col("d.verdict.status").isin(*STATUSES), F.col("d.verdict.status")).otherwise("unknown")
+    return d.select("d.drive_id", "d.company", status.alias("status"), "d.verdict.reason")
+
+
 def pseudonyms(identifiers: DataFrame, key: str) -> DataFrame:
     """(value, alias): stable for a key, equal for equal values, never shared by two values: the first 16
     hex digits of a keyed hash, with all 64 where two values would share them."""

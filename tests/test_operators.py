@@ -292,6 +292,12 @@ def test_csv_files_are_in_order(spark, tmp_path):
     assert text(2).count("\r\n") == 2 and "'=cmd" in text(2)
 
 
+def test_unknown_verdicts_are_no_answers(spark):
+    docs = ['{"schema":1,"drives":[{"drive_id":1,"company":"A","verdict":{"status":"shortlisted"}},{"drive_id":2,"company":"B","verdict":{"status":"waitlisted"}}]}', '{"schema":2,"drives":[{"drive_id":3}]}', None]
+    got = D.snapshot_verdicts(spark.createDataFrame([(x,) for x in docs], "document string"))
+    assert {(r.drive_id, r.status) for r in got.collect()} == {(1, "shortlisted"), (2, "unknown")}
+
+
 def test_pseudonyms(spark):
     ids = spark.createDataFrame([(N1,), (N2,), (N1,)], "value string")
     got = {r.value: r.alias for r in D.pseudonyms(ids, "k").collect()}

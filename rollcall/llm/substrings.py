@@ -250,14 +250,12 @@ def _results(taken: DataFrame, chunks: DataFrame, window: int, gram: int, id_col
             w = Words(texts, window, gram)
             real = valid[w.doc]
             k1, k2 = w.keys()
-            group, first, least = _least_by_key(k1[real], k2[real], ids[w.doc[real]])
-            remote = np.zeros(len(first), bool)
-            if len(gone):
-                kind = np.dtype([("a", np.int64), ("b", np.int64)])
-                mine = np.rec.fromarrays([k1[real][first], k2[real][first]], dtype=kind)
-                known = np.rec.fromarrays([gone["k1"].to_numpy(), gone["k2"].to_numpy()], dtype=kind)
-                remote = _in_sorted(mine, known)
-            repeated = w.at[real][remote[group] | (ids[w.doc[real]] > least[group])]
+            k1, k2, own = k1[real], k2[real], ids[w.doc[real]]
+            later = _elsewhere(k1, k2, gone["k1"].to_numpy(), gone["k2"].to_numpy())
+            twice = np.flatnonzero(_repeated(k1))
+            group, _, least = _least_by_key(k1[twice], k2[twice], own[twice])
+            later[twice] |= own[twice] > least[group]
+            repeated = w.at[real][later]
             edge = np.zeros(int(w.count.sum()) + 1, np.int64)
             np.add.at(edge, repeated, 1)
             np.add.at(edge, repeated + window, -1)
@@ -279,15 +277,25 @@ def _results(taken: DataFrame, chunks: DataFrame, window: int, gram: int, id_col
     return taken.groupBy("chunk").cogroup(chunks.groupBy("chunk")).applyInPandas(each, schema)
 
 
-def _in_sorted(mine: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Which pairs of mine (sorted by a, then b, distinct) are in known."""
-    order = np.lexsort((known["b"], known["a"]))
-    both = np.concatenate([mine, known[order]])
-    number = np.lexsort((np.repeat([0, 1], [len(mine), len(known)]), both["b"], both["a"]))
-    same = np.append((both["a"][number[1:]] == both["a"][number[:-1]]) & (both["b"][number[1:]] == both["b"][number[:-1]]), False)
-    out = np.zeros(len(both), bool)
-    out[number[same]] = True
-    return out[: len(mine)]
+def _repeated(keys: np.ndarray) -> np.ndarray:
+    """Which keys occur more than once."""
+    out = np.zeros(len(keys), bool)
+    order = np.argsort(keys)
+    same = np.flatnonzero(keys[order[1:]] == keys[order[:-1]])
+    out[order[same]] = out[order[same + 1]] = True
+    return out
+
+
+def _elsewhere(k1: np.ndarray, k2: np.ndarray, known1: np.ndarray, known2: np.ndarray) -> np.ndarray:
+    """Which pairs (k1, k2) are among the known ones. Both halves are compared as one number, which differs
+    for pairs that differ in the second half alone, and the first halves by themselves."""
+    if not len(known1):
+        return np.zeros(len(k1), bool)
+    both = lambda a, b: (a.view(np.uint64) * MIX[2] + b.astype(np.int64).view(np.uint64)).view(np.int64)
+    out = np.isin(k1, known1)
+    some = np.flatnonzero(out)
+    out[some] = np.isin(both(k1[some], k2[some]), both(known1.astype(np.int64), known2))
+    return out
 
 
 class History(NamedTuple):

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 
 from collections.abc import Iterator
 
@@ -20,7 +19,6 @@ def give_back() -> None:
     """Return what a Python worker has freed to the system: it lives on for later tasks, and memory that
     it keeps adds to theirs."""
     pa.default_memory_pool().release_unused()
-    gc.collect()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
         trim(0)
 

@@ -342,8 +342,9 @@ def remove_new_repeats(docs: DataFrame, history: History, id_col: str = "doc_id"
         found = index.add(fingerprints(new.where(F.pmod(F.xxhash64("chunk"), F.lit(batches)) == b), window, gram))
         shared = found if shared is None else shared.union(found)
     hits = index.chunks_with(shared.distinct())
-    crowded = saved(index.crowded(crowd), "crowded-anchors")
-    some_crowded = not crowded.isEmpty()
+    n_chunks = sum(t.count() for t in (new, *map(spark.table, history.chunks)))
+    crowded = saved(index.crowded(crowd), "crowded-anchors") if n_chunks > crowd else None
+    some_crowded = crowded is not None and not crowded.isEmpty()
     if some_crowded:
         hits = hits.join(crowded.withColumn("crowded", F.lit(True)), "anchor", "left").select("chunk", "anchor", F.coalesce("crowded", F.lit(False)).alias("crowded"))
     else:

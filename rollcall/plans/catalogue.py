@@ -270,12 +270,6 @@ def drive_analysis(spark, sf):
     return a.select("drive_id", "matched", "total", "coverage", "sufficient", rounded("mean"), "median", "kind", "threshold")
 
 
-@query("SELECT subject_id, CASE WHEN contains(lower(p_type), 'copper') THEN 'BIO' ELSE 'Other' END AS label FROM (SELECT p_partkey AS subject_id, p_type FROM part)", base=False)
-def branch_labels(spark, sf):
-    p = T.read(spark, sf, "part")
-    return p.select(F.col("p_partkey").alias("subject_id"), V.branch_label(F.regexp_replace(F.lower("p_type"), "copper", "biotech")).alias("label"))
-
-
 # --- identity -------------------------------------------------------------------------------------
 
 
@@ -350,12 +344,6 @@ def token_similarity(spark, sf):
     return pairs.select("a", "b", N.jaro_winkler_udf("a", "b").alias("similarity")).select("a", "b", rounded("similarity"))
 
 
-@query()
-def phonetic_keys(spark, sf):
-    k = M.keyed(T.read(spark, sf, "part").select("p_partkey", "p_name"), "p_name")
-    return k.select("name_key", "phonetic").distinct()
-
-
 # --- ingest ---------------------------------------------------------------------------------------
 
 _CELLS = """
@@ -411,17 +399,6 @@ def line_titles(spark, sf):
     return t.select("doc_id", "unread_lines", F.array_join("titles", "|").alias("titles"))
 
 
-@query("SELECT page_id, url FROM pages", base=False)
-def percent_decode(spark, sf):
-    p = T.read(spark, sf, "pages").select("page_id", "url")
-    return p.select("page_id", naming.percent_decode(F.replace(F.replace("url", F.lit("%"), F.lit("%25")), F.lit("/"), F.lit("%2F"))).alias("url"))
-
-
-@query("SELECT page_id, CASE WHEN regexp_extract(url, '/([0-9])$', 1) <> '' THEN 'R' || regexp_extract(url, '/([0-9])$', 1) END AS round FROM pages", base=False)
-def round_of(spark, sf):
-    return T.read(spark, sf, "pages").select("page_id", naming.round_of(F.regexp_replace(F.regexp_extract("url", "/([0-9])$", 0), "/", "Acme Round ")).alias("round"))
-
-
 @query("SELECT o_orderkey, strftime(o_orderdate, '%-d-%-m-%Y') AS date FROM orders", base=False)
 def date_in(spark, sf):
     o = T.read(spark, sf, "orders")
@@ -543,4 +520,4 @@ def newest_k(spark, sf):
     return T.read(spark, sf, "events").select("user_id", "event_id", "ts", F.row_number().over(w).alias("k")).where("k <= 2").drop("k")
 
 
-from rollcall.plans import people as _people  # noqa: E402, F401  (registers its queries)
+from rollcall.plans import people as _people, samples as _samples  # noqa: E402, F401  (register their queries)

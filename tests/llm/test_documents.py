@@ -243,12 +243,13 @@ def test_sanitise_keeps_columns_and_takes_long_texts(spark):
     long = "".join(f"a{i}@x.org, é " if i % 3 else f"word{chr(97 + i % 26)} 10.0.0.{i % 300} " for i in range(130_000))
     rows = spark.createDataFrame([(1, long), (2, None), (None, "b@y.org")], "doc_id long, text string").withColumn("base", F.lit("clash"))
     started = time.time()
-    out = {r.doc_id: r for r in pii.sanitise(rows).collect()}
-    assert time.time() - started < 60
+    clean = pii.sanitise(rows)
+    out = {r.doc_id: r for r in clean.collect()}
+    assert time.time() - started < 120  # 2 MB with 130,000 spans
     plain = re.sub(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "[EMAIL]", long)
     plain = re.sub(r"[0-9]+(\.[0-9]+){3}", lambda m: "[IP]" if all(int(x) < 256 for x in m[0].split(".")) else m[0], plain)
     assert out[1].text == plain and out[2].text is None and out[None].text == "[EMAIL]" and out[1].base == "clash"
-    assert pii.sanitise(rows).columns == rows.columns and pii.sanitise(rows.limit(0)).count() == 0
+    assert clean.columns == rows.columns and pii.sanitise(rows.limit(0)).count() == 0
 
 
 def test_bpe_equals_the_tokenizer(docs):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -91,6 +92,7 @@ def _at(word: str, at: int, *parts: str) -> bool:
     return any(word.startswith(p, at) for p in parts if at >= 0)
 
 
+@lru_cache(100_000)
 def metaphone(word: str, longest: int = 6) -> str:
     """The sound of an ASCII word as consonant codes: the primary code of the double metaphone rules for
     the letter groups that occur in names (see the README for what is not covered)."""

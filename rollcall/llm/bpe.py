@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
@@ -122,6 +123,7 @@ def _split_chunks(docs: DataFrame, id_col: str, text_col: str, chunk_words: int,
 
 
 def _tokenizer(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads keep memory of their own
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(path)
@@ -147,8 +149,8 @@ def _encode_lists(uses: DataFrame, path: str) -> DataFrame:
                         known, current = {}, which
                     words = unpress.decompress(packed).decode("utf-8", "surrogatepass").split("\n")
                     fresh = [w for w in words if w not in known]
-                    for k in range(0, len(fresh), 10_000):
-                        part = fresh[k : k + 10_000]
+                    for k in range(0, len(fresh), 1000):
+                        part = fresh[k : k + 1000]
                         for w, x in zip(part, model.encode_batch_fast(part, add_special_tokens=False)):
                             known[w] = np.array(x.ids, "<u4")
                     found = list(map(known.__getitem__, words))

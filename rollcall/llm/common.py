@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 
 from collections.abc import Iterator
 
@@ -15,9 +16,18 @@ from pyspark.sql import DataFrame, SparkSession
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_FROZEN = False
+
+
 def give_back() -> None:
     """Return what a Python worker has freed to the system: it lives on for later tasks, and memory that
-    it keeps adds to theirs."""
+    it keeps adds to theirs. Data frames hold cycles, so these are collected; what was there at the first
+    call (modules above all) is left out of later collections, which makes them cheap."""
+    global _FROZEN
+    gc.collect()
+    if not _FROZEN:
+        gc.freeze()
+        _FROZEN = True
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
         trim(0)

@@ -10,7 +10,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The characters that separate words: space and the five control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -98,3 +100,29 @@ def whole_runs(batches: Iterator[pd.DataFrame], key: list[str]) -> Iterator[pd.D
             held.append(rows.iloc[max(cut, 0) :])
     if held:
         yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
+
+
+def squeeze(numbers: np.ndarray, press: zstandard.ZstdCompressor, rising: bool = False) -> bytes:
+    """Whole numbers of at least 0 in as few byte planes as the largest needs, compressed; rising ones
+    as their differences."""
+    x = np.ascontiguousarray(numbers, "<u8")
+    if rising and len(x):
+        x = np.append(x[:1], np.diff(x))
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    return bytes([width]) + press.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
+
+
+def unsqueeze(packed: bytes, unpress: zstandard.ZstdDecompressor, rising: bool = False) -> np.ndarray:
+    planes = np.frombuffer(unpress.decompress(packed[1:]), np.uint8).reshape(packed[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : packed[0]] = planes.T
+    x = out.view("<u8").ravel()
+    return np.cumsum(x, dtype="<u8") if rising else x
+
+
+def table_first(tables: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Rows of pieces (segment, chunk, ...) after the row of their segment in tables (same columns, chunk
+    null), all rows of a segment in one task and in that order: so a task holds one segment's table
+    while the pieces pass by, however many there are."""
+    named = tables.withColumn("chunk", F.lit(None).cast("long")).select(*[c if c in tables.columns or c == "chunk" else F.lit(None).cast(t).alias(c) for c, t in pieces.dtypes])
+    return named.union(pieces).repartition("segment").sortWithinPartitions("segment", F.asc_nulls_first("chunk"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.llm import bpe, classifier, embeddings, html, mixing, pii, rules, simhash, substrings, warc
+from rollcall.llm import alignment, bpe, classifier, codes, embeddings, html, lines, mixing, pii, rules, simhash, substrings, warc
 from rollcall.llm.common import table
 from rollcall.session import saved
 
@@ -69,6 +69,18 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.compare(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.encode(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")).drop("label")
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
@@ -141,5 +153,34 @@ SELECT doc_id, source, lang, topic, n_tokens, probability,
 FROM p"""
 
 
+def _op12_sql(parts: int = 4, entries: int = 256, rounds: int = 4, scale: int = 1024) -> str:
+    """A table of parts and of codebooks for each round; every part meets its codebook's entries."""
+    ctes = [
+        f"k AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * {scale})::BIGINT) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"v AS MATERIALIZED (SELECT vec_id, p, x[p * len(x) // {parts} + 1:(p + 1) * len(x) // {parts}] AS x FROM k, range({parts}) t(p))",
+        f"b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x FROM v QUALIFY e < {entries})",
+    ]
+    square = "list_sum(list_transform(list_zip(v.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    for r in range(rounds + 1):
+        ctes.append(f"a{r} AS MATERIALIZED (SELECT vec_id, p, min(struct_pack(d := d, e := e)) AS m FROM (SELECT vec_id, v.p, e, {square} AS d FROM v JOIN b{r} b USING (p)) GROUP BY ALL)")
+        if r < rounds:
+            ctes.append(f"s{r} AS MATERIALIZED (SELECT p, e, i, floor_div AS c FROM (SELECT p, m.e AS e, i, (sum(x[i]) - ((sum(x[i]) % count(*)) + count(*)) % count(*)) // count(*) AS floor_div FROM a{r} JOIN v USING (vec_id, p), unnest(range(1, len(x) + 1)) t(i) GROUP BY ALL))")
+            ctes.append(f"b{r + 1} AS MATERIALIZED (SELECT p, e, coalesce(n.x, b.x) AS x FROM b{r} b LEFT JOIN (SELECT p, e, list(c::BIGINT ORDER BY i) AS x FROM s{r} GROUP BY ALL) n USING (p, e))")
+    return "WITH " + ",\n".join(ctes) + f""",
+h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds}),
+c AS (SELECT vec_id, string_agg(lpad(lower(to_hex(m.e)), 2, '0'), '' ORDER BY p) AS code, sum(m.d)::BIGINT AS error FROM a{rounds} GROUP BY ALL)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM c JOIN k USING (vec_id), h"""
+
+
+OP13_SQL = """
+WITH l AS (SELECT doc_id, unnest(generate_series(1, len(s))) AS i, unnest(s) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents)),
+k AS (SELECT *, translate(regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+r AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+j AS (SELECT k.*, coalesce(k.doc_id = r.last, true) AS stays FROM k LEFT JOIN r USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (stays), '')) AS kept_sha256
+FROM j GROUP BY doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_round_trip": OP2_SQL, "op5_quality_rules": _op5_sql(), "op9_source_mixing": _op9_sql()}
+    return {"op2_warc_round_trip": OP2_SQL, "op5_quality_rules": _op5_sql(), "op9_source_mixing": _op9_sql(), "op12_vector_codes": _op12_sql(), "op13_line_dedup": OP13_SQL}

@@ -8,7 +8,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollcall.llm.common import give_back
@@ -73,9 +73,10 @@ def _logistic(x: np.ndarray, y: np.ndarray, share: float) -> np.ndarray:
     return w / scale
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 2000, dictionary_bytes: int = 110_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 2000, dictionary_bytes: int = 110_000, sample_bytes: int = 64 << 20) -> Model:
     """Fit on a bounded sample: of each label, the `sample` labelled ids with the smallest hash that
-    are not held out. Half of each trains its dictionary, the other half calibrates the curve, which
+    are not held out, with one text each (the least, where rows share an id), up to sample_bytes in all;
+    texts beyond that are left out whole. Half of each trains its dictionary, the other half calibrates the curve, which
     is weighted to the labels' shares in all labelled rows. Only ids, texts and labels are read.
 
     With no labels at all, or only one kind, the score is 0.5, or nearly the label's share.
@@ -84,8 +85,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     shares = {r[0]: r[1] for r in known.groupBy(label_col).count().collect()}
     ranked = [known.where(F.col(label_col) == k).dropDuplicates([id_col]).orderBy(F.xxhash64(id_col), id_col).limit(sample) for k in (0, 1)]
     chosen = ranked[0].union(ranked[1])
-    rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select(label_col, text_col, F.xxhash64(id_col, F.lit(1)).alias("order")).orderBy("order", text_col).collect()
-    texts = {k: [r[1] or "" for r in rows if r[0] == k] for k in (0, 1)}
+    found = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(chosen), id_col).groupBy(id_col, label_col).agg(F.min("_text").alias("_text"))
+    gathered = F.sum(F.octet_length("_text")).over(Window.partitionBy(label_col).orderBy("_order", id_col))
+    held = found.withColumn("_order", F.xxhash64(id_col, F.lit(1))).withColumn("_bytes", gathered).where(F.col("_bytes") <= sample_bytes)
+    rows = held.select(label_col, "_text", "_order").orderBy("_order", "_text").collect()
+    texts = {k: [r[1] for r in rows if r[0] == k] for k in (0, 1)}
     if not texts[0] or not texts[1]:
         share = (shares.get(1, 0) + 0.5) / (sum(shares.values()) + 1)
         return Model(b"", b"", (0.0, 0.0, 0.0, float(np.log(share / (1 - share)))))

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,13 +29,18 @@ def pivot_count(n: int, least: int, most: int) -> int:
     return max(least, min(most, math.isqrt(16 * n)))
 
 
-def choose_pivots(classes: DataFrame, n_pivots: int) -> dict[int, np.ndarray]:
+#: Bytes that all pivots take together, at most: they come to the driver and go to each task.
+PIVOT_BYTES = 64 << 20
+
+
+def choose_pivots(classes: DataFrame, n_pivots: int, longest: int = 1, most_bytes: int = PIVOT_BYTES) -> dict[int, np.ndarray]:
     """Reference points: of the n_pivots vectors with the smallest hash the distinct ones, as unit rows
-    by dimension. n_pivots bounds what comes to the driver."""
-    found: dict[int, list] = {}
-    for (v,) in classes.orderBy(F.xxhash64("vec"), "class").limit(n_pivots).select("vec").collect():
-        found.setdefault(len(v), []).append(v)
-    return {d: _unit(np.unique(np.array(v, np.float64), axis=0)) for d, v in found.items()}
+    by dimension; fewer, if vectors of `longest` components would take more than most_bytes. They
+    come as Arrow arrays, never as Python's own numbers."""
+    n_pivots = max(1, min(n_pivots, most_bytes // (8 * max(1, longest))))
+    vectors = classes.orderBy(F.xxhash64("vec"), "class").limit(n_pivots).select(F.col("vec").cast("array<double>").alias("vec")).toArrow().column("vec").combine_chunks()
+    lengths = np.asarray(vectors.value_lengths())
+    return {int(d): _unit(np.unique(np.asarray(vectors.filter(pa.array(lengths == d)).flatten()).reshape(-1, d), axis=0)) for d in np.unique(lengths)}
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -169,7 +175,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     read = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"), F.col(label_col).alias("label"))
     good = read.where(usable("vec", "label"))
     classes = saved(good.groupBy("label", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).withColumn("class", F.monotonically_increasing_id()), "vec-classes")
-    pivots = choose_pivots(classes, pivot_count(classes.count(), least_pivots, most_pivots))
+    n, longest = classes.agg(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(1))).first()
+    pivots = choose_pivots(classes, pivot_count(n, least_pivots, most_pivots), longest)
     described = saved(describe(classes, pivots, prefix), "vec-prefixes")
     posts = saved(candidates(described, shared, block_rows), "vec-candidates")
     found = saved(class_links(posts, classes.join(described.select("class", "prefix"), "class"), cosine, shared, block_rows), "vec-links")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import html as references
 import re
 from collections import Counter
@@ -11,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from rollcall.llm.common import give_back
+
 # Element names by role, and the words of class and id that mark what is no article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea title xmp noframes noembed".split())
@@ -28,31 +31,63 @@ UNLIKELY = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 
+#: Words that mark what readers wrote.
+READERS = frozenset("comment comments discussion disqus reply replies respond kommentare commentaires comentarios".split())
 #: Words that make a "header" the article's own.
 OWN = frozenset("entry post article story content".split())
 
-#: A tag whose attributes may hold ">" in quotes; what else starts with "<" and ends at the next ">".
-QUOTED = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>\"']*+(?:\"[^\"]*\"[^>\"']*+|'[^']*'[^>\"']*+)*+)>")
-PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+#: How a tag begins; what ends it, or opens a value in quotes that may hold ">".
+OPENING = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+ENDING = re.compile("[>\"']")
 OTHER = re.compile(r"<!--.*?(?:-->|\Z)|<[!?/][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|([^\s=/\"'>]+)")
 CLASS_WORD = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
-#: Tags of one page whose quotes do not close, after which quotes are no longer looked at.
-PATIENCE = 50
+#: What attributes tell of an element.
+PLAIN, SUSPECT, COMMENT = 0, 1, 2
 
 
-def _unlikely(attributes: str) -> bool:
+def _marks(attributes: str) -> int:
+    """Whether class, id, role or style mark an element as no article, or as comments of readers."""
+    found = PLAIN
     for name, a, b, c, bare in ATTRIBUTE.findall(attributes):
         name, value = (name or bare).lower(), a or b or c
         if name in ("class", "id"):
             words = {w.lower() for w in CLASS_WORD.split(value)}
+            if words & READERS:
+                return COMMENT
             if (words & UNLIKELY) - (frozenset(["header"]) if words & OWN else frozenset()):
-                return True
+                found = SUSPECT
         if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            found = SUSPECT
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            found = SUSPECT
+    return found
+
+
+class _TagEnds:
+    """Where tags end in one source. Values in quotes are passed over; what was found from a place on is
+    kept, so that all searches together take time in proportion to the source."""
+
+    def __init__(self, source: str) -> None:
+        self.source, self.known = source, {}
+        self.last = {q: source.rfind(q) for q in "\"'"}
+
+    def find(self, at: int) -> int:
+        """The offset after the ">" that ends a tag whose attributes begin at `at`; where quotes do not close,
+        that of the next ">"."""
+        first, passed = at, []
+        while at not in self.known:
+            passed.append(at)
+            m = ENDING.search(self.source, at)
+            if m is None or m[0] != ">" and m.start() == self.last[m[0]]:
+                self.known[at] = -1
+            elif m[0] == ">":
+                self.known[at] = m.end()
+            else:
+                at = self.source.find(m[0], m.end()) + 1
+        for k in passed:
+            self.known[k] = self.known[at]
+        return self.known[at] if self.known[at] >= 0 else self.source.find(">", first) + 1
 
 
 class _Page:
@@ -60,13 +95,14 @@ class _Page:
 
     Elements of DROPPED go with all they hold. Forms, and elements that class, id, role or style mark
     as no article, are only suspects until the whole page is read: one that wraps half of the page's
-    text and is a form or holds its title is the page, not a part to leave out, and where nothing else has
-    text the suspect with most of it stays.
+    text and is a form or holds its title, or an article that is not itself marked, is the page, not a
+    part to leave out. An article does not make comments of readers the page. Where nothing else has text,
+    the suspect with most of it stays, and so on inside of it until there is some.
     """
 
     def __init__(self, source: str) -> None:
         self.tag, self.parent, self.holder = ["html"], [0], [0]
-        self.dropped, self.linked, self.suspect = [False], [False], [False]
+        self.dropped, self.linked, self.marks = [False], [False], [PLAIN]
         self.pieces: list[tuple[int, int, str]] = []  # element, block, text
         self.block = 0
         self.open: Counter = Counter()
@@ -92,7 +128,8 @@ class _Page:
             self.holder.append(me if name in BLOCK else self.holder[up])
             own_header = name == "header" and (self.open["article"] or self.open["main"])
             self.dropped.append(self.dropped[up] or name in DROPPED and not own_header)
-            self.suspect.append(name == "form" or name not in ("html", "body", "main", "article") and bool(attributes) and _unlikely(attributes))
+            marks = _marks(attributes) if attributes and name not in ("html", "body", "main") else PLAIN
+            self.marks.append(SUSPECT if name == "form" else PLAIN if name == "article" and marks != COMMENT else marks)
             self.linked.append(self.linked[up] or name == "a")
             if name in RAW or name not in VOID and not attributes.endswith("/"):
                 stack.append(me)
@@ -103,26 +140,20 @@ class _Page:
         """(closing, name, attributes) of each tag; text goes to the element on top of the stack. A "<"
         that begins no tag, or after which no ">" comes, is text."""
         at = start = 0
-        last, misses = source.rfind(">"), 0
+        last, ends = source.rfind(">"), _TagEnds(source)
         while (lt := source.find("<", at)) >= 0:
-            m = None
-            if source.startswith("<!--", lt):
-                m = OTHER.match(source, lt)
-            elif lt < last:
-                m = QUOTED.match(source, lt) if misses < PATIENCE else None
-                if m is None and (m := PLAIN.match(source, lt)) is not None:
-                    misses += 1
-                m = m or OTHER.match(source, lt)
-            if m is None:
+            tag = OPENING.match(source, lt) if lt < last else None
+            other = None if tag or lt > last and not source.startswith("<!--", lt) else OTHER.match(source, lt)
+            if not tag and not other:
                 at = lt + 1
                 continue
             self._text(stack[-1], source[start:lt])
-            at = start = m.end()
-            if m.re is OTHER:
+            at = start = ends.find(tag.end()) if tag else other.end()
+            if not tag:
                 continue
-            name = m[2].lower()
-            yield m[1], name, m[3]
-            if name in RAW and not m[1]:
+            name = tag[2].lower()
+            yield tag[1], name, source[tag.end() : at - 1]
+            if name in RAW and not tag[1]:
                 end = re.compile("</" + re.escape(name), re.I | re.A).search(source, at)
                 at = start = end.start() if end else len(source)
         self._text(stack[-1], source[start:])
@@ -156,26 +187,37 @@ class _Page:
 
     def _drop_suspects(self) -> None:
         n = len(self.tag)
-        mass, titled = [0] * n, [t in ("h1", "article", "main") for t in self.tag]
+        mass, titled, article = [0] * n, [False] * n, [False] * n
         for element, _, text in self.pieces:
             mass[element] += len(text.strip())
         for k in range(n - 1, 0, -1):
-            mass[self.parent[k]] += mass[k]
-            titled[self.parent[k]] |= titled[k]
+            titled[k] |= self.tag[k] in ("h1", "main") and not self.marks[k]
+            article[k] |= self.tag[k] == "article" and not self.marks[k]
+            up = self.parent[k]
+            mass[up] += mass[k]
+            titled[up] |= titled[k]
+            article[up] |= article[k]
+        page = lambda k: 2 * mass[k] >= mass[0] and (self.tag[k] == "form" or titled[k] or article[k] and self.marks[k] != COMMENT)
+        suspect = [bool(self.marks[k]) and not page(k) for k in range(n)]
+        # the suspect around each element (itself, if it is one), and the text of each that lies in no other inside
+        around, own, inside = [0] * n, [0] * n, {}
         for k in range(1, n):
-            if self.suspect[k] and 2 * mass[k] >= mass[0] and (self.tag[k] == "form" or titled[k]):
-                self.suspect[k] = False
-        spared: set[int] = set()
-        while True:
-            gone = list(self.dropped)
-            for k in range(1, n):
-                gone[k] = gone[k] or gone[self.parent[k]] or self.suspect[k] and k not in spared
-            left = [x for x in self.pieces if not gone[x[0]]]
-            hidden = [k for k in range(1, n) if self.suspect[k] and k not in spared and not gone[self.parent[k]] and mass[k]]
-            if any(t.strip() for _, _, t in left) or not hidden or len(spared) >= 8:
+            around[k] = k if suspect[k] else around[self.parent[k]]
+            if suspect[k] and mass[k]:
+                inside.setdefault(around[self.parent[k]], []).append((-mass[k], k))
+        for element, _, text in self.pieces:
+            own[around[element]] += len(text.strip())
+        spared, waiting, at = {0}, [], 0
+        while not own[at]:
+            for x in inside.get(at, ()):
+                heapq.heappush(waiting, x)
+            if not waiting:
                 break
-            spared.add(max(hidden, key=lambda k: (mass[k], -k)))
-        self.dropped, self.pieces = gone, left
+            at = heapq.heappop(waiting)[1]
+            spared.add(at)
+        for k in range(1, n):
+            self.dropped[k] = self.dropped[k] or self.dropped[self.parent[k]] or suspect[k] and k not in spared
+        self.pieces = [x for x in self.pieces if not self.dropped[x[0]]]
 
 
 def _squeeze(parts: list[str]) -> str:
@@ -263,5 +305,6 @@ def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("
         for rows in batches:
             texts = [main_text(x.as_py()) for x in rows.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*[rows.column(k) for k in range(len(keep))], pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], [*keep, "text", "n_chars"])
+        give_back()
 
     return pages.select(*keep, pages[html_col].alias("_html")).mapInArrow(each, schema)

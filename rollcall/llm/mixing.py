@@ -91,11 +91,12 @@ def residuals(sampled: DataFrame, targets: dict[str, DataFrame], prefix: str = "
 
 def wanted_shares(cells: DataFrame, dims: dict[str, str], power: float, targets: dict[str, dict[str, float]] | None = None) -> dict[str, DataFrame]:
     """The target shares (column, target) by column for each dimension (name, column): those given by
-    hand, scaled to sum to 1, or else smoothed ones."""
+    hand, scaled to sum to 1 (all 0 stay so, and take nothing), or else smoothed ones."""
     spark, out = cells.sparkSession, {}
     for k, name in dims.items():
         given = (targets or {}).get(k)
-        out[name] = spark.createDataFrame([(c, float(v) / sum(given.values())) for c, v in given.items()], f"`{name}` string, target double") if given else smoothed_targets(cells, name, power)
+        total = sum(given.values()) if given else 0
+        out[name] = spark.createDataFrame([(c, float(v) / total if total else 0.0) for c, v in given.items()], f"`{name}` string, target double") if given else smoothed_targets(cells, name, power)
     return out
 
 
@@ -107,8 +108,8 @@ def sample(docs: DataFrame, dims: dict[str, Column], id_col: str = "doc_id", tex
     (given by hand, or smoothed shares of the corpus), and a document of a cell is selected with
     probability budget * w / share, at most 1, decided by a hash of seed and id: the same run after
     run and wherever the row lies. Rows with the same id share their fate; a null id counts as one
-    id; documents without words (null or empty text) have no tokens to weigh and are kept; a text of any
-    length counts by all its words; a probability that falls on a row's own number leaves the row out.
+    id; documents without words (null or empty text) have no tokens to weigh and share their cell's
+    probability, or are kept where nothing in the cell has words; a text of any length counts by all its words; a probability that falls on a row's own number leaves the row out.
     Other columns stay as they are; an empty table gives no rows.
     """
     known = described(docs, dims, text_col, prefix)

@@ -27,10 +27,10 @@ KINDS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Beside these, keys and tokens: a run of 24 to 512 characters as they are made of, that holds letters and
+#: Beside these, keys and tokens: a run of 24 or more characters as they are made of, that holds letters and
 #: digits in numbers (see _valid). It is protected like the others, but no base kind.
 SECRET = "secret"
-PATTERNS = KINDS | {SECRET: r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,512}+(?![A-Za-z0-9+/_-])"}
+PATTERNS = KINDS | {SECRET: r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}+(?![A-Za-z0-9+/_-])"}
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: A term: a whole run of letters, beside which no digit stands.
 TERM = r"(?<![\p{L}\p{N}])\p{L}++(?!\p{N})"

@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 VERSION = b"WARC/1.1"
 #: Bytes that the decompressor gets, and gives, at a time.
 STEP = 1 << 16
-#: No header is longer; what goes on without its end is no record.
-LONGEST_HEAD = 1 << 20
 
 
 class Record(NamedTuple):
@@ -90,7 +88,7 @@ class _Frame:
         self.head += data
         end = self.head.find(b"\r\n\r\n", known)
         if end < 0:
-            self.broken = len(self.head) > LONGEST_HEAD
+            self.broken = not self.head.startswith(b"WARC/"[: len(self.head)])  # a header may have any length
             return b""
         lines = bytes(self.head[:end]).decode("utf-8", "replace").split("\r\n")
         self.fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}

@@ -217,7 +217,7 @@ def test_risky_terms_equal_brute_force(spark, docs):
     texts = {}
     for i, t in rows.select("doc_id", "text").collect():
         texts.setdefault(i, t)
-    secret = regex.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,512}+(?![A-Za-z0-9+/_-])")
+    secret = regex.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}+(?![A-Za-z0-9+/_-])")
     good = lambda v: len(re.findall("[0-9]", v)) >= 4 and len(re.findall("[A-Za-z]", v)) >= 4 and len(set(v)) >= 8
     secrets = [[Row(start=m.start(), end=m.end(), kind="secret", value=m[0]) for m in secret.finditer(texts[r.doc_id] or "") if good(m[0])] for r in found]
     assert [[(s.start, s.end) for s in r.added if s.kind == "secret"] for r in found] == [[(x.start, x.end) for x in mine] for mine in secrets]
@@ -295,6 +295,19 @@ def test_mixing_with_targets_that_cannot_be_met(spark):
     assert {r.probability for r in out if r.source == "b"} == {0.0}
 
 
+def test_mixing_with_targets_of_nothing(spark):
+    docs = spark.createDataFrame([(1, "x y", "a"), (2, "z", "b"), (3, "", "a"), (4, "", "c")], "doc_id long, text string, source string")
+    got = {r.doc_id: (r.probability, r.selected) for r in mixing.sample(docs, {"source": F.col("source")}, targets={"source": {"a": 0.0, "b": 0.0}}).collect()}
+    assert got == {1: (0.0, False), 2: (0.0, False), 3: (0.0, False), 4: (1.0, True)}
+
+
+@pytest.mark.parametrize("length", [24, 504, 512, 513, 5_000, 300_000])
+def test_secrets_of_any_length_are_found(spark, length):
+    key = ("aB3dE5fG7hJ9kL2mN4pQ6rS8t" * (length // 25 + 1))[:length]
+    got = pii.find(spark.createDataFrame([(1, f"the key is {key} and no more")], "doc_id long, text string")).first()
+    assert [(s.start, s.end) for s in got.added if s.kind == pii.SECRET] == [(11, 11 + length)]
+
+
 def test_mixing_tells_what_the_budget_keeps_it_from(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source", "lang")
     dims = {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.topic_of("text")}

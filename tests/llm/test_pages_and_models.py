@@ -110,6 +110,108 @@ def test_broken_pages_take_time_in_proportion(bad):
     assert time.time() - started < 8
 
 
+TEXT = "A paragraph of some length, with commas, that is the text of the page."
+READER = "A reader says something that is long, with commas, so that it would count."
+
+
+@pytest.mark.parametrize("depth", [1, 8, 9, 50, 3000])
+def test_text_inside_many_marked_elements_is_kept(depth):
+    for mark in ('<div class="widget">', '<div id="sidebar">', "<form>"):
+        page = mark * depth + f"<p>{TEXT}</p>" + "</div></form>" * depth
+        assert html.main_text(page) == TEXT
+
+
+def test_of_marked_elements_the_one_with_most_text_is_kept():
+    page = f'<div class="menu">short</div><div class="widget"><div class="promo"><p>{TEXT}</p></div><div class="ad">tiny</div></div>'
+    assert html.main_text(page) == TEXT
+
+
+@pytest.mark.parametrize("comments", [1, 3, 6, 40])
+def test_comments_of_readers_are_left_out_however_many(comments):
+    post = '<div class="post">' + f"<p>{TEXT}</p>" * 3 + "</div>"
+    marked = "".join(f'<article class="comment"><p>{READER}</p></article>' for _ in range(comments))
+    plain = "".join(f"<article><p>{READER}</p></article>" for _ in range(comments))
+    wanted = "\n\n".join([TEXT] * 3)
+    for tail in (f'<div id="comments">{marked}</div>', marked, f'<section class="comment-list">{plain}</section>', f'<div id="disqus_thread">{plain}</div>'):
+        assert html.main_text(f"<body>{post}{tail}</body>") == wanted
+    assert html.main_text(f'<body class="has-comments"><article><h1>T</h1><p>{TEXT}</p><div class="comments">{marked}</div></article></body>') == f"T\n\n{TEXT}"
+    # a wrapper that holds the title is the page, whatever its class says
+    assert html.main_text(f'<div class="post with-comments"><h1>T</h1><p>{TEXT}</p></div>') == f"T\n\n{TEXT}"
+
+
+@pytest.mark.parametrize("broken", ["", "<a title='x>z</a> "])
+def test_quotes_count_after_a_broken_one(broken):
+    """A ">" in quotes ends no tag, also where a quote before never closes."""
+    page = f'<p>{broken}</p><div class="ad" data-x="1 > 0"><p>{READER}</p></div><p>{TEXT}</p>'
+    assert html.main_text(page).endswith(TEXT) and READER not in html.main_text(page) and '0"' not in html.main_text(page)
+
+
+def test_tag_ends_equal_a_plain_scan():
+    rng = np.random.default_rng(11)
+
+    def plain(source, at):
+        first, quote = at, None
+        while at < len(source):
+            c = source[at]
+            at += 1
+            if quote:
+                quote = None if c == quote else quote
+            elif c == ">":
+                return at
+            elif c in "\"'":
+                quote = c
+        return source.find(">", first) + 1
+
+    for _ in range(400):
+        source = "".join(rng.choice(list("<a>\"' x"), rng.integers(1, 60)))
+        ends = html._TagEnds(source)
+        for at in rng.integers(0, len(source), 10).tolist():
+            assert ends.find(at) == plain(source, at)
+
+
+def test_urls_of_any_length_go_round(spark):
+    url = "http://a/" + "x" * 2_500_000
+    pages = spark.createDataFrame([(1, url, "y" * 200), (2, url, "y" * 200), (3, "u", "z")], "page_id long, url string, html string")
+    got = {r.record_id: r for r in warc.read_segments(warc.write_segments(pages)).collect()}
+    assert {k: (r.payload_bytes, r.record_type, r.intact) for k, r in got.items()} == {"urn:page:1": (200, "response", True), "urn:page:2": (200, "revisit", True), "urn:page:3": (1, "response", True)}
+    made = warc.record("response", "urn:page:1", url, b"p")
+    assert next(iter(warc.read_records(made))).fields["warc-target-uri"] == url
+
+
+def test_classifier_takes_a_bounded_sample(spark):
+    """One text for each labelled id, however many rows share it, and no more bytes than told."""
+    docs = spark.range(100_000).select((F.col("id") % 40).alias("doc_id"), F.concat(F.lit("row "), F.col("id").cast("string"), F.lit(" of many words in a text ")).alias("text"))
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    seen = []
+    plain = classifier._dictionary
+
+    def counted(texts, size):
+        seen.append(texts)
+        return plain(texts, size)
+
+    classifier._dictionary = counted
+    try:
+        classifier.fit(docs, labels)
+        assert sum(map(len, seen)) <= 40 and all(len(set(t)) == len(t) for t in seen)
+        seen.clear()
+        classifier.fit(docs, labels, sample_bytes=200)
+        assert sum(len(x) for t in seen for x in t) <= 2 * 200
+    finally:
+        classifier._dictionary = plain
+
+
+def test_pivots_are_bounded_by_bytes(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, [float(x) for x in rng.normal(size=1024)], 1) for k in range(60)]
+    classes = spark.createDataFrame(rows, "class long, vec array<double>, label int")
+    found = embeddings.choose_pivots(classes, 50, 1024, most_bytes=20 * 8 * 1024)
+    assert {d: x.shape for d, x in found.items()} == {1024: (20, 1024)}
+    assert np.allclose(np.linalg.norm(found[1024], axis=1), 1)
+    mixed = classes.limit(5).union(spark.createDataFrame([(99, [1.0, 2.0], 1)], "class long, vec array<double>, label int"))
+    assert sorted(embeddings.choose_pivots(mixed, 50, 1024)) == [2, 1024]
+    assert embeddings.choose_pivots(classes.limit(0), 50) == {}
+
+
 def plain_main_text(tree):
     """The definition of the score, on a tree of (tag, children) and paragraphs (tag, text, linked characters)."""
     flat = []

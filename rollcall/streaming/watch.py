@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rollcall.sources.sheets import cells_of, is_candidate
 
@@ -16,7 +14,7 @@ POLL, QUIET_MS = "4 seconds", 150
 
 def watch_folder(spark: SparkSession, folder: str, since: str) -> DataFrame:
     """A stream of the spreadsheets that appear in a folder from a time on: path, content, modified."""
-    found = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.{xlsx,xlsm,ods,csv}")
+    found = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.{xlsx,xlsm,xls,ods,csv}")
     found = found.schema("path string, modificationTime timestamp, length long, content binary").load(folder)
     return found.where(is_candidate(F.col("path")) & (F.col("modificationTime") >= F.lit(since).cast("timestamp"))).select("path", F.col("modificationTime").alias("modified"), "content")
 
@@ -31,29 +29,9 @@ def import_once(files: DataFrame, sink: Callable[[DataFrame, int], None], checkp
     return files.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(processingTime=POLL).start()
 
 
-def settled_stream(sightings: DataFrame) -> DataFrame:
-    """sightings (path, modified, size, seen) as a stream: a file is ready when two sightings in a row agree
-    on time and size, and then never again for that path and time. State: one small row per path."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get if state.exists else (-1, -1, -1)
-        rows = pd.concat(list(batches)).sort_values("seen")
-        ready = []
-        for modified, size in zip(rows["modified"].astype("int64"), rows["size"]):
-            if (modified, size) == last[:2] and last[2] != modified:
-                ready.append((key[0], pd.Timestamp(modified), size))
-                last = (modified, int(size), modified)
-            else:
-                last = (modified, int(size), last[2])
-        state.update(tuple(map(int, last)))
-        yield pd.DataFrame(ready, columns=["path", "modified", "size"])
-
-    return sightings.groupBy("path").applyInPandasWithState(step, "path string, modified timestamp, size long", "modified long, size long, done long", "append", GroupStateTimeout.NoTimeout)
-
-
 def settled(sightings: DataFrame, key: str = "path", state: tuple[str, ...] = ("modified", "size"), order: str = "seen") -> DataFrame:
-    """The same over a table of sightings: the first sighting of each (path, modified) whose time and size
-    equal those of the sighting before."""
+    """A table of sightings (as a stream: rollcall.streaming.stateful): the first sighting of each (path,
+    modified) whose time and size equal those of the sighting before."""
     w = Window.partitionBy(key).orderBy(order)
     same = F.lit(True)
     for c in state:

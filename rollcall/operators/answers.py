@@ -115,8 +115,9 @@ def cards(verdicts: DataFrame, drives: DataFrame, circles: DataFrame, friends: i
 
 
 def write_snapshot(document: DataFrame, folder: str, name: str = "snapshot.json") -> str:
-    """Writes one document (a row) as a text file and moves it into place, so that readers see the old or
-    the new one, never half of it. The folder is one that Spark's file systems know."""
+    """Writes one document (a row) as a text file and moves it over the old one in one step, so that readers
+    see the old or the new one, never none and never half of it. The folder is one that Spark's file systems
+    know. Tables that change together have versions (see rollcall.operators.versions)."""
     spark = document.sparkSession
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     part, target = jvm.org.apache.hadoop.fs.Path(f"{folder}/.{name}.tmp"), jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
@@ -125,8 +126,11 @@ def write_snapshot(document: DataFrame, folder: str, name: str = "snapshot.json"
     made = [s.getPath() for s in fs.listStatus(part) if s.getPath().getName().startswith("part-") and s.getLen() > 0]
     if len(made) != 1:
         raise ValueError("a snapshot is one document")
-    fs.delete(target, False)
-    fs.rename(made[0], target)
+    kinds = jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
+    over = jvm.java.lang.reflect.Array.newInstance(kinds, 1)
+    jvm.java.lang.reflect.Array.set(over, 0, next(k for k in kinds.getEnumConstants() if k.toString() == "OVERWRITE"))
+    target = fs.makeQualified(target)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(made[0], target, over)
     fs.delete(part, True)
     return target.toString()
 

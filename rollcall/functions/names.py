@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from functools import lru_cache
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column
@@ -88,110 +90,146 @@ def jaro_winkler_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else jaro_winkler(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-def _at(word: str, at: int, *parts: str) -> bool:
-    return any(word.startswith(p, at) for p in parts if at >= 0)
+class _Spot:
+    """A place in a word, and questions about what stands around it."""
+
+    def __init__(self, word: str) -> None:
+        self.word, self.i, self.last = word, 0, len(word) - 1
+        self.slavic = any(x in word for x in ("W", "K", "CZ"))  # or Germanic
+
+    def has(self, offset: int, *parts: str) -> bool:
+        """Whether one of the parts stands at an offset from here; the end of the word counts as a space."""
+        at = self.i + offset
+        return at >= 0 and any(self.word.startswith(p, at) if " " not in p else (self.word + " ").startswith(p, at) for p in parts)
+
+    def any(self, offset: int, letters: str) -> bool:
+        at = self.i + offset
+        return 0 <= at <= self.last and self.word[at] in letters
+
+    def vowel(self, offset: int) -> bool:
+        return self.any(offset, "AEIOUY")
+
+    @property
+    def first(self) -> bool:
+        return self.i == 0
+
+    @property
+    def ends(self) -> bool:
+        return self.i == self.last
+
+    def begins(self, *parts: str) -> bool:
+        return self.word.startswith(parts)
+
+
+def _doubled(code: str, more: str = ""):
+    """A letter with one code, doubled or not, or followed by one of `more`."""
+    return [(lambda s: s.any(1, s.word[s.i] + more), code, 2), (lambda s: True, code, 1)]
+
+
+def _hard_ch(s: _Spot) -> bool:
+    """CH as in Greek and German words."""
+    greek = s.first and (s.has(1, "HARAC", "HARIS") or s.has(1, "HOR", "HYM", "HIA", "HEM")) and not s.begins("CHORE")
+    german = s.begins("SCH") or s.has(-2, "ORCHES", "ARCHIT", "ORCHID") or s.any(2, "TS")
+    before = s.first or s.any(-1, "AOUE")
+    return s.i > 0 and s.has(0, "CHAE") or greek or german or before and (s.any(2, "LRNMBHFVW") or s.i + 1 == s.last) or s.i > 0 and s.begins("MC")
+
+
+#: The contexts of each letter, as published for double metaphone (primary code): tried in turn, each
+#: with the code that it gives and how many letters it takes. They hold for English and, by their
+#: spelling, Slavic, Germanic, Greek, French, Italian and Spanish words.
+SOUNDS_OF: dict[str, list[tuple]] = {
+    **{v: [(lambda s: s.first, "A", 1), (lambda s: True, "", 1)] for v in "AEIOUY"},
+    "B": _doubled("P"),
+    "C": [
+        (lambda s: s.i > 1 and not s.vowel(-2) and s.has(-1, "ACH") and not s.any(2, "I") and (not s.any(2, "E") or s.has(-2, "BACHER", "MACHER")), "K", 2),
+        (lambda s: s.first and s.has(0, "CAESAR"), "S", 2),
+        (lambda s: s.has(0, "CHIA"), "K", 2),
+        (lambda s: s.has(0, "CH") and _hard_ch(s), "K", 2),
+        (lambda s: s.has(0, "CH"), "X", 2),
+        (lambda s: s.has(0, "CZ") and not s.has(-2, "WICZ"), "S", 2),
+        (lambda s: s.has(1, "CIA"), "X", 3),
+        (lambda s: s.has(0, "CC") and not (s.i == 1 and s.begins("M")) and s.any(2, "IEH") and not s.has(2, "HU"), lambda s: "KS" if s.i == 1 and s.any(-1, "A") or s.has(-1, "UCCEE", "UCCES") else "X", 3),
+        (lambda s: s.has(0, "CC") and not (s.i == 1 and s.begins("M")) or s.any(1, "KGQ"), "K", 2),
+        (lambda s: s.any(1, "IEY"), "S", 2),
+        (lambda s: s.any(1, "CKQ") and not s.has(1, "CE", "CI"), "K", 2),
+        (lambda s: True, "K", 1),
+    ],
+    "D": [(lambda s: s.any(1, "G") and s.any(2, "IEY"), "J", 3), (lambda s: s.any(1, "G"), "TK", 2), *_doubled("T", "T")],
+    "F": _doubled("F"),
+    "G": [
+        (lambda s: s.any(1, "H") and s.i > 0 and not s.vowel(-1), "K", 2),
+        (lambda s: s.any(1, "H") and s.first, lambda s: "J" if s.any(2, "I") else "K", 2),
+        (lambda s: s.any(1, "H") and (s.any(-2, "BHD") or s.any(-3, "BHD") or s.any(-4, "BH")), "", 2),
+        (lambda s: s.any(1, "H") and s.i > 2 and s.any(-1, "U") and s.any(-3, "CGLRT"), "F", 2),
+        (lambda s: s.any(1, "H"), lambda s: "" if s.any(-1, "I") else "K", 2),
+        (lambda s: s.any(1, "N") and s.i == 1 and s.vowel(-1) and not s.slavic, "KN", 2),
+        (lambda s: s.any(1, "N"), lambda s: "KN" if s.has(2, "EY") or s.slavic else "N", 2),
+        (lambda s: s.has(1, "LI") and not s.slavic, "KL", 2),
+        (lambda s: s.first and (s.any(1, "Y") or s.has(1, "ES", "EP", "EB", "EL", "EY", "IB", "IL", "IN", "IE", "EI", "ER")), "K", 2),
+        (lambda s: (s.has(1, "ER") or s.any(1, "Y")) and not s.begins("DANGER", "RANGER", "MANGER") and not s.any(-1, "EI") and not s.has(-1, "RGY", "OGY"), "K", 2),
+        (lambda s: s.any(1, "EIY") or s.has(-1, "AGGI", "OGGI"), lambda s: "K" if s.begins("SCH") or s.has(1, "ET") else "J", 2),
+        *_doubled("K"),
+    ],
+    "H": [(lambda s: (s.first or s.vowel(-1)) and s.vowel(1), "H", 2), (lambda s: True, "", 1)],
+    "J": [
+        (lambda s: s.has(0, "JOSE"), lambda s: "H" if s.first and s.last == 3 else "J", 1),
+        (lambda s: s.any(1, "J"), "J", 2),
+        (lambda s: not s.first and not s.ends and not (s.vowel(-1) and not s.slavic and s.any(1, "AO")) and (s.any(1, "LTKSNMBZ") or s.any(-1, "SKL")), "", 1),
+        (lambda s: True, "J", 1),
+    ],
+    "K": _doubled("K"),
+    "L": _doubled("L"),
+    "M": [(lambda s: s.any(1, "M") or s.has(-1, "UMB") and (s.i + 1 == s.last or s.has(2, "ER")), "M", 2), (lambda s: True, "M", 1)],
+    "N": _doubled("N"),
+    "P": [(lambda s: s.any(1, "H"), "F", 2), *_doubled("P", "B")],
+    "Q": _doubled("K"),
+    "R": [(lambda s: s.ends and not s.slavic and s.has(-2, "IE") and not s.has(-4, "ME", "MA"), "", 1), *_doubled("R")],
+    "S": [
+        (lambda s: s.has(-1, "ISL", "YSL"), "", 1),
+        (lambda s: s.first and s.has(0, "SUGAR"), "X", 1),
+        (lambda s: s.has(0, "SH"), lambda s: "S" if s.has(1, "HEIM", "HOEK", "HOLM", "HOLZ") else "X", 2),
+        (lambda s: s.has(0, "SIO", "SIA"), "S", 3),
+        (lambda s: s.any(1, "Z"), "S", 2),
+        (lambda s: s.first and s.any(1, "MNLW"), "S", 1),
+        (lambda s: s.has(0, "SCH"), lambda s: "SK" if s.has(3, "OO", "UY", "ED", "EM") else "X", 3),
+        (lambda s: s.has(0, "SC"), lambda s: "S" if s.any(2, "IEY") else "SK", 3),
+        (lambda s: s.ends and s.has(-2, "AI", "OI"), "", 1),
+        *_doubled("S", "Z"),
+    ],
+    "T": [
+        (lambda s: s.has(0, "TION", "TIA", "TCH"), "X", 3),
+        (lambda s: s.has(0, "TH", "TTH"), lambda s: "T" if s.has(2, "OM", "AM") or s.begins("SCH") else "0", 2),
+        *_doubled("T", "D"),
+    ],
+    "V": _doubled("F"),
+    "W": [
+        (lambda s: s.has(0, "WR"), "R", 2),
+        (lambda s: s.first and (s.vowel(1) or s.any(1, "H")), "A", 1),
+        (lambda s: s.has(0, "WICZ", "WITZ") and not (s.ends and s.vowel(-1)), "TS", 4),
+        (lambda s: True, "", 1),
+    ],
+    "X": [
+        (lambda s: s.first, "S", 1),
+        (lambda s: s.ends and (s.has(-3, "IAU", "EAU") or s.has(-2, "AU", "OU")), "", 1),
+        *_doubled("KS", "C"),
+    ],
+    "Z": [(lambda s: s.any(1, "H"), "J", 2), *_doubled("S")],
+}
 
 
 @lru_cache(100_000)
 def metaphone(word: str, longest: int = 6) -> str:
-    """The sound of an ASCII word as consonant codes: the primary code of the double metaphone rules for
-    the letter groups that occur in names (see the README for what is not covered)."""
-    w = word.upper()
-    out, i, n = "", 0, len(w)
-    if _at(w, 0, "GN", "KN", "PN", "WR", "PS"):
-        i = 1
-    if w[:1] == "X":
-        out, i = "S", 1
-    while i < n and len(out) < longest:
-        c, step, code = w[i], 1, ""
-        double = 2 if _at(w, i + 1, c) else 1
-        if c in "AEIOUY":
-            code = "A" if i == 0 else ""
-        elif c == "B":
-            code, step = "P", double
-        elif c == "C":
-            if _at(w, i, "CIA"):
-                code, step = "X", 3
-            elif _at(w, i, "CH"):
-                code, step = ("K" if _at(w, i, "CHR", "CHL", "CHAE") and i == 0 else "X"), 2
-            elif _at(w, i, "CCI", "CCE") and not _at(w, i, "CCHU"):
-                code, step = "KS", 3
-            elif _at(w, i, "CC", "CK", "CG", "CQ"):
-                code, step = "K", 2
-            elif _at(w, i, "CI", "CE", "CY"):
-                code, step = "S", 2
-            else:
-                code = "K"
-        elif c == "D":
-            if _at(w, i, "DGI", "DGE", "DGY"):
-                code, step = "J", 3
-            elif _at(w, i, "DT", "DD"):
-                code, step = "T", 2
-            else:
-                code = "T"
-        elif c == "F":
-            code, step = "F", double
-        elif c == "G":
-            if _at(w, i + 1, "H"):
-                code, step = ("K" if i == 0 or w[i - 1] not in "AEIOUY" else "F" if i > 2 and w[i - 1] == "U" and w[i - 3] in "CGLRT" else ""), 2
-            elif _at(w, i + 1, "N"):
-                code, step = ("KN" if i == 1 and w[0] in "AEIOUY" else "N" if not _at(w, i + 2, "EY") else "KN"), 2
-            elif _at(w, i + 1, "I", "E", "Y") and not _at(w, i, "GER", "GET"):
-                code = ("K" if i == 0 and _at(w, 1, "ES", "EP", "EB", "EL", "EY", "IB", "IL", "IN", "IE", "EI") else "J")
-            else:
-                code, step = "K", double
-        elif c == "H":
-            if (i == 0 or w[i - 1] in "AEIOUY") and i + 1 < n and w[i + 1] in "AEIOUY":
-                code, step = "H", 2
-        elif c == "J":
-            code, step = "J", double
-        elif c == "K":
-            code, step = "K", double
-        elif c == "L":
-            code, step = "L", double
-        elif c == "M":
-            code, step = "M", double
-        elif c == "N":
-            code, step = "N", double
-        elif c == "P":
-            code, step = ("F", 2) if _at(w, i + 1, "H") else ("P", 2 if _at(w, i + 1, "P", "B") else 1)
-        elif c == "Q":
-            code, step = "K", double
-        elif c == "R":
-            code, step = "R", double
-        elif c == "S":
-            if _at(w, i, "SH"):
-                code, step = "X", 2
-            elif _at(w, i, "SIO", "SIA"):
-                code, step = "S", 3
-            elif _at(w, i, "SCH"):
-                code, step = "SK", 3
-            elif _at(w, i, "SCI", "SCE", "SCY"):
-                code, step = "S", 3
-            elif _at(w, i, "SC"):
-                code, step = "SK", 3
-            else:
-                code, step = "S", 2 if _at(w, i + 1, "S", "Z") else 1
-        elif c == "T":
-            if _at(w, i, "TION", "TIA", "TCH"):
-                code, step = "X", 3
-            elif _at(w, i, "TH", "TTH"):
-                code, step = ("T" if _at(w, i + 2, "OM", "AM") else "0"), 2
-            else:
-                code, step = "T", 2 if _at(w, i + 1, "T", "D") else 1
-        elif c == "V":
-            code, step = "F", double
-        elif c == "W":
-            if _at(w, i, "WR"):
-                code, step = "R", 2
-            elif i == 0 and (_at(w, 1, "H") or w[1:2] in "AEIOUY" and n > 1):
-                code = "A"
-        elif c == "X":
-            code, step = "KS", 2 if _at(w, i + 1, "C", "X") else 1
-        elif c == "Z":
-            code, step = ("J", 2) if _at(w, i + 1, "H") else ("S", double)
-        out += code
-        i += step
+    """The sound of an ASCII word as consonant codes: the primary code of double metaphone."""
+    s = _Spot(word.upper())
+    out, s.i = "", 1 if s.begins("GN", "KN", "PN", "WR", "PS") else 0
+    while s.i <= s.last and len(out) < longest:
+        for holds, code, step in SOUNDS_OF.get(s.word[s.i], ()):
+            if holds(s):
+                out += code if isinstance(code, str) else code(s)
+                s.i += step
+                break
+        else:
+            s.i += 1  # no letter
     return out[:longest]
 
 
@@ -225,14 +263,54 @@ def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="bool")
 
 
-def relation(key_a: Column, key_b: Column) -> Column:
-    """How two name keys relate: EXACT, SUBSET (the shorter has two tokens or more, all in the longer),
-    FUZZY (same sound, or as many tokens, each similar to one of the other) or UNRELATED. Only pairs
-    that the first two do not decide reach Python."""
+def contained(key_a: Column, key_b: Column) -> Column:
+    """Whether the shorter of two name keys has two tokens or more, all of them in the longer."""
     a, b = words_of(key_a), words_of(key_b)
     short, long = F.when(F.size(a) <= F.size(b), a).otherwise(b), F.when(F.size(a) <= F.size(b), b).otherwise(a)
-    subset = (F.size(short) >= 2) & (F.size(F.array_except(short, long)) == 0)
+    return (F.size(short) >= 2) & (F.size(F.array_except(short, long)) == 0)
+
+
+def relation(key_a: Column, key_b: Column) -> Column:
+    """How two name keys relate: EXACT, SUBSET (see contained), FUZZY (same sound, or as many tokens, each
+    similar to one of the other) or UNRELATED. Only pairs that the first two do not decide reach Python."""
+    subset = contained(key_a, key_b)
     empty = (key_a == "") | (key_b == "")
     open_ = ~empty & (key_a != key_b) & ~subset
     alike = _alike(F.when(open_, key_a), F.when(open_, key_b))
     return F.when(empty, UNRELATED).when(key_a == key_b, EXACT).when(subset, SUBSET).when(alike, FUZZY).otherwise(UNRELATED)
+
+
+#: Two tokens that are SIMILAR begin with the same four letters, or have at least this many letters in
+#: common, as a share of each added up: what the measure asks for where three letters or fewer agree.
+LEAST_COMMON = 3 * (SIMILAR - 0.3) / 0.7 - 1
+#: The longest token whose choices of letters are all written out.
+SPELT = 12
+
+
+def _common(a: int, b: int) -> int:
+    """The least number of letters that similar tokens of these lengths share, beyond a where none can be."""
+    return math.ceil(LEAST_COMMON / (1 / a + 1 / b) - 1e-9)
+
+
+def token_blocks(token: str) -> list[str]:
+    """Keys of which two similar tokens share at least one: the first four letters; for each length that
+    the other may have, every choice of as many letters as both must share; for long tokens, letters by
+    rank, of which both must share one among the first few."""
+    n, out = len(token), [f"p{token[:4]}"] if len(token) >= 4 else []
+    letters = sorted(token)
+    for other in range(max(1, n // 2), 2 * n + 1):
+        a, b = min(n, other), max(n, other)
+        m = _common(a, b)
+        if m > a:
+            continue
+        if b <= SPELT:
+            out += {f"{a},{b}:{''.join(x)}" for x in combinations(letters, m)}
+        else:
+            nth = [f"{c}{letters[:k].count(c)}" for k, c in enumerate(letters)]
+            out += [f"{a},{b}/{x}" for x in nth[: n - m + 1]]
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def token_blocks_udf(tokens: pd.Series) -> pd.Series:
+    return tokens.map(token_blocks, na_action="ignore")

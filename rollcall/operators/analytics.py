@@ -112,11 +112,12 @@ def _told(which: str, *figures: Column) -> Column:
     return F.concat(*[x for part, figure in zip(parts, figures) for x in (F.lit(part), figure)], F.lit(parts[-1]))
 
 
-def cutoff(rows: DataFrame, baseline: DataFrame, value: str = "cgpa") -> DataFrame:
+def cutoff(rows: DataFrame, baseline: DataFrame, value: str = "cgpa", dist: DataFrame | None = None) -> DataFrame:
     """(drive_id, kind, threshold, observed_floor, statement): a hard floor at the highest signal, else a
-    preference if the list's 5th percentile lies well above the batch's floor, else no filter."""
+    preference if the list's 5th percentile lies well above the batch's floor, else no filter. dist is the
+    distribution of rows, where it is known already."""
     best = ladder(rows, baseline, value).groupBy("drive_id").agg(F.max(F.when(F.col("is_signal"), F.col("threshold"))).alias("t"))
-    dist = distribution(rows, ["drive_id"], value).select("drive_id", "min", "median", "p5")
+    dist = (distribution(rows, ["drive_id"], value) if dist is None else dist).select("drive_id", "min", "median", "p5")
     batch = floor_of(baseline, [], value).agg(F.max("floor").alias("batch"))
     met = dist.join(best, "drive_id").crossJoin(F.broadcast(batch))
     kind = F.when(F.col("t").isNotNull(), "hard_cutoff").when(F.col("p5") - F.col("batch") >= SOFT_SHIFT, "soft_preference").otherwise("no_cgpa_filter")
@@ -191,7 +192,8 @@ def analyse(members: DataFrame, neo_to_reg: DataFrame, academics: DataFrame, bas
     if cohort is not None:
         has = baseline.where((F.col("cohort") == cohort) & F.col("cgpa").isNotNull()).agg((F.count("*") > 0).alias("_has"))
         baseline = baseline.crossJoin(F.broadcast(has)).where((F.col("cohort") == cohort) | ~F.col("_has")).drop("_has")
-    dist = distribution(rows, ["drive_id"]).drop("n", "min", "max")
-    cut = cutoff(rows, baseline).withColumnRenamed("statement", "cutoff_statement")
+    known = saved(distribution(rows, ["drive_id"]), "distribution")
+    dist = known.drop("n", "min", "max")
+    cut = cutoff(rows, baseline, dist=known).withColumnRenamed("statement", "cutoff_statement")
     branches = over_represented(branch_lift(rows, baseline)).withColumnRenamed("statement", "branch_statement")
     return gated.join(dist, "drive_id", "left").join(cut, "drive_id", "left").join(branches, "drive_id", "left")

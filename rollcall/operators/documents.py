@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,31 +109,100 @@ def snapshots(drives: DataFrame, verdicts: DataFrame, seasons: DataFrame, analys
 
 
 def read_snapshots(documents: DataFrame) -> DataFrame:
-    """documents (document) with state: missing, stale (another schema or unreadable) or current."""
-    schema = F.get_json_object("document", "$.schema")
-    return documents.withColumn("state", F.when(F.col("document").isNull(), "missing").when(schema == "1", "current").otherwise("stale"))
+    """documents (document) with state: missing, stale (another schema, or no whole JSON) or current."""
+    schema = F.try_variant_get(F.try_parse_json(F.col("document")), "$.schema", "int")
+    return documents.withColumn("state", F.when(F.col("document").isNull(), "missing").when(schema == 1, "current").otherwise("stale"))
 
 
-#: What a verdict in a document may say.
+#: What a verdict, and a finding about a cutoff, in a document may say.
 STATUSES = ("shortlisted", "not_shortlisted", "undetermined")
+CUTOFFS = ("hard_cutoff", "soft_preference", "no_cgpa_filter")
+
+
+def _tag(value: Column, known: tuple[str, ...]) -> Column:
+    """A tag that is among the known ones; another, as a later version may write, is unknown and no answer."""
+    return F.when(value.isin(*known), value).when(value.isNotNull(), "unknown")
 
 
 def snapshot_verdicts(documents: DataFrame) -> DataFrame:
-    """(drive_id, company, status, reason) of the drives in current documents (document). A status that is
-    not among STATUSES, as a later version may write, is unknown and never an answer."""
-    schema = "schema int, drives array<struct<drive_id:long,company:string,verdict:struct<status:string,reason:string>>>"
-    d = read_snapshots(documents).where("state = 'current'").select(F.explode(F.from_json("document", schema)["drives"]).alias("d"))
-    status = F.when(F.col("d.verdict.status").isin(*STATUSES), F.col("d.verdict.status")).otherwise("unknown")
-    return d.select("d.drive_id", "d.company", status.alias("status"), "d.verdict.reason")
+    """(drive_id, company, status, reason, analysis, cutoff, threshold) of the drives in current documents
+    (document), which are read as they stand, without a schema: fields that are missing or of another
+    type are null and leave the others as they are, and further fields do not matter. A missing status
+    is unknown; analysis is ready, insufficient or not_set_up."""
+    read = read_snapshots(documents).where("state = 'current'")
+    d = read.select(F.explode(F.try_variant_get(F.try_parse_json(F.col("document")), "$.drives", "array<variant>")).alias("d"))
+    get = lambda path, kind="string": F.try_variant_get(F.col("d"), path, kind)
+    return d.select(
+        get("$.drive_id", "long").alias("drive_id"), get("$.company").alias("company"),
+        F.coalesce(_tag(get("$.verdict.status"), STATUSES), F.lit("unknown")).alias("status"), get("$.verdict.reason").alias("reason"),
+        _tag(get("$.analysis.status"), ("ready", "insufficient", "not_set_up")).alias("analysis"), _tag(get("$.analysis.cutoff"), CUTOFFS).alias("cutoff"), get("$.analysis.threshold", "double").alias("threshold"),
+    )
+
+
+def _mixed(left: Column, right: Column, n_left: int, n_right: int, key: str, tweak: Column, back: bool) -> Column:
+    """struct(left, right): a permutation of the pairs below n_left and n_right, by four rounds in which a
+    keyed hash of one side is added to the other; back undoes it."""
+
+    def stirred(mine: Column, other: Column, n: int, k: int) -> Column:
+        digest = F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit(str(k)), tweak, other.cast("string")), 256)
+        add = F.pmod(F.conv(F.substring(digest, 1, 12), 16, 10).cast("long"), F.lit(n))
+        return F.pmod(mine - add if back else mine + add, F.lit(n)).cast("long")
+
+    def step(k: int):
+        if k % 2:
+            return lambda p: F.struct(p["l"].alias("l"), stirred(p["r"], p["l"], n_right, k).alias("r"))
+        return lambda p: F.struct(stirred(p["l"], p["r"], n_left, k).alias("l"), p["r"].alias("r"))
+
+    pair = F.struct(left.cast("long").alias("l"), right.cast("long").alias("r"))
+    for k in reversed(range(4)) if back else range(4):
+        pair = _let(pair, step(k))
+    return pair
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _to_number(letters: list[Column]) -> Column:
+    out = F.lit(0)
+    for x in letters:
+        out = out * 26 + (F.ascii(x) - 65)
+    return out
+
+
+def _to_letters(number: Column, n: int) -> list[Column]:
+    return [F.char(F.lit(65) + F.pmod(F.floor(number / 26**k), F.lit(26))) for k in reversed(range(n))]
+
+
+def shaped_alias(value: Column, key: str, back: bool = False) -> Column:
+    """Another identifier of the same shape, null for what is no identifier: four letters and four digits in
+    turn for a primary one; the same admission year, and as many digits, for a secondary one. For one key
+    no two identifiers share an alias, whichever others there are, and back gives the identifier again."""
+    neo, reg = V.neo_id(value), V.reg_no(value)
+    at = lambda x, k, n=1: F.substring(x, k, n)
+    digits = lambda x, n: F.lpad(x.cast("string"), n, "0")
+    p = _mixed(_to_number([at(neo, k) for k in (1, 3, 5, 7)]), F.concat(*[at(neo, k) for k in (2, 4, 6, 8)]), 26**4, 10**4, key, F.lit("neo"), back)
+    as_neo = _let(p, lambda x: F.concat(*[c for k, letter in enumerate(_to_letters(x["l"], 4), 1) for c in (letter, at(digits(x["r"], 4), k))]))
+    out = F.when(neo.isNotNull(), as_neo)
+
+    def as_reg(n: int) -> Column:
+        year = at(reg, 1, 2)
+        q = _mixed(_to_number([at(reg, k) for k in (3, 4, 5)]), at(reg, 6, n), 26**3, 10**n, key, F.concat(year, F.lit(f"/{n}")), back)
+        return _let(q, lambda x: F.concat(year, *_to_letters(x["l"], 3), digits(x["r"], n)))
+
+    for n in (4, 5, 6):
+        out = F.when(reg.isNotNull() & (F.length(reg) == 5 + n), as_reg(n)).otherwise(out)
+    return out
 
 
 def pseudonyms(identifiers: DataFrame, key: str) -> DataFrame:
-    """(value, alias): stable for a key, equal for equal values, never shared by two values: the first 16
-    hex digits of a keyed hash, with all 64 where two values would share them."""
+    """(value, alias): stable for a key, equal for equal values, never shared by two values, and the same
+    whatever else is in the table: identifiers keep their shape (see shaped_alias), other values become
+    the hex digits of a keyed hash."""
+    rows = identifiers.select("value").distinct()
     h = F.sha2(F.concat(F.lit(key), F.lit("\x1f"), F.col("value")), 256)
-    rows = identifiers.select("value").distinct().withColumn("h", h).withColumn("short", F.substring("h", 1, 16))
-    twice = rows.groupBy("short").agg(F.count("*").alias("n")).where("n > 1").select("short", F.lit(True).alias("clash"))
-    return rows.join(twice, "short", "left").select("value", F.when(F.col("clash").isNotNull(), F.col("h")).otherwise(F.col("short")).alias("alias"))
+    return rows.select("value", F.coalesce(shaped_alias(F.col("value"), key), h).alias("alias"))
 
 
 def leaks(made: DataFrame, real: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rollcall.functions import names as N
 from rollcall.functions import values as V
 from rollcall.operators.components import connected_components
+from rollcall.session import saved
 
 #: edges: a_kind, a_value, b_kind, b_value, confidence (0 to 3), source, seq.
 EDGE_KEY = ["a_kind", "a_value", "b_kind", "b_value", "source"]
@@ -91,7 +92,7 @@ def best_names(comps: DataFrame, names: DataFrame) -> DataFrame:
 def resolve(edges: DataFrame) -> DataFrame:
     """(component, neo_id, reg_no, name_key, confidence) per primary identifier of sound components, all at
     the component's confidence."""
-    comps = components(edges).where("not conflicted")
+    comps = saved(components(edges).where("not conflicted"), "identities")
     value = F.substring_index("node", ":", -1)
     neo = comps.where(F.col("kind") == V.NEO).select("component", value.alias("neo_id"), "confidence")
     reg = comps.where(F.col("kind") == V.REG).select("component", value.alias("reg_no"))

@@ -27,8 +27,9 @@ def overlaps(drives: DataFrame, members: DataFrame) -> DataFrame:
     old = new.select(F.col("drive_id").alias("earlier_id"), F.col("imported_at").alias("earlier_at"), "ck", F.col("n_neo").alias("o_neo"), F.col("n_reg").alias("o_reg"))
     before = (F.col("earlier_at") < F.col("imported_at")) | ((F.col("earlier_at") == F.col("imported_at")) & (F.col("earlier_id") < F.col("drive_id")))
     pairs = new.join(old, "ck").where(before)
-    of_company = listed.join(keyed.select("drive_id", "ck"), "drive_id")
-    both = of_company.alias("a").join(of_company.alias("b"), (F.col("a.ck") == F.col("b.ck")) & (F.col("a.kind") == F.col("b.kind")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.drive_id") != F.col("b.drive_id")))
+    of_company = listed.join(keyed, "drive_id")
+    later = (F.col("a.imported_at") > F.col("b.imported_at")) | ((F.col("a.imported_at") == F.col("b.imported_at")) & (F.col("a.drive_id") > F.col("b.drive_id")))
+    both = of_company.alias("a").join(of_company.alias("b"), (F.col("a.ck") == F.col("b.ck")) & (F.col("a.kind") == F.col("b.kind")) & (F.col("a.value") == F.col("b.value")) & later)
     common = both.groupBy(F.col("a.drive_id").alias("drive_id"), F.col("b.drive_id").alias("earlier_id")).agg(F.count_if(F.col("a.kind") == NEO).alias("c_neo"), F.count_if(F.col("a.kind") == REG).alias("c_reg"))
     met = pairs.join(common, ["drive_id", "earlier_id"], "left").na.fill(0, ["c_neo", "c_reg"])
     share = lambda c, n, o: F.when((F.col(n) > 0) & (F.col(o) > 0), F.col(c) / F.col(n))
@@ -43,29 +44,31 @@ def link_rounds(drives: DataFrame, members: DataFrame, least: float = OVERLAP) -
     return drives.join(best, "drive_id", "left").withColumn("parent_drive_id", F.coalesce("parent_drive_id", "_found")).drop("_found")
 
 
-def _walked(now: DataFrame, step) -> DataFrame:
-    """now (drive_id, path, cur) after as many steps as the longest chain has: until no path grows. Each
-    round is written to the shared folder; only a count comes to the driver. A path holds no drive twice,
-    so the rounds end."""
-    now = saved(now, "chains")
-    while now.where("cur is not null").count():
-        after = saved(step(now), "chains")
+def _chains(pointers: DataFrame) -> DataFrame:
+    """(way, drive_id, path, looped): each drive and those that its pointer, the pointer of that, and so on
+    lead to. pointers: way, drive_id, next; ways do not meet. A path stops before a repeat (looped), or
+    where the next drive is not in the table.
+
+    Paths are doubled: each round appends to a path the path of the drive that it has come to, so rounds
+    grow with the logarithm of the longest chain. Each is written to the shared folder; only whether a
+    path is left to grow comes to the driver.
+    """
+    now = saved(pointers.select("way", "drive_id", F.array("drive_id").alias("path"), F.col("next").alias("cur"), F.lit(False).alias("looped")), "chains")
+    while not now.where("cur is not null").isEmpty():
+        on = now.select("way", F.col("drive_id").alias("cur"), F.col("path").alias("_more"), F.col("cur").alias("_next"), F.col("looped").alias("_looped"), F.lit(True).alias("_known"))
+        met = now.join(on, ["way", "cur"], "left")
+        meets = F.coalesce(F.arrays_overlap("path", "_more"), F.lit(False))
+        first = F.array_min(F.filter(F.transform("_more", lambda x, k: F.when(F.array_contains("path", x), k)), lambda k: k.isNotNull()))
+        grown = F.when(meets, F.concat("path", F.slice("_more", F.lit(1), first))).when(F.col("_known"), F.concat("path", "_more")).otherwise(F.col("path"))
+        after = saved(met.select("way", "drive_id", grown.alias("path"), F.when(~meets, F.col("_next")).alias("cur"), (F.col("looped") | meets | F.coalesce("_looped", F.lit(False))).alias("looped")), "chains")
         forget(now)
         now = after
-    return now
+    return now.drop("cur")
 
 
 def _ancestors(drives: DataFrame) -> DataFrame:
-    """(drive_id, path): the drive and its ancestors, nearest first; stops before a repeat, or where the
-    parent is not in the table. One equi-join of the chain heads per round of the longest chain."""
-    parents = drives.select("drive_id", "parent_drive_id")
-    known = parents.select(F.col("drive_id").alias("_known"), F.col("parent_drive_id").alias("_next"))
-
-    def step(now: DataFrame) -> DataFrame:
-        met = now.join(known, (F.col("cur") == F.col("_known")) & ~F.array_contains("path", F.col("cur")), "left")
-        return met.select("drive_id", F.when(F.col("_known").isNotNull(), F.concat("path", F.array("_known"))).otherwise(F.col("path")).alias("path"), F.col("_next").alias("cur"))
-
-    return _walked(parents.select("drive_id", F.array("drive_id").alias("path"), F.col("parent_drive_id").alias("cur")), step).select("drive_id", "path")
+    """(drive_id, path): the drive and its ancestors, nearest first."""
+    return _chains(drives.select(F.lit("up").alias("way"), "drive_id", F.col("parent_drive_id").alias("next"))).select("drive_id", "path")
 
 
 def round_labels(drives: DataFrame) -> DataFrame:
@@ -82,20 +85,34 @@ def _labels(drives: DataFrame, ancestors: DataFrame) -> DataFrame:
     return rows.where((F.col("depth") > 0) | F.col("has_child")).select("drive_id", F.coalesce("round_label", F.concat(F.lit("R"), (F.col("depth") + 1).cast("string"))).alias("label"))
 
 
+def _walked(rings: DataFrame, child: DataFrame) -> DataFrame:
+    """(drive_id, path) of drives whose parents form a ring: step by step to the newest child that is not on
+    the path. Only these few, which no sound import makes, go this way, with a round for each step."""
+    now = saved(rings.withColumn("cur", F.col("drive_id")), "rings")
+    while not now.where("cur is not null").isEmpty():
+        met = now.join(child, F.col("cur") == F.col("_of"), "left")
+        fresh = F.try_element_at(F.filter("kids", lambda k: ~F.array_contains("path", k["drive_id"])), F.lit(-1))["drive_id"]
+        after = saved(met.withColumn("_n", fresh).select("drive_id", F.when(F.col("_n").isNotNull(), F.concat("path", F.array("_n"))).otherwise(F.col("path")).alias("path"), F.col("_n").alias("cur")), "rings")
+        forget(now)
+        now = after
+    return now.select("drive_id", "path")
+
+
 def progression(drives: DataFrame, verdicts: DataFrame) -> DataFrame:
     """(subject_id, drive_id, steps, next_pending) for each drive in a chain: its ancestors, itself and
     its newest child's line, each "label=status"; pending if the last is in and not Final."""
     drives = saved(drives.select("drive_id", "imported_at", "parent_drive_id", "round_label"), "drives")
-    ancestors = _ancestors(drives)
-    up = ancestors.select("drive_id", F.reverse("path").alias("path"))
     child = drives.where("parent_drive_id is not null").groupBy(F.col("parent_drive_id").alias("_of")).agg(F.array_sort(F.collect_list(F.struct("imported_at", "drive_id"))).alias("kids"))
-
-    def step(now: DataFrame) -> DataFrame:
-        met = now.join(child, F.col("cur") == F.col("_of"), "left")
-        fresh = F.try_element_at(F.filter("kids", lambda k: ~F.array_contains("path", k["drive_id"])), F.lit(-1))["drive_id"]
-        return met.withColumn("_n", fresh).select("drive_id", F.when(F.col("_n").isNotNull(), F.concat("path", F.array("_n"))).otherwise(F.col("path")).alias("path"), F.col("_n").alias("cur"))
-
-    now = _walked(up.withColumn("cur", F.col("drive_id")), step)
+    newest = drives.join(child.select(F.col("_of").alias("drive_id"), F.element_at("kids", -1)["drive_id"].alias("next")), "drive_id", "left")
+    chains = _chains(drives.select(F.lit("up").alias("way"), "drive_id", F.col("parent_drive_id").alias("next")).union(newest.select(F.lit("down"), "drive_id", "next")))
+    ancestors = chains.where("way = 'up'").select("drive_id", "path")
+    down = chains.where("way = 'down'").select("drive_id", F.slice("path", 2, F.greatest(F.size("path") - 1, F.lit(0))).alias("_down"), "looped")
+    both = ancestors.select("drive_id", F.reverse("path").alias("path")).join(down, "drive_id")
+    crossed = F.col("looped") | F.arrays_overlap("path", "_down")
+    now = both.where(~crossed).select("drive_id", F.concat("path", "_down").alias("path"))
+    rings = both.where(crossed).select("drive_id", "path")
+    if not rings.isEmpty():
+        now = now.union(_walked(rings, child))
     steps = now.where(F.size("path") >= 2).select("drive_id", F.posexplode("path").alias("at", "step_id"))
     named = steps.join(_labels(drives, ancestors).withColumnRenamed("drive_id", "step_id"), "step_id", "left")
     told = named.join(verdicts.select("subject_id", F.col("drive_id").alias("step_id"), "status"), "step_id")

@@ -4,10 +4,14 @@ inserts, a new table version for rewrites)."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollcall.functions import values as V
+from rollcall.operators.components import connected_components
 from rollcall.operators.identity import EDGE_KEY
 from rollcall.session import saved
 
@@ -50,28 +54,74 @@ def upsert_academics(table: DataFrame, batch: DataFrame) -> DataFrame:
     return both.groupBy("reg_no").agg(newest("cgpa"), newest("branch"), F.min_by("cohort", "seq").alias("cohort"), F.min_by("source", "seq").alias("source"), F.max("seq").alias("seq"))
 
 
-def save_profile(current: DataFrame, new: DataFrame) -> DataFrame:
-    """The profile after an edit: the cohort follows the secondary identifier where it is not given, and the
-    grade's time moves only if the grade changed (nulls compared as equal)."""
-    old = current.select(F.col("cgpa").alias("_old"), F.col("cgpa_updated_at").alias("_at"))
-    met = new.crossJoin(F.broadcast(old.limit(1)))
-    moved = F.when(F.col("cgpa").eqNullSafe(F.col("_old")), F.col("_at")).otherwise(F.col("now"))
-    return met.select("neo_id", "reg_no", "display_name", F.coalesce("cohort", V.admission_year(F.col("reg_no"))).alias("cohort"), "cgpa", moved.alias("cgpa_updated_at"))
+def save_profile(current: DataFrame, new: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Profiles after an edit: one for each value of keys, or the only one where no keys are given. A first
+    profile is taken as it comes. The cohort follows the secondary identifier where it is not given. The
+    grade's time is null without a grade, and moves only if the grade changed."""
+    old = current.select(*keys, F.struct("cgpa", F.col("cgpa_updated_at").alias("at")).alias("_old"))
+    met = new.join(old, list(keys), "left") if keys else new.join(F.broadcast(old.limit(1)), F.lit(True), "left")
+    moved = F.when(F.col("cgpa").isNull(), None).when(F.col("cgpa") == F.col("_old.cgpa"), F.col("_old.at")).otherwise(F.col("now"))
+    return met.select(*keys, "neo_id", "reg_no", "display_name", F.coalesce("cohort", V.admission_year(F.col("reg_no"))).alias("cohort"), "cgpa", moved.alias("cgpa_updated_at"))
+
+
+FRIEND = ["label", "neo_id", "reg_no", "group_tag"]
 
 
 def add_friends(friends: DataFrame, batch: DataFrame) -> DataFrame:
-    """Friends after a batch (label, neo_id, reg_no, group_tag): a row that shares either identifier with a
-    friend updates that friend, keeping what it leaves out; others are new. Two equi-joins."""
-    f = friends.select("friend_id", "neo_id", "reg_no")
-    hit = batch.join(f.select("friend_id", "neo_id"), "neo_id").select("seq", "friend_id").union(batch.join(f.select("friend_id", "reg_no"), "reg_no").select("seq", "friend_id"))
-    of = hit.groupBy("seq").agg(F.min("friend_id").alias("friend_id"))
-    changes = batch.join(of, "seq", "left")
-    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"_{c}")
-    edits = changes.where("friend_id is not null").groupBy("friend_id").agg(*[last(c) for c in ("label", "neo_id", "reg_no", "group_tag")])
-    kept = friends.join(edits, "friend_id", "left").select("friend_id", *[F.coalesce(f"_{c}", c).alias(c) for c in ("label", "neo_id", "reg_no", "group_tag")])
-    top = friends.agg(F.coalesce(F.max("friend_id"), F.lit(0)).alias("_top"))
-    new = changes.where("friend_id is null").crossJoin(F.broadcast(top)).select((F.col("_top") + F.col("seq")).alias("friend_id"), "label", "neo_id", "reg_no", "group_tag")
-    return kept.unionByName(new)
+    """Friends after a batch (seq, label, neo_id, reg_no, group_tag), taken row by row in the order of seq: a row
+    that shares an identifier with a friend, also one that came earlier in the batch, gives that friend its
+    label and tag (null too) and the identifiers that it has; others are new, numbered after the greatest
+    id by seq. A row that meets two friends changes the one with the lower id, and an identifier that
+    the other bears stays there.
+
+    Rows that identifiers connect are worked on together, in order, by one task; it holds the friends of
+    one such group at a time. Friends whom the batch does not touch are not looked at.
+    """
+    node = lambda kind, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(kind), c))
+    ends = [node("n", "neo_id").alias("src"), node("r", "reg_no").alias("dst")]
+    asked = saved(batch.select(F.col("seq").cast("long").alias("seq"), *FRIEND, *ends), "friends-batch")
+    names = asked.select(F.explode(F.array_compact(F.array("src", "dst"))).alias("_name")).distinct()
+    held = friends.select(F.col("friend_id").cast("long").alias("friend_id"), *FRIEND, *ends)
+    touched = held.select("friend_id", F.explode(F.array_compact(F.array("src", "dst"))).alias("_name")).join(names, "_name", "left_semi").select("friend_id").distinct()
+    met = saved(held.join(touched, "friend_id", "left_semi"), "friends-met")
+    parts = connected_components(asked.select("src", "dst").union(met.select("src", "dst"))).select(F.col("node").alias("_node"), "component")
+    none = F.lit(None).cast("long")
+    rows = met.select("friend_id", none.alias("seq"), *FRIEND, "src", "dst").union(asked.select(none.alias("friend_id"), "seq", *FRIEND, "src", "dst"))
+    rows = rows.withColumn("_node", F.coalesce("src", "dst", F.concat(F.lit("s"), F.col("seq").cast("string"))))
+    grouped = rows.join(parts, "_node", "left").select(F.coalesce("component", "_node").alias("part"), "friend_id", "seq", *FRIEND)
+    top = friends.agg(F.coalesce(F.max("friend_id"), F.lit(0)).cast("long")).first()[0]
+    schema = "friend_id long, label string, neo_id string, reg_no string, group_tag string"
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, known = None, {}
+        for some in batches:
+            out: list = []
+            for row in some.astype(object).where(some.notna(), None).itertuples(index=False):
+                if row.part != part:
+                    out += ([k, *f] for k, f in known.items())
+                    part, known = row.part, {}
+                _take(known, row, top)
+            yield pd.DataFrame(out, columns=["friend_id", *FRIEND])
+        yield pd.DataFrame([[k, *f] for k, f in known.items()], columns=["friend_id", *FRIEND])
+
+    dealt = grouped.repartition("part").sortWithinPartitions("part", F.asc_nulls_first("seq"), "friend_id")
+    return friends.join(touched, "friend_id", "left_anti").select("friend_id", *FRIEND).unionByName(dealt.mapInPandas(each, schema))
+
+
+def _take(known: dict[int, list], row, top: int) -> None:
+    """One row of a group of add_friends: a friend as it was, or a row of the batch."""
+    if row.seq is None:
+        known[int(row.friend_id)] = [row.label, row.neo_id, row.reg_no, row.group_tag]
+        return
+    hits = sorted(k for k, f in known.items() if row.neo_id and f[1] == row.neo_id or row.reg_no and f[2] == row.reg_no)
+    if not hits:
+        known[top + int(row.seq)] = [row.label, row.neo_id, row.reg_no, row.group_tag]
+        return
+    others = [known[k] for k in hits[1:]]
+    friend = known[hits[0]]
+    neo = row.neo_id if row.neo_id and all(f[1] != row.neo_id for f in others) else friend[1]
+    reg = row.reg_no if row.reg_no and all(f[2] != row.reg_no for f in others) else friend[2]
+    known[hits[0]] = [row.label, neo, reg, row.group_tag]
 
 
 def delete_drives(drives: DataFrame, children: dict[str, DataFrame], gone: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:

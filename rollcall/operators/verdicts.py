@@ -111,17 +111,24 @@ def lookup(queries: DataFrame, drives: DataFrame, members: DataFrame) -> DataFra
     return typed.join(members, ["kind", "value"]).join(keyed, ["drive_id", "kind"], "left_semi").select("query", "drive_id").distinct()
 
 
+def sightings(subjects: DataFrame, drives: DataFrame, origins: DataFrame, each_side: int = 2) -> DataFrame:
+    """(subject_id, drive_id, row, excerpt): where subjects stand in lists, by an equi-join on the kind of the
+    list's key and the value, and the lines around: the nearest `each_side` rows below and above by row
+    number in the same sheet, strictly, so others on the own line are left out."""
+    held = subjects.select("subject_id", F.explode(F.create_map(F.lit(V.NEO), V.neo_id(F.col("neo_id")), F.lit(V.REG), V.reg_no(F.col("reg_no")))).alias("kind", "value")).where("value is not null")
+    keyed = origins.select("drive_id", "kind", "value", "sheet", "row").join(drives.select("drive_id", F.col("primary_key").alias("kind")), ["drive_id", "kind"])
+    at = held.join(keyed, ["kind", "value"])
+    lines = excerpt_around(at.select("drive_id", "kind", "sheet", "row", "value").distinct(), origins, each_side)
+    text = lines.groupBy("drive_id", "kind", F.col("at_value").alias("value")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "value"))), lambda x: F.concat_ws(":", x["row"], x["value"])), ";").alias("excerpt"))
+    return at.join(text, ["drive_id", "kind", "value"]).select("subject_id", "drive_id", "row", "excerpt")
+
+
 def evidence(subjects: DataFrame, drives: DataFrame, origins: DataFrame, each_side: int = 2) -> DataFrame:
-    """(subject_id, drive_id, key, yours, listed, row, excerpt): where a subject stands in a list, and
-    the lines around: the nearest `each_side` rows below and above by row number in the same sheet,
-    strictly, so others on the own line are left out."""
-    pairs = subjects.crossJoin(drives.select("drive_id", "primary_key", "total_students"))
+    """(subject_id, drive_id, key, yours, listed, row, excerpt) for every subject and drive: what the list asks
+    for, and where the subject stands in it (see sightings), if so."""
     yours = F.when(F.col("primary_key") == V.NEO, V.neo_id(F.col("neo_id"))).when(F.col("primary_key") == V.REG, V.reg_no(F.col("reg_no")))
-    mine = pairs.withColumn("yours", yours)
-    at = mine.join(origins.select("drive_id", F.col("kind").alias("primary_key"), F.col("value").alias("yours"), "sheet", "row"), ["drive_id", "primary_key", "yours"], "left")
-    lines = excerpt_around(at.where("row is not null").select("drive_id", F.col("primary_key").alias("kind"), "sheet", "row", F.col("yours").alias("value")), origins, each_side)
-    text = lines.groupBy("drive_id", "kind", F.col("at_value").alias("yours")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "value"))), lambda x: F.concat_ws(":", x["row"], x["value"])), ";").alias("excerpt"))
-    return at.withColumnRenamed("primary_key", "kind").join(text, ["drive_id", "kind", "yours"], "left").select("subject_id", "drive_id", F.col("kind").alias("key"), "yours", F.col("total_students").alias("listed"), "row", "excerpt")
+    pairs = subjects.crossJoin(drives.select("drive_id", "primary_key", "total_students")).select("subject_id", "drive_id", F.col("primary_key").alias("key"), yours.alias("yours"), F.col("total_students").alias("listed"))
+    return pairs.join(sightings(subjects, drives, origins, each_side), ["subject_id", "drive_id"], "left").select("subject_id", "drive_id", "key", "yours", "listed", "row", "excerpt")
 
 
 def excerpt_around(points: DataFrame, origins: DataFrame, each_side: int = 2) -> DataFrame:

@@ -520,4 +520,4 @@ def newest_k(spark, sf):
     return T.read(spark, sf, "events").select("user_id", "event_id", "ts", F.row_number().over(w).alias("k")).where("k <= 2").drop("k")
 
 
-from rollcall.plans import people as _people, samples as _samples  # noqa: E402, F401  (register their queries)
+from rollcall.plans import people as _people, records as _records, samples as _samples  # noqa: E402, F401  (register their queries)

@@ -43,11 +43,12 @@ def import_lists(cells: DataFrame, stored: DataFrame, first_id: int, now: Column
     named = saved(named.drop("titles", "sheets"), "named")
     drives = named.select("drive_id", F.col("i.company").alias("company"), F.col("i.date").alias("drive_date"), now.alias("imported_at"), file_name(F.col("file_id")).alias("filename"), "content_hash", "shape", "primary_key", F.col("student_count").cast("long").alias("total_students"), F.col("i.round").alias("round_label"), F.lit(None).cast("long").alias("parent_drive_id"))
     ids = named.select("file_id", "drive_id")
-    members = ingest.members(parsed).join(ids, "file_id").select("drive_id", "kind", "value")
+    members = saved(ingest.members(parsed).join(ids, "file_id").select("drive_id", "kind", "value"), "members")
     origins = ingest.origins(parsed, layout, cells).join(ids, "file_id").drop("file_id")
     rows = parsed.withColumn("seq", F.struct("file_id", "sheet_idx", "row")).withColumn("source", file_name(F.col("file_id")))
     skipped = cells.select("file_id").distinct().join(ids, "file_id", "left_anti")
-    return Imported(drives, members, origins, identity.dedup_edges(identity.harvest(rows)), identity.spellings(rows), skipped)
+    edges = saved(identity.dedup_edges(identity.harvest(rows)), "harvest")
+    return Imported(drives, members, origins, edges, identity.spellings(rows), skipped)
 
 
 def import_pasted(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -66,7 +67,7 @@ def route_reference(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def outcomes(subjects: DataFrame, drives: DataFrame, members: DataFrame, edges: DataFrame, academics: DataFrame, baseline: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(verdicts with company and round label, analyses): the answer for every subject and list."""
-    linked = rounds.link_rounds(drives, members)
+    linked = saved(rounds.link_rounds(drives, members).select("drive_id", "company", "parent_drive_id", "round_label"), "linked")
     told = verdicts.membership(subjects, drives, members).join(linked.select("drive_id", "company"), "drive_id").join(rounds.round_labels(linked), "drive_id", "left")
     known = identity.resolve(edges).where("reg_no is not null").select("neo_id", "reg_no", "confidence")
     return told, analytics.analyse(members, known, academics, baseline)

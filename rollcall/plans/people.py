@@ -164,15 +164,29 @@ def import_members(spark, sf):
     return got.members.groupBy("drive_id", "kind").agg(F.count("*").alias("members"))
 
 
-@query("""SELECT subject_id AS friend_id, CASE WHEN subject_id % 3 = 0 THEN 'new ' || subject_id ELSE label END AS label, neo_id, CASE WHEN subject_id % 3 = 0 THEN reg_no END AS reg_no, 'g' AS group_tag FROM pop WHERE subject_id % 2 = 0
-UNION ALL SELECT (SELECT max(subject_id) FROM pop WHERE subject_id % 2 = 0) + subject_id, 'new ' || subject_id, neo_id, reg_no, NULL FROM pop WHERE subject_id % 2 = 1 AND subject_id % 3 = 0""")
+@query("""SELECT CASE WHEN subject_id % 2 = 0 THEN subject_id ELSE (SELECT max(subject_id) FROM pop WHERE subject_id % 2 = 0) + subject_id END AS friend_id,
+  CASE WHEN subject_id % 9 = 0 THEN 'again ' || subject_id WHEN subject_id % 3 = 0 THEN 'new ' || subject_id ELSE label END AS label, neo_id,
+  CASE WHEN subject_id % 3 = 0 THEN reg_no END AS reg_no, CASE WHEN subject_id % 9 = 0 THEN 'h' WHEN subject_id % 3 <> 0 THEN 'g' END AS group_tag
+FROM pop WHERE subject_id % 2 = 0 OR subject_id % 3 = 0""")
 def friends_upsert(spark, sf):
-    """Every third person comes again: those already there by an identifier are changed, others added."""
+    """Every third person comes again: those already there by an identifier are changed, others added. Every
+    ninth comes a second time in the same batch, by the other identifier only."""
     p, k = T.population(spark, sf), F.col("subject_id")
     none = F.lit(None).cast("string")
     there = p.where(k % 2 == 0).select(k.alias("friend_id"), "label", "neo_id", none.alias("reg_no"), F.lit("g").alias("group_tag"))
     batch = p.where(k % 3 == 0).select(k.alias("seq"), F.concat(F.lit("new "), k.cast("string")).alias("label"), "neo_id", "reg_no", none.alias("group_tag"))
-    return S.add_friends(there, batch)
+    again = p.where(k % 9 == 0).select((k + (1 << 40)).alias("seq"), F.concat(F.lit("again "), k.cast("string")).alias("label"), none.alias("neo_id"), "reg_no", F.lit("h").alias("group_tag"))
+    return S.add_friends(there, batch.union(again))
+
+
+@query("""SELECT subject_id, neo_id, reg_no, label AS display_name, '2' || (subject_id % 10) AS cohort, CASE WHEN subject_id % 4 <> 0 THEN cgpa END AS cgpa,
+  CASE WHEN subject_id % 4 = 0 OR cgpa IS NULL THEN NULL WHEN subject_id % 3 > 0 AND subject_id % 5 > 0 THEN '2026-01-01' ELSE '2026-09-01' END AS cgpa_updated_at FROM pop""")
+def profile_upsert(spark, sf):
+    """Every third profile is a first one, every fourth loses its grade, every fifth had another one."""
+    p, k = T.population(spark, sf), F.col("subject_id")
+    there = p.where(k % 3 > 0).select("subject_id", F.when(k % 5 == 0, F.col("cgpa") + 1).otherwise(F.col("cgpa")).alias("cgpa"), F.lit("2026-01-01").alias("cgpa_updated_at"))
+    new = p.select("subject_id", "neo_id", "reg_no", F.col("label").alias("display_name"), F.lit(None).cast("string").alias("cohort"), F.when(k % 4 != 0, F.col("cgpa")).alias("cgpa"), F.lit("2026-09-01").alias("now"))
+    return S.save_profile(there, new, ("subject_id",))
 
 
 @query("""SELECT drive_id, company, shape, primary_key, total_students, round_label, '2027-01-01' AS imported_at, (SELECT count(*) FROM mem m WHERE m.drive_id = drv.drive_id)::BIGINT AS members, (SELECT count(*) FROM org o WHERE o.drive_id = drv.drive_id)::BIGINT AS origins FROM drv""")
@@ -235,10 +249,11 @@ def drive_outcome(spark, sf):
     from rollcall.operators import analytics as A
 
     subjects, drives, members = T.subjects(spark, sf), T.drives(spark, sf), T.members(spark, sf)
-    verdicts = _verdicts(spark, sf)
+    verdicts = saved(_verdicts(spark, sf), "verdicts")
     analyses = A.analyse(members, T.neo_to_reg(spark, sf), T.population(spark, sf).select("reg_no", "cgpa", "branch"), _baseline(spark, sf))
     linked = R.link_rounds(drives, members)
-    return B.drive_outcomes(verdicts, W.circle(subjects, drives, members), analyses, _evidence(spark, sf), R.progression(linked, verdicts))
+    seen = W.sightings(subjects.select("subject_id", "neo_id", "reg_no"), drives, T.origins(spark, sf))
+    return B.drive_outcomes(verdicts, W.circle(subjects, drives, members), analyses, seen, R.progression(linked, verdicts))
 
 
 @query(_CIRCLE + """

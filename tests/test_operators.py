@@ -1,5 +1,6 @@
 """Set-based operators on small tables: the traps of the data model, each named after its number."""
 
+import random
 import zipfile
 
 import pytest
@@ -7,6 +8,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from rollcall.functions import names as N
 from rollcall.operators import analytics as A
 from rollcall.operators import documents as D
 from rollcall.operators import identity as I
@@ -16,6 +18,7 @@ from rollcall.operators import rounds as R
 from rollcall.operators import store as S
 from rollcall.operators import verdicts as W
 from rollcall.operators.components import connected_components
+from rollcall.session import saved
 from rollcall.sources import sheets
 
 N1, N2, N3 = "A1B2C3D4", "B1B2C3D4", "C1B2C3D4"
@@ -259,6 +262,39 @@ def test_upserts_and_deletes(spark):
     assert left.collect()[0][:] == (2, None) and children["members"].count() == 1
 
 
+def test_long_chains_are_doubled(spark, monkeypatch):
+    """A chain of 1,000 lists, a tree and rings: few rounds, and the paths of a plain walk."""
+    n = 1_000
+    rows = [(k, k - 1 if k > 1 else None) for k in range(1, n + 1)]
+    rows += [(2_000, None), (2_001, 2_000), (2_002, 2_000), (2_003, 2_002), (2_004, 2_001), (2_005, 9_999)]
+    rows += [(3_000, 3_002), (3_001, 3_000), (3_002, 3_001), (3_003, 3_001), (3_004, 3_003), (3_005, 3_005)]
+    drives = spark.createDataFrame([(k, f"2026-{k:06d}", p, "Final" if k == 500 else None) for k, p in rows], "drive_id long, imported_at string, parent_drive_id long, round_label string").repartition(4)
+    parent = dict(rows)
+    writes = []
+    monkeypatch.setattr(R, "saved", lambda df, name, *a: writes.append(name) or saved(df, name, *a))
+
+    def up(k):
+        path = [k]
+        while parent.get(path[-1]) in parent and parent[path[-1]] not in path:
+            path.append(parent[path[-1]])
+        return path
+
+    def down(k):
+        path = up(k)[::-1]
+        while kids := [c for c, p in rows if p == path[-1] and c not in path]:
+            path.append(max(kids))
+        return path
+
+    got = {r.drive_id: r.path for r in R._ancestors(drives).collect()}
+    assert got == {k: up(k) for k in parent} and len(writes) <= 12
+    labels = {r.drive_id: r.label for r in R.round_labels(drives).collect()}
+    assert labels[1] == "R1" and labels[999] == "R999" and labels[500] == "Final" and 2_005 not in labels or labels[2_005]
+    few = drives.where("drive_id > 1500")
+    verdicts = spark.createDataFrame([(1, k, "shortlisted") for k in parent], "subject_id long, drive_id long, status string")
+    steps = {r.drive_id: r.steps.count(">") + 1 for r in R.progression(few, verdicts).collect()}
+    assert steps == {k: len(down(k)) for k in parent if k > 1500 and len(down(k)) > 1}
+
+
 def test_friends_and_profile(spark):
     friends = spark.createDataFrame([(1, "Ann", N1, None, None), (2, "Bob", None, R1, "g")], "friend_id long, label string, neo_id string, reg_no string, group_tag string")
     batch_ = spark.createDataFrame([(1, "Annie", N1, R2, None), (2, "Cy", N3, None, None)], "seq long, label string, neo_id string, reg_no string, group_tag string")
@@ -268,7 +304,33 @@ def test_friends_and_profile(spark):
     schema = "neo_id string, reg_no string, display_name string, cohort string, cgpa double, now string"
     same = S.save_profile(old, spark.createDataFrame([(N1, R1, "x", None, 8.0, "now")], schema)).first()
     assert (same.cohort, same.cgpa_updated_at) == ("24", "then")
-    assert S.save_profile(old, spark.createDataFrame([(N1, R1, "x", None, None, "now")], schema)).first().cgpa_updated_at == "now"
+    assert S.save_profile(old, spark.createDataFrame([(N1, R1, "x", None, None, "now")], schema)).first().cgpa_updated_at is None
+    assert S.save_profile(old, spark.createDataFrame([(N1, R1, "x", "23", 8.5, "now")], schema)).first().cgpa_updated_at == "now"
+    first = S.save_profile(old.limit(0), spark.createDataFrame([(N1, R1, "x", None, 8.0, "now")], schema)).collect()
+    assert [(r.cohort, r.cgpa, r.cgpa_updated_at) for r in first] == [("24", 8.0, "now")]
+
+
+def test_friends_are_taken_row_by_row(spark):
+    """Against a plain loop over the rows in order, with chains of identifiers within one batch."""
+    rng = random.Random(4)
+    some = lambda kind, n: rng.choice([None, *(f"{kind}{k}" for k in range(n))])
+    for _ in range(4):
+        neos, regs = rng.sample(range(30), 12), rng.sample(range(30), 12)
+        there = [(k, f"f{k}", f"n{a}" if k % 3 else None, f"r{b}" if k % 4 else None, "t") for k, (a, b) in enumerate(zip(neos, regs), 1)]
+        batch_ = [(k, f"b{k}", some("n", 30), some("r", 30), rng.choice([None, "u"])) for k in range(1, 60)]
+        plain = {f[0]: list(f[1:]) for f in there}
+        for seq, label, neo, reg, tag in batch_:
+            hits = sorted(k for k, f in plain.items() if neo and f[1] == neo or reg and f[2] == reg)
+            if hits:
+                others = [plain[k] for k in hits[1:]]
+                f = plain[hits[0]]
+                f[0], f[3] = label, tag
+                f[1] = neo if neo and neo not in [x[1] for x in others] else f[1]
+                f[2] = reg if reg and reg not in [x[2] for x in others] else f[2]
+            else:
+                plain[12 + seq] = [label, neo, reg, tag]
+        got = S.add_friends(spark.createDataFrame(there, "friend_id long, label string, neo_id string, reg_no string, group_tag string"), spark.createDataFrame(batch_, "seq long, label string, neo_id string, reg_no string, group_tag string").repartition(5))
+        assert sorted(map(tuple, got.collect())) == sorted((k, *f) for k, f in plain.items())
 
 
 def test_t21_excerpts(spark):
@@ -305,6 +367,46 @@ def test_pseudonyms(spark):
     assert D.leaks(ids, spark.createDataFrame([(N2,)], "value string")).count() == 1
 
 
+def test_pseudonyms_keep_their_shape_and_stay(spark):
+    import re
+
+    ids = [f"{chr(65 + k % 26)}{k % 10}B{k // 10 % 10}C{k // 100 % 10}D{k // 1000 % 10}" for k in range(6_000)] + [f"{20 + k % 7}ABC{k:0{4 + k % 3}d}" for k in range(6_000)] + ["Ravi Shah", ""]
+    made = {r.value: r.alias for r in D.pseudonyms(spark.createDataFrame([(x,) for x in ids], "value string"), "k").collect()}
+    assert len(set(made.values())) == len(made) == len(set(ids))
+    for value, alias in made.items():
+        if re.fullmatch("([A-Z][0-9]){4}", value):
+            assert re.fullmatch("([A-Z][0-9]){4}", alias)
+        elif re.fullmatch("[0-9]{2}[A-Z]{3}[0-9]{4,6}", value):
+            assert re.fullmatch("[0-9]{2}[A-Z]{3}[0-9]{4,6}", alias) and alias[:2] == value[:2] and len(alias) == len(value)
+        else:
+            assert re.fullmatch("[0-9a-f]{64}", alias)
+    alone = D.pseudonyms(spark.createDataFrame([(ids[5],), (ids[7_000],)], "value string"), "k").collect()
+    assert all(r.alias == made[r.value] for r in alone)  # whatever else is in the table
+    other = D.pseudonyms(spark.createDataFrame([(ids[5],)], "value string"), "another key").first().alias
+    assert other != made[ids[5]]
+    back = spark.createDataFrame([(v, a) for v, a in made.items() if v[:1].isalnum() and " " not in v], "value string, alias string")
+    assert back.where(D.shaped_alias(F.col("alias"), "k", back=True) != F.col("value")).count() == 0
+
+
+def test_a_small_space_is_permuted_whole(spark):
+    """All 10,000 numbers of one programme's letters and year: no two share an alias."""
+    pairs = spark.range(26 * 40).select((F.col("id") % 26).alias("l"), F.floor(F.col("id") / 26).alias("r"))
+    mixed = pairs.select(D._mixed(F.col("l"), F.col("r"), 26, 40, "k", F.lit("t"), False).alias("p")).select("p.*")
+    assert mixed.distinct().count() == 26 * 40 and mixed.where("l between 0 and 25 and r between 0 and 39").count() == 26 * 40
+
+
+def test_documents_of_other_versions_are_read_as_far_as_they_go(spark):
+    docs = [
+        '{"schema":1,"drives":[{"drive_id":1,"company":"A","verdict":{"status":"shortlisted"},"analysis":{"status":"ready","cutoff":"hard_cutoff","threshold":7.5},"new":{"x":1}}]}',
+        '{"schema":1,"drives":[{"drive_id":"two","company":"B","verdict":7,"analysis":{"status":"later","cutoff":"new_kind"}},{"company":"C","verdict":{"status":null,"reason":"r"}},5]}',
+        '{"schema":1,"drives":[{"drive_id":3', '{"schema":1,"drives":7}', '{"schema":1}', '{"schema":3,"drives":[{"drive_id":9}]}', "", None,
+    ]
+    table = spark.createDataFrame([(x,) for x in docs], "document string")
+    assert [r.state for r in D.read_snapshots(table).collect()] == ["current", "current", "stale", "current", "current", "stale", "stale", "missing"]
+    got = sorted((tuple(r) for r in D.snapshot_verdicts(table).collect()), key=str)
+    assert got == sorted([(1, "A", "shortlisted", None, "ready", "hard_cutoff", 7.5), (None, "B", "unknown", None, "unknown", "unknown", None), (None, "C", "unknown", "r", None, None, None), (None, None, "unknown", None, None, None, None)], key=str)
+
+
 def test_long_chains_of_rounds_are_walked_to_their_end(spark):
     n = 19
     rows = [(k, "c", f"2026-01-{k:02d}", None, k - 1 or None) for k in range(1, n + 1)] + [(50, "c", "2026-02-01", None, 51), (51, "c", "2026-02-02", None, 50)]
@@ -318,10 +420,56 @@ def test_long_chains_of_rounds_are_walked_to_their_end(spark):
     assert len(told[50][0].split(">")) == 2
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text("abcde", min_size=1, max_size=15), st.text("abcde", min_size=1, max_size=15), st.integers(0, 6))
+def test_similar_tokens_share_a_block(a, b, same):
+    b = (a[:same] + b)[:16]
+    for x, y in ((a, b), (a, a[:-1] or "a"), (a, a[1:] + a[:1]), (a, a + "e")):
+        if max(N.jaro_winkler(x, y), N.jaro_winkler(y, x)) >= N.SIMILAR:
+            assert set(N.token_blocks(x)) & set(N.token_blocks(y)), (x, y)
+
+
+def _brute_match(spark, q, c):
+    left, right = M.keyed(q, "query").alias("l"), M.keyed(c, "display").alias("r")
+    near = (F.col("l.name_key") == F.col("r.name_key")) | (F.col("l.phonetic") == F.col("r.phonetic")) | F.arrays_overlap("l.tokens", "r.tokens")
+    scored = left.crossJoin(right).where(near).withColumn("relation", N.relation(F.col("l.name_key"), F.col("r.name_key"))).where("relation > 0")
+    out = {r.query_id: ("no_match", None, 0) for r in q.select("query_id").collect()}
+    for r in scored.groupBy("query_id").agg(F.collect_set(F.struct("relation", "payload")).alias("x")).collect():
+        top = max(x.relation for x in r.x)
+        best = {x.payload for x in r.x if x.relation == top}
+        out[r.query_id] = ("ambiguous", None, 0) if len(best) > 1 else ("matched", *best, 2 if top == N.EXACT else 1)
+    return out
+
+
+def test_names_match_under_a_hot_token(spark):
+    """A third of all people share a token: the same answers as by brute force, from few pairs."""
+    rng = random.Random(9)
+    part = lambda: rng.choice("bcdfgklmnprstv") + rng.choice("aeiou") + rng.choice("bdgklmnrst") + rng.choice(["a", "i", "esh", "avi", "un"])
+    words = [part() + part() for _ in range(400)]
+
+    def typo(w):
+        k = rng.randrange(len(w) - 1)
+        return rng.choice([w[:k] + w[k + 1] + w[k] + w[k + 2 :], w[:k] + w[k + 1 :], w[:k] + "e" + w[k:], w])
+
+    people = [("kumar " if k % 3 == 0 else rng.choice(words) + " ") + rng.choice(words) + (" " + rng.choice(words) if k % 5 == 0 else "") for k in range(900)]
+    corpus = spark.createDataFrame([(str(k), p) for k, p in enumerate(people)], CORPUS)
+    asks = [" ".join(typo(w) if rng.random() < 0.5 else w for w in reversed(rng.choice(people).split())) for _ in range(150)] + [" ".join(rng.choice(people).split()[:2]) for _ in range(30)] + ["kumar", "kumar kumar", "kumar " + words[0] + " " + words[1] + " " + words[2]]
+    asked = spark.createDataFrame(list(enumerate(asks)), "query_id long, query string")
+    expected = _brute_match(spark, asked, corpus)
+    assert {r.query_id: (r.outcome, r.payload, r.confidence) for r in M.match(asked, corpus).collect()} == expected
+    assert {x[0] for x in expected.values()} == {"matched", "ambiguous", "no_match"} and sum(x[2] == 1 for x in expected.values()) > 20
+    known = M.keyed(corpus, "display").select("name_key", "tokens").distinct()
+    mine = M.keyed(asked, "query").select("name_key", "tokens").distinct()
+    similar = M.similar_tokens(mine.select(F.explode("tokens").alias("t")).distinct(), known.select(F.explode("tokens").alias("t")).distinct())
+    assert similar.where("a = 'kumar'").count() >= 1
+    hot = [("kumar " + part() + part()) for _ in range(3_000)]
+    many = M.keyed(spark.createDataFrame([(str(k), p) for k, p in enumerate(hot)], CORPUS), "display").select("name_key", "tokens").distinct()
+    few = many.limit(300)
+    assert M.subset_pairs(few, many).count() == 0 and M.alike_pairs(few, many).count() < 3 * 300
+
+
 def test_names_match_as_by_brute_force(spark):
     """Every query against every name: exact, subset and fuzzy answers, ambiguous and repeated names."""
-    from rollcall.functions import names as N
-
     corpus = [("1", "Ravi Kumar Shah"), ("2", "Shah Ravi"), ("3", "Anita Rao"), ("4", "Anita Rao"), ("5", "Anitha Rao"), ("6", "Stephen Lee"), ("6", "Lee Stephen"), ("7", "Steven Li"), ("8", "Meera"), ("9", "Priya Nair"), ("10", "Priya Nayar"), ("11", ""), ("12", "Nair Priya Devi")]
     asked = [(k, q) for k, q in enumerate(["Ravi Shah", "Kumar Ravi Shah", "Anita Rao", "Anitha Rao", "Anitta Rao", "Stephen Lee", "Stefen Lee", "Meera", "Mira", "Priya Nair", "Priya", "Nobody Here", "", "Nayar Priya", "Devi Nair"])]
     q, c = spark.createDataFrame(asked, "query_id long, query string"), spark.createDataFrame(corpus, "payload string, display string")

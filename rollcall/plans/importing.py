@@ -74,10 +74,46 @@ def outcomes(subjects: DataFrame, drives: DataFrame, members: DataFrame, edges:
 
 
 def build_pack(edges: DataFrame, academics: DataFrame, spellings: DataFrame) -> dict[str, DataFrame]:
-    """Tables of reference data to ship: sound identity links, grades, and spellings of names in use."""
-    links = identity.resolve(edges)
+    """Tables of reference data to ship: sound identity links, claims of names, grades, and spellings of names
+    in use."""
+    links = saved(identity.resolve(edges), "pack-links")
+    named = identity.node_names(edges).select(F.substring_index("node", ":", -1).alias("identifier"), "name_key", V.confidence_label(F.col("confidence")).alias("confidence"))
     return {
         "edges": links.where("reg_no is not null").select("neo_id", "reg_no", V.confidence_label(F.col("confidence")).alias("confidence")),
-        "names": spellings.join(links.select("name_key").where("name_key is not null").distinct(), "name_key", "left_semi"),
+        "name_edges": named,
+        "names": spellings.join(named.select("name_key").distinct(), "name_key", "left_semi"),
         "academics": academics.select("reg_no", V.sane_cgpa(F.col("cgpa")).alias("cgpa"), "branch"),
     }
+
+
+class Reference(NamedTuple):
+    """A pack's tables, how names were linked, and which files went into it."""
+
+    pack: dict[str, DataFrame]
+    report: DataFrame
+    sources: DataFrame
+
+
+def build_reference(cells: DataFrame, cohort: str | None = None) -> Reference:
+    """A pack from a folder of sheets (cells): sheets with grades give academic records and names of secondary
+    identifiers, the others, where an identifier was found, links and names of primary ones. Those that no
+    row links are then linked by name, through the ambiguity gate; an ambiguous name links nobody."""
+    graded, rest = route_reference(cells)
+    graded = saved(graded.withColumn("source", file_name(F.col("file_id"))).withColumn("seq", F.struct("file_id", F.lit(0).alias("sheet_idx"), "row")), "pack-graded")
+    academics, of_sheets, baseline = identity.ingest_academics(graded, cohort)
+    layout = saved(ingest.elect(ingest.column_stats(rest)), "pack-layout")
+    parsed = saved(ingest.extract(rest, layout), "pack-parsed")
+    usable = ingest.files(parsed).where("shape <> 'unrecognised'").select("file_id")
+    rows = parsed.join(usable, "file_id", "left_semi").withColumn("seq", F.struct("file_id", "sheet_idx", "row")).withColumn("source", file_name(F.col("file_id")))
+    both = saved(identity.dedup_edges(of_sheets.unionByName(identity.harvest(rows))), "pack-edges")
+    spelt = identity.spellings(graded.select("name", "seq").unionByName(rows.select("name", "seq")))
+    first = identity.resolve(both).where("reg_no is not null").select("neo_id")
+    claims = identity.node_names(both).withColumn("kind", F.substring_index("node", ":", 1)).withColumn("payload", F.substring_index("node", ":", -1))
+    asked = claims.where(F.col("kind") == V.NEO).groupBy("payload").agg(F.max_by(F.struct("name_key", "confidence"), F.struct("confidence", "name_key")).alias("x")).select("payload", F.col("x.name_key").alias("name"), "x.confidence")
+    corpus = claims.where(F.col("kind") == V.REG).select("payload", F.col("name_key").alias("display"))
+    found = saved(identity.link_by_name(asked, corpus, first), "pack-bridge")
+    bridge = found.select(F.lit(V.NEO).alias("a_kind"), F.col("payload").alias("a_value"), F.lit(V.REG).alias("b_kind"), F.col("matched").alias("b_value"), F.lit("names").alias("source"), "confidence")
+    every = saved(both.select(*identity.EDGE_KEY, "confidence").unionByName(bridge), "pack-all")
+    pack = build_pack(every, academics, spelt) | {"baseline": baseline}
+    sources = graded.select("file_id", F.lit("academics").alias("kind")).union(usable.select("file_id", F.lit("list"))).distinct()
+    return Reference(pack, identity.name_link_report(asked, corpus, first), sources)

@@ -101,7 +101,7 @@ def baseline_ingested(spark, sf):
 
 _ASKED = _PEOPLE + """
 , crp AS (SELECT name, count(DISTINCT reg) AS n, min(reg) AS reg FROM (SELECT name, '2' || (seq % 10) || 'BCE' || lpad(seq::VARCHAR, 6, '0') AS reg FROM ppl) GROUP BY name),
-ask AS (SELECT seq AS payload, CASE WHEN seq % 11 = 0 THEN '12345' ELSE name END AS name, (seq % 4)::INT AS claim FROM ppl WHERE seq % 4 > 0),
+ask AS (SELECT seq AS payload, CASE WHEN seq % 11 = 0 THEN '12345' ELSE name END AS name, (seq % 3)::INT AS claim FROM ppl),
 fnd AS (SELECT payload, CASE WHEN n IS NULL THEN 'no_match' WHEN n > 1 THEN 'ambiguous' ELSE 'matched' END AS outcome, reg, least(2, claim) AS link FROM ask LEFT JOIN crp USING (name) WHERE claim >= 1)"""
 
 
@@ -109,7 +109,7 @@ def _asked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """People as rows with a name and a claim, some with none that anyone bears; all people as the corpus."""
     p = people(spark, sf).select("seq", "name")
     k = F.col("seq")
-    asked = p.where(k % 4 > 0).select(k.alias("payload"), F.when(k % 11 == 0, "12345").otherwise(F.col("name")).alias("name"), (k % 4).cast("int").alias("confidence"))
+    asked = p.select(k.alias("payload"), F.when(k % 11 == 0, "12345").otherwise(F.col("name")).alias("name"), (k % 3).cast("int").alias("confidence"))
     return asked, p.select(T.reg_of(k).alias("payload"), F.col("name").alias("display"))
 
 

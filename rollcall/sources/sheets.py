@@ -7,7 +7,9 @@ The data source of rollcall.sources.datasource reads files by path and cuts larg
 from __future__ import annotations
 
 import io
+import struct
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from typing import BinaryIO
 from xml.etree import ElementTree
@@ -395,17 +397,73 @@ def is_candidate(path):
     return ~name.startswith(".") & ~name.startswith("~$") & name.rlike(r"(?i)\.(xlsx|xls|xlsm|csv|ods)$|(?i)\.(tsv|txt)$")
 
 
+#: The longest text that a pack may unfold to, and the version of its contents that is read here.
+MAX_PACK, PACK_VERSION = 64 << 20, 1
+
+
+def _unmasked(body: bytes, seed: int) -> bytes:
+    """body with the words of a shift register laid over it: hides a pack from text search, no more."""
+    words, whole = [], (1 << 64) - 1
+    for _ in range(-(-len(body) // 8)):
+        seed ^= seed << 13 & whole
+        seed ^= seed >> 7
+        seed ^= seed << 17 & whole
+        words.append(seed)
+    pad = struct.pack(f"<{len(words)}Q", *words)[: len(body)]
+    return (int.from_bytes(body, "little") ^ int.from_bytes(pad, "little")).to_bytes(len(body), "little")
+
+
+def unpack(content: bytes, magic: bytes = b"", seed: int | None = None) -> str:
+    """The JSON of a pack: a mark, then raw deflate, under a mask if seed says so."""
+    if not content.startswith(magic):
+        raise ValueError("not a reference pack")
+    body = content[len(magic) :]
+    inflate = zlib.decompressobj(-15)
+    try:
+        text = inflate.decompress(_unmasked(body, seed) if seed else body, MAX_PACK + 1)
+    except zlib.error as e:
+        raise ValueError("a damaged reference pack") from e
+    if len(text) > MAX_PACK:
+        raise ValueError("too large")
+    if not inflate.eof:
+        raise ValueError("a damaged reference pack")
+    return text.decode("utf-8")
+
+
+def open_packs(files: DataFrame, magic: bytes = b"", seed: int | None = None) -> DataFrame:
+    """(path, value, error) of pack files (path, content): the JSON of each, or why there is none: no pack,
+    damaged, too large, not JSON, or of a version that is not known here."""
+
+    def each(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in parts:
+            for path, data in zip(rows.column(0), rows.column(1)):
+                value = error = None
+                try:
+                    value = unpack(data.as_py() or b"", magic, seed)
+                except ValueError as e:
+                    error = str(e)
+                yield pa.RecordBatch.from_arrays([pa.array([path.as_py()]), pa.array([value], pa.string()), pa.array([error], pa.string())], ["path", "value", "error"])
+
+    read = files.select("path", "content").mapInArrow(each, "path string, value string, error string")
+    whole = F.try_parse_json("value")
+    version = F.try_variant_get(whole, "$.version", "int")
+    error = F.coalesce("error", F.when(whole.isNull(), "not JSON").when(version.isNull(), "no version").when(version != PACK_VERSION, F.concat(F.lit("unknown version "), version.cast("string"))))
+    return read.select("path", F.when(error.isNull(), F.col("value")).alias("value"), error.alias("error"))
+
+
 def read_pack(packs: DataFrame) -> dict[str, DataFrame]:
-    """Tables of bundled reference data, JSON texts (column value): edges, names, academics, baseline."""
+    """Tables of bundled reference data, JSON texts (column value, see open_packs): edges, name_edges, names,
+    academics, baseline."""
     schema = "version int, sources array<string>, edges array<array<string>>, name_edges array<array<string>>, names map<string,string>, academics array<array<string>>, baseline_cgpa array<double>, baseline_branch array<string>"
-    p = packs.select(F.from_json("value", schema).alias("p")).select("p.*")
-    e = p.select(F.posexplode("edges").alias("seq", "e"))
-    a = p.select(F.posexplode("academics").alias("seq", "a"))
+    p = packs.select(F.from_json("value", schema).alias("p")).select("p.*").where(F.col("version") == PACK_VERSION)
+    triple = lambda column, names: p.select(F.posexplode(column).alias("seq", "e")).select(*[F.get("e", F.lit(k)).alias(n) for k, n in enumerate(names)], "seq")
+    base = p.select(F.posexplode("baseline_cgpa").alias("seq", "cgpa"), "baseline_branch")
     return {
-        "edges": e.select(F.get("e", F.lit(0)).alias("neo_id"), F.get("e", F.lit(1)).alias("reg_no"), F.get("e", F.lit(2)).alias("confidence"), "seq"),
+        "edges": triple("edges", ("neo_id", "reg_no", "confidence")),
+        "name_edges": triple("name_edges", ("identifier", "name_key", "confidence")),
         "names": p.select(F.explode("names").alias("name_key", "display")),
-        "academics": a.select(F.get("a", F.lit(0)).alias("reg_no"), F.get("a", F.lit(1)).try_cast("double").alias("cgpa"), F.get("a", F.lit(2)).alias("branch"), "seq"),
-        "baseline": p.select(F.posexplode("baseline_cgpa").alias("seq", "cgpa")),
+        "academics": triple("academics", ("reg_no", "cgpa", "branch")).withColumn("cgpa", F.col("cgpa").try_cast("double")),
+        "baseline": base.select("seq", "cgpa", F.get("baseline_branch", F.col("seq")).alias("branch")),
     }
 
 

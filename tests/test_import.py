@@ -104,3 +104,47 @@ def test_snapshots_are_moved_into_place(spark, tmp_path):
         answers.write_snapshot(spark.createDataFrame([(text,)], "document string"), str(tmp_path))
         assert (tmp_path / "snapshot.json").read_text() == text + "\n"
     assert [p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")] == ["snapshot.json"]
+
+
+def test_a_pack_is_built_and_links_names(spark):
+    """A sheet with grades knows names of registration numbers, a roster those of primary identifiers."""
+    from rollcall.plans import importing
+
+    grades = [["Reg No", "Student Name", "CGPA", "Branch"], ["24ABC1001", "Ravi Shah", "8.1", "CSE"], ["24ABC1002", "Anita Rao", "7.5", "ECE"], ["24ABC1003", "Meera Iyer", "x", ""], ["24ABC1004", "Asha Nair", "9.0", "IT"], ["24ABC1005", "Asha Nair", "6.0", "IT"]]
+    roster = [["Neo ID", "Student Name"], ["A1B2C3D4", "Shah Ravi"], ["B1B2C3D4", "Anitha Rao"], ["C1B2C3D4", "Asha Nair"], ["D1B2C3D4", "Nobody Known"]]
+    linked = [["Neo ID", "Reg No", "Name"], ["E1B2C3D4", "24ABC1003", "Meera Iyer"], ["F1B2C3D4", "24ABC1009", "Zoya Khan"]]
+    files = {"grades.xlsx": grades, "roster.xlsx": roster, "linked.xlsx": linked, "notes.txt": [["nothing here"]]}
+    cells = spark.createDataFrame([(f, 0, "S", r, c, t) for f, grid in files.items() for r, row in enumerate(grid) for c, t in enumerate(row) if t], "file_id string, sheet_idx int, sheet string, row int, col int, text string")
+    made = importing.build_reference(cells)
+    edges = {(r.neo_id, r.reg_no, r.confidence) for r in made.pack["edges"].collect()}
+    assert {e[:2] for e in edges} == {("A1B2C3D4", "24ABC1001"), ("B1B2C3D4", "24ABC1002"), ("E1B2C3D4", "24ABC1003"), ("F1B2C3D4", "24ABC1009")}
+    assert {e[2] for e in edges if e[0] in ("E1B2C3D4", "F1B2C3D4")} == {"verified"} and ("A1B2C3D4", "24ABC1001", "high") in edges and ("B1B2C3D4", "24ABC1002", "probable") in edges
+    assert tuple(made.report.first()) == (1, 1, 1, 1)
+    assert {(r.file_id, r.kind) for r in made.sources.collect()} == {("grades.xlsx", "academics"), ("roster.xlsx", "list"), ("linked.xlsx", "list")}
+    assert {(r.reg_no, r.cgpa) for r in made.pack["academics"].collect()} == {("24ABC1001", 8.1), ("24ABC1002", 7.5), ("24ABC1003", None), ("24ABC1004", 9.0), ("24ABC1005", 6.0)}
+    assert {r.name_key for r in made.pack["names"].collect()} >= {"ravi shah", "anita rao", "asha nair"} and made.pack["baseline"].count() == 5
+
+
+def test_packs_are_opened(spark):
+    import json
+    import zlib
+
+    from rollcall.sources import sheets
+
+    body = {"version": 1, "sources": ["a"], "edges": [["A1B2C3D4", "24ABC1001", "verified"]], "name_edges": [["A1B2C3D4", "ravi shah", "high"]], "names": {"ravi shah": "Ravi Shah"}, "academics": [["24ABC1001", 8.1, "CSE"], ["24ABC1002", None, None]], "baseline_cgpa": [7.5, 8.0], "baseline_branch": ["IT"]}
+
+    def packed(value, seed=None, magic=b"PK01"):
+        press = zlib.compressobj(9, zlib.DEFLATED, -15)
+        raw = press.compress(value.encode() if isinstance(value, str) else json.dumps(value).encode()) + press.flush()
+        return bytearray(magic + (sheets._unmasked(raw, seed) if seed else raw))
+
+    plain = packed(body)
+    files = {"good": plain, "cut": plain[:-6], "other": packed(body, magic=b"XX00"), "later": packed(body | {"version": 2}), "text": packed("not json"), "bare": packed({"edges": []}), "empty": bytearray(), "bomb": packed("0" * ((64 << 20) + 5))}
+    got = {r.path: (r.value is not None, r.error) for r in sheets.open_packs(spark.createDataFrame(list(files.items()), "path string, content binary"), b"PK01").collect()}
+    assert got == {"good": (True, None), "cut": (False, "a damaged reference pack"), "other": (False, "not a reference pack"), "later": (False, "unknown version 2"), "text": (False, "not JSON"), "bare": (False, "no version"), "empty": (False, "not a reference pack"), "bomb": (False, "too large")}
+    hidden = sheets.open_packs(spark.createDataFrame([("m", packed(body, 99)), ("plain", plain)], "path string, content binary"), b"PK01", 99)
+    assert {r.path for r in hidden.collect() if r.error is None} == {"m"}
+    tables = sheets.read_pack(hidden)
+    assert [tuple(r) for r in tables["edges"].collect()] == [("A1B2C3D4", "24ABC1001", "verified", 0)] and tables["name_edges"].count() == 1
+    assert [(r.reg_no, r.cgpa) for r in tables["academics"].orderBy("seq").collect()] == [("24ABC1001", 8.1), ("24ABC1002", None)]
+    assert [(r.cgpa, r.branch) for r in tables["baseline"].orderBy("seq").collect()] == [(7.5, "IT"), (8.0, None)]

@@ -489,6 +489,31 @@ def test_names_match_as_by_brute_force(spark):
     assert found == {1: ("ambiguous", None), 2: ("found", "C1"), 3: ("not_found", None)}
 
 
+def test_names_that_the_corpus_has_are_compared_with_no_others(spark, monkeypatch):
+    """A weaker relation is looked for only where there is no stronger one: of names that are all alike, only
+    those that the corpus does not have are paired."""
+    seen = {}
+
+    def spied(name):
+        real = getattr(M, name)
+
+        def spy(asked, known):
+            seen[name] = sorted(r.name_key for r in asked.select("name_key").collect())
+            return real(asked, known)
+
+        monkeypatch.setattr(M, name, spy)
+
+    spied("subset_pairs")
+    spied("alike_pairs")
+    names = [f"anabel{c} karimo{d}" for c in "abcdefgh" for d in "abcdefgh"]
+    corpus = spark.createDataFrame([(str(k), n) for k, n in enumerate(names)] + [("more", "bob anabelz dorn")], CORPUS)
+    asks = [*names, "bob dorn", "anabelb karimoxa"]
+    got = {r.query_id: (r.outcome, r.payload, r.confidence) for r in M.match(spark.createDataFrame(list(enumerate(asks)), "query_id long, query string"), corpus).collect()}
+    assert all(got[k] == ("matched", str(k), 2) for k in range(len(names)))
+    assert got[len(names)] == ("matched", "more", 1) and got[len(names) + 1][0] == "ambiguous"
+    assert seen == {"subset_pairs": ["anabelb karimoxa", "bob dorn"], "alike_pairs": ["anabelb karimoxa"]}
+
+
 def test_name_links_skip_what_is_resolved(spark):
     corpus = spark.createDataFrame([("R1", "Ravi Shah"), ("R2", "Anita Rao"), ("R3", "Anita Rao"), ("R4", "Stephen Lee")], "payload string, display string")
     asked = spark.createDataFrame([("N1", "Ravi Shah", 3), ("N2", "Anita Rao", 3), ("N3", "Stephen Lee", 1), ("N4", "Ravi Shah", 2), ("N5", "Qq Zz", 2), ("N6", "Ravi Shah", 0)], "payload string, name string, confidence int")

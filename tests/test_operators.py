@@ -3,6 +3,7 @@
 import random
 import zipfile
 
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -148,6 +149,29 @@ def test_components_of_long_chains_and_crowds(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def test_edges_are_thinned_before_the_rounds(spark, monkeypatch):
+    """What the rounds carry is bounded by the nodes that a task reads, not by its edges; components stay the same."""
+    from rollcall.operators import components as C
+
+    sizes, keep = [], C.saved
+
+    def spy(df, name):
+        out = keep(df, name)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(C, "saved", spy)
+    rng = random.Random(3)
+    rows = [(f"P{rng.randrange(60) + 100 * k}", f"S{rng.randrange(40) + 100 * k}") for k in range(3) for _ in range(4_000)] + [("S1", "S1"), (None, "S2")]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(rows, "src string, dst string").coalesce(2)).collect()}
+    assert sizes[0] < 2 * len(got) == 600
+    for k in range(3):
+        nodes = {n for n in got if int(n[1:]) // 100 == k}
+        assert len(nodes) == 100 and {got[n] for n in nodes} == {min(nodes)}
+    thinned = list(C._thinned(iter([pa.record_batch([pa.array([1, 2, 3, 7], pa.int64()), pa.array([2, 3, 1, 8], pa.int64())], ["u", "v"])])))
+    assert sorted(map(tuple, (r.values() for b in thinned for r in b.to_pylist()))) == [(2, 1), (3, 1), (8, 7)]
+
+
 CORPUS = "payload string, display string"
 
 

@@ -113,12 +113,15 @@ def progression(drives: DataFrame, verdicts: DataFrame) -> DataFrame:
     rings = both.where(crossed).select("drive_id", "path")
     if not rings.isEmpty():
         now = now.union(_walked(rings, child))
-    steps = now.where(F.size("path") >= 2).select("drive_id", F.posexplode("path").alias("at", "step_id"))
+    # the lists of one line of rounds have one path, which is told once for all of them
+    paths = saved(now.where(F.size("path") >= 2).withColumn("line", F.min("drive_id").over(Window.partitionBy("path"))), "paths")
+    steps = paths.where("line = drive_id").select("line", F.posexplode("path").alias("at", "step_id"))
     named = steps.join(_labels(drives, ancestors).withColumnRenamed("drive_id", "step_id"), "step_id", "left")
     told = named.join(verdicts.select("subject_id", F.col("drive_id").alias("step_id"), "status"), "step_id")
-    rows = told.groupBy("subject_id", "drive_id").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("label", F.lit("")).alias("label"), "status"))).alias("s"))
+    rows = told.groupBy("subject_id", "line").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("label", F.lit("")).alias("label"), "status"))).alias("s"))
     last = F.element_at("s", -1)
-    return rows.select("subject_id", "drive_id", F.array_join(F.transform("s", lambda x: F.concat_ws("=", x["label"], x["status"])), ">").alias("steps"), ((last["status"] == "shortlisted") & (last["label"] != "Final")).alias("next_pending"))
+    lines = rows.select("subject_id", "line", F.array_join(F.transform("s", lambda x: F.concat_ws("=", x["label"], x["status"])), ">").alias("steps"), ((last["status"] == "shortlisted") & (last["label"] != "Final")).alias("next_pending"))
+    return lines.join(paths.select("line", "drive_id"), "line").select("subject_id", "drive_id", "steps", "next_pending")
 
 
 def compare_rounds(pairs: DataFrame, members: DataFrame, key: str = NEO) -> DataFrame:

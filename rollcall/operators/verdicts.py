@@ -28,14 +28,17 @@ def with_verdict(pairs: DataFrame) -> DataFrame:
 def membership(subjects: DataFrame, drives: DataFrame, members: DataFrame) -> DataFrame:
     """(subject_id, drive_id, status, reason, file_key) for every subject and drive.
 
-    The answer has a row for each pair, so the pairs are made; members meet them in an equi-join on
-    drive, kind and value.
+    The answer has a row for each pair, so the pairs are made, but last: subjects meet the lists that have
+    their identifiers first, as an array, so that what is shuffled is subjects and members, not pairs.
     """
-    pairs = subjects.select("subject_id", "neo_id", "reg_no").crossJoin(drives.select("drive_id", "shape", "primary_key"))
-    value = F.when(F.col("primary_key") == V.NEO, V.neo_id(F.col("neo_id"))).when(F.col("primary_key") == V.REG, V.reg_no(F.col("reg_no")))
-    listed = members.select("drive_id", F.col("kind").alias("primary_key"), "value").distinct().withColumn("found", F.lit(True))
-    met = pairs.withColumn("value", value).join(listed, ["drive_id", "primary_key", "value"], "left")
-    return with_verdict(met).select("subject_id", "drive_id", "status", "reason", "file_key")
+    none = F.concat(F.lit("\x00"), F.col("subject_id").cast("string"))  # meets nothing, and no two of them lie together
+    held = subjects.select("subject_id", "neo_id", "reg_no", F.coalesce(V.neo_id(F.col("neo_id")), none).alias("_neo"), F.coalesce(V.reg_no(F.col("reg_no")), none).alias("_reg"))
+    for kind, key, on in ((V.NEO, "_neo", "_on_neo"), (V.REG, "_reg", "_on_reg")):
+        on_lists = members.where((F.col("kind") == kind) & F.col("value").isNotNull()).groupBy(F.col("value").alias(key)).agg(F.array_sort(F.collect_set("drive_id")).alias(on))
+        held = held.join(on_lists, key, "left")
+    pairs = held.crossJoin(drives.select("drive_id", "shape", "primary_key"))
+    on = F.when(F.col("primary_key") == V.NEO, F.col("_on_neo")).when(F.col("primary_key") == V.REG, F.col("_on_reg"))
+    return with_verdict(pairs.withColumn("found", F.array_contains(on, F.col("drive_id")))).select("subject_id", "drive_id", "status", "reason", "file_key")
 
 
 def _keys(subjects: DataFrame) -> DataFrame:
@@ -118,8 +121,8 @@ def sightings(subjects: DataFrame, drives: DataFrame, origins: DataFrame, each_s
     held = subjects.select("subject_id", F.explode(F.create_map(F.lit(V.NEO), V.neo_id(F.col("neo_id")), F.lit(V.REG), V.reg_no(F.col("reg_no")))).alias("kind", "value")).where("value is not null")
     keyed = origins.select("drive_id", "kind", "value", "sheet", "row").join(drives.select("drive_id", F.col("primary_key").alias("kind")), ["drive_id", "kind"])
     at = held.join(keyed, ["kind", "value"])
-    lines = excerpt_around(at.select("drive_id", "kind", "sheet", "row", "value").distinct(), origins, each_side)
-    text = lines.groupBy("drive_id", "kind", F.col("at_value").alias("value")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "value"))), lambda x: F.concat_ws(":", x["row"], x["value"])), ";").alias("excerpt"))
+    lines = _around(at.select("drive_id", "kind", "sheet", "row", "value").distinct(), origins, each_side)
+    text = lines.groupBy("drive_id", "kind", F.col("at_value").alias("value")).agg(F.array_join(F.transform(F.array_sort(F.flatten(F.collect_list("lines"))), lambda x: F.concat_ws(":", x["row"], x["value"])), ";").alias("excerpt"))
     return at.join(text, ["drive_id", "kind", "value"]).select("subject_id", "drive_id", "row", "excerpt")
 
 
@@ -133,7 +136,12 @@ def evidence(subjects: DataFrame, drives: DataFrame, origins: DataFrame, each_si
 
 def excerpt_around(points: DataFrame, origins: DataFrame, each_side: int = 2) -> DataFrame:
     """(drive_id, kind, sheet, at_row, at_value, row, value): each point with the `each_side` nearest
-    lines before and after it. Neighbours come from the order of rows within the sheet, so no pairs of
+    lines before and after it."""
+    return _around(points, origins, each_side).select("drive_id", "kind", "sheet", "at_row", "at_value", F.explode("lines").alias("x")).select("drive_id", "kind", "sheet", "at_row", "at_value", "x.row", "x.value")
+
+
+def _around(points: DataFrame, origins: DataFrame, each_side: int) -> DataFrame:
+    """(drive_id, kind, sheet, at_row, at_value, lines): the lines of excerpt_around, as an array. Neighbours come from the order of rows within the sheet, so no pairs of
     lines are made: lines of one row share a rank, and a point reads the ranks beside its own."""
     sheet = ["drive_id", "kind", "sheet"]
     # rows with several lines are folded, so the lines beside are found behind all of the own row
@@ -148,4 +156,4 @@ def excerpt_around(points: DataFrame, origins: DataFrame, each_side: int = 2) ->
     around = folded.select(*sheet, F.col("row").alias("at_row"), F.concat(side(F.lag, False), side(F.lead, True)).alias("beside"))
     hit = points.select(*sheet, F.col("row").alias("at_row"), F.col("value").alias("at_value")).join(around, [*sheet, "at_row"])
     own = F.array(F.struct(F.col("at_row").alias("row"), F.col("at_value").alias("value")))
-    return hit.select(*sheet, "at_row", "at_value", F.explode(F.concat("beside", own)).alias("x")).select(*sheet, "at_row", "at_value", "x.row", "x.value")
+    return hit.select(*sheet, "at_row", "at_value", F.concat("beside", own).alias("lines"))

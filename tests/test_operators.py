@@ -149,6 +149,19 @@ def test_components_of_long_chains_and_crowds(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def test_pairs_are_made_after_the_joins(spark):
+    """Subjects meet the lists that have them before they meet all lists, so no join carries a row for each pair."""
+    subjects = spark.createDataFrame([(1, N1, None), (2, None, R1), (3, N2, R2), (4, None, None)], "subject_id long, neo_id string, reg_no string")
+    drives = spark.createDataFrame([(1, "c", "t", "neo_id_only", "neo_id", 1, None, None), (2, "c", "t", "reg_no_only", "reg_no", 1, None, None)], DRIVES)
+    members = spark.createDataFrame([(1, "neo_id", N1), (1, "neo_id", N1), (1, "reg_no", R2), (2, "reg_no", R2), (2, "reg_no", None)], "drive_id long, kind string, value string")
+    told = W.membership(subjects, drives, members)
+    joins = [line for line in told._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert "Cross" in joins[0] and len(joins) == 3
+    got = {(r.subject_id, r.drive_id): (r.status, r.reason) for r in told.collect()}
+    lacks, none = ("undetermined", "key_kind_not_configured"), ("undetermined", "no_identity_configured")
+    assert got == {(1, 1): ("shortlisted", None), (1, 2): lacks, (2, 1): lacks, (2, 2): ("not_shortlisted", None), (3, 1): ("not_shortlisted", None), (3, 2): ("shortlisted", None), (4, 1): none, (4, 2): none}
+
+
 def test_edges_are_thinned_before_the_rounds(spark, monkeypatch):
     """What the rounds carry is bounded by the nodes that a task reads, not by its edges; components stay the same."""
     from rollcall.operators import components as C

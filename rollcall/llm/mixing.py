@@ -12,6 +12,9 @@ from rollcall.session import forget, saved
 NONE = "(none)"
 #: Sweeps between two written tables.
 SWEEPS_A_ROUND = 4
+#: Up to so many cells are raked in one task: no sweep shuffles them then, which spares the driver a job for
+#: each window. More cells are dealt by category, with the same steps.
+CELLS_A_TASK = 100_000
 #: Topics by surface form, the first that holds.
 TOPICS = (("table", " | "), ("licence", "License"), ("contact", "@"), ("secret", "token ="))
 
@@ -38,6 +41,11 @@ def smoothed_targets(cells: DataFrame, dim: str, power: float) -> DataFrame:
     return shares.crossJoin(F.broadcast(total)).select(dim, (F.pow("m", F.lit(power)) / F.col("all")).alias("target"))
 
 
+def gathered(cells: DataFrame, few: bool) -> DataFrame:
+    """cells in one partition if they are few: groups and windows need no exchange there."""
+    return cells.coalesce(1) if few else cells
+
+
 def rake(cells: DataFrame, targets: dict[str, DataFrame], budget: float, sweeps: int = 20, tolerance: float = 1e-9) -> DataFrame:
     """cells (dimensions, n) with share and w, the share of tokens each cell should have.
 
@@ -48,14 +56,15 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], budget: float, sweeps:
     sweep deals the excess to others; where too many cells are held, the marginals fall short of
     their targets, which `residuals` tells. Ends when no w has moved by more than `tolerance` in a
     sweep, or after `sweeps`. Only that largest move comes to the driver, once for several sweeps. The
-    cells are far fewer than documents, but stay a distributed table.
+    cells are far fewer than documents, but stay a distributed table above CELLS_A_TASK.
     """
+    few = cells.count() <= CELLS_A_TASK
     total = cells.agg(F.sum("n").alias("all"))
     dims = list(targets)
-    now = cells.where("n > 0").crossJoin(F.broadcast(total)).select(*dims, "n", (F.col("n") / F.col("all")).alias("share"))
+    now = gathered(cells, few).where("n > 0").crossJoin(F.broadcast(total)).select(*dims, "n", (F.col("n") / F.col("all")).alias("share"))
     for k, d in enumerate(dims):
         now = now.join(targets[d].select(d, F.col("target").alias(f"_t{k}")), d, "left")
-    now = saved(now.select(*dims, "n", "share", *[F.coalesce(f"_t{k}", F.lit(0.0)).alias(f"_t{k}") for k in range(len(dims))], F.col("share").alias("w")), "cells")
+    now = gathered(saved(now.select(*dims, "n", "share", *[F.coalesce(f"_t{k}", F.lit(0.0)).alias(f"_t{k}") for k in range(len(dims))], F.col("share").alias("w")), "cells"), few)
     done = 0
     while done < sweeps:
         step = min(SWEEPS_A_ROUND, sweeps - done)
@@ -66,7 +75,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], budget: float, sweeps:
                 have = F.sum("w").over(Window.partitionBy(d))
                 after = after.withColumn("w", F.coalesce(F.try_divide(F.col("w") * F.col(f"_t{k}"), have), F.lit(0.0)))
             after = after.withColumn("w", F.least("w", F.col("share") / budget))
-        after = saved(after, "cells")
+        after = gathered(saved(after, "cells"), few)
         forget(now)
         now, done = after.drop("_w"), done + step
         if (after.agg(F.max(F.abs(F.col("w") - F.col("_w")))).first()[0] or 0.0) <= tolerance:
@@ -115,6 +124,7 @@ def sample(docs: DataFrame, dims: dict[str, Column], id_col: str = "doc_id", tex
     known = described(docs, dims, text_col, prefix)
     names = [f"{prefix}dim_{k}" for k in dims]
     cells = saved(known.groupBy(*names).agg(F.sum(f"{prefix}n_tokens").alias("n")), "mix-cells")
+    cells = gathered(cells, cells.count() <= CELLS_A_TASK)
     wanted = wanted_shares(cells, dict(zip(dims, names)), power, targets)
     chance = unused(known, "chance")
     raked = rake(cells, wanted, budget, sweeps).select(*names, F.least(F.lit(1.0), budget * F.col("w") / F.col("share")).alias(chance))

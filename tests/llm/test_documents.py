@@ -322,6 +322,25 @@ def test_mixing_tells_what_the_budget_keeps_it_from(spark):
     assert worst[0.05] < 1e-3 < worst[0.8]
 
 
+def test_mixing_few_cells_takes_few_jobs(spark, monkeypatch):
+    rows = [(i, "a b c " * (1 + i % 5), "xyz"[i * i % 3], f"l{i * 7 % 11 % 4}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+
+    def mixed(group):
+        spark.sparkContext.setJobGroup(group, group)
+        got = mixing.sample(docs, {"source": F.col("source"), "lang": F.col("lang")}).select("doc_id", "probability", "selected").collect()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return sorted(got), jobs
+
+    few, jobs = mixed("few-cells")
+    monkeypatch.setattr(mixing, "CELLS_A_TASK", 2)
+    dealt, more = mixed("many-cells")
+    assert few == dealt and len(few) == 400
+    assert jobs <= 45 < more, (jobs, more)
+
+
 def test_mixing_keeps_rows_without_words(spark):
     docs = spark.createDataFrame([(1, None, "a"), (2, "", "a"), (None, "x y", None), (3, "x", "b"), (3, "x", "b")], "doc_id long, text string, n string")
     rows = mixing.sample(docs.drop("n").withColumn("n", F.lit(1)).withColumn("source", F.lit("s")), {"source": F.col("source")}).collect()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rollcall.llm.common import give_back, local_roots, runs, whole_runs
 from rollcall.operators.components import connected_components
-from rollcall.session import saved
+from rollcall.session import saved, shuffled
 
 
 def usable(vec: str, label: str):
@@ -78,7 +78,7 @@ def _dealt(posts: DataFrame, block_rows: int) -> DataFrame:
     """Rows of posting lists (class, label, dim, pivot and others), each list dealt out as pairs of
     blocks of about block_rows, so that no list fills a task: each row comes once for each block."""
     counts = posts.groupBy("label", "dim", "pivot").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    met = posts.join(counts, ["label", "dim", "pivot"]).withColumn("own", F.pmod(F.xxhash64("class"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = posts.join(shuffled(counts), ["label", "dim", "pivot"]).withColumn("own", F.pmod(F.xxhash64("class"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("blocks", "other")
     return met.repartition(*KEY).sortWithinPartitions(*KEY)
 
@@ -132,7 +132,7 @@ def class_links(posts: DataFrame, vectors: DataFrame, cosine: float, shared: int
     Shared pivots are counted again among the candidates of a list, and the cosine is computed for
     the pairs that agree. A task returns a row for each of its classes at most, never pairs.
     """
-    met = posts.distinct().join(vectors.select("class", "copies", "prefix", "vec"), "class")
+    met = posts.distinct().join(shuffled(vectors.select("class", "copies", "prefix", "vec")), "class")
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in whole_runs(batches, KEY):
@@ -179,13 +179,13 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     pivots = choose_pivots(classes, pivot_count(n, least_pivots, most_pivots), longest)
     described = saved(describe(classes, pivots, prefix), "vec-prefixes")
     posts = saved(candidates(described, shared, block_rows), "vec-candidates")
-    found = saved(class_links(posts, classes.join(described.select("class", "prefix"), "class"), cosine, shared, block_rows), "vec-links")
+    found = saved(class_links(posts, classes.join(shuffled(described.select("class", "prefix")), "class"), cosine, shared, block_rows), "vec-links")
     counted = found.groupBy("class").agg(F.sum("n_links").alias("n"))
     parts = connected_components(found.select(F.col("class").alias("src"), F.col("root").alias("dst"))).withColumnRenamed("node", "class")
-    named = classes.drop("vec").join(parts, "class", "left").withColumn("root", F.coalesce("component", "class")).drop("component")
+    named = classes.drop("vec").join(shuffled(parts), "class", "left").withColumn("root", F.coalesce("component", "class")).drop("component")
     least = named.groupBy("root").agg(F.min("rep").alias("component"))
-    told = named.join(least, "root").join(counted, "class", "left").select("class", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component")
-    of_class = classes.select("class", F.col("label").alias("_label"), F.col("vec").alias("_vec")).join(told, "class")
-    met = read.join(of_class, (F.col("label") == F.col("_label")) & (F.col("vec") == F.col("_vec")), "left")
+    told = named.join(shuffled(least), "root").join(shuffled(counted), "class", "left").select("class", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component")
+    of_class = classes.select("class", F.col("label").alias("_label"), F.col("vec").alias("_vec")).join(shuffled(told), "class")
+    met = read.join(shuffled(of_class), (F.col("label") == F.col("_label")) & (F.col("vec") == F.col("_vec")), "left")
     component = F.coalesce("component", "id")
     return met.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))

@@ -10,6 +10,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from rollcall.llm import classifier, embeddings, html, queries, warc
+from rollcall.operators import components
 
 SF = "/root/testdata/sf0.01"
 
@@ -373,3 +374,12 @@ def test_vectors_with_repeated_ids_and_tiny_values(spark):
     rows = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.0], 1), (3, [1e-200] * 2, 2), (4, [2e-200] * 2, 2), (None, [1.0, 0.0], 3), (5, [1.0, 0.001], 3)]
     got = sorted((r.vec_id or 0, r.n_links, r.component, r.kept) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
     assert got == [(0, 1, 5, True), (1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 3, True), (4, 1, 3, False), (5, 1, 5, True)]
+
+
+def test_vectors_never_pass_whole_through_the_driver(spark, monkeypatch):
+    plans = []
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for module in (embeddings, components):
+        monkeypatch.setattr(module, "saved", lambda df, name, keep=module.saved: (plans.append(plan(df)), keep(df, name))[1])
+    plans.append(plan(embeddings.near_duplicates(spark.read.parquet(f"{SF}/embeddings.parquet"))))
+    assert sum("SortMergeJoin" in p for p in plans) >= 3 and not any("Broadcast" in p for p in plans)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollcall.functions import values as V
-from rollcall.session import saved
+from rollcall.session import saved, shuffled
 
 #: Thresholds a list may be cut at, and what makes one a signal.
 LADDER = (9.5, 9.0, 8.5, 8.0, 7.5, 7.0)
@@ -159,7 +159,7 @@ def resolved_regs(members: DataFrame, neo_to_reg: DataFrame) -> DataFrame:
     """(drive_id, reg_no): secondary identifiers listed, and those that listed primary ones lead to (only
     links good enough to aggregate)."""
     good = neo_to_reg.where(V.can_aggregate(F.col("confidence"))).select(F.col("neo_id").alias("value"), "reg_no")
-    led = members.where(F.col("kind") == V.NEO).join(good, "value").select("drive_id", "reg_no")
+    led = members.where(F.col("kind") == V.NEO).join(shuffled(good), "value").select("drive_id", "reg_no")
     return led.union(members.where(F.col("kind") == V.REG).select("drive_id", F.col("value").alias("reg_no"))).distinct()
 
 
@@ -172,7 +172,7 @@ def totals(members: DataFrame) -> DataFrame:
 def matched(members: DataFrame, neo_to_reg: DataFrame, academics: DataFrame) -> DataFrame:
     """(drive_id, reg_no, cgpa, branch) of members whose grade is known and sane."""
     facts = academics.select("reg_no", V.sane_cgpa(F.col("cgpa")).alias("cgpa"), "branch").where("cgpa is not null")
-    return resolved_regs(members, neo_to_reg).join(facts, "reg_no")
+    return resolved_regs(members, neo_to_reg).join(shuffled(facts), "reg_no")
 
 
 def gate(members: DataFrame, found: DataFrame) -> DataFrame:

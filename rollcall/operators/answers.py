@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rollcall.functions import naming
 from rollcall.operators import rounds
 from rollcall.operators.identity import EDGE_KEY
+from rollcall.session import shuffled
 
 
 def list_drives(drives: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -29,8 +30,8 @@ def drive_outcomes(verdicts: DataFrame, circles: DataFrame, analyses: DataFrame,
     What holds for a list alone is joined by list, the rest by subject and list; nothing is paired anew."""
     of_list = circles.select("drive_id", F.col("members").alias("circle")).join(analyses.select("drive_id", "sufficient", F.col("kind").alias("cutoff"), "threshold"), "drive_id", "full")
     out = verdicts.select("subject_id", "drive_id", "status", "reason").join(of_list, "drive_id", "left")
-    out = out.join(evidence.select("subject_id", "drive_id", "row", "excerpt"), ["subject_id", "drive_id"], "left")
-    return out.join(progressions.select("subject_id", "drive_id", "steps", "next_pending"), ["subject_id", "drive_id"], "left")
+    out = out.join(shuffled(evidence.select("subject_id", "drive_id", "row", "excerpt")), ["subject_id", "drive_id"], "left")
+    return out.join(shuffled(progressions.select("subject_id", "drive_id", "steps", "next_pending")), ["subject_id", "drive_id"], "left")
 
 
 def lookup_people(hits: DataFrame, drives: DataFrame, links: DataFrame) -> DataFrame:

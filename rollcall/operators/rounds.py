@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rollcall.functions.naming import UNNAMED, company_key
 from rollcall.functions.values import NEO, REG
-from rollcall.session import forget, saved
+from rollcall.session import forget, saved, shuffled
 
 OVERLAP = 0.6
 
@@ -20,7 +20,7 @@ def overlaps(drives: DataFrame, members: DataFrame) -> DataFrame:
     Shared members come from one equi-join of members on (company, kind, value), counted per pair of
     drives before the shuffle, not from a comparison of lists.
     """
-    keyed = drives.select("drive_id", "imported_at", company_key(F.col("company")).alias("ck"))
+    keyed = saved(drives.select("drive_id", "imported_at", company_key(F.col("company")).alias("ck")), "companies")
     listed = members.select("drive_id", "kind", "value").distinct()
     sizes = listed.groupBy("drive_id").agg(F.count_if(F.col("kind") == NEO).alias("n_neo"), F.count_if(F.col("kind") == REG).alias("n_reg"))
     new = keyed.join(sizes, "drive_id", "left").na.fill(0, ["n_neo", "n_reg"])
@@ -29,7 +29,7 @@ def overlaps(drives: DataFrame, members: DataFrame) -> DataFrame:
     pairs = new.join(old, "ck").where(before)
     of_company = listed.join(keyed, "drive_id")
     later = (F.col("a.imported_at") > F.col("b.imported_at")) | ((F.col("a.imported_at") == F.col("b.imported_at")) & (F.col("a.drive_id") > F.col("b.drive_id")))
-    both = of_company.alias("a").join(of_company.alias("b"), (F.col("a.ck") == F.col("b.ck")) & (F.col("a.kind") == F.col("b.kind")) & (F.col("a.value") == F.col("b.value")) & later)
+    both = of_company.alias("a").join(shuffled(of_company).alias("b"), (F.col("a.ck") == F.col("b.ck")) & (F.col("a.kind") == F.col("b.kind")) & (F.col("a.value") == F.col("b.value")) & later)
     common = both.groupBy(F.col("a.drive_id").alias("drive_id"), F.col("b.drive_id").alias("earlier_id")).agg(F.count_if(F.col("a.kind") == NEO).alias("c_neo"), F.count_if(F.col("a.kind") == REG).alias("c_reg"))
     met = pairs.join(common, ["drive_id", "earlier_id"], "left").na.fill(0, ["c_neo", "c_reg"])
     share = lambda c, n, o: F.when((F.col(n) > 0) & (F.col(o) > 0), F.col(c) / F.col(n))
@@ -116,7 +116,7 @@ def progression(drives: DataFrame, verdicts: DataFrame) -> DataFrame:
     # the lists of one line of rounds have one path, which is told once for all of them
     paths = saved(now.where(F.size("path") >= 2).withColumn("line", F.min("drive_id").over(Window.partitionBy("path"))), "paths")
     steps = paths.where("line = drive_id").select("line", F.posexplode("path").alias("at", "step_id"))
-    named = steps.join(_labels(drives, ancestors).withColumnRenamed("drive_id", "step_id"), "step_id", "left")
+    named = saved(steps.join(_labels(drives, ancestors).withColumnRenamed("drive_id", "step_id"), "step_id", "left"), "steps")
     told = named.join(verdicts.select("subject_id", F.col("drive_id").alias("step_id"), "status"), "step_id")
     rows = told.groupBy("subject_id", "line").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("label", F.lit("")).alias("label"), "status"))).alias("s"))
     last = F.element_at("s", -1)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollcall.functions import values as V
+from rollcall.session import saved, shuffled
 
 IN, OUT, UNKNOWN = "shortlisted", "not_shortlisted", "undetermined"
 
@@ -35,8 +36,9 @@ def membership(subjects: DataFrame, drives: DataFrame, members: DataFrame) -> Da
     held = subjects.select("subject_id", "neo_id", "reg_no", F.coalesce(V.neo_id(F.col("neo_id")), none).alias("_neo"), F.coalesce(V.reg_no(F.col("reg_no")), none).alias("_reg"))
     for kind, key, on in ((V.NEO, "_neo", "_on_neo"), (V.REG, "_reg", "_on_reg")):
         on_lists = members.where((F.col("kind") == kind) & F.col("value").isNotNull()).groupBy(F.col("value").alias(key)).agg(F.array_sort(F.collect_set("drive_id")).alias(on))
-        held = held.join(on_lists, key, "left")
-    pairs = held.crossJoin(drives.select("drive_id", "shape", "primary_key"))
+        held = held.join(shuffled(on_lists), key, "left")
+    lists = saved(drives.select("drive_id", "shape", "primary_key"), "lists")  # so that Spark sees which side is the small one
+    pairs = held.crossJoin(lists)
     on = F.when(F.col("primary_key") == V.NEO, F.col("_on_neo")).when(F.col("primary_key") == V.REG, F.col("_on_reg"))
     return with_verdict(pairs.withColumn("found", F.array_contains(on, F.col("drive_id")))).select("subject_id", "drive_id", "status", "reason", "file_key")
 
@@ -55,8 +57,8 @@ def _asked(drives: DataFrame) -> DataFrame:
 def _hits(keyed: DataFrame, drives: DataFrame, members: DataFrame) -> DataFrame:
     """(subject_id, drive_id) of subjects that are listed, by an equi-join on kind and value."""
     held = keyed.select("subject_id", F.explode(F.create_map(F.lit(V.NEO), "neo", F.lit(V.REG), "reg")).alias("asks", "value")).where("value is not null")
-    listed = members.select("drive_id", F.col("kind").alias("asks"), "value").join(_asked(drives), ["drive_id", "asks"])
-    return held.join(listed, ["asks", "value"]).select("subject_id", "drive_id").distinct()
+    listed = members.select("drive_id", F.col("kind").alias("asks"), "value").join(_asked(drives), ["drive_id", "asks"], "left_semi")
+    return held.join(shuffled(listed), ["asks", "value"]).select("subject_id", "drive_id").distinct()
 
 
 def season(subjects: DataFrame, drives: DataFrame, members: DataFrame) -> DataFrame:
@@ -98,8 +100,8 @@ def circle(subjects: DataFrame, drives: DataFrame, members: DataFrame, top: int
 
     best = first(flat, ["asks", "clear"], label, 2 * top).drop("k")
     people = keyed.select("subject_id", "label")
-    mine = first(hits.join(people, "subject_id"), ["drive_id"], label, top).select("drive_id", "subject_id", "label", F.lit(0).alias("rank"), F.lit(IN).alias("status"))
-    rest = asked.join(best, "asks").join(hits, ["drive_id", "subject_id"], "left_anti")
+    mine = first(hits.join(shuffled(people), "subject_id"), ["drive_id"], label, top).select("drive_id", "subject_id", "label", F.lit(0).alias("rank"), F.lit(IN).alias("status"))
+    rest = asked.join(best, "asks").join(shuffled(hits), ["drive_id", "subject_id"], "left_anti")
     rest = rest.select("drive_id", "subject_id", "label", F.when(F.col("clear"), 2).otherwise(1).alias("rank"), F.when(F.col("clear"), OUT).otherwise(UNKNOWN).alias("status"))
     shown = first(mine.union(rest), ["drive_id"], [F.col("rank"), *label], top)
     named = shown.groupBy("drive_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "label", "status"))), lambda x: F.concat_ws("=", x["label"], x["status"])), ";").alias("members"))
@@ -119,19 +121,20 @@ def sightings(subjects: DataFrame, drives: DataFrame, origins: DataFrame, each_s
     list's key and the value, and the lines around: the nearest `each_side` rows below and above by row
     number in the same sheet, strictly, so others on the own line are left out."""
     held = subjects.select("subject_id", F.explode(F.create_map(F.lit(V.NEO), V.neo_id(F.col("neo_id")), F.lit(V.REG), V.reg_no(F.col("reg_no")))).alias("kind", "value")).where("value is not null")
-    keyed = origins.select("drive_id", "kind", "value", "sheet", "row").join(drives.select("drive_id", F.col("primary_key").alias("kind")), ["drive_id", "kind"])
-    at = held.join(keyed, ["kind", "value"])
+    keyed = origins.select("drive_id", "kind", "value", "sheet", "row").join(drives.select("drive_id", F.col("primary_key").alias("kind")), ["drive_id", "kind"], "left_semi")
+    at = held.join(shuffled(keyed), ["kind", "value"])
     lines = _around(at.select("drive_id", "kind", "sheet", "row", "value").distinct(), origins, each_side)
     text = lines.groupBy("drive_id", "kind", F.col("at_value").alias("value")).agg(F.array_join(F.transform(F.array_sort(F.flatten(F.collect_list("lines"))), lambda x: F.concat_ws(":", x["row"], x["value"])), ";").alias("excerpt"))
-    return at.join(text, ["drive_id", "kind", "value"]).select("subject_id", "drive_id", "row", "excerpt")
+    return at.join(shuffled(text), ["drive_id", "kind", "value"]).select("subject_id", "drive_id", "row", "excerpt")
 
 
 def evidence(subjects: DataFrame, drives: DataFrame, origins: DataFrame, each_side: int = 2) -> DataFrame:
     """(subject_id, drive_id, key, yours, listed, row, excerpt) for every subject and drive: what the list asks
     for, and where the subject stands in it (see sightings), if so."""
     yours = F.when(F.col("primary_key") == V.NEO, V.neo_id(F.col("neo_id"))).when(F.col("primary_key") == V.REG, V.reg_no(F.col("reg_no")))
-    pairs = subjects.crossJoin(drives.select("drive_id", "primary_key", "total_students")).select("subject_id", "drive_id", F.col("primary_key").alias("key"), yours.alias("yours"), F.col("total_students").alias("listed"))
-    return pairs.join(sightings(subjects, drives, origins, each_side), ["subject_id", "drive_id"], "left").select("subject_id", "drive_id", "key", "yours", "listed", "row", "excerpt")
+    lists = saved(drives.select("drive_id", "primary_key", "total_students"), "lists")
+    pairs = subjects.crossJoin(lists).select("subject_id", "drive_id", F.col("primary_key").alias("key"), yours.alias("yours"), F.col("total_students").alias("listed"))
+    return pairs.join(shuffled(sightings(subjects, drives, origins, each_side)), ["subject_id", "drive_id"], "left").select("subject_id", "drive_id", "key", "yours", "listed", "row", "excerpt")
 
 
 def excerpt_around(points: DataFrame, origins: DataFrame, each_side: int = 2) -> DataFrame:
@@ -154,6 +157,6 @@ def _around(points: DataFrame, origins: DataFrame, each_side: int) -> DataFrame:
         return F.slice(flat, 1, each_side)
 
     around = folded.select(*sheet, F.col("row").alias("at_row"), F.concat(side(F.lag, False), side(F.lead, True)).alias("beside"))
-    hit = points.select(*sheet, F.col("row").alias("at_row"), F.col("value").alias("at_value")).join(around, [*sheet, "at_row"])
+    hit = points.select(*sheet, F.col("row").alias("at_row"), F.col("value").alias("at_value")).join(shuffled(around), [*sheet, "at_row"])
     own = F.array(F.struct(F.col("at_row").alias("row"), F.col("at_value").alias("value")))
     return hit.select(*sheet, "at_row", "at_value", F.concat("beside", own).alias("lines"))

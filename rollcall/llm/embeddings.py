@@ -183,7 +183,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     counted = found.groupBy("class").agg(F.sum("n_links").alias("n"))
     parts = connected_components(found.select(F.col("class").alias("src"), F.col("root").alias("dst"))).withColumnRenamed("node", "class")
     named = classes.drop("vec").join(shuffled(parts), "class", "left").withColumn("root", F.coalesce("component", "class")).drop("component")
-    least = named.groupBy("root").agg(F.min("rep").alias("component"))
+    least = saved(named.groupBy("root").agg(F.min("rep").alias("component")), "vec-components")  # so that the join on a large component can be split
     told = named.join(shuffled(least), "root").join(shuffled(counted), "class", "left").select("class", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component")
     of_class = classes.select("class", F.col("label").alias("_label"), F.col("vec").alias("_vec")).join(shuffled(told), "class")
     met = read.join(shuffled(of_class), (F.col("label") == F.col("_label")) & (F.col("vec") == F.col("_vec")), "left")
